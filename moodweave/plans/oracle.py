@@ -146,3 +146,153 @@ SELECT scene_id, "character", trait, flag, CASE WHEN flag THEN 1 ELSE 0 END AS l
 
 ORACLE["trait_value_counts"] = with_ctes(["trait_long"], """
 SELECT trait, flag, count(*) AS n FROM trait_long WHERE flag IS NOT NULL GROUP BY ALL""")
+
+# --- dialogue structure ------------------------------------------------------
+CTE["v_scenes"] = """v_scenes AS (
+  SELECT conv_id, scene_id,
+         'Scene note<br>' || string_agg('<b>' || speaker || '</b>: ' || text || '<br>', '' ORDER BY pos) AS raw_text
+  FROM v_turns GROUP BY conv_id, scene_id)"""
+CTE["sizes"] = """sizes AS (SELECT scene_id, count(*) AS n_turns FROM v_turns GROUP BY scene_id)"""
+CTE["lens"] = """lens AS (SELECT CAST(x AS DOUBLE) AS flow_len FROM (VALUES (0.25), (0.5), (0.75), (1.0)) v(x))"""
+CTE["turn_emo"] = """turn_emo AS (
+  SELECT t.*, g.emotion FROM v_turns t JOIN tagged g ON g.scene_id = t.scene_id AND g.pos = t.pos)"""
+_FIRST_T = "list_filter(regexp_split_to_array(@X@, '" + WS_RUN + "'), lambda w: w <> '')[1]"
+
+
+class _First:
+    @staticmethod
+    def format(x):
+        return _FIRST_T.replace("@X@", x)
+
+
+_FIRST = _First()
+CTE["sample_lens"] = """sample_lens AS (
+  SELECT c.scene_id, c."character", l.flow_len, floor(s.n_turns * l.flow_len) AS k
+  FROM v_characters c JOIN sizes s ON s.scene_id = c.scene_id CROSS JOIN lens l)"""
+_DESC = ", ".join(f"('{t}', '{p}', '{x}')" for t, p, x in K.DESCRIPTIONS)
+CTE["descriptions"] = f"""descriptions AS (SELECT * FROM (VALUES {_DESC}) d(trait, polarity, text))"""
+CTE["seeds"] = "seeds AS (SELECT * FROM (VALUES " + ", ".join(f"({s})" for s in K.SEEDS) + ") s(seed))"
+DEPS.update({"v_scenes": ["v_turns"], "sizes": ["v_turns"], "lens": [], "turn_emo": ["tagged"],
+             "sample_lens": ["v_characters", "sizes", "lens"], "descriptions": [], "seeds": []})
+
+ORACLE["parse_transcript"] = with_ctes(["v_scenes"], """,
+pieces AS (
+  SELECT scene_id, list_filter(string_split(raw_text, '<br>'), lambda p: contains(p, '</b>:')) AS l
+  FROM v_scenes),
+flat AS (SELECT scene_id, unnest(l) AS piece, unnest(range(len(l))) AS pos FROM pieces)
+SELECT scene_id, CAST(pos AS BIGINT) AS pos,
+       replace(split_part(piece, '</b>:', 1), '<b>', '') AS speaker,
+       split_part(piece, '</b>:', 2) AS text
+FROM flat""")
+
+ORACLE["flow_prefix"] = with_ctes(["sizes", "lens"], """
+SELECT t.conv_id, t.scene_id, t.pos, t.speaker, t.text, l.flow_len
+FROM v_turns t JOIN sizes s ON s.scene_id = t.scene_id CROSS JOIN lens l
+WHERE t.pos < floor(s.n_turns * l.flow_len)""")
+
+ORACLE["speaker_mask"] = with_ctes(["v_characters", "sizes"], """
+SELECT c.scene_id, c."character", t.pos,
+       CAST(split_part(t.speaker, ' ', 1) = split_part(c."character", ' ', 1) AS INTEGER) AS is_speaker,
+       CAST(t.pos = 0 AS INTEGER) AS is_first,
+       CAST(t.pos = s.n_turns - 1 AS INTEGER) AS is_last
+FROM v_characters c JOIN v_turns t ON t.scene_id = c.scene_id JOIN sizes s ON s.scene_id = c.scene_id""")
+
+ORACLE["speaker_text"] = with_ctes(["v_characters"], """
+SELECT c.scene_id, c."character",
+       coalesce((SELECT string_agg(' ' || t.text, '' ORDER BY t.pos) FROM v_turns t
+                 WHERE t.scene_id = c.scene_id AND t.speaker = c."character"), '') AS utterance
+FROM v_characters c""")
+
+ORACLE["context_text"] = with_ctes(["v_characters"], """
+SELECT c.scene_id, c."character",
+       coalesce((SELECT string_agg(' ' || t.text, '' ORDER BY t.pos) FROM v_turns t
+                 WHERE t.scene_id = c.scene_id AND t.speaker <> c."character"), '') AS context
+FROM v_characters c""")
+
+ORACLE["dialog_text"] = with_ctes(["v_characters"], """
+SELECT c.scene_id, c."character",
+       coalesce((SELECT string_agg(t.text, '' ORDER BY t.pos) FROM v_turns t
+                 WHERE t.scene_id = c.scene_id), '') AS sent
+FROM v_characters c""")
+
+ORACLE["scene_key_parse"] = with_ctes(["v_characters"], f"""
+SELECT scene_id, "character",
+       CAST(split_part(scene_id, '_', 1) AS INTEGER) AS season,
+       CAST(substr(split_part(scene_id, '_', 2), 2) AS INTEGER) AS episode,
+       {_FIRST.format(x='"character"')} AS first_name
+FROM v_characters""")
+
+_ORIGIN = """coalesce((SELECT string_agg(CASE WHEN t.speaker = s."character" THEN 'Speaker' ELSE 'Others' END
+                                || ' : ' || t.text || ', ', '' ORDER BY t.pos)
+                 FROM v_turns t WHERE t.scene_id = s.scene_id AND t.pos < s.k), '') || '; '"""
+_ONLY = """coalesce((SELECT string_agg(t.text || ', ', '' ORDER BY t.pos)
+                 FROM v_turns t WHERE t.scene_id = s.scene_id AND t.pos < s.k
+                   AND t.speaker = s."character"), '') || '; '"""
+_PROMPT = ("""coalesce((SELECT string_agg(
+                   CASE WHEN t.pos = 0 AND split_part(t.speaker, ' ', 1) <> split_part(s."character", ' ', 1)
+                          THEN 'First, the emotion of others is ' || t.emotion || ', '
+                        WHEN t.pos = 0
+                          THEN 'The emotion of ' || {first} || ' is initially ' || t.emotion || ', '
+                        WHEN split_part(t.speaker, ' ', 1) <> split_part(s."character", ' ', 1)
+                          THEN 'the emotion of others is ' || t.emotion || ', '
+                        ELSE {first} || ' respond with ' || t.emotion || ', ' END, '' ORDER BY t.pos)
+                 FROM turn_emo t WHERE t.scene_id = s.scene_id AND t.pos < s.k), '')"""
+           .replace("{first}", _FIRST.format(x='s."character"')))
+
+ORACLE["premise_dialog"] = with_ctes(["sample_lens"], f"""
+SELECT s.scene_id, s."character", s.flow_len, {_ORIGIN} AS origin_sent FROM sample_lens s""")
+
+ORACLE["premise_speaker"] = with_ctes(["sample_lens"], f"""
+SELECT s.scene_id, s."character", s.flow_len, {_ONLY} AS only_speaker FROM sample_lens s""")
+
+ORACLE["affective_prompt"] = with_ctes(["sample_lens", "turn_emo"], f"""
+SELECT s.scene_id, s."character", s.flow_len, {_PROMPT} AS affective_prompt FROM sample_lens s""")
+
+ORACLE["nli_pairs"] = with_ctes(["sample_lens", "turn_emo", "trait_long", "descriptions"], f""",
+texts AS (
+  SELECT s.scene_id, s."character", s.flow_len, {_FIRST.format(x='s."character"')} AS c_name,
+         {_ORIGIN} AS origin_sent, {_ONLY} AS only_speaker, {_PROMPT} AS affective_prompt
+  FROM sample_lens s),
+j AS (
+  SELECT x.*, tl.trait, CASE WHEN tl.flag THEN 1 ELSE 0 END AS label,
+         x.origin_sent || x.affective_prompt AS sp,
+         x.c_name || ' ' || dp.text AS pos_d, x.c_name || ' ' || dn.text AS neg_d
+  FROM texts x
+  JOIN trait_long tl ON tl.scene_id = x.scene_id AND tl."character" = x."character"
+  JOIN descriptions dp ON dp.trait = tl.trait AND dp.polarity = 'pos'
+  JOIN descriptions dn ON dn.trait = tl.trait AND dn.polarity = 'neg')
+SELECT scene_id, "character", trait, flow_len, label, label AS nli_label,
+       origin_sent, only_speaker, affective_prompt, sp AS sent_and_prompt, sp AS affective_dialog,
+       pos_d AS pos_personality_description, neg_d AS neg_personality_description,
+       pos_d AS personality_description, sp AS sentence1, pos_d AS sentence2,
+       sp || ' ; ' || pos_d || '; Is it correct? <mask>.' AS model_input
+FROM j""")
+
+ORACLE["nli_sweep_split"] = with_ctes(["trait_long", "lens", "seeds"], """,
+hashed AS (
+  SELECT tl.trait, l.flow_len, s.seed, CASE WHEN tl.flag THEN 1 ELSE 0 END AS label,
+         ('0x' || substr(md5(CAST(s.seed AS VARCHAR) || ':' || tl.scene_id || ':' || tl."character"), 1, 8))::BIGINT AS h
+  FROM trait_long tl CROSS JOIN lens l CROSS JOIN seeds s)
+SELECT trait, flow_len, seed,
+       CASE WHEN h % 100 < 80 THEN 'train' WHEN h % 100 < 90 THEN 'valid' ELSE 'test' END AS split,
+       count(*) AS n, CAST(sum(label) AS BIGINT) AS n_pos
+FROM hashed GROUP BY ALL""")
+
+ORACLE["stratified_split"] = """
+WITH e AS (SELECT d.doc_id, l.quality AS labels FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+h AS (SELECT doc_id, labels, ('0x' || substr(md5('0:' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT AS h FROM e),
+r AS (SELECT doc_id, labels,
+             row_number() OVER (PARTITION BY labels ORDER BY h, doc_id) AS rk,
+             count(*) OVER (PARTITION BY labels) AS n FROM h),
+c AS (SELECT *, ceil(n * CAST(0.1 AS DOUBLE)) AS nt FROM r)
+SELECT doc_id, labels,
+       CASE WHEN rk <= nt THEN 'test'
+            WHEN rk <= nt + ceil((n - nt) * CAST(0.1 AS DOUBLE)) THEN 'valid' ELSE 'train' END AS split
+FROM c"""
+
+ORACLE["emotion_regroup"] = with_ctes(["tagged"], """,
+sz AS (SELECT t.conv_id, t.scene_id, count(*) AS len FROM v_turns t GROUP BY ALL),
+st AS (SELECT scene_id, coalesce(sum(len) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+       FROM sz)
+SELECT g.scene_id, CAST(g.pos AS BIGINT) AS pos, CAST(st.start + g.pos AS BIGINT) AS flat_idx, g.emotion
+FROM tagged g JOIN st ON st.scene_id = g.scene_id""")

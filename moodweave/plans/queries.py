@@ -52,3 +52,93 @@ def trait_labels(spark, sf_dir):
 @query
 def trait_value_counts(spark, sf_dir):
     return TR.trait_value_counts(V.v_traits(spark, sf_dir))
+
+
+# --- dialogue structure ------------------------------------------------------
+from moodweave.operators import dialog as D, pairs as P, split as S  # noqa: E402
+from moodweave import constants as K  # noqa: E402
+
+
+@query
+def parse_transcript(spark, sf_dir):
+    return D.parse_transcript(V.v_scenes(spark, sf_dir))
+
+
+@query
+def flow_prefix(spark, sf_dir):
+    return D.flow_prefix(V.v_turns(spark, sf_dir))
+
+
+@query
+def speaker_mask(spark, sf_dir):
+    return D.speaker_mask(V.v_turns(spark, sf_dir), V.v_characters(spark, sf_dir))
+
+
+@query
+def speaker_text(spark, sf_dir):
+    return D.speaker_text(V.v_turns(spark, sf_dir), V.v_characters(spark, sf_dir))
+
+
+@query
+def context_text(spark, sf_dir):
+    return D.context_text(V.v_turns(spark, sf_dir), V.v_characters(spark, sf_dir))
+
+
+@query
+def dialog_text(spark, sf_dir):
+    return D.dialog_text(V.v_turns(spark, sf_dir), V.v_characters(spark, sf_dir))
+
+
+@query
+def scene_key_parse(spark, sf_dir):
+    return D.scene_keys(V.v_characters(spark, sf_dir))
+
+
+def _pair_texts(spark, sf_dir):
+    turns = V.v_turns(spark, sf_dir)
+    tags = affect.emotion_tag(turns, V.lexicon(spark))
+    return P.pair_texts(turns, tags, V.v_characters(spark, sf_dir))
+
+
+@query
+def premise_dialog(spark, sf_dir):
+    return _pair_texts(spark, sf_dir).select("scene_id", "character", "flow_len", "origin_sent")
+
+
+@query
+def premise_speaker(spark, sf_dir):
+    return _pair_texts(spark, sf_dir).select("scene_id", "character", "flow_len", "only_speaker")
+
+
+@query
+def affective_prompt(spark, sf_dir):
+    return _pair_texts(spark, sf_dir).select("scene_id", "character", "flow_len", "affective_prompt")
+
+
+@query
+def nli_pairs(spark, sf_dir):
+    return P.nli_pairs(_pair_texts(spark, sf_dir), V.v_traits(spark, sf_dir), V.descriptions(spark))
+
+
+@query
+def nli_sweep_split(spark, sf_dir):
+    keys = P.sweep_keys(V.v_traits(spark, sf_dir))
+    s = S.sweep_split(keys, ["scene_id", "character"])
+    return s.groupBy("trait", "flow_len", "seed", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("n_pos"))
+
+
+@query
+def stratified_split(spark, sf_dir):
+    e = V.v_essays(spark, sf_dir).select("doc_id", "labels")
+    return S.stratified_split(e, "doc_id", "labels", seed=0)
+
+
+@query
+def emotion_regroup(spark, sf_dir):
+    tagged = tagged_turns(spark, sf_dir)
+    sizes = tagged.groupBy("conv_id", "scene_id").agg(F.count(F.lit(1)).alias("len"))
+    dialogs = D.prefix_sum(sizes, "conv_id", "len")
+    flat = tagged.select("scene_id", "pos", "emotion_id").join(dialogs.select("scene_id", "start"), "scene_id") \
+        .select((F.col("start") + F.col("pos")).alias("idx"), F.col("emotion_id").cast("double").alias("label"))
+    return D.regroup_labels(flat, dialogs.select("scene_id", "start", "len"))
