@@ -66,7 +66,9 @@ def big_five(df: DataFrame, v="v", a="a", d="d", mode: str = "chained") -> DataF
     is overwritten first and C, N, O read the new value in place of arousal.
     ``independent`` reads arousal everywhere.
     """
-    V, A, D = F.col(v), F.col(a), F.col(d)
+    # Spark resolves names case-insensitively: arousal 'a' would clash with 'A'.
+    df = df.withColumnRenamed(v, "_v").withColumnRenamed(a, "_a").withColumnRenamed(d, "_d")
+    V, A, D = F.col("_v"), F.col("_a"), F.col("_d")
 
     def lin(t, a_term):
         cv, ca, cd = K.BIG_FIVE_COEF[t]
@@ -76,7 +78,7 @@ def big_five(df: DataFrame, v="v", a="a", d="d", mode: str = "chained") -> DataF
     a_ = lin("A", A)
     a_in = a_ if mode == "chained" else A
     return df.select("*", a_.alias("A"), lin("C", a_in).alias("C"), e_.alias("E"),
-                     lin("O", a_in).alias("O"), lin("N", a_in).alias("N"))
+                     lin("O", a_in).alias("O"), lin("N", a_in).alias("N")).drop("_v", "_a", "_d")
 
 
 def trait_feature(df: DataFrame, trait_scores: list[str] = ("A", "C", "E", "O", "N")) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moodweave import constants as K
+from moodweave.functions.numeric import round6
 from moodweave.functions.text import first_word_exact
 from moodweave.operators.traits import trait_labels
 
@@ -67,7 +68,7 @@ def emotion_transition(tagged: DataFrame, traits: DataFrame, mode: str = "six")
     row = Window.partitionBy("trait", "e_from")  # <= 7 rows per window partition
     return dense.select(
         "trait", "e_from", "e_to", "n",
-        F.round(F.try_divide(F.col("n"), F.sum("n").over(row)), 6).alias("ratio"))
+        round6(F.try_divide(F.col("n"), F.sum("n").over(row))).alias("ratio"))
 
 
 def emotion_distribution(tagged: DataFrame, traits: DataFrame, include_last: bool = False,
@@ -98,4 +99,4 @@ def emotion_distribution(tagged: DataFrame, traits: DataFrame, include_last: boo
         F.when(F.col("flag"), long_name[F.col("trait")])
         .otherwise(F.concat(F.lit("non-"), long_name[F.col("trait")])).alias("personality"),
         "emotion", "n",
-        F.round(F.try_divide(F.col("n"), F.sum("n").over(tot)), 6).alias("share"))
+        round6(F.try_divide(F.col("n"), F.sum("n").over(tot))).alias("share"))

@@ -116,7 +116,7 @@ grid AS (
   SELECT t.trait, f.e AS e_from, g.e AS e_to
   FROM (VALUES ('A'), ('C'), ('E'), ('O'), ('N')) t(trait), emos f, emos g)
 SELECT g.trait, g.e_from, g.e_to, CAST(coalesce(h.n, 0) AS BIGINT) AS n,
-       round(coalesce(h.n, 0) / nullif(sum(coalesce(h.n, 0)) OVER (PARTITION BY g.trait, g.e_from), 0), 6) AS ratio
+       (round(coalesce(h.n, 0) / nullif(sum(coalesce(h.n, 0)) OVER (PARTITION BY g.trait, g.e_from), 0) * 1e6) / 1e6 + 0.0) AS ratio
 FROM grid g LEFT JOIN hits h USING (trait, e_from, e_to)""")
 
 ORACLE["emotion_distribution"] = with_ctes(["tagged", "trait_long"], """,
@@ -136,7 +136,7 @@ grid AS (
 SELECT g.trait, CAST(g.flag AS INTEGER) AS label,
        CASE WHEN g.flag THEN nm.nm ELSE 'non-' || nm.nm END AS personality,
        g.emotion, CAST(coalesce(o.n, 0) AS BIGINT) AS n,
-       round(coalesce(o.n, 0) / nullif(sum(coalesce(o.n, 0)) OVER (PARTITION BY g.trait, g.flag), 0), 6) AS share
+       (round(coalesce(o.n, 0) / nullif(sum(coalesce(o.n, 0)) OVER (PARTITION BY g.trait, g.flag), 0) * 1e6) / 1e6 + 0.0) AS share
 FROM grid g
 JOIN (VALUES ('A', 'AGR'), ('C', 'CON'), ('E', 'EXT'), ('O', 'OPN'), ('N', 'NEU')) nm(trait, nm) USING (trait)
 LEFT JOIN own o USING (trait, flag, emotion)""")
@@ -296,3 +296,251 @@ st AS (SELECT scene_id, coalesce(sum(len) OVER (ORDER BY conv_id ROWS BETWEEN UN
        FROM sz)
 SELECT g.scene_id, CAST(g.pos AS BIGINT) AS pos, CAST(st.start + g.pos AS BIGINT) AS flat_idx, g.emotion
 FROM tagged g JOIN st ON st.scene_id = g.scene_id""")
+
+# --- lexicon and word statistics --------------------------------------------
+
+
+def R6(x: str) -> str:
+    """Round to 6 places; '+ 0.0' turns a negative zero into 0.0."""
+    return f"(round(({x}) * 1e6) / 1e6 + 0.0)"
+
+
+def _toks(text: str, repl: str) -> str:
+    return (f"list_filter(regexp_split_to_array(regexp_replace(lower({text}), '{PUNCT}', '{repl}', 'g'), "
+            f"'{WS_RUN}'), lambda x: x <> '')")
+
+
+CTE["doc_sums"] = f"""doc_tokens AS (
+  SELECT doc_id, unnest({_toks('text', '')}) AS word FROM documents),
+doc_sums AS (
+  SELECT d.doc_id, count(t.word) AS n_tokens, count(l.word) AS n_matched,
+         coalesce(sum(l.v), 0) AS sv, coalesce(sum(l.a), 0) AS sa, coalesce(sum(l.d), 0) AS sd
+  FROM documents d LEFT JOIN doc_tokens t ON t.doc_id = d.doc_id LEFT JOIN lexicon l ON l.word = t.word
+  GROUP BY d.doc_id)"""
+CTE["doc_vad"] = """doc_vad AS (
+  SELECT doc_id,
+         CASE WHEN n_matched > 0 THEN sv / n_matched / 1000.0 ELSE 0.0 END AS v,
+         CASE WHEN n_matched > 0 THEN sa / n_matched / 1000.0 ELSE 0.0 END AS a,
+         CASE WHEN n_matched > 0 THEN sd / n_matched / 1000.0 ELSE 0.0 END AS d
+  FROM doc_sums)"""
+CTE["doc_b5"] = """doc_b5 AS (
+  SELECT doc_id,
+         0.83 * v + 0.19 * a + -0.21 * d AS A,
+         0.23 * v + 0.12 * a + 0.82 * d AS E,
+         v, d FROM doc_vad),
+doc_big5 AS (
+  SELECT doc_id, A, E,
+         0.32 * v + 0.00 * A + 0.30 * d AS C,
+         0.00 * v + -0.33 * A + 0.67 * d AS O,
+         0.57 * v + -0.65 * A + 0.00 * d AS N
+  FROM doc_b5)"""
+CTE["v_essays"] = """v_essays AS (
+  SELECT d.doc_id, d.text AS utterance, l.quality AS labels
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
+CTE["essay_words"] = f"""essay_words AS (
+  SELECT e.labels, w.word FROM (SELECT labels, unnest({_toks('utterance', ' ')}) AS word FROM v_essays) w
+  JOIN (SELECT 1) ON true
+  JOIN v_essays e ON false)"""
+CTE["essay_words"] = f"""essay_words AS (
+  SELECT labels, word FROM (SELECT labels, unnest({_toks('utterance', ' ')}) AS word FROM v_essays)
+  WHERE word NOT IN (SELECT word FROM stopwords))"""
+CTE["tfidf"] = f"""tf AS (
+  SELECT labels, word, count(*) AS tf
+  FROM (SELECT labels, unnest(regexp_extract_all(lower(utterance), '{WORD2}', 1)) AS word FROM v_essays)
+  GROUP BY ALL),
+tfw AS (
+  SELECT tf.*, tf.tf * (ln(((SELECT count(DISTINCT labels) FROM v_essays) + 1)
+                           / ((SELECT count(*) FROM tf t2 WHERE t2.word = tf.word) + 1)) + 1) AS w
+  FROM tf),
+tfidf AS (
+  SELECT labels, word, tf, w, w / sqrt(sum(w * w) OVER (PARTITION BY labels)) AS tfidf,
+         CAST(row_number() OVER (PARTITION BY labels ORDER BY w DESC, word) AS INTEGER) AS rank
+  FROM tfw)"""
+DEPS.update({"doc_sums": ["lexicon"], "doc_vad": ["doc_sums"], "doc_b5": ["doc_vad"], "v_essays": [],
+             "essay_words": ["v_essays", "stopwords"], "tfidf": ["v_essays"]})
+
+ORACLE["vad_matched"] = with_ctes(["doc_sums"], f"""
+SELECT doc_id, n_tokens, n_matched,
+       {R6("CASE WHEN n_matched > 0 THEN sv / n_matched / 1000.0 ELSE 0.0 END")} AS v,
+       {R6("CASE WHEN n_matched > 0 THEN sa / n_matched / 1000.0 ELSE 0.0 END")} AS a,
+       {R6("CASE WHEN n_matched > 0 THEN sd / n_matched / 1000.0 ELSE 0.0 END")} AS d
+FROM doc_sums""")
+
+ORACLE["vad_all_words"] = with_ctes(["doc_sums"], f"""
+SELECT doc_id, n_tokens, n_matched,
+       {R6("sv / nullif(n_tokens, 0) / 1000.0")} AS v,
+       {R6("sa / nullif(n_tokens, 0) / 1000.0")} AS a,
+       {R6("sd / nullif(n_tokens, 0) / 1000.0")} AS d
+FROM doc_sums""")
+
+ORACLE["big_five"] = with_ctes(["doc_b5"], f"""
+SELECT doc_id, {R6("A")} AS A, {R6("C")} AS C, {R6("E")} AS E, {R6("O")} AS O, {R6("N")} AS N
+FROM doc_big5""")
+
+ORACLE["big_five_centered"] = with_ctes(["doc_b5"], f""",
+feat AS (
+  SELECT doc_id, 'A' AS trait, A * 10.0 AS score FROM doc_big5 UNION ALL
+  SELECT doc_id, 'C', C * 10.0 FROM doc_big5 UNION ALL
+  SELECT doc_id, 'E', E * 10.0 FROM doc_big5 UNION ALL
+  SELECT doc_id, 'O', O * 10.0 FROM doc_big5 UNION ALL
+  SELECT doc_id, 'N', N * 100.0 FROM doc_big5)
+SELECT doc_id, trait, {R6("score")} AS score,
+       {R6("score - avg(score) OVER (PARTITION BY trait)")} AS centered
+FROM feat""")
+
+ORACLE["class_vad"] = with_ctes(["essay_words", "lexicon"], f""",
+j AS (SELECT w.labels, l.v, l.a, l.d FROM essay_words w LEFT JOIN lexicon l ON l.word = w.word)
+SELECT labels, count(*) AS total, count(*) - count(v) AS oov,
+       {R6("CAST(coalesce(sum(v), 0) AS DOUBLE) / nullif(count(v) * 1000.0, 0)")} AS v,
+       {R6("CAST(coalesce(sum(a), 0) AS DOUBLE) / nullif(count(v) * 1000.0, 0)")} AS a,
+       {R6("CAST(coalesce(sum(d), 0) AS DOUBLE) / nullif(count(v) * 1000.0, 0)")} AS d
+FROM j GROUP BY labels""")
+
+ORACLE["class_word_counts"] = with_ctes(["essay_words"], """
+SELECT labels, word, count(*) AS n FROM essay_words GROUP BY ALL""")
+
+ORACLE["class_top_words"] = with_ctes(["essay_words"], """,
+c AS (SELECT labels, word, count(*) AS n FROM essay_words GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY labels ORDER BY n DESC, word) AS INTEGER) AS rank FROM c)
+SELECT * FROM r WHERE rank <= 21""")
+
+ORACLE["class_tfidf"] = with_ctes(["tfidf"], f"""
+SELECT labels, word, tf, rank, {R6("tfidf")} AS tfidf FROM tfidf WHERE rank <= 200""")
+
+ORACLE["class_tfidf_diff"] = with_ctes(["tfidf"], """,
+top AS (SELECT labels, word FROM tfidf WHERE rank <= 200)
+SELECT word, '1_only' AS direction FROM top WHERE labels = 1
+  AND word NOT IN (SELECT word FROM top WHERE labels = 0)
+UNION ALL
+SELECT word, '0_only' FROM top WHERE labels = 0
+  AND word NOT IN (SELECT word FROM top WHERE labels = 1)""")
+
+_BIN = """count(*) AS n,
+       count(*) FILTER (WHERE {L} = 1 AND {P} = 1) AS tp,
+       count(*) FILTER (WHERE {L} <> 1 AND {P} = 1) AS fp,
+       count(*) FILTER (WHERE {L} = 1 AND {P} <> 1) AS fn,
+       count(*) FILTER (WHERE {L} <> 1 AND {P} <> 1) AS tn"""
+
+
+def _bin(label: str, pred: str) -> str:
+    return _BIN.replace("{L}", label).replace("{P}", pred)
+
+
+_ACC = "coalesce(CAST(tp + tn AS DOUBLE) / nullif(n, 0), 0.0)"
+_F1 = "coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0.0)"
+_MCC = ("coalesce((CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / nullif(sqrt("
+        "CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0.0)")
+
+ORACLE["threshold_sweep"] = with_ctes(["v_essays", "lexicon"], f""",
+toks AS (SELECT doc_id, unnest({_toks('utterance', '')}) AS word FROM v_essays),
+s AS (
+  SELECT e.doc_id, e.labels, count(l.word) AS n_matched,
+         coalesce(sum(l.v), 0) AS sv, coalesce(sum(l.a), 0) AS sa, coalesce(sum(l.d), 0) AS sd
+  FROM v_essays e LEFT JOIN toks t ON t.doc_id = e.doc_id LEFT JOIN lexicon l ON l.word = t.word
+  GROUP BY e.doc_id, e.labels),
+vad AS (
+  SELECT labels,
+         CASE WHEN n_matched > 0 THEN sv / n_matched / 1000.0 ELSE 0.0 END AS v,
+         CASE WHEN n_matched > 0 THEN sa / n_matched / 1000.0 ELSE 0.0 END AS a,
+         CASE WHEN n_matched > 0 THEN sd / n_matched / 1000.0 ELSE 0.0 END AS d FROM s),
+sc AS (SELECT labels, 0.83 * v + 0.19 * a + -0.21 * d AS A FROM vad),
+th AS (SELECT CAST(i AS DOUBLE) / 10.0 AS threshold FROM range(10) r(i)),
+p AS (SELECT th.threshold, sc.labels, CAST(sc.A >= th.threshold AS INTEGER) AS pred FROM sc CROSS JOIN th),
+g AS (SELECT threshold, {_bin('labels', 'pred')} FROM p GROUP BY threshold)
+SELECT threshold, n, {R6(_ACC)} AS accuracy, {R6(_F1)} AS f1 FROM g""")
+
+# --- scoring and evaluation --------------------------------------------------
+CTE["v_logits"] = """v_logits AS (
+  SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS pos0, CAST(embedding[2] AS DOUBLE) AS pos1,
+         CAST(embedding[3] AS DOUBLE) AS neg0, CAST(embedding[4] AS DOUBLE) AS neg1,
+         label % 2 AS label
+  FROM embeddings)"""
+CTE["mc"] = """mc AS (
+  SELECT vec_id, label,
+         CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS pred
+  FROM embeddings)"""
+DEPS.update({"v_logits": [], "mc": []})
+
+ORACLE["ensemble_pos_neg"] = with_ctes(["v_logits"], f"""
+SELECT vec_id, label, {R6("pos0 + neg1")} AS p0, {R6("pos1 + neg0")} AS p1,
+       CAST(pos1 + neg0 > pos0 + neg1 AS INTEGER) AS pred
+FROM v_logits""")
+
+ORACLE["late_fusion"] = with_ctes(["v_logits"], f""",
+s AS (
+  SELECT vec_id, label,
+         exp(pos0 - greatest(pos0, pos1)) AS a0, exp(pos1 - greatest(pos0, pos1)) AS a1,
+         exp(neg0 - greatest(neg0, neg1)) AS b0, exp(neg1 - greatest(neg0, neg1)) AS b1
+  FROM v_logits),
+f AS (SELECT vec_id, label, a0 / (a0 + a1) + b0 / (b0 + b1) AS f0, a1 / (a0 + a1) + b1 / (b0 + b1) AS f1 FROM s)
+SELECT vec_id, label, {R6("f0")} AS fused0, {R6("f1")} AS fused1, CAST(f1 > f0 AS INTEGER) AS pred FROM f""")
+
+ORACLE["speaker_pool"] = with_ctes(["tagged", "v_characters"], """,
+own AS (
+  SELECT c.scene_id, c."character", g.emotion
+  FROM v_characters c JOIN tagged g ON g.scene_id = c.scene_id
+   AND split_part(g.speaker, ' ', 1) = split_part(c."character", ' ', 1) AND g.pos < 20),
+agg AS (
+  SELECT c.scene_id, c."character", count(o.emotion) AS n_own,
+""" + ",\n".join(
+    f"         count(*) FILTER (WHERE o.emotion = '{n}') AS c_{n}" for _, n in K.TAG_EMOTIONS) + """
+  FROM v_characters c LEFT JOIN own o ON o.scene_id = c.scene_id AND o."character" = c."character"
+  GROUP BY c.scene_id, c."character")
+SELECT scene_id, "character", n_own, """ + ", ".join(
+    R6(f"CAST(c_{n} AS DOUBLE) / nullif(n_own, 0)") + f" AS p_{n}" for _, n in K.TAG_EMOTIONS) + """
+FROM agg""")
+
+ORACLE["eval_metrics"] = with_ctes(["v_logits", "mc"], f""",
+b AS (SELECT label, CAST(pos1 + neg0 > pos0 + neg1 AS INTEGER) AS pred FROM v_logits),
+bg AS (SELECT {_bin('label', 'pred')} FROM b),
+cls AS (SELECT label AS k FROM mc UNION SELECT pred FROM mc),
+cc AS (
+  SELECT k, (SELECT count(*) FROM mc WHERE label = k) AS t, (SELECT count(*) FROM mc WHERE pred = k) AS p
+  FROM cls),
+m AS (
+  SELECT (SELECT count(*) FROM mc) AS n, (SELECT count(*) FROM mc WHERE label = pred) AS c,
+         sum(p * t) AS pt, sum(p * p) AS pp, sum(t * t) AS tt FROM cc)
+SELECT 'ensemble' AS task, n, {R6(_ACC)} AS accuracy, {R6(_F1)} AS f1, {R6(_MCC)} AS mcc FROM bg
+UNION ALL
+SELECT 'argmax10', n, {R6("CAST(c AS DOUBLE) / n")}, NULL,
+       {R6("coalesce((CAST(c AS DOUBLE) * n - pt) / nullif(sqrt((CAST(n AS DOUBLE) * n - pp) * (CAST(n AS DOUBLE) * n - tt)), 0), 0.0)")}
+FROM m""")
+
+ORACLE["classification_report"] = with_ctes(["mc"], f""",
+cls AS (SELECT label AS k FROM mc UNION SELECT pred FROM mc),
+cc AS (
+  SELECT k, (SELECT count(*) FROM mc WHERE label = k) AS t, (SELECT count(*) FROM mc WHERE pred = k) AS p,
+         (SELECT count(*) FROM mc WHERE label = k AND pred = k) AS h FROM cls),
+per AS (
+  SELECT CAST(k AS VARCHAR) AS cls,
+         coalesce(CAST(h AS DOUBLE) / nullif(p, 0), 0.0) AS precision,
+         coalesce(CAST(h AS DOUBLE) / nullif(t, 0), 0.0) AS recall,
+         coalesce(CAST(2 * h AS DOUBLE) / nullif(p + t, 0), 0.0) AS f1, t AS support FROM cc),
+tot AS (SELECT CAST(sum(support) AS BIGINT) AS n, sum(support * precision) AS wp, sum(support * recall) AS wr,
+               sum(support * f1) AS wf, avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf,
+               (SELECT count(*) FROM mc WHERE label = pred) AS hits FROM per)
+SELECT cls, {R6("precision")} AS precision, {R6("recall")} AS recall, {R6("f1")} AS f1, support FROM per
+UNION ALL SELECT 'accuracy', NULL, NULL, {R6("CAST(hits AS DOUBLE) / n")}, n FROM tot
+UNION ALL SELECT 'macro avg', {R6("mp")}, {R6("mr")}, {R6("mf")}, n FROM tot
+UNION ALL SELECT 'weighted avg', {R6("wp / n")}, {R6("wr / n")}, {R6("wf / n")}, n FROM tot""")
+
+ORACLE["confusion"] = with_ctes(["mc"], """
+SELECT label, pred, count(*) AS n FROM mc GROUP BY ALL""")
+
+ORACLE["result_grid"] = with_ctes(["trait_long", "lens", "seeds"], f""",
+rows AS (
+  SELECT tl.trait, l.flow_len, s.seed, CASE WHEN tl.flag THEN 1 ELSE 0 END AS label,
+         ('0x' || substr(md5(CAST(s.seed AS VARCHAR) || ':' || tl.scene_id || ':' || tl."character"), 1, 8))::BIGINT % 100 AS b
+  FROM trait_long tl CROSS JOIN lens l CROSS JOIN seeds s),
+model AS (
+  SELECT flow_len, trait, seed, CASE WHEN 2 * sum(label) > count(*) THEN 1 ELSE 0 END AS pred
+  FROM rows WHERE b < 80 GROUP BY ALL),
+test AS (
+  SELECT r.flow_len, r.trait, r.seed, r.label, coalesce(m.pred, 0) AS pred
+  FROM rows r LEFT JOIN model m USING (flow_len, trait, seed) WHERE r.b >= 90),
+g AS (SELECT flow_len, trait, seed, {_bin('label', 'pred')} FROM test GROUP BY ALL),
+cell AS (SELECT flow_len, trait, seed, n, {_ACC} AS accuracy, {_F1} AS f1 FROM g)
+SELECT flow_len, trait, seed, n, {R6("accuracy")} AS accuracy, {R6("f1")} AS f1,
+       {R6("avg(accuracy) OVER (PARTITION BY flow_len, trait)")} AS acc_mean,
+       {R6("avg(f1) OVER (PARTITION BY flow_len, trait)")} AS f1_mean
+FROM cell""")

@@ -142,3 +142,150 @@ def emotion_regroup(spark, sf_dir):
     flat = tagged.select("scene_id", "pos", "emotion_id").join(dialogs.select("scene_id", "start"), "scene_id") \
         .select((F.col("start") + F.col("pos")).alias("idx"), F.col("emotion_id").cast("double").alias("label"))
     return D.regroup_labels(flat, dialogs.select("scene_id", "start", "len"))
+
+
+# --- lexicon and word statistics --------------------------------------------
+from moodweave.operators import lexicon as LX, wordstats as WS  # noqa: E402
+from moodweave.functions.numeric import round6  # noqa: E402
+
+
+def _doc_sums(spark, sf_dir):
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return LX.vad_sums(docs, ["doc_id"], "text", V.lexicon(spark))
+
+
+def _r6(*cols):
+    return [round6(c).alias(c) for c in cols]
+
+
+@query
+def vad_matched(spark, sf_dir):
+    m = LX.vad_matched(_doc_sums(spark, sf_dir))
+    return m.select("doc_id", "n_tokens", "n_matched", *_r6("v", "a", "d"))
+
+
+@query
+def vad_all_words(spark, sf_dir):
+    m = LX.vad_all_words(_doc_sums(spark, sf_dir))
+    return m.select("doc_id", "n_tokens", "n_matched", *_r6("v", "a", "d"))
+
+
+def _big_five_docs(spark, sf_dir):
+    return LX.big_five(LX.vad_matched(_doc_sums(spark, sf_dir)))
+
+
+@query
+def big_five(spark, sf_dir):
+    return _big_five_docs(spark, sf_dir).select("doc_id", *_r6("A", "C", "E", "O", "N"))
+
+
+@query
+def big_five_centered(spark, sf_dir):
+    long = LX.trait_feature(_big_five_docs(spark, sf_dir).select("doc_id", "A", "C", "E", "O", "N"))
+    c = LX.center(long, "score", ["trait"])
+    return c.select("doc_id", "trait", *_r6("score", "centered"))
+
+
+def _essays(spark, sf_dir):
+    return V.v_essays(spark, sf_dir)
+
+
+@query
+def class_vad(spark, sf_dir):
+    r = LX.class_vad(_essays(spark, sf_dir), "labels", "utterance", V.lexicon(spark), V.stopwords(spark))
+    return r.select("labels", "total", "oov", *_r6("v", "a", "d"))
+
+
+@query
+def class_word_counts(spark, sf_dir):
+    return WS.class_word_counts(_essays(spark, sf_dir), "labels", "utterance", V.stopwords(spark))
+
+
+@query
+def class_top_words(spark, sf_dir):
+    c = WS.class_word_counts(_essays(spark, sf_dir), "labels", "utterance", V.stopwords(spark))
+    return WS.class_top_words(c, "labels")
+
+
+@query
+def class_tfidf(spark, sf_dir):
+    t = WS.class_tfidf_top(WS.class_tfidf(_essays(spark, sf_dir), "labels", "utterance"), "labels")
+    return t.select("labels", "word", "tf", "rank", *_r6("tfidf"))
+
+
+@query
+def class_tfidf_diff(spark, sf_dir):
+    t = WS.class_tfidf_top(WS.class_tfidf(_essays(spark, sf_dir), "labels", "utterance"), "labels")
+    return WS.set_difference(t, "labels")
+
+
+@query
+def threshold_sweep(spark, sf_dir):
+    e = _essays(spark, sf_dir)
+    s = LX.big_five(LX.vad_matched(LX.vad_sums(e, ["doc_id", "labels"], "utterance", V.lexicon(spark))))
+    th = spark.createDataFrame([(i,) for i in range(10)], "i int").coalesce(1) \
+        .select((F.col("i") / 10.0).alias("threshold"))
+    p = s.select("labels", "A").crossJoin(F.broadcast(th)) \
+        .withColumn("pred", (F.col("A") >= F.col("threshold")).cast("int"))
+    from moodweave.operators.evaluate import binary_metrics
+    return binary_metrics(p, "labels", "pred", ["threshold"]).select(
+        "threshold", "n", *_r6("accuracy", "f1"))
+
+
+# --- scoring and evaluation --------------------------------------------------
+from moodweave.operators import evaluate as EV  # noqa: E402
+
+
+@query
+def ensemble_pos_neg(spark, sf_dir):
+    e = EV.ensemble_pos_neg(V.v_logits(spark, sf_dir))
+    return e.select("vec_id", "label", *_r6("p0", "p1"), "pred")
+
+
+@query
+def late_fusion(spark, sf_dir):
+    e = EV.late_fusion(V.v_logits(spark, sf_dir))
+    return e.select("vec_id", "label", *_r6("fused0", "fused1"), "pred")
+
+
+@query
+def speaker_pool(spark, sf_dir):
+    p = affect.speaker_pool(tagged_turns(spark, sf_dir), V.v_characters(spark, sf_dir))
+    return p.select("scene_id", "character", "n_own", *_r6(*[f"p_{n}" for n in affect.EMOTION_NAMES]))
+
+
+def _multiclass(spark, sf_dir):
+    e = V.table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", "label", EV.argmax_index(F.slice("embedding", 1, 10)).alias("pred"))
+
+
+@query
+def eval_metrics(spark, sf_dir):
+    b = EV.binary_metrics(EV.ensemble_pos_neg(V.v_logits(spark, sf_dir)), "label", "pred") \
+        .select(F.lit("ensemble").alias("task"), "n", "accuracy", "f1", "mcc")
+    m = EV.multiclass_metrics(_multiclass(spark, sf_dir), "label", "pred") \
+        .select(F.lit("argmax10").alias("task"), "n", "accuracy", F.lit(None).cast("double").alias("f1"), "mcc")
+    u = b.unionByName(m)
+    return u.select("task", "n", *_r6("accuracy", "f1", "mcc"))
+
+
+@query
+def classification_report(spark, sf_dir):
+    r = EV.classification_report(_multiclass(spark, sf_dir), "label", "pred")
+    return r.select("cls", *_r6("precision", "recall", "f1"), "support")
+
+
+@query
+def confusion(spark, sf_dir):
+    return EV.confusion(_multiclass(spark, sf_dir), "label", "pred")
+
+
+@query
+def result_grid(spark, sf_dir):
+    keys = P.sweep_keys(V.v_traits(spark, sf_dir))
+    s = S.sweep_split(keys, ["scene_id", "character"])
+    by = ["flow_len", "trait", "seed"]
+    scored = EV.majority_baseline(s, by)
+    m = EV.binary_metrics(scored, "label", "pred", by).select(*by, "n", "accuracy", "f1")
+    g = EV.result_grid(m, by)
+    return g.select(*by, "n", *_r6("accuracy", "f1", "acc_mean", "f1_mean"))

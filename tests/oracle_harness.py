@@ -25,7 +25,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "NaN"
-        return float(v)
+        return repr(float(v))  # strict: -0.0 differs from 0.0
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     return v
