@@ -544,3 +544,61 @@ SELECT flow_len, trait, seed, n, {R6("accuracy")} AS accuracy, {R6("f1")} AS f1,
        {R6("avg(accuracy) OVER (PARTITION BY flow_len, trait)")} AS acc_mean,
        {R6("avg(f1) OVER (PARTITION BY flow_len, trait)")} AS f1_mean
 FROM cell""")
+
+# --- corpus alignment --------------------------------------------------------
+_NAMES = ", ".join(f"'{n}'" for n, _ in K.ANNOTATION_CODES)
+CTE["v_annotations"] = f"""ann_base AS (
+  SELECT CAST(split_part(scene_id, '_', 1) AS INTEGER) AS Season,
+         CAST(substr(split_part(scene_id, '_', 2), 2) AS INTEGER) AS Episode,
+         {_FIRST.format(x='speaker')} AS Speaker,
+         CASE WHEN pos % 3 = 0 THEN substr(lower(text), 1, 40) ELSE text || ' extra' END AS Utterance,
+         [{_NAMES}][length(text) % 7 + 1] AS Emotion,
+         CASE WHEN conv_id % 10 < 8 THEN 'train' WHEN conv_id % 10 = 8 THEN 'dev' ELSE 'test' END AS split,
+         conv_id * 100 + pos AS ann_order, conv_id
+  FROM v_turns WHERE pos % 3 <> 2),
+v_annotations AS (
+  SELECT * EXCLUDE (conv_id) FROM ann_base
+  UNION ALL SELECT * EXCLUDE (conv_id) FROM ann_base WHERE conv_id % 7 = 0),
+ann AS (
+  SELECT Season, Episode, Speaker, Utterance, Emotion, min(ann_order) AS ann_order
+  FROM v_annotations GROUP BY ALL),
+turn_keys AS (
+  SELECT scene_id, pos, CAST(split_part(scene_id, '_', 1) AS INTEGER) AS season,
+         CAST(substr(split_part(scene_id, '_', 2), 2) AS INTEGER) AS episode,
+         {_FIRST.format(x='speaker')} AS spk, lower(text) AS t
+  FROM v_turns)"""
+DEPS["v_annotations"] = ["v_turns"]
+
+
+def _align_sql(variant: str) -> str:
+    spk = _FIRST.format(x="Speaker") if variant == "emory" else "Speaker"
+    u = "lower(Utterance)" if variant == "emory" else "Utterance"
+    return f"""{variant}_m AS (
+  SELECT k.scene_id, k.pos, arg_min(a.Emotion, a.ann_order) AS emotion
+  FROM turn_keys k JOIN (SELECT Season, Episode, {spk} AS spk, {u} AS u, Emotion, ann_order FROM ann) a
+    ON a.Season = k.season AND a.Episode = k.episode AND a.spk = k.spk
+   AND (k.t = a.u OR contains(a.u, k.t) OR contains(k.t, a.u))
+  GROUP BY k.scene_id, k.pos),
+{variant} AS (
+  SELECT k.scene_id, k.pos, m.emotion FROM turn_keys k
+  LEFT JOIN {variant}_m m ON m.scene_id = k.scene_id AND m.pos = k.pos)"""
+
+
+ORACLE["align_emory"] = with_ctes(["v_annotations"], ",\n" + _align_sql("emory") + """
+SELECT * FROM emory""")
+ORACLE["align_meld"] = with_ctes(["v_annotations"], ",\n" + _align_sql("meld") + """
+SELECT * FROM meld""")
+ORACLE["align_coverage"] = with_ctes(["v_annotations"], ",\n" + _align_sql("emory") + ",\n"
+                                     + _align_sql("meld") + f"""
+SELECT (SELECT count(*) FROM emory) AS n_turns,
+       (SELECT count(emotion) FROM emory) AS emory_labelled,
+       (SELECT count(emotion) FROM meld) AS meld_labelled,
+       {R6("(SELECT count(emotion) FROM emory) / (SELECT count(*) FROM emory)")} AS emory_coverage,
+       {R6("(SELECT count(emotion) FROM meld) / (SELECT count(*) FROM meld)")} AS meld_coverage""")
+ORACLE["labelled_dialogs"] = with_ctes(["v_annotations"], ",\n" + _align_sql("emory") + ",\n"
+                                       + _align_sql("meld") + """
+SELECT e.scene_id, e.any_emory, e.all_emory, m.any_meld, m.all_meld
+FROM (SELECT scene_id, bool_or(emotion IS NOT NULL) AS any_emory, bool_and(emotion IS NOT NULL) AS all_emory
+      FROM emory GROUP BY scene_id) e
+JOIN (SELECT scene_id, bool_or(emotion IS NOT NULL) AS any_meld, bool_and(emotion IS NOT NULL) AS all_meld
+      FROM meld GROUP BY scene_id) m ON m.scene_id = e.scene_id""")

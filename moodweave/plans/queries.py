@@ -289,3 +289,35 @@ def result_grid(spark, sf_dir):
     m = EV.binary_metrics(scored, "label", "pred", by).select(*by, "n", "accuracy", "f1")
     g = EV.result_grid(m, by)
     return g.select(*by, "n", *_r6("accuracy", "f1", "acc_mean", "f1_mean"))
+
+
+# --- corpus alignment --------------------------------------------------------
+from moodweave.operators import align as AL  # noqa: E402
+
+
+def _aligned(spark, sf_dir, variant, **kw):
+    return AL.align(V.v_turns(spark, sf_dir), V.v_annotations(spark, sf_dir), variant, **kw)
+
+
+@query
+def align_emory(spark, sf_dir):
+    return _aligned(spark, sf_dir, "emory")
+
+
+@query
+def align_meld(spark, sf_dir):
+    return _aligned(spark, sf_dir, "meld")
+
+
+@query
+def align_coverage(spark, sf_dir):
+    c = AL.coverage({"emory": _aligned(spark, sf_dir, "emory"), "meld": _aligned(spark, sf_dir, "meld")})
+    return c.select("n_turns", "emory_labelled", "meld_labelled",
+                    *_r6("emory_coverage", "meld_coverage"))
+
+
+@query
+def labelled_dialogs(spark, sf_dir):
+    e = AL.labelled_dialogs(_aligned(spark, sf_dir, "emory"), "emory")
+    m = AL.labelled_dialogs(_aligned(spark, sf_dir, "meld"), "meld")
+    return e.join(m, "scene_id")
