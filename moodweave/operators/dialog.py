@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from moodweave import constants as K
 from moodweave.functions.text import first_word, first_word_exact, scene_episode, scene_season
+from moodweave.plans.scale import prefix_sum  # noqa: F401  (re-exported)
 
 
 def parse_transcript(scenes: DataFrame, raw_col: str = "raw_text", keys=("scene_id",)) -> DataFrame:
@@ -103,25 +104,6 @@ def scene_keys(characters: DataFrame) -> DataFrame:
                              first_word("character").alias("first_name"))
 
 
-def prefix_sum(df: DataFrame, order_col: str, value_col: str, out: str = "start",
-               bucket_size: int = 1024) -> DataFrame:
-    """Exclusive running sum of ``value_col`` in ``order_col`` order (numeric key).
-
-    Two levels instead of one unpartitioned window: rows are bucketed by
-    ``order_col div bucket_size`` (at most bucket_size rows per bucket); bucket
-    totals get their own running sum over a table of one row per bucket, and
-    rows get the running sum inside their bucket.
-    """
-    b = df.withColumn("_b", F.floor(F.col(order_col) / bucket_size))
-    tot = b.groupBy("_b").agg(F.sum(value_col).alias("_bt"))
-    tot = tot.select("_b", F.coalesce(F.sum("_bt").over(
-        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_boff"))
-    inner = F.coalesce(F.sum(value_col).over(
-        Window.partitionBy("_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return b.withColumn("_in", inner).join(tot, "_b") \
-        .withColumn(out, (F.col("_boff") + F.col("_in")).cast("bigint")).drop("_b", "_in", "_boff")
-
-
 def flatten_labels(tagged: DataFrame, order_col: str = "conv_id") -> DataFrame:
     """Dialogues in ``order_col`` order, turns in pos order -> flat (idx, label_id) list."""
     sizes = tagged.groupBy(order_col, "scene_id").agg(F.count(F.lit(1)).alias("len"))

@@ -602,3 +602,70 @@ FROM (SELECT scene_id, bool_or(emotion IS NOT NULL) AS any_emory, bool_and(emoti
       FROM emory GROUP BY scene_id) e
 JOIN (SELECT scene_id, bool_or(emotion IS NOT NULL) AS any_meld, bool_and(emotion IS NOT NULL) AS all_meld
       FROM meld GROUP BY scene_id) m ON m.scene_id = e.scene_id""")
+
+# --- encodings ---------------------------------------------------------------
+_SENT = "CASE WHEN g.sv > 0 THEN 'positive' WHEN g.sv < 0 THEN 'negative' ELSE 'neutral' END"
+CTE["v_triples"] = "v_triples AS (\n  SELECT t.conv_id,\n" + ",\n".join(
+    f"         max(CASE WHEN t.pos = {i} THEN t.text END) AS Utterance_{i + 1},\n"
+    f"         max(CASE WHEN t.pos = {i} THEN g.emotion END) AS Emotion_{i + 1},\n"
+    f"         max(CASE WHEN t.pos = {i} THEN {_SENT} END) AS Sentiment_{i + 1}" for i in range(3)) + """
+  FROM v_turns t JOIN tagged g ON g.scene_id = t.scene_id AND g.pos = t.pos
+  WHERE t.pos < 3 GROUP BY t.conv_id),
+unpiv AS (""" + "\n  UNION ALL ".join(
+    f"SELECT conv_id, {i} AS slot, Utterance_{i} AS Utterance, Emotion_{i} AS Emotion, "
+    f"Sentiment_{i} AS Sentiment FROM v_triples" for i in (1, 2, 3)) + ")"
+CTE["vocab"] = f"""tok AS (SELECT scene_id, pos, speaker, {_toks('text', '')} AS toks FROM v_turns),
+vocab AS (
+  SELECT word, CAST(row_number() OVER (ORDER BY n DESC, word) + 3 AS INTEGER) AS id
+  FROM (SELECT word, count(*) AS n FROM (SELECT unnest(toks) AS word FROM tok) GROUP BY word))"""
+DEPS.update({"v_triples": ["tagged"], "vocab": ["v_turns"]})
+
+
+def _lst(x: str) -> str:
+    return f"'[' || array_to_string({x}, ', ') || ']'"
+
+
+ORACLE["utterance_unpivot"] = with_ctes(["v_triples"], "\nSELECT * FROM unpiv")
+
+ORACLE["label_encode"] = with_ctes(["v_triples"], """,
+ids AS (SELECT Emotion, CAST(row_number() OVER (ORDER BY Emotion) - 1 AS INTEGER) AS label_id
+        FROM (SELECT DISTINCT Emotion FROM unpiv WHERE Emotion IS NOT NULL))
+SELECT u.conv_id, u.slot, u.Emotion, i.label_id FROM unpiv u LEFT JOIN ids i ON i.Emotion = u.Emotion""")
+
+ORACLE["mask_pad"] = with_ctes(["v_characters"], f"""
+SELECT c.scene_id, c."character", count(t.pos) AS n_turns,
+       {_lst('''list_resize(coalesce(list(CAST(split_part(t.speaker, ' ', 1) = split_part(c."character", ' ', 1) AS INTEGER)
+                 ORDER BY t.pos) FILTER (WHERE t.pos IS NOT NULL), []), 20, -1)''')} AS dialog_state
+FROM v_characters c LEFT JOIN v_turns t ON t.scene_id = c.scene_id AND t.pos < 20
+GROUP BY c.scene_id, c."character\"""")
+
+ORACLE["encode_ids"] = with_ctes(["vocab"], f""",
+tp AS (SELECT scene_id, pos, unnest(toks) AS word, unnest(range(len(toks))) AS gpos FROM tok),
+ids AS (SELECT tp.scene_id, tp.pos, list(v.id ORDER BY tp.gpos) AS ids
+        FROM tp JOIN vocab v ON v.word = tp.word WHERE tp.gpos < 126 GROUP BY tp.scene_id, tp.pos),
+full_ids AS (
+  SELECT t.scene_id, t.pos, CAST(len(t.toks) AS INTEGER) AS n_tokens,
+         list_resize(list_concat([1], coalesce(i.ids, []), [2]), 128, 0) AS f
+  FROM tok t LEFT JOIN ids i ON i.scene_id = t.scene_id AND i.pos = t.pos)
+SELECT scene_id, pos, n_tokens, {_lst('f')} AS input_ids,
+       {_lst("list_transform(f, lambda x: CAST(CAST(x > 0 AS INTEGER) AS DOUBLE))")} AS attention_mask
+FROM full_ids""")
+
+ORACLE["segment_ids"] = with_ctes(["vocab", "v_characters"], f""",
+sides AS (
+  SELECT c.scene_id, c."character",
+         coalesce(flatten(list(t.toks ORDER BY t.pos) FILTER (WHERE t.speaker = c."character")), [])[1:62] AS u,
+         coalesce(flatten(list(t.toks ORDER BY t.pos) FILTER (WHERE t.speaker <> c."character")), [])[1:62] AS x
+  FROM v_characters c LEFT JOIN tok t ON t.scene_id = c.scene_id
+  GROUP BY c.scene_id, c."character"),
+uu AS (SELECT scene_id, "character", unnest(u) AS word, unnest(range(len(u))) AS i FROM sides),
+xx AS (SELECT scene_id, "character", unnest(x) AS word, unnest(range(len(x))) AS i FROM sides),
+uid AS (SELECT scene_id, "character", list(v.id ORDER BY i) AS ids FROM uu JOIN vocab v USING (word) GROUP BY ALL),
+xid AS (SELECT scene_id, "character", list(v.id ORDER BY i) AS ids FROM xx JOIN vocab v USING (word) GROUP BY ALL),
+j AS (SELECT s.scene_id, s."character", coalesce(uid.ids, []) AS a, coalesce(xid.ids, []) AS b
+      FROM sides s LEFT JOIN uid ON uid.scene_id = s.scene_id AND uid."character" = s."character"
+      LEFT JOIN xid ON xid.scene_id = s.scene_id AND xid."character" = s."character")
+SELECT scene_id, "character",
+       {_lst("list_concat([1], a, [2], b, [2])")} AS input_ids,
+       {_lst("list_concat(list_transform(range(len(a) + 2), lambda q: 1), list_transform(range(len(b) + 1), lambda q: 0))")} AS segment_ids
+FROM j""")

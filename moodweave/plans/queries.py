@@ -321,3 +321,40 @@ def labelled_dialogs(spark, sf_dir):
     e = AL.labelled_dialogs(_aligned(spark, sf_dir, "emory"), "emory")
     m = AL.labelled_dialogs(_aligned(spark, sf_dir, "meld"), "meld")
     return e.join(m, "scene_id")
+
+
+# --- encodings ---------------------------------------------------------------
+from moodweave.operators import encode as EN  # noqa: E402
+
+
+def _unpivoted(spark, sf_dir):
+    return EN.unpivot_triples(V.v_triples(spark, sf_dir), ["conv_id"])
+
+
+@query
+def utterance_unpivot(spark, sf_dir):
+    return _unpivoted(spark, sf_dir)
+
+
+@query
+def label_encode(spark, sf_dir):
+    u = _unpivoted(spark, sf_dir).select("conv_id", "slot", "Emotion")
+    return EN.label_encode(u, "Emotion")
+
+
+@query
+def mask_pad(spark, sf_dir):
+    m = EN.mask_pad(V.v_turns(spark, sf_dir), V.v_characters(spark, sf_dir))
+    return m.withColumn("n_turns", F.col("n_turns").cast("bigint"))
+
+
+@query
+def encode_ids(spark, sf_dir):
+    turns = V.v_turns(spark, sf_dir)
+    return EN.encode_turns(turns, EN.vocabulary(turns))
+
+
+@query
+def segment_ids(spark, sf_dir):
+    turns = V.v_turns(spark, sf_dir)
+    return EN.segment_ids(turns, V.v_characters(spark, sf_dir), EN.vocabulary(turns))

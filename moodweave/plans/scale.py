@@ -55,3 +55,36 @@ def global_rank(df: DataFrame, order_cols: list, rank_col: str = "rank",
     out = local.join(F.broadcast(offsets), "_pid")
     return out.withColumn(rank_col, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local")) \
         .drop("_pid", "_local", "_off")
+
+
+def dense_index(df: DataFrame, col: str, out: str = "index", bound: int = 100_000) -> DataFrame:
+    """0-based index of each distinct non-null value of ``col`` in ascending order.
+
+    The distinct table is numbered with a single ordered window only when its
+    size is proven <= bound (a label set); otherwise by ``global_rank``.
+    """
+    d = df.select(col).where(F.col(col).isNotNull()).distinct()
+    if row_count_at_most(d, bound):
+        return d.withColumn(out, (F.row_number().over(Window.orderBy(col)) - 1).cast("int"))
+    r = global_rank(d, [col], "_rk")
+    return r.select(col, (F.col("_rk") - 1).cast("int").alias(out))
+
+
+def prefix_sum(df: DataFrame, order_col: str, value_col: str, out: str = "start",
+               partition_cols: list[str] = (), bucket_size: int = 1024) -> DataFrame:
+    """Exclusive running sum of ``value_col`` by ``order_col`` (numeric) within ``partition_cols``.
+
+    Two levels instead of one big window: rows are bucketed by
+    ``order_col div bucket_size`` (so a window partition holds at most
+    bucket_size distinct order values); bucket totals get their own running
+    sum over one row per bucket.
+    """
+    pc = list(partition_cols)
+    b = df.withColumn("_b", F.floor(F.col(order_col) / bucket_size))
+    tot = b.groupBy(*pc, "_b").agg(F.sum(value_col).alias("_bt"))
+    wb = Window.partitionBy(*pc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select(*pc, "_b", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_boff"))
+    wi = Window.partitionBy(*pc, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    inner = F.coalesce(F.sum(value_col).over(wi), F.lit(0))
+    return b.withColumn("_in", inner).join(tot, pc + ["_b"]) \
+        .withColumn(out, (F.col("_boff") + F.col("_in")).cast("bigint")).drop("_b", "_in", "_boff")

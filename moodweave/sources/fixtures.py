@@ -123,3 +123,20 @@ def v_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(emb, 2).cast("double").alias("neg0"), F.get(emb, 3).cast("double").alias("neg1"),
         (F.col("label") % 2).alias("label"),
     )
+
+
+def v_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns 0-2 of each conversation as Utterance/Emotion/Sentiment_1..3 (null when absent)."""
+    from moodweave.operators.affect import emotion_tag
+    t = v_turns(spark, sf_dir)
+    tags = emotion_tag(t.where(F.col("pos") < 3), lexicon(spark))
+    j = t.where(F.col("pos") < 3).select("conv_id", "scene_id", "pos", "text") \
+        .join(tags.select("scene_id", "pos", "emotion", "sv"), ["scene_id", "pos"])
+    sent = F.when(F.col("sv") > 0, "positive").when(F.col("sv") < 0, "negative").otherwise("neutral")
+    aggs = []
+    for i in range(3):
+        on = F.col("pos") == i
+        aggs += [F.max(F.when(on, F.col("text"))).alias(f"Utterance_{i + 1}"),
+                 F.max(F.when(on, F.col("emotion"))).alias(f"Emotion_{i + 1}"),
+                 F.max(F.when(on, sent)).alias(f"Sentiment_{i + 1}")]
+    return j.groupBy("conv_id").agg(*aggs)
