@@ -669,3 +669,17 @@ SELECT scene_id, "character",
        {_lst("list_concat([1], a, [2], b, [2])")} AS input_ids,
        {_lst("list_concat(list_transform(range(len(a) + 2), lambda q: 1), list_transform(range(len(b) + 1), lambda q: 0))")} AS segment_ids
 FROM j""")
+
+# --- sources and sinks -------------------------------------------------------
+ORACLE["roundtrip_tsv"] = """
+SELECT d.doc_id, d.text AS utterance, l.quality AS labels
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id"""
+
+ORACLE["roundtrip_jsonl"] = """
+WITH h AS (
+  SELECT d.doc_id, d.text AS utterance, l.quality AS labels,
+         ('0x' || substr(md5('0:' || CAST(d.doc_id AS VARCHAR)), 1, 8))::BIGINT % 1000 AS b
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id)
+SELECT doc_id, utterance, labels,
+       CASE WHEN b < 100 THEN 'test' WHEN b < 190 THEN 'valid' ELSE 'train' END AS split
+FROM h"""

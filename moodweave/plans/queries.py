@@ -358,3 +358,35 @@ def encode_ids(spark, sf_dir):
 def segment_ids(spark, sf_dir):
     turns = V.v_turns(spark, sf_dir)
     return EN.segment_ids(turns, V.v_characters(spark, sf_dir), EN.vocabulary(turns))
+
+
+# --- sources, sinks and the model shell --------------------------------------
+from moodweave.session import scratch_path  # noqa: E402
+from moodweave.sources import files as FS  # noqa: E402
+from moodweave.operators import model as ML  # noqa: E402
+
+ESSAY_SCHEMA = "doc_id bigint, utterance string, labels int"
+
+
+@query
+def roundtrip_tsv(spark, sf_dir):
+    """v_essays written as TSV to the shared folder and read back with a declared schema."""
+    path = scratch_path(spark, "essays-tsv")
+    FS.write_tsv(_essays(spark, sf_dir), path)
+    return FS.read_tsv(spark, path, ESSAY_SCHEMA)
+
+
+@query
+def roundtrip_jsonl(spark, sf_dir):
+    """JSON lines per split, read back with a schema, label check and file-name routing."""
+    e = S.stratified_split(_essays(spark, sf_dir), "doc_id", "labels", seed=0, exact=False)
+    path = scratch_path(spark, "essays-jsonl")
+    FS.write_jsonl(e, path, ["doc_id", "utterance", "labels"], partition_by=["split"])
+    back = FS.read_jsonl(spark, path, ESSAY_SCHEMA, label="labels", recursive=True)
+    return FS.route_by_file_name(back)
+
+
+@query
+def trait_classifier(spark, sf_dir):
+    e = S.stratified_split(_essays(spark, sf_dir), "doc_id", "labels", seed=0, exact=False)
+    return ML.train_select_score(e, "utterance", "labels", "doc_id")
