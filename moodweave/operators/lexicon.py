@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from moodweave import constants as K
 from moodweave.functions.text import lexicon_tokens
-from moodweave.plans.scale import bounded_broadcast
+from moodweave.plans.scale import bounded_broadcast, spread
 
 
 def tokens(df: DataFrame, keys: list[str], text_col: str, repl: str = "",
@@ -18,6 +18,7 @@ def tokens(df: DataFrame, keys: list[str], text_col: str, repl: str = "",
     later per-key aggregates still see the key.
     """
     gen = F.explode_outer if keep_empty else F.explode
+    df = spread(df.select(*keys, text_col), keys)
     tok = df.select(*keys, gen(lexicon_tokens(text_col, repl)).alias("word"))
     if stopwords is not None:
         # left_anti keeps the null-word rows (null never matches).

@@ -3,6 +3,8 @@
 The neural classifiers are not rebuilt; this is the tabular shell around
 them: train on the train split, pick the setting with the best validation
 F1 (strictly greater wins, grid order breaks ties), score the test split.
+Features (tokens -> counts -> IDF) are fitted once on the train split; only
+the classifier is refitted per grid value, on cached feature vectors.
 """
 
 from __future__ import annotations
@@ -14,36 +16,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodweave.operators.evaluate import binary_metrics
+from moodweave.plans.scale import spread
 
 
-def text_pipeline(text_col: str, label: str, reg_param: float, vocab_size: int = 1 << 16) -> Pipeline:
+def feature_pipeline(text_col: str, vocab_size: int = 1 << 16) -> Pipeline:
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}\p{N}_]+", gaps=True,
                        toLowercase=True),
         CountVectorizer(inputCol="_tok", outputCol="_tf", vocabSize=vocab_size, minDF=2.0),
         IDF(inputCol="_tf", outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol=label, regParam=reg_param, maxIter=25),
     ])
 
 
 def train_select_score(df: DataFrame, text_col: str, label: str, id_col: str,
                        grid=(0.01, 0.1, 1.0)) -> DataFrame:
     """``df`` has a ``split`` column; returns test rows with prediction and chosen reg_param."""
-    data = df.withColumn(label, F.col(label).cast("double"))
-    train = data.where(F.col("split") == "train").cache()
-    valid = data.where(F.col("split") == "valid")
+    data = spread(df.select(id_col, text_col, label, "split"), [id_col]) \
+        .withColumn(label, F.col(label).cast("double"))
+    feats = feature_pipeline(text_col).fit(data.where(F.col("split") == "train"))
+    fx = feats.transform(data).select(id_col, label, "split", "_features").cache()
+    train = fx.where(F.col("split") == "train")
+    valid = fx.where(F.col("split") == "valid")
     best = None
     for rp in grid:  # a handful of settings; each fit is a distributed job
-        model = text_pipeline(text_col, label, rp).fit(train)
+        lr = LogisticRegression(featuresCol="_features", labelCol=label, regParam=rp, maxIter=25)
+        model = lr.fit(train)
         pv = model.transform(valid).select(F.col(label).cast("int").alias("y"),
                                            F.col("prediction").cast("int").alias("p"))
-        f1 = binary_metrics(pv, "y", "p").select("f1").first()
-        f1 = f1[0] if f1 is not None else 0.0
+        row = binary_metrics(pv, "y", "p").select("f1").first()
+        f1 = row[0] if row is not None else 0.0
         if best is None or f1 > best[0]:
             best = (f1, rp, model)
-    train.unpersist()
     _, rp, model = best
-    test = data.where(F.col("split") == "test")
-    return model.transform(test).select(id_col, F.col(label).cast("int").alias(label),
-                                        F.col("prediction").cast("int").alias("prediction"),
-                                        F.lit(rp).alias("reg_param"))
+    out = model.transform(fx.where(F.col("split") == "test")).select(
+        id_col, F.col(label).cast("int").alias(label), F.col("prediction").cast("int").alias("prediction"),
+        F.lit(rp).alias("reg_param"))
+    return out

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from moodweave.functions.text import tfidf_tokens
 from moodweave.operators.lexicon import tokens
+from moodweave.plans.scale import spread
 
 
 def class_word_counts(df: DataFrame, label: str, text_col: str, stopwords: DataFrame) -> DataFrame:
@@ -37,7 +38,8 @@ def class_tfidf(df: DataFrame, label: str, text_col: str) -> DataFrame:
     idf = ln((1 + n_classes) / (1 + df)) + 1.  Tokens are counted per class,
     so words at the border of two texts never fuse.
     """
-    tok = df.select(label, F.explode(tfidf_tokens(text_col)).alias("word"))
+    tok = spread(df.select(label, text_col), [text_col]) \
+        .select(label, F.explode(tfidf_tokens(text_col)).alias("word"))
     tf = tok.groupBy(label, "word").agg(F.count(F.lit(1)).alias("tf"))
     n_cls = df.select(label).distinct().agg(F.count(F.lit(1)).alias("n_cls"))
     dfreq = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))

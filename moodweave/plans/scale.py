@@ -88,3 +88,19 @@ def prefix_sum(df: DataFrame, order_col: str, value_col: str, out: str = "start"
     inner = F.coalesce(F.sum(value_col).over(wi), F.lit(0))
     return b.withColumn("_in", inner).join(tot, pc + ["_b"]) \
         .withColumn(out, (F.col("_boff") + F.col("_in")).cast("bigint")).drop("_b", "_in", "_boff")
+
+
+def spread(df: DataFrame, keys: list[str], min_partitions: int | None = None) -> DataFrame:
+    """Hash-partition by ``keys`` when the input has fewer partitions than the cluster has slots.
+
+    A big scan already yields one partition per row group / file split and is
+    left alone (no shuffle).  A small or unsplittable input -- one row group
+    holding heavy text -- would otherwise run its tokenising in one task.
+    Partitioning on the grouping key also satisfies the per-key aggregate that
+    follows, so that aggregate needs no exchange of its own.
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *keys)
