@@ -18,7 +18,7 @@ def tokens(df: DataFrame, keys: list[str], text_col: str, repl: str = "",
     later per-key aggregates still see the key.
     """
     gen = F.explode_outer if keep_empty else F.explode
-    df = spread(df.select(*keys, text_col), keys)
+    df = spread(df.select(*keys, text_col))
     tok = df.select(*keys, gen(lexicon_tokens(text_col, repl)).alias("word"))
     if stopwords is not None:
         # left_anti keeps the null-word rows (null never matches).

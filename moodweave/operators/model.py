@@ -31,7 +31,7 @@ def feature_pipeline(text_col: str, vocab_size: int = 1 << 16) -> Pipeline:
 def train_select_score(df: DataFrame, text_col: str, label: str, id_col: str,
                        grid=(0.01, 0.1, 1.0)) -> DataFrame:
     """``df`` has a ``split`` column; returns test rows with prediction and chosen reg_param."""
-    data = spread(df.select(id_col, text_col, label, "split"), [id_col]) \
+    data = spread(df.select(id_col, text_col, label, "split")) \
         .withColumn(label, F.col(label).cast("double"))
     feats = feature_pipeline(text_col).fit(data.where(F.col("split") == "train"))
     fx = feats.transform(data).select(id_col, label, "split", "_features").cache()

@@ -38,7 +38,7 @@ def class_tfidf(df: DataFrame, label: str, text_col: str) -> DataFrame:
     idf = ln((1 + n_classes) / (1 + df)) + 1.  Tokens are counted per class,
     so words at the border of two texts never fuse.
     """
-    tok = spread(df.select(label, text_col), [text_col]) \
+    tok = spread(df.select(label, text_col)) \
         .select(label, F.explode(tfidf_tokens(text_col)).alias("word"))
     tf = tok.groupBy(label, "word").agg(F.count(F.lit(1)).alias("tf"))
     n_cls = df.select(label).distinct().agg(F.count(F.lit(1)).alias("n_cls"))

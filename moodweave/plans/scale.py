@@ -90,17 +90,18 @@ def prefix_sum(df: DataFrame, order_col: str, value_col: str, out: str = "start"
         .withColumn(out, (F.col("_boff") + F.col("_in")).cast("bigint")).drop("_b", "_in", "_boff")
 
 
-def spread(df: DataFrame, keys: list[str], min_partitions: int | None = None) -> DataFrame:
-    """Hash-partition by ``keys`` when the input has fewer partitions than the cluster has slots.
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Split an under-partitioned input evenly across the cluster's slots.
 
     A big scan already yields one partition per row group / file split and is
     left alone (no shuffle).  A small or unsplittable input -- one row group
-    holding heavy text -- would otherwise run its tokenising in one task.
-    Partitioning on the grouping key also satisfies the per-key aggregate that
-    follows, so that aggregate needs no exchange of its own.
+    holding heavy text -- would otherwise run its tokenising in one task.  The
+    split is round-robin, never by a grouping key: a coarse key (a class
+    label) or a duplicated text would put a third of the rows in one task.
+    Round-robin is made retry-safe by Spark's sort before repartitioning.
     """
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
-    return df.repartition(want, *keys)
+    return df.repartition(want)

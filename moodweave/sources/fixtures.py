@@ -21,7 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def v_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """turns(conv_id, scene_id, pos, speaker, text), one row per turn."""
-    c = table(spark, sf_dir, "conversations")
+    return turns_from_conversations(table(spark, sf_dir, "conversations"))
+
+
+def turns_from_conversations(c: DataFrame) -> DataFrame:
+    """Stateless projection conversations -> turns (works on batch and streaming frames)."""
     conv = F.col("conv_id")
     scene_id = F.concat(
         F.lpad((conv % 10 + 1).cast("string"), 2, "0"), F.lit("_e"),
