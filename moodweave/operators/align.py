@@ -92,40 +92,46 @@ def _gram_candidates(needles: DataFrame, hay: DataFrame, needle_col: str, hay_co
 
 def align(turns: DataFrame, ann: DataFrame, variant: str = "emory", max_pairs: int = 4_000_000,
           k: int = 4) -> DataFrame:
-    """(scene_id, pos, emotion): emotion of the first matching annotation, null if none."""
+    """(scene_id, pos, emotion): emotion of the first matching annotation, null if none.
+
+    Matching runs on distinct texts per block: an annotation text keeps only
+    its first occurrence (later copies can never win), and a turn text is
+    matched once and joined back to all turns carrying it.  Duplicated texts
+    therefore cost nothing extra, however often they repeat.
+    """
     t, a = prepare(turns, ann, variant)
-    nt = t.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n_t"))
-    na = a.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n_a"),
-                               F.min_by(F.struct("ann_order", "emotion"), "ann_order").alias("first_any"),
-                               F.min_by(F.struct("ann_order", "emotion"),
-                                        F.when(F.length("u") == 0, F.col("ann_order"))).alias("first_empty"))
+    td = t.select(*BLOCK, "t").distinct()
+    ad = a.groupBy(*BLOCK, "u").agg(F.min(F.struct("ann_order", "emotion")).alias("first"))
+    ad = ad.select(*BLOCK, "u", "first.ann_order", "first.emotion")
+    nt = td.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n_t"))
+    na = ad.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n_a"),
+                                F.min(F.struct("ann_order", "emotion")).alias("first_any"),
+                                F.min(F.when(F.length("u") == 0, F.struct("ann_order", "emotion")))
+                                .alias("first_empty"))
     stats = nt.join(na, BLOCK).withColumn("hot", F.col("n_t") * F.col("n_a") > F.lit(max_pairs))
     hot_keys = stats.select(*BLOCK, "hot")
-    th = t.join(hot_keys, BLOCK)
-    ah = a.join(hot_keys, BLOCK)
+    th = td.join(hot_keys, BLOCK)
+    ah = ad.join(hot_keys, BLOCK)
+    out = [*BLOCK, "t", "ann_order", "emotion"]
     # ordinary blocks: equi-join on the block, containment as residual
-    tc = th.where(~F.col("hot"))
-    ac = ah.where(~F.col("hot"))
-    cold = tc.join(ac, BLOCK).where(_match(F.col("t"), F.col("u"))) \
-        .select("scene_id", "pos", "ann_order", "emotion")
-    # hot blocks: exact gram candidates in both directions
-    thot = th.where(F.col("hot"))
-    ahot = ah.where(F.col("hot"))
-    c1 = _gram_candidates(ahot, thot.drop("hot"), "u", "t", ["ann_order"], k) \
-        .select("scene_id", "pos", "ann_order", "emotion")
-    c2 = _gram_candidates(thot, ahot.drop("hot"), "t", "u", ["scene_id", "pos"], k) \
-        .select("scene_id", "pos", "ann_order", "emotion")
+    cold = th.where(~F.col("hot")).join(ah.where(~F.col("hot")), BLOCK) \
+        .where(_match(F.col("t"), F.col("u"))).select(*out)
+    # hot blocks: exact gram candidates in both directions, never all pairs
+    thot = th.where(F.col("hot")).drop("hot")
+    ahot = ah.where(F.col("hot")).drop("hot")
+    c1 = _gram_candidates(ahot, thot, "u", "t", ["u"], k).select(*out)
+    c2 = _gram_candidates(thot, ahot, "t", "u", ["t"], k).select(*out)
     # empty texts: an empty annotation is in every turn, an empty turn in every annotation
     hs = stats.where(F.col("hot"))
-    e1 = thot.join(hs.where(F.col("first_empty.ann_order").isNotNull()), BLOCK) \
-        .select("scene_id", "pos", F.col("first_empty.ann_order").alias("ann_order"),
+    e1 = thot.join(hs.where(F.col("first_empty").isNotNull()), BLOCK) \
+        .select(*BLOCK, "t", F.col("first_empty.ann_order").alias("ann_order"),
                 F.col("first_empty.emotion").alias("emotion"))
     e2 = thot.where(F.length("t") == 0).join(hs, BLOCK) \
-        .select("scene_id", "pos", F.col("first_any.ann_order").alias("ann_order"),
+        .select(*BLOCK, "t", F.col("first_any.ann_order").alias("ann_order"),
                 F.col("first_any.emotion").alias("emotion"))
     cand = cold.unionByName(c1).unionByName(c2).unionByName(e1).unionByName(e2)
-    best = cand.groupBy("scene_id", "pos").agg(F.min_by("emotion", "ann_order").alias("emotion"))
-    return t.select("scene_id", "pos").join(best, ["scene_id", "pos"], "left")
+    best = cand.groupBy(*BLOCK, "t").agg(F.min_by("emotion", "ann_order").alias("emotion"))
+    return t.join(best, BLOCK + ["t"], "left").select("scene_id", "pos", "emotion")
 
 
 def coverage(aligned: dict[str, DataFrame]) -> DataFrame:
