@@ -109,10 +109,17 @@ def align(turns: DataFrame, ann: DataFrame, variant: str = "emory", max_pairs: i
                                 F.min(F.when(F.length("u") == 0, F.struct("ann_order", "emotion")))
                                 .alias("first_empty"))
     stats = nt.join(na, BLOCK).withColumn("hot", F.col("n_t") * F.col("n_a") > F.lit(max_pairs))
+    out = [*BLOCK, "t", "ann_order", "emotion"]
+    # Runtime re-plan on a table of one row per block: without hot blocks the
+    # gram branch is left out of the plan entirely.
+    any_hot = stats.where(F.col("hot")).limit(1).count() > 0
+    if not any_hot:
+        cold = td.join(ad, BLOCK).where(_match(F.col("t"), F.col("u"))).select(*out)
+        best = cold.groupBy(*BLOCK, "t").agg(F.min_by("emotion", "ann_order").alias("emotion"))
+        return t.join(best, BLOCK + ["t"], "left").select("scene_id", "pos", "emotion")
     hot_keys = stats.select(*BLOCK, "hot")
     th = td.join(hot_keys, BLOCK)
     ah = ad.join(hot_keys, BLOCK)
-    out = [*BLOCK, "t", "ann_order", "emotion"]
     # ordinary blocks: equi-join on the block, containment as residual
     cold = th.where(~F.col("hot")).join(ah.where(~F.col("hot")), BLOCK) \
         .where(_match(F.col("t"), F.col("u"))).select(*out)

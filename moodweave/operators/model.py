@@ -19,23 +19,32 @@ from moodweave.operators.evaluate import binary_metrics
 from moodweave.plans.scale import spread
 
 
+def tokenizer(text_col: str) -> RegexTokenizer:
+    return RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}\p{N}_]+", gaps=True,
+                          toLowercase=True)
+
+
 def feature_pipeline(text_col: str, vocab_size: int = 1 << 16) -> Pipeline:
     return Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}\p{N}_]+", gaps=True,
-                       toLowercase=True),
+        tokenizer(text_col),
         CountVectorizer(inputCol="_tok", outputCol="_tf", vocabSize=vocab_size, minDF=2.0),
         IDF(inputCol="_tf", outputCol="_features"),
     ])
 
 
 def train_select_score(df: DataFrame, text_col: str, label: str, id_col: str,
-                       grid=(0.01, 0.1, 1.0)) -> DataFrame:
+                       grid=(0.01, 0.1, 1.0), vocab_size: int = 1 << 16) -> DataFrame:
     """``df`` has a ``split`` column; returns test rows with prediction and chosen reg_param."""
     data = spread(df.select(id_col, text_col, label, "split")) \
         .withColumn(label, F.col(label).cast("double"))
-    feats = feature_pipeline(text_col).fit(data.where(F.col("split") == "train"))
-    fx = feats.transform(data).select(id_col, label, "split", "_features").cache()
-    train = fx.where(F.col("split") == "train")
+    # tokenise once; both feature fits and the final transform reuse the tokens
+    tok = tokenizer(text_col).transform(data).drop(text_col).cache()
+    is_train = F.col("split") == "train"
+    cv = CountVectorizer(inputCol="_tok", outputCol="_tf", vocabSize=vocab_size, minDF=2.0).fit(tok.where(is_train))
+    tf = cv.transform(tok)
+    idf = IDF(inputCol="_tf", outputCol="_features").fit(tf.where(is_train))
+    fx = idf.transform(tf).select(id_col, label, "split", "_features").cache()
+    train = fx.where(is_train)
     valid = fx.where(F.col("split") == "valid")
     best = None
     for rp in grid:  # a handful of settings; each fit is a distributed job
@@ -47,8 +56,8 @@ def train_select_score(df: DataFrame, text_col: str, label: str, id_col: str,
         f1 = row[0] if row is not None else 0.0
         if best is None or f1 > best[0]:
             best = (f1, rp, model)
+    tok.unpersist()
     _, rp, model = best
-    out = model.transform(fx.where(F.col("split") == "test")).select(
+    return model.transform(fx.where(F.col("split") == "test")).select(
         id_col, F.col(label).cast("int").alias(label), F.col("prediction").cast("int").alias("prediction"),
         F.lit(rp).alias("reg_param"))
-    return out
