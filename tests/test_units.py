@@ -303,3 +303,13 @@ def test_round6_half_away_from_zero(spark):
     df = spark.createDataFrame([(0.0000005,), (-0.0000005,), (1.2345675,)], "x double")
     got = [r[0] for r in df.select(round6("x")).collect()]
     assert got[0] == 0.000001 and got[1] == -0.000001
+
+
+def test_tag_distribution_matches_fixture_notes(spark):
+    from moodweave.plans.queries import REGISTRY
+    from conftest import SF_MID
+    t = REGISTRY["emotion_tag"](spark, SF_MID)
+    got = {r.emotion: r["count"] for r in t.groupBy("emotion").count().collect()}
+    assert got == {"anger": 144, "disgust": 126, "surprise": 104, "neutral": 64, "fear": 64,
+                   "sadness": 20, "joy": 14}
+    assert t.where("n_matched = 0").count() == 22
