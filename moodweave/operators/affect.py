@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,8 +65,6 @@ def tag_with_model(turns: DataFrame, score_batch: Callable, class_names: list[st
     Runs as one Arrow-batched pandas UDF (model loaded once per worker by the
     caller's closure); the decision rule is ``argmax_label``.
     """
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def _score(texts: pd.Series) -> pd.Series:
         out = score_batch(texts)

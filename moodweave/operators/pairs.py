@@ -98,3 +98,24 @@ def sweep_keys(traits: DataFrame, lens=K.FLOW_LENS) -> DataFrame:
     """Narrow (scene_id, character, trait, flow_len, label) table of the sweep (no text)."""
     lab = trait_labels(traits).select("scene_id", "character", "trait", "label")
     return lab.select("*", F.explode(F.array(*[F.lit(float(x)) for x in lens])).alias("flow_len"))
+
+
+# Class names of the pair task, in label order.
+CLASS_NAMES = ["no", "yes"]
+
+
+def class_names(spark) -> DataFrame:
+    """(label, name) table; join or map labels to their verbaliser words."""
+    return spark.createDataFrame(list(enumerate(CLASS_NAMES)), "label int, name string")
+
+
+def model_inputs(pairs_df: DataFrame, input_col: str = "affective_dialog") -> DataFrame:
+    """The narrow projection a scorer reads: input text, both hypotheses, label."""
+    return pairs_df.select(F.col(input_col).alias("text_a"),
+                           "pos_personality_description", "neg_personality_description", "label")
+
+
+def input_mode(samples: DataFrame, mode: str) -> str:
+    """Which column feeds the classifier in each input mode."""
+    return {"speaker": "utterance", "speaker_context": "context", "dialog": "sent",
+            "features": "pooled"}[mode]

@@ -27,3 +27,8 @@ def trait_value_counts(traits: DataFrame) -> DataFrame:
     long = trait_labels(traits)
     return long.where(F.col("flag").isNotNull()).groupBy("trait", "flag") \
         .agg(F.count(F.lit(1)).alias("n"))
+
+
+def keep_roles(df: DataFrame, roles: list[str], col: str = "character") -> DataFrame:
+    """Keep only the listed (main) characters."""
+    return df.where(F.col(col).isin(*roles))

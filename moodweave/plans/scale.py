@@ -71,23 +71,28 @@ def dense_index(df: DataFrame, col: str, out: str = "index", bound: int = 100_00
 
 
 def prefix_sum(df: DataFrame, order_col: str, value_col: str, out: str = "start",
-               partition_cols: list[str] = (), bucket_size: int = 1024) -> DataFrame:
+               partition_cols: list[str] = (), bucket_size: int = 1024, levels: int = 2) -> DataFrame:
     """Exclusive running sum of ``value_col`` by ``order_col`` (numeric) within ``partition_cols``.
 
-    Two levels instead of one big window: rows are bucketed by
-    ``order_col div bucket_size`` (so a window partition holds at most
-    bucket_size distinct order values); bucket totals get their own running
-    sum over one row per bucket.
+    No window sees more than ``bucket_size`` distinct order values per
+    partition except the top level, which sees n / bucket_size**levels rows:
+    rows are bucketed by ``order_col div bucket_size``; bucket totals get their
+    own running sum (recursively, ``levels`` deep); rows add the running sum
+    inside their bucket.
     """
     pc = list(partition_cols)
-    b = df.withColumn("_b", F.floor(F.col(order_col) / bucket_size))
-    tot = b.groupBy(*pc, "_b").agg(F.sum(value_col).alias("_bt"))
-    wb = Window.partitionBy(*pc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*pc, "_b", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_boff"))
-    wi = Window.partitionBy(*pc, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    b_col, t_col, o_col, i_col = (f"_{x}{levels}" for x in ("b", "t", "o", "i"))
+    b = df.withColumn(b_col, F.floor(F.col(order_col) / bucket_size))
+    tot = b.groupBy(*pc, b_col).agg(F.sum(value_col).alias(t_col))
+    if levels > 1:
+        tot = prefix_sum(tot, b_col, t_col, o_col, pc, bucket_size, levels - 1).drop(t_col)
+    else:
+        wb = Window.partitionBy(*pc).orderBy(b_col).rowsBetween(Window.unboundedPreceding, -1)
+        tot = tot.select(*pc, b_col, F.coalesce(F.sum(t_col).over(wb), F.lit(0)).alias(o_col))
+    wi = Window.partitionBy(*pc, b_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     inner = F.coalesce(F.sum(value_col).over(wi), F.lit(0))
-    return b.withColumn("_in", inner).join(tot, pc + ["_b"]) \
-        .withColumn(out, (F.col("_boff") + F.col("_in")).cast("bigint")).drop("_b", "_in", "_boff")
+    return b.withColumn(i_col, inner).join(tot, pc + [b_col]) \
+        .withColumn(out, (F.col(o_col) + F.col(i_col)).cast("bigint")).drop(b_col, i_col, o_col)
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -101,7 +106,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     Round-robin is made retry-safe by Spark's sort before repartitioning.
     """
     spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = min_partitions or spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (Spark Connect): leave as is
+        return df
+    if have >= want:
         return df
     return df.repartition(want)

@@ -56,13 +56,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     dir).  Only when nothing is configured -- local runs and tests -- a fresh
     folder is created and registered.
     """
-    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint folder
+        return configured or ""
     root = sc.getCheckpointDir()
     if root:
         return root
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="moodweave-ckpt-")
+    root = configured or tempfile.mkdtemp(prefix="moodweave-ckpt-")
     sc.setCheckpointDir(root)
     return sc.getCheckpointDir() or root
 

@@ -313,3 +313,39 @@ def test_tag_distribution_matches_fixture_notes(spark):
     assert got == {"anger": 144, "disgust": 126, "surprise": 104, "neutral": 64, "fear": 64,
                    "sadness": 20, "joy": 14}
     assert t.where("n_matched = 0").count() == 22
+
+
+def test_keep_roles_and_class_names(spark):
+    df = spark.createDataFrame([("s", "Ann"), ("s", "Extra")], "scene_id string, character string")
+    assert [r.character for r in TR.keep_roles(df, ["Ann"]).collect()] == ["Ann"]
+    assert [tuple(r) for r in pairs.class_names(spark).orderBy("label").collect()] == [(0, "no"), (1, "yes")]
+
+
+def test_second_corpus_variant_whole_dialogue_and_fixed_name(spark):
+    t = spark.createDataFrame([("s", 0, "Ann X", "hi"), ("s", 1, "Bob", "yo")], TURNS)
+    c = spark.createDataFrame([("s", "Ann X")], "scene_id string, character string")
+    tags = spark.createDataFrame([("s", 0, "joy"), ("s", 1, "anger")], "scene_id string, pos bigint, emotion string")
+    got = {r.flow_len: r for r in pairs.pair_texts(t, tags, c, speaker_name="Speaker", cut=False).collect()}
+    assert got[0.25].affective_prompt == got[1.0].affective_prompt == \
+        "The emotion of Speaker is initially joy, the emotion of others is anger, "
+
+
+def test_transition_seven_keeps_neutral(spark):
+    tg = _tagged(spark, [("s", 0, "Bob", "neutral"), ("s", 1, "Ann", "joy")])
+    tr = _traits(spark, [("s", "Ann", True, None, None, None, None)])
+    six = patterns.emotion_transition(tg, tr, "six").where("n > 0").count()
+    seven = {(r.e_from, r.e_to): r.n for r in patterns.emotion_transition(tg, tr, "seven").where("n > 0").collect()}
+    assert six == 0 and seven == {("neutral", "joy"): 1}
+
+
+def test_model_plug_in_scores_in_arrow_batches(spark):
+    import numpy as np
+
+    def scorer(texts):
+        # toy model: score "joy" by the count of '!' and "anger" by upper-case letters
+        return np.array([[0.0, t.count("!"), sum(ch.isupper() for ch in t)] for t in texts])
+
+    turns = spark.createDataFrame([("s", 0, "A", "yay!!"), ("s", 1, "A", "NO"), ("s", 2, "A", "meh")], TURNS)
+    got = {r.pos: r.emotion for r in affect.tag_with_model(turns, scorer, ["neutral", "joy", "anger"],
+                                                           ["scene_id", "pos"]).collect()}
+    assert got == {0: "joy", 1: "anger", 2: "neutral"}
