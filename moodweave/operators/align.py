@@ -90,6 +90,15 @@ def _gram_candidates(needles: DataFrame, hay: DataFrame, needle_col: str, hay_co
     return j.where(F.col(hay_col).contains(F.col(needle_col)))
 
 
+def _maybe_hot(turns: DataFrame, ann: DataFrame, variant: str, max_pairs: int) -> bool:
+    rt = turns.select(scene_season("scene_id").alias("season"), scene_episode("scene_id").alias("episode"),
+                      first_word("speaker").alias("spk")).groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n_t"))
+    spk = first_word("Speaker") if variant == "emory" else F.col("Speaker")
+    ra = ann.select(F.col("Season").alias("season"), F.col("Episode").alias("episode"), spk.alias("spk")) \
+        .groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n_a"))
+    return rt.join(ra, BLOCK).where(F.col("n_t") * F.col("n_a") > F.lit(max_pairs)).limit(1).count() > 0
+
+
 def align(turns: DataFrame, ann: DataFrame, variant: str = "emory", max_pairs: int = 4_000_000,
           k: int = 4) -> DataFrame:
     """(scene_id, pos, emotion): emotion of the first matching annotation, null if none.
@@ -110,9 +119,10 @@ def align(turns: DataFrame, ann: DataFrame, variant: str = "emory", max_pairs: i
                                 .alias("first_empty"))
     stats = nt.join(na, BLOCK).withColumn("hot", F.col("n_t") * F.col("n_a") > F.lit(max_pairs))
     out = [*BLOCK, "t", "ann_order", "emotion"]
-    # Runtime re-plan on a table of one row per block: without hot blocks the
-    # gram branch is left out of the plan entirely.
-    any_hot = stats.where(F.col("hot")).limit(1).count() > 0
+    # Runtime re-plan: raw row counts per block bound the distinct-text counts
+    # from above and need no text column (a cheap columnar scan with map-side
+    # counting).  If no block can be hot, the gram branch is left out.
+    any_hot = _maybe_hot(turns, ann, variant, max_pairs)
     if not any_hot:
         cold = td.join(ad, BLOCK).where(_match(F.col("t"), F.col("u"))).select(*out)
         best = cold.groupBy(*BLOCK, "t").agg(F.min_by("emotion", "ann_order").alias("emotion"))

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodweave.operators.evaluate import binary_metrics
-from moodweave.plans.scale import spread
 
 
 def tokenizer(text_col: str) -> RegexTokenizer:
@@ -35,8 +34,7 @@ def feature_pipeline(text_col: str, vocab_size: int = 1 << 16) -> Pipeline:
 def train_select_score(df: DataFrame, text_col: str, label: str, id_col: str,
                        grid=(0.01, 0.1, 1.0), vocab_size: int = 1 << 16) -> DataFrame:
     """``df`` has a ``split`` column; returns test rows with prediction and chosen reg_param."""
-    data = spread(df.select(id_col, text_col, label, "split")) \
-        .withColumn(label, F.col(label).cast("double"))
+    data = df.select(id_col, text_col, label, "split").withColumn(label, F.col(label).cast("double"))
     # tokenise once; both feature fits and the final transform reuse the tokens
     tok = tokenizer(text_col).transform(data).drop(text_col).cache()
     is_train = F.col("split") == "train"

@@ -96,7 +96,11 @@ def prefix_sum(df: DataFrame, order_col: str, value_col: str, out: str = "start"
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Split an under-partitioned input evenly across the cluster's slots.
+    """Split an under-partitioned scan evenly across the cluster's slots.
+
+    Call it on a scan (projections and filters only): asking a scan for its
+    partition count lists files and runs no job, while a frame holding an
+    exchange would have to execute its stages to answer.
 
     A big scan already yields one partition per row group / file split and is
     left alone (no shuffle).  A small or unsplittable input -- one row group

@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 
 from moodweave import constants as K
 from moodweave.functions.text import first_word, scene_episode, scene_season
+from moodweave.plans.scale import spread
+
+# Tables whose rows carry heavy text: their scans are spread over the cluster's
+# slots when the files have fewer splits (row groups) than there are slots.
+TEXT_TABLES = {"documents", "conversations"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def v_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
