@@ -53,6 +53,27 @@ def flow_prefix(turns: DataFrame, lens=K.FLOW_LENS) -> DataFrame:
     return t.where(F.col("pos") < prefix_len(F.col("n_turns"), F.col("flow_len"))).drop("n_turns")
 
 
+def next_turn_pairs(turns: DataFrame, payload: list[str]) -> DataFrame:
+    """(scene_id, pos of the later turn, <c>_from, <c>_to for c in payload) for turns j, j+1.
+
+    One pass instead of a self-join: every turn is emitted as the 'to' side at
+    its own position and as the 'from' side at pos + 1, and one aggregate
+    keyed by (scene_id, position) assembles the pairs.  The key includes the
+    position, so a long dialogue spreads over all reducers.
+    """
+    def side(k, is_to):
+        return F.struct(k.alias("_k"), F.lit(is_to).alias("_to"), *[F.col(c) for c in payload])
+    x = turns.select("scene_id", F.explode(F.array(side(F.col("pos"), True), side(F.col("pos") + 1, False)))
+                     .alias("_x")).select("scene_id", "_x.*")
+    to, fr = F.col("_to"), ~F.col("_to")
+    aggs = [F.max(fr.cast("int")).alias("_has_from"), F.max(to.cast("int")).alias("_has_to")]
+    for c in payload:
+        aggs += [F.max(F.when(fr, F.col(c))).alias(f"{c}_from"), F.max(F.when(to, F.col(c))).alias(f"{c}_to")]
+    g = x.groupBy("scene_id", "_k").agg(*aggs)
+    return g.where((F.col("_has_from") == 1) & (F.col("_has_to") == 1)) \
+        .select("scene_id", F.col("_k").alias("pos"), *[f"{c}_{s}" for c in payload for s in ("from", "to")])
+
+
 def speaker_mask(turns: DataFrame, characters: DataFrame) -> DataFrame:
     """Long mask: one row per (scene, character, turn) with is_speaker / is_first / is_last.
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from moodweave import constants as K
 from moodweave.functions.numeric import round6
 from moodweave.functions.text import first_word_exact
+from moodweave.operators.dialog import next_turn_pairs
 from moodweave.operators.traits import trait_labels
 
 SIX = ["joy", "surprise", "anger", "sadness", "fear", "disgust"]
@@ -50,11 +51,8 @@ def emotion_transition(tagged: DataFrame, traits: DataFrame, mode: str = "six")
     null share.
     """
     spark = tagged.sparkSession
-    t = tagged.select("scene_id", "pos", first_word_exact("speaker").alias("first"), "emotion")
-    a = t.select("scene_id", (F.col("pos") + 1).alias("pos"), F.col("first").alias("f_from"),
-                 F.col("emotion").alias("e_from"))
-    b = t.select("scene_id", "pos", F.col("first").alias("f_to"), F.col("emotion").alias("e_to"))
-    pairs = a.join(b, ["scene_id", "pos"]).where(F.col("f_from") != F.col("f_to"))
+    t = tagged.select("scene_id", "pos", first_word_exact("speaker").alias("f"), F.col("emotion").alias("e"))
+    pairs = next_turn_pairs(t, ["f", "e"]).where(F.col("f_from") != F.col("f_to"))
     if mode == "six":
         pairs = pairs.where((F.col("e_from") != "neutral") & (F.col("e_to") != "neutral"))
     pc = pairs.groupBy("scene_id", "f_to", "e_from", "e_to").agg(F.count(F.lit(1)).alias("n"))

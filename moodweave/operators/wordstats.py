@@ -31,30 +31,41 @@ def class_top_words(counts: DataFrame, label: str, k: int = 21) -> DataFrame:
     return top_k(counts, [label], [F.desc("n"), F.asc("word")], k)
 
 
-def class_tfidf(df: DataFrame, label: str, text_col: str) -> DataFrame:
-    """TF-IDF with one document per class (smooth idf, l2 norm per class).
+def class_tfidf_weights(df: DataFrame, label: str, text_col: str) -> DataFrame:
+    """(label, word, tf, df, w): w = tf * (ln((1 + n_classes) / (1 + df)) + 1), one document per class.
 
-    idf = ln((1 + n_classes) / (1 + df)) + 1.  Tokens are counted per class,
-    so words at the border of two texts never fuse.
+    Tokens are counted per class, so words at the border of two texts never
+    fuse.  The document frequency is a window per word (at most one row per
+    class in it), not a self-join, so the token counts are computed once.
     """
     tok = df.select(label, F.explode(tfidf_tokens(text_col)).alias("word"))
     tf = tok.groupBy(label, "word").agg(F.count(F.lit(1)).alias("tf"))
     n_cls = df.select(label).distinct().agg(F.count(F.lit(1)).alias("n_cls"))
-    dfreq = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    w = tf.join(dfreq, "word").crossJoin(F.broadcast(n_cls))  # n_cls: one row
-    w = w.withColumn("w", F.col("tf") * (F.log((F.col("n_cls") + 1) / (F.col("df") + 1)) + 1))
-    norm = w.groupBy(label).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(F.broadcast(norm), label).select(
-        label, "word", "tf", "df", "w", (F.col("w") / F.col("norm")).alias("tfidf"))
+    w = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("word"))) \
+        .crossJoin(F.broadcast(n_cls))  # n_cls: one row
+    return w.withColumn("w", F.col("tf") * (F.log((F.col("n_cls") + 1) / (F.col("df") + 1)) + 1)) \
+        .drop("n_cls")
+
 
+def class_tfidf_top(df: DataFrame, label: str, text_col: str, k: int = 200) -> DataFrame:
+    """Top-k words per class by TF-IDF (l2-normalised per class); ties by word.
 
-def class_tfidf_top(tfidf: DataFrame, label: str, k: int = 200) -> DataFrame:
-    return top_k(tfidf, [label], [F.desc("w"), F.asc("word")], k)
+    The ranking uses the unnormalised weight (same order within a class); the
+    per-class norm is a grouped aggregate joined onto the k rows kept.
+    """
+    w = class_tfidf_weights(df, label, text_col)
+    norm = w.groupBy(label).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    top = top_k(w, [label], [F.desc("w"), F.asc("word")], k)
+    return top.join(F.broadcast(norm), label).withColumn("tfidf", F.col("w") / F.col("norm"))
 
 
 def set_difference(top: DataFrame, label: str, a=1, b=0) -> DataFrame:
-    """Words in the top list of class a but not b, and the reverse, tagged."""
-    ta = top.where(F.col(label) == a).select("word")
-    tb = top.where(F.col(label) == b).select("word")
-    return ta.join(tb, "word", "left_anti").withColumn("direction", F.lit(f"{a}_only")).unionByName(
-        tb.join(ta, "word", "left_anti").withColumn("direction", F.lit(f"{b}_only")))
+    """Words in the top list of class a but not b, and the reverse, tagged.
+
+    One grouped pass over the (small) top table: a word listed for exactly one
+    of the two classes belongs to that class's difference.
+    """
+    g = top.where(F.col(label).isin(a, b)).groupBy("word").agg(
+        F.count(F.lit(1)).alias("_k"), F.first(label).alias("_cls"))
+    return g.where(F.col("_k") == 1).select(
+        "word", F.concat(F.col("_cls").cast("string"), F.lit("_only")).alias("direction"))

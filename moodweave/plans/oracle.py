@@ -683,3 +683,28 @@ WITH h AS (
 SELECT doc_id, utterance, labels,
        CASE WHEN b < 100 THEN 'test' WHEN b < 190 THEN 'valid' ELSE 'train' END AS split
 FROM h"""
+
+# second-corpus construction: k = all turns, fixed name 'Speaker'
+_PROMPT_WHOLE = _PROMPT.replace(_FIRST.format(x='s."character"'), "'Speaker'")
+ORACLE["nli_pairs_whole"] = with_ctes(["v_characters", "sizes", "lens", "turn_emo", "trait_long", "descriptions"], f""",
+sample_all AS (
+  SELECT c.scene_id, c."character", l.flow_len, s.n_turns AS k
+  FROM v_characters c JOIN sizes s ON s.scene_id = c.scene_id CROSS JOIN lens l),
+texts AS (
+  SELECT s.scene_id, s."character", s.flow_len, 'Speaker' AS c_name,
+         {_ORIGIN} AS origin_sent, {_ONLY} AS only_speaker, {_PROMPT_WHOLE} AS affective_prompt
+  FROM sample_all s),
+j AS (
+  SELECT x.*, tl.trait, CASE WHEN tl.flag THEN 1 ELSE 0 END AS label,
+         x.origin_sent || x.affective_prompt AS sp,
+         x.c_name || ' ' || dp.text AS pos_d, x.c_name || ' ' || dn.text AS neg_d
+  FROM texts x
+  JOIN trait_long tl ON tl.scene_id = x.scene_id AND tl."character" = x."character"
+  JOIN descriptions dp ON dp.trait = tl.trait AND dp.polarity = 'pos'
+  JOIN descriptions dn ON dn.trait = tl.trait AND dn.polarity = 'neg')
+SELECT scene_id, "character", trait, flow_len, label, label AS nli_label,
+       origin_sent, only_speaker, affective_prompt, sp AS sent_and_prompt, sp AS affective_dialog,
+       pos_d AS pos_personality_description, neg_d AS neg_personality_description,
+       pos_d AS personality_description, sp AS sentence1, pos_d AS sentence2,
+       sp || ' ; ' || pos_d || '; Is it correct? <mask>.' AS model_input
+FROM j""")

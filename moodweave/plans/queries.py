@@ -209,13 +209,13 @@ def class_top_words(spark, sf_dir):
 
 @query
 def class_tfidf(spark, sf_dir):
-    t = WS.class_tfidf_top(WS.class_tfidf(_essays(spark, sf_dir), "labels", "utterance"), "labels")
+    t = WS.class_tfidf_top(_essays(spark, sf_dir), "labels", "utterance")
     return t.select("labels", "word", "tf", "rank", *_r6("tfidf"))
 
 
 @query
 def class_tfidf_diff(spark, sf_dir):
-    t = WS.class_tfidf_top(WS.class_tfidf(_essays(spark, sf_dir), "labels", "utterance"), "labels")
+    t = WS.class_tfidf_top(_essays(spark, sf_dir), "labels", "utterance")
     return WS.set_difference(t, "labels")
 
 
@@ -390,3 +390,12 @@ def roundtrip_jsonl(spark, sf_dir):
 def trait_classifier(spark, sf_dir):
     e = S.stratified_split(_essays(spark, sf_dir), "doc_id", "labels", seed=0, exact=False)
     return ML.train_select_score(e, "utterance", "labels", "doc_id")
+
+
+@query
+def nli_pairs_whole(spark, sf_dir):
+    """Second-corpus construction: whole dialogue at every length, the fixed name 'Speaker'."""
+    turns = V.v_turns(spark, sf_dir)
+    tags = affect.emotion_tag(turns, V.lexicon(spark))
+    texts = P.pair_texts(turns, tags, V.v_characters(spark, sf_dir), speaker_name="Speaker", cut=False)
+    return P.nli_pairs(texts, V.v_traits(spark, sf_dir), V.descriptions(spark))

@@ -175,7 +175,7 @@ def test_top_words_keeps_21(spark):
 
 def test_tfidf_two_classes_idf(spark):
     df = spark.createDataFrame([(1, "aa bb"), (0, "aa cc cc")], "labels int, t string")
-    r = {(x.labels, x.word): x for x in WS.class_tfidf(df, "labels", "t").collect()}
+    r = {(x.labels, x.word): x for x in WS.class_tfidf_top(df, "labels", "t", k=10).collect()}
     assert r[(1, "aa")].w == 1.0 and math.isclose(r[(1, "bb")].w, math.log(1.5) + 1)
     norm1 = math.sqrt(1 + (math.log(1.5) + 1) ** 2)
     assert math.isclose(r[(1, "aa")].tfidf, 1 / norm1)
