@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -80,4 +79,4 @@ def local_path(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path
 
 
-__all__ = ["get_session", "checkpoint_root", "scratch_path", "local_path", "DEFAULT_CONF", "os"]
+__all__ = ["get_session", "checkpoint_root", "scratch_path", "local_path", "DEFAULT_CONF"]
