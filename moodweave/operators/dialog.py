@@ -125,11 +125,15 @@ def scene_keys(characters: DataFrame) -> DataFrame:
                              first_word("character").alias("first_name"))
 
 
-def flatten_labels(tagged: DataFrame, order_col: str = "conv_id") -> DataFrame:
-    """Dialogues in ``order_col`` order, turns in pos order -> flat (idx, label_id) list."""
+def dialog_offsets(tagged: DataFrame, order_col: str = "conv_id") -> DataFrame:
+    """(scene_id, start, len): dialogues laid end to end in ``order_col`` order."""
     sizes = tagged.groupBy(order_col, "scene_id").agg(F.count(F.lit(1)).alias("len"))
-    starts = prefix_sum(sizes, order_col, "len")
-    j = tagged.select("scene_id", "pos", "emotion_id").join(starts.select("scene_id", "start"), "scene_id")
+    return prefix_sum(sizes, order_col, "len").select("scene_id", "start", "len")
+
+
+def flatten_labels(tagged: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Per-turn labels -> the flat (idx, label) list of the legacy label dump."""
+    j = tagged.select("scene_id", "pos", "emotion_id").join(offsets.select("scene_id", "start"), "scene_id")
     return j.select((F.col("start") + F.col("pos")).alias("idx"),
                     F.col("emotion_id").cast("double").alias("label"))
 

@@ -137,11 +137,8 @@ def stratified_split(spark, sf_dir):
 @query
 def emotion_regroup(spark, sf_dir):
     tagged = tagged_turns(spark, sf_dir)
-    sizes = tagged.groupBy("conv_id", "scene_id").agg(F.count(F.lit(1)).alias("len"))
-    dialogs = D.prefix_sum(sizes, "conv_id", "len")
-    flat = tagged.select("scene_id", "pos", "emotion_id").join(dialogs.select("scene_id", "start"), "scene_id") \
-        .select((F.col("start") + F.col("pos")).alias("idx"), F.col("emotion_id").cast("double").alias("label"))
-    return D.regroup_labels(flat, dialogs.select("scene_id", "start", "len"))
+    offsets = D.dialog_offsets(tagged, "conv_id")
+    return D.regroup_labels(D.flatten_labels(tagged, offsets), offsets)
 
 
 # --- lexicon and word statistics --------------------------------------------
