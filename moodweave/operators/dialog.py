@@ -47,9 +47,8 @@ def prefix_len(n: Column, flow_len: Column) -> Column:
 
 def flow_prefix(turns: DataFrame, lens=K.FLOW_LENS) -> DataFrame:
     """Every turn that falls in the first int(n * flow_len) turns, per length."""
-    spark = turns.sparkSession
     t = turns.join(scene_sizes(turns), "scene_id")
-    t = t.crossJoin(F.broadcast(flow_lengths(spark, lens)))  # 4 literal rows
+    t = t.withColumn("flow_len", F.explode(F.array(*[F.lit(float(x)) for x in lens])))
     return t.where(F.col("pos") < prefix_len(F.col("n_turns"), F.col("flow_len"))).drop("n_turns")
 
 

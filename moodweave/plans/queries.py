@@ -220,9 +220,8 @@ def class_tfidf_diff(spark, sf_dir):
 def threshold_sweep(spark, sf_dir):
     e = _essays(spark, sf_dir)
     s = LX.big_five(LX.vad_matched(LX.vad_sums(e, ["doc_id", "labels"], "utterance", V.lexicon(spark))))
-    th = spark.createDataFrame([(i,) for i in range(10)], "i int").coalesce(1) \
-        .select((F.col("i") / 10.0).alias("threshold"))
-    p = s.select("labels", "A").crossJoin(F.broadcast(th)) \
+    p = s.select("labels", "A", F.explode(F.array(*[F.lit(i) for i in range(10)])).alias("i")) \
+        .withColumn("threshold", F.col("i") / 10.0) \
         .withColumn("pred", (F.col("A") >= F.col("threshold")).cast("int"))
     from moodweave.operators.evaluate import binary_metrics
     return binary_metrics(p, "labels", "pred", ["threshold"]).select(
