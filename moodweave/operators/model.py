@@ -9,11 +9,14 @@ the classifier is refitted per grid value, on cached feature vectors.
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from moodweave.operators.evaluate import binary_metrics
 
@@ -32,7 +35,7 @@ def feature_pipeline(text_col: str, vocab_size: int = 1 << 16) -> Pipeline:
 
 
 def train_select_score(df: DataFrame, text_col: str, label: str, id_col: str,
-                       grid=(0.01, 0.1, 1.0), vocab_size: int = 1 << 16) -> DataFrame:
+                       grid=(0.01, 0.1, 1.0), vocab_size: int = 1 << 16, parallelism: int = 3) -> DataFrame:
     """``df`` has a ``split`` column; returns test rows with prediction and chosen reg_param."""
     data = df.select(id_col, text_col, label, "split").withColumn(label, F.col(label).cast("double"))
     # tokenise once; both feature fits and the final transform reuse the tokens
@@ -44,16 +47,22 @@ def train_select_score(df: DataFrame, text_col: str, label: str, id_col: str,
     fx = idf.transform(tf).select(id_col, label, "split", "_features").cache()
     train = fx.where(is_train)
     valid = fx.where(F.col("split") == "valid")
-    best = None
-    for rp in grid:  # a handful of settings; each fit is a distributed job
+    def fit_and_score(rp):
         lr = LogisticRegression(featuresCol="_features", labelCol=label, regParam=rp, maxIter=25)
         model = lr.fit(train)
         pv = model.transform(valid).select(F.col(label).cast("int").alias("y"),
                                            F.col("prediction").cast("int").alias("p"))
         row = binary_metrics(pv, "y", "p").select("f1").first()
-        f1 = row[0] if row is not None else 0.0
-        if best is None or f1 > best[0]:
-            best = (f1, rp, model)
+        return (row[0] if row is not None else 0.0), rp, model
+
+    # Independent settings are fitted concurrently (as Spark ML tuning does with
+    # ``parallelism``); every fit is itself a distributed job.
+    with ThreadPool(min(len(grid), parallelism)) as pool:
+        results = pool.map(inheritable_thread_target(fit_and_score), grid)
+    best = None
+    for res in results:  # grid order: a later setting must be strictly better
+        if best is None or res[0] > best[0]:
+            best = res
     tok.unpersist()
     _, rp, model = best
     return model.transform(fx.where(F.col("split") == "test")).select(

@@ -21,8 +21,12 @@ def row_count_at_most(df: DataFrame, bound: int) -> bool:
 
 
 def bounded_broadcast(df: DataFrame, bound: int = BROADCAST_MAX_ROWS, known_small: bool = False) -> DataFrame:
-    """Broadcast hint only when the row count is proven to be <= bound."""
-    if known_small or row_count_at_most(df, bound):
+    """Broadcast hint only when the row count is proven to be <= bound.
+
+    Driver-local literal tables (``isLocal``) already live on the driver and
+    are bounded by construction; anything else is counted up to bound + 1.
+    """
+    if known_small or df.isLocal() or row_count_at_most(df, bound):
         return F.broadcast(df)
     return df
 
