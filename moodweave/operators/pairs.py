@@ -119,3 +119,20 @@ def input_mode(samples: DataFrame, mode: str) -> str:
     """Which column feeds the classifier in each input mode."""
     return {"speaker": "utterance", "speaker_context": "context", "dialog": "sent",
             "features": "pooled"}[mode]
+
+
+def write_sweep(pairs_df: DataFrame, splits: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """One partition per (trait, flow_len, seed, split).
+
+    The sweep multiplies rows by the number of seeds, so the split is assigned
+    on the narrow key table (``splits``: scene_id, character, trait, flow_len,
+    seed, split) and the wide text columns join only at write time.
+    """
+    keys = ["scene_id", "character", "trait", "flow_len"]
+    out = splits.select(*keys, "seed", "split").join(pairs_df, keys)
+    w = out.write.mode("overwrite").partitionBy("trait", "flow_len", "seed", "split")
+    if fmt == "tsv":
+        from moodweave.sources.files import TEXT_WRITE
+        w.options(**TEXT_WRITE).option("sep", "\t").csv(path)
+    else:
+        w.parquet(path)

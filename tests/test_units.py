@@ -349,3 +349,26 @@ def test_model_plug_in_scores_in_arrow_batches(spark):
     got = {r.pos: r.emotion for r in affect.tag_with_model(turns, scorer, ["neutral", "joy", "anger"],
                                                            ["scene_id", "pos"]).collect()}
     assert got == {0: "joy", 1: "anger", 2: "neutral"}
+
+
+def test_write_sweep_partitions_and_counts(spark, tmp_dir):
+    from conftest import SF_SMALL
+    from moodweave.sources import fixtures as V
+    turns = V.v_turns(spark, SF_SMALL)
+    tags = affect.emotion_tag(turns, V.lexicon(spark))
+    texts = pairs.pair_texts(turns, tags, V.v_characters(spark, SF_SMALL))
+    pr = pairs.nli_pairs(texts, V.v_traits(spark, SF_SMALL), V.descriptions(spark))
+    sp = S.sweep_split(pairs.sweep_keys(V.v_traits(spark, SF_SMALL)), ["scene_id", "character"])
+    pairs.write_sweep(pr, sp, f"{tmp_dir}/sweep")
+    back = spark.read.parquet(f"{tmp_dir}/sweep")
+    assert back.count() == pr.count() * len(K.SEEDS)
+    one = back.where("trait = 'A' AND flow_len = 0.5 AND seed = 42")
+    assert one.select("scene_id", "character").distinct().count() == one.count()
+    assert {r.split for r in back.select("split").distinct().collect()} <= {"train", "valid", "test"}
+
+
+def test_append_results_accumulates(spark, tmp_dir):
+    df = spark.createDataFrame([("A", 0, 0.5)], "trait string, seed int, acc double")
+    FS.append_results(df, f"{tmp_dir}/res")
+    FS.append_results(df, f"{tmp_dir}/res")
+    assert spark.read.parquet(f"{tmp_dir}/res").count() == 2
