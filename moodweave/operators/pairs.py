@@ -115,10 +115,18 @@ def model_inputs(pairs_df: DataFrame, input_col: str = "affective_dialog") -> Da
                            "pos_personality_description", "neg_personality_description", "label")
 
 
-def input_mode(samples: DataFrame, mode: str) -> str:
-    """Which column feeds the classifier in each input mode."""
-    return {"speaker": "utterance", "speaker_context": "context", "dialog": "sent",
-            "features": "pooled"}[mode]
+# Input modes -> the sample columns that feed the classifier
+INPUT_MODES = {
+    "speaker": ["utterance"],                 # speaker's own turns (dialog.speaker_text)
+    "speaker_context": ["utterance", "context"],  # plus the others' turns (dialog.context_text)
+    "dialog": ["sent"],                       # whole dialogue (dialog.dialog_text)
+    "features": [f"p_{n}" for _, n in K.TAG_EMOTIONS],  # pooled emotions (affect.speaker_pool)
+}
+
+
+def input_columns(mode: str) -> list[str]:
+    """The columns an input mode reads."""
+    return INPUT_MODES[mode]
 
 
 def write_sweep(pairs_df: DataFrame, splits: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -22,11 +22,20 @@ def trait_labels(traits: DataFrame, ids: list[str] = ("scene_id", "character"))
                        F.coalesce(F.col("flag"), F.lit(False)).cast("int").alias("label"))
 
 
-def trait_value_counts(traits: DataFrame) -> DataFrame:
-    """Count of each flag value per trait; nulls are not counted."""
+def trait_value_counts(traits: DataFrame, ordered: bool = False) -> DataFrame:
+    """Count of each flag value per trait; nulls are not counted.
+
+    F3: ``ordered`` sorts by (trait, flag) -- once, at the end, on the tiny result.
+    """
     long = trait_labels(traits)
-    return long.where(F.col("flag").isNotNull()).groupBy("trait", "flag") \
+    out = long.where(F.col("flag").isNotNull()).groupBy("trait", "flag") \
         .agg(F.count(F.lit(1)).alias("n"))
+    return out.orderBy("trait", "flag") if ordered else out
+
+
+def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    """the first rows for a look (a limit, never a collect of the table)."""
+    return df.limit(n)
 
 
 def keep_roles(df: DataFrame, roles: list[str], col: str = "character") -> DataFrame:

@@ -142,6 +142,7 @@ def emotion_regroup(spark, sf_dir):
 
 
 # --- lexicon and word statistics --------------------------------------------
+from moodweave.operators import evaluate as EV  # noqa: E402
 from moodweave.operators import lexicon as LX, wordstats as WS  # noqa: E402
 from moodweave.functions.numeric import round6  # noqa: E402
 
@@ -220,12 +221,8 @@ def class_tfidf_diff(spark, sf_dir):
 def threshold_sweep(spark, sf_dir):
     e = _essays(spark, sf_dir)
     s = LX.big_five(LX.vad_matched(LX.vad_sums(e, ["doc_id", "labels"], "utterance", V.lexicon(spark))))
-    p = s.select("labels", "A", F.explode(F.array(*[F.lit(i) for i in range(10)])).alias("i")) \
-        .withColumn("threshold", F.col("i") / 10.0) \
-        .withColumn("pred", (F.col("A") >= F.col("threshold")).cast("int"))
-    from moodweave.operators.evaluate import binary_metrics
-    return binary_metrics(p, "labels", "pred", ["threshold"]).select(
-        "threshold", "n", *_r6("accuracy", "f1"))
+    m = EV.threshold_sweep(s, "A", "labels", [i / 10.0 for i in range(10)])
+    return m.select("threshold", "n", *_r6("accuracy", "f1"))
 
 
 # --- scoring and evaluation --------------------------------------------------
