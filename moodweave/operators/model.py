@@ -58,7 +58,7 @@ def train_select_score(df: DataFrame, text_col: str, label: str, id_col: str,
     # Independent settings are fitted concurrently (as Spark ML tuning does with
     # ``parallelism``); every fit is itself a distributed job.
     with ThreadPool(min(len(grid), parallelism)) as pool:
-        results = pool.map(inheritable_thread_target(fit_and_score), grid)
+        results = pool.map(inheritable_thread_target(data.sparkSession)(fit_and_score), grid)
     best = None
     for res in results:  # grid order: a later setting must be strictly better
         if best is None or res[0] > best[0]:
