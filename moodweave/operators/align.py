@@ -51,18 +51,19 @@ def _match(t: Column, u: Column) -> Column:
     return (t == u) | u.contains(t) | t.contains(u)
 
 
-def _substrings(text: Column, k: int) -> Column:
-    """Distinct substrings of length 1..k at every start (the haystack keys)."""
+def _short_substrings(text: Column, k: int) -> Column:
+    """Distinct substrings of length 1..k-1 at every start (keys for needles shorter than k)."""
     n = F.length(text)
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    grams = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(k), n - i + 1)), lambda m: F.substring(text, i, m))))
-    return F.array_distinct(F.when(n > 0, grams).otherwise(F.array().cast("array<string>")))
+    subs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(k - 1), n - i + 1)), lambda m: F.substring(text, i, m))))
+    return F.array_distinct(F.when(n > 0, subs).otherwise(F.array().cast("array<string>")))
 
 
 def _kgrams(text: Column, k: int) -> Column:
+    """Distinct substrings of length exactly k (empty when the text is shorter)."""
     n = F.length(text)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(text, i, k)))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(text, i, k))
+    return F.array_distinct(F.when(n >= k, grams).otherwise(F.array().cast("array<string>")))
 
 
 def _gram_candidates(needles: DataFrame, hay: DataFrame, needle_col: str, hay_col: str,
@@ -70,13 +71,16 @@ def _gram_candidates(needles: DataFrame, hay: DataFrame, needle_col: str, hay_co
     """Pairs (needle row, hay row) in the same block where hay contains needle (needle non-empty).
 
     A needle of length >= k is keyed by its k-gram that is rarest among the
-    block's haystack substrings; a shorter needle by itself.  Either key is a
-    substring of every haystack containing the needle, so no match is lost.
+    block's haystack k-grams; a shorter needle by itself, against the
+    haystack's substrings shorter than k.  Either key is a substring of every
+    haystack containing the needle, so no match is lost.
     """
-    # The exploded gram table is far larger than its estimate (the planner sizes a
-    # Generate like its child): pin its joins to sort-merge so it is never broadcast.
-    hay_keys = hay.select("*", F.explode(_substrings(F.col(hay_col), k)).alias("key")).hint("merge")
-    freq = hay_keys.groupBy(*BLOCK, "key").agg(F.count(F.lit(1)).alias("f")).hint("merge")
+    assert k >= 2
+    # Exploded tables are far larger than the planner's estimate (a Generate is
+    # sized like its child): pin their joins to sort-merge so none is broadcast.
+    hay_k = hay.select("*", F.explode(_kgrams(F.col(hay_col), k)).alias("key")).hint("merge")
+    hay_s = hay.select("*", F.explode(_short_substrings(F.col(hay_col), k)).alias("key")).hint("merge")
+    freq = hay_k.groupBy(*BLOCK, "key").agg(F.count(F.lit(1)).alias("f")).hint("merge")
     ne = needles.where(F.length(needle_col) > 0)
     short = ne.where(F.length(needle_col) < k).withColumn("key", F.col(needle_col))
     long_ = ne.where(F.length(needle_col) >= k)
@@ -85,8 +89,7 @@ def _gram_candidates(needles: DataFrame, hay: DataFrame, needle_col: str, hay_co
     lk = lk.join(freq, BLOCK + ["key"], "left").withColumn("f", F.coalesce("f", F.lit(0)))
     best = lk.groupBy(*ids).agg(F.min_by("key", F.struct("f", "key")).alias("key"))
     long_ = long_.join(best, ids)
-    keyed = short.unionByName(long_)
-    j = keyed.join(hay_keys, BLOCK + ["key"])
+    j = short.join(hay_s, BLOCK + ["key"]).unionByName(long_.join(hay_k, BLOCK + ["key"]))
     return j.where(F.col(hay_col).contains(F.col(needle_col)))
 
 

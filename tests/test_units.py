@@ -372,3 +372,17 @@ def test_append_results_accumulates(spark, tmp_dir):
     FS.append_results(df, f"{tmp_dir}/res")
     FS.append_results(df, f"{tmp_dir}/res")
     assert spark.read.parquet(f"{tmp_dir}/res").count() == 2
+
+
+def test_alignment_short_needles_both_directions(spark):
+    turns = spark.createDataFrame([("01_e02_c5", 0, "Ann X", "yo yo ma"), ("01_e02_c5", 1, "Ann X", "ok"),
+                                   ("01_e02_c5", 2, "Ann X", "abcdefgh"), ("01_e02_c5", 3, "Ann X", "zz")], TURNS)
+    ann = spark.createDataFrame([
+        (1, 2, "Ann", "yo", "Joyful", 7),          # short annotation inside turn 0
+        (1, 2, "Ann", "ok then", "Mad", 9),        # short turn 1 inside this annotation
+        (1, 2, "Ann", "cdef", "Sad", 11),          # exactly k long, inside turn 2
+        (1, 2, "Ann", "xbcdefghx", "Scared", 3),   # contains turn 2 ("bcdefgh" is not the whole turn)
+    ], "Season int, Episode int, Speaker string, Utterance string, Emotion string, ann_order bigint")
+    for mp in (10 ** 9, 0):
+        got = {r.pos: r.emotion for r in align.align(turns, ann, "emory", max_pairs=mp).collect()}
+        assert got == {0: "Joyful", 1: "Mad", 2: "Sad", 3: None}, mp
