@@ -708,3 +708,26 @@ SELECT scene_id, "character", trait, flow_len, label, label AS nli_label,
        pos_d AS personality_description, sp AS sentence1, pos_d AS sentence2,
        sp || ' ; ' || pos_d || '; Is it correct? <mask>.' AS model_input
 FROM j""")
+
+_ANN_NAMES = ", ".join(f"('{n}')" for n, _ in K.ANNOTATION_CODES)
+ORACLE["aligned_distribution"] = with_ctes(["v_annotations", "trait_long"], ",\n" + _align_sql("emory") + f""",
+emory_sp AS (
+  SELECT e.scene_id, e.pos, e.emotion, t.speaker
+  FROM emory e JOIN v_turns t ON t.scene_id = e.scene_id AND t.pos = e.pos),
+own AS (
+  SELECT s.trait, s.flag, e.emotion, count(*) AS n
+  FROM trait_long s
+  JOIN emory_sp e ON e.scene_id = s.scene_id
+   AND split_part(e.speaker, ' ', 1) = split_part(s."character", ' ', 1)
+  WHERE s.flag IS NOT NULL AND e.emotion IS NOT NULL
+    AND e.pos < (SELECT max(pos) FROM v_turns x WHERE x.scene_id = e.scene_id)
+  GROUP BY ALL),
+nm AS (SELECT * FROM (VALUES ('A', 'AGR'), ('C', 'CON'), ('E', 'EXT'), ('O', 'OPN'), ('N', 'NEU')) v(trait, nm)),
+grid AS (
+  SELECT nm.trait, f.flag, e.emotion, nm.nm
+  FROM nm, (VALUES (true), (false)) f(flag), (VALUES {_ANN_NAMES}) e(emotion))
+SELECT g.trait, CAST(g.flag AS INTEGER) AS label,
+       CASE WHEN g.flag THEN g.nm ELSE 'non-' || g.nm END AS personality,
+       g.emotion, CAST(coalesce(o.n, 0) AS BIGINT) AS n,
+       {R6("coalesce(o.n, 0) / nullif(sum(coalesce(o.n, 0)) OVER (PARTITION BY g.trait, g.flag), 0)")} AS share
+FROM grid g LEFT JOIN own o ON o.trait = g.trait AND o.flag = g.flag AND o.emotion = g.emotion""")

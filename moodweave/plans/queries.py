@@ -392,3 +392,17 @@ def nli_pairs_whole(spark, sf_dir):
     tags = affect.emotion_tag(turns, V.lexicon(spark))
     texts = P.pair_texts(turns, tags, V.v_characters(spark, sf_dir), speaker_name="Speaker", cut=False)
     return P.nli_pairs(texts, V.v_traits(spark, sf_dir), V.descriptions(spark))
+
+
+@query
+def aligned_distribution(spark, sf_dir):
+    """Distribution of the corpus-aligned emotions of own turns per trait and polarity.
+
+    Unlabelled turns (null) fall outside the dense grid of annotation names;
+    the last turn of each dialogue is excluded as for the tagger's emotions.
+    """
+    turns = V.v_turns(spark, sf_dir)
+    aligned = AL.align(turns, V.v_annotations(spark, sf_dir), "emory")
+    with_speaker = aligned.join(turns.select("scene_id", "pos", "speaker"), ["scene_id", "pos"])
+    names = [n for n, _ in K.ANNOTATION_CODES]
+    return patterns.emotion_distribution(with_speaker, V.v_traits(spark, sf_dir), emotions=names)
