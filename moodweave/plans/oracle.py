@@ -731,3 +731,22 @@ SELECT g.trait, CAST(g.flag AS INTEGER) AS label,
        g.emotion, CAST(coalesce(o.n, 0) AS BIGINT) AS n,
        {R6("coalesce(o.n, 0) / nullif(sum(coalesce(o.n, 0)) OVER (PARTITION BY g.trait, g.flag), 0)")} AS share
 FROM grid g LEFT JOIN own o ON o.trait = g.trait AND o.flag = g.flag AND o.emotion = g.emotion""")
+
+ORACLE["emotion_transition_seven"] = with_ctes(["tagged", "trait_long"], """,
+pairs AS (
+  SELECT a.scene_id, a.emotion AS e_from, b.emotion AS e_to, b.speaker AS spk_to, a.speaker AS spk_from
+  FROM tagged a JOIN tagged b ON b.scene_id = a.scene_id AND b.pos = a.pos + 1),
+hits AS (
+  SELECT s.trait, p.e_from, p.e_to, count(*) AS n
+  FROM trait_long s JOIN pairs p ON p.scene_id = s.scene_id
+  WHERE s.flag
+    AND split_part(p.spk_from, ' ', 1) <> split_part(s."character", ' ', 1)
+    AND split_part(p.spk_to, ' ', 1) = split_part(s."character", ' ', 1)
+  GROUP BY ALL),
+emos AS (SELECT * FROM (VALUES ('neutral'), ('joy'), ('surprise'), ('anger'), ('sadness'), ('fear'), ('disgust')) e(e)),
+grid AS (
+  SELECT t.trait, f.e AS e_from, g.e AS e_to
+  FROM (VALUES ('A'), ('C'), ('E'), ('O'), ('N')) t(trait), emos f, emos g)
+SELECT g.trait, g.e_from, g.e_to, CAST(coalesce(h.n, 0) AS BIGINT) AS n,
+       (round(coalesce(h.n, 0) / nullif(sum(coalesce(h.n, 0)) OVER (PARTITION BY g.trait, g.e_from), 0) * 1e6) / 1e6 + 0.0) AS ratio
+FROM grid g LEFT JOIN hits h USING (trait, e_from, e_to)""")

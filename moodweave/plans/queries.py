@@ -406,3 +406,9 @@ def aligned_distribution(spark, sf_dir):
     with_speaker = aligned.join(turns.select("scene_id", "pos", "speaker"), ["scene_id", "pos"])
     names = [n for n, _ in K.ANNOTATION_CODES]
     return patterns.emotion_distribution(with_speaker, V.v_traits(spark, sf_dir), emotions=names)
+
+
+@query
+def emotion_transition_seven(spark, sf_dir):
+    """7 x 7 variant: pairs touching neutral are kept."""
+    return patterns.emotion_transition(tagged_turns(spark, sf_dir), V.v_traits(spark, sf_dir), mode="seven")

@@ -18,7 +18,7 @@ def con():
 def test_every_query_is_registered_with_an_oracle_or_is_rows_only():
     rows_only = set(QUERIES) - set(ORACLES)
     assert rows_only == {"trait_classifier"}
-    assert len(QUERIES) == 50
+    assert len(QUERIES) == 51
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
