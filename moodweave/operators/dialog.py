@@ -89,19 +89,41 @@ def speaker_mask(turns: DataFrame, characters: DataFrame) -> DataFrame:
         (F.col("pos") == F.col("n_turns") - 1).cast("int").alias("is_last"))
 
 
-def speaker_text(turns: DataFrame, characters: DataFrame) -> DataFrame:
-    """Own turns (exact full-name match), each preceded by a blank; '' when none."""
-    own = turns.groupBy("scene_id", F.col("speaker").alias("character")).agg(
-        F.expr("listagg(concat(' ', text), '') within group (order by pos)").alias("utterance"))
-    return characters.select("scene_id", "character").join(own, ["scene_id", "character"], "left") \
+def _owner_test(match: str):
+    """Which turns belong to the character: exact full name, or equal first words."""
+    if match == "exact":
+        return lambda spk, ch: spk == ch
+    if match == "first_word":
+        return lambda spk, ch: first_word_exact(spk) == first_word_exact(ch)
+    raise ValueError(match)
+
+
+def speaker_text(turns: DataFrame, characters: DataFrame, match: str = "exact") -> DataFrame:
+    """Own turns, each preceded by a blank; '' when none.
+
+    ``exact`` compares full names; ``first_word`` compares the first words
+    (a variant used by one of the baseline classifiers).
+    """
+    c = characters.select("scene_id", "character")
+    if match == "exact":  # own turns are a plain group by (scene, speaker): no fan-out
+        own = turns.groupBy("scene_id", F.col("speaker").alias("character")).agg(
+            F.expr("listagg(concat(' ', text), '') within group (order by pos)").alias("utterance"))
+    else:
+        owns = _owner_test(match)
+        j = c.join(turns.select("scene_id", "pos", "speaker", "text"), "scene_id") \
+            .where(owns(F.col("speaker"), F.col("character")))
+        own = j.groupBy("scene_id", "character").agg(
+            F.expr("listagg(concat(' ', text), '') within group (order by pos)").alias("utterance"))
+    return c.join(own, ["scene_id", "character"], "left") \
         .select("scene_id", "character", F.coalesce("utterance", F.lit("")).alias("utterance"))
 
 
-def context_text(turns: DataFrame, characters: DataFrame) -> DataFrame:
+def context_text(turns: DataFrame, characters: DataFrame, match: str = "exact") -> DataFrame:
     """Other speakers' turns, each preceded by a blank; '' when none."""
+    owns = _owner_test(match)
     c = characters.select("scene_id", "character")
     j = c.join(turns.select("scene_id", "pos", "speaker", "text"), "scene_id", "left") \
-        .where(F.col("speaker").isNull() | (F.col("speaker") != F.col("character")))
+        .where(F.col("speaker").isNull() | ~owns(F.col("speaker"), F.col("character")))
     g = j.groupBy("scene_id", "character").agg(
         F.expr("listagg(concat(' ', text), '') within group (order by pos)").alias("context"))
     return c.join(g, ["scene_id", "character"], "left") \

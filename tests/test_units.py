@@ -386,3 +386,10 @@ def test_alignment_short_needles_both_directions(spark):
     for mp in (10 ** 9, 0):
         got = {r.pos: r.emotion for r in align.align(turns, ann, "emory", max_pairs=mp).collect()}
         assert got == {0: "Joyful", 1: "Mad", 2: "Sad", 3: None}, mp
+
+
+def test_first_word_variant_of_dialogue_texts(spark):
+    t = _dialogue(spark)
+    c = spark.createDataFrame([("s", "Una Smith")], "scene_id string, character string")
+    assert dialog.speaker_text(t, c, match="first_word").first().utterance == " a c d"
+    assert dialog.context_text(t, c, match="first_word").first().context == " b"
