@@ -56,8 +56,10 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "text" not in p2.split("ReadSchema")[1].split("\n")[0] or "struct<doc_id:bigint>" in p2
 
 
-@pytest.mark.parametrize("name", ["emotion_transition", "align_emory", "premise_dialog", "class_tfidf",
-                                  "stratified_split", "emotion_regroup", "encode_ids"])
+@pytest.mark.parametrize("name", ["emotion_transition", "align_emory", "align_meld", "premise_dialog",
+                                  "class_tfidf", "class_top_words", "stratified_split", "nli_sweep_split",
+                                  "emotion_regroup", "encode_ids", "speaker_pool", "result_grid",
+                                  "aligned_distribution"])
 def test_same_result_at_1_and_64_shuffle_partitions(spark, name):
     res = []
     for n in ("1", "64"):
