@@ -12,8 +12,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodweave.sources import fixtures as V
+from moodweave import constants as K
+from moodweave.functions.numeric import round6
 from moodweave.operators import affect, patterns, traits as TR
+from moodweave.operators import align as AL
+from moodweave.operators import dialog as D
+from moodweave.operators import encode as EN
+from moodweave.operators import evaluate as EV
+from moodweave.operators import lexicon as LX
+from moodweave.operators import model as ML
+from moodweave.operators import pairs as P
+from moodweave.operators import split as S
+from moodweave.operators import wordstats as WS
+from moodweave.session import scratch_path
+from moodweave.sources import files as FS
+from moodweave.sources import fixtures as V
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -55,8 +68,6 @@ def trait_value_counts(spark, sf_dir):
 
 
 # --- dialogue structure ------------------------------------------------------
-from moodweave.operators import dialog as D, pairs as P, split as S  # noqa: E402
-from moodweave import constants as K  # noqa: E402
 
 
 @query
@@ -142,9 +153,6 @@ def emotion_regroup(spark, sf_dir):
 
 
 # --- lexicon and word statistics --------------------------------------------
-from moodweave.operators import evaluate as EV  # noqa: E402
-from moodweave.operators import lexicon as LX, wordstats as WS  # noqa: E402
-from moodweave.functions.numeric import round6  # noqa: E402
 
 
 def _doc_sums(spark, sf_dir):
@@ -226,7 +234,6 @@ def threshold_sweep(spark, sf_dir):
 
 
 # --- scoring and evaluation --------------------------------------------------
-from moodweave.operators import evaluate as EV  # noqa: E402
 
 
 @query
@@ -285,7 +292,6 @@ def result_grid(spark, sf_dir):
 
 
 # --- corpus alignment --------------------------------------------------------
-from moodweave.operators import align as AL  # noqa: E402
 
 
 def _aligned(spark, sf_dir, variant, **kw):
@@ -317,7 +323,6 @@ def labelled_dialogs(spark, sf_dir):
 
 
 # --- encodings ---------------------------------------------------------------
-from moodweave.operators import encode as EN  # noqa: E402
 
 
 def _unpivoted(spark, sf_dir):
@@ -354,9 +359,6 @@ def segment_ids(spark, sf_dir):
 
 
 # --- sources, sinks and the model shell --------------------------------------
-from moodweave.session import scratch_path  # noqa: E402
-from moodweave.sources import files as FS  # noqa: E402
-from moodweave.operators import model as ML  # noqa: E402
 
 ESSAY_SCHEMA = "doc_id bigint, utterance string, labels int"
 
