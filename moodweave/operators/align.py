@@ -67,30 +67,39 @@ def _kgrams(text: Column, k: int) -> Column:
 
 
 def _gram_candidates(needles: DataFrame, hay: DataFrame, needle_col: str, hay_col: str,
-                     needle_id: list[str], k: int) -> DataFrame:
+                     k: int) -> DataFrame:
     """Pairs (needle row, hay row) in the same block where hay contains needle (needle non-empty).
 
     A needle of length >= k is keyed by its k-gram that is rarest among the
     block's haystack k-grams; a shorter needle by itself, against the
     haystack's substrings shorter than k.  Either key is a substring of every
     haystack containing the needle, so no match is lost.
+
+    Exploded gram rows carry a 64-bit hash of their text, never the text (a
+    text of length L yields ~L rows: carrying it would cost L^2 bytes).  The
+    texts join back once per candidate and ``contains`` decides; a hash
+    collision can only add a candidate, never lose one.
     """
     assert k >= 2
+    nd = needles.where(F.length(needle_col) > 0).withColumn("_nh", F.xxhash64(needle_col))
+    hd = hay.withColumn("_hh", F.xxhash64(hay_col))
     # Exploded tables are far larger than the planner's estimate (a Generate is
     # sized like its child): pin their joins to sort-merge so none is broadcast.
-    hay_k = hay.select("*", F.explode(_kgrams(F.col(hay_col), k)).alias("key")).hint("merge")
-    hay_s = hay.select("*", F.explode(_short_substrings(F.col(hay_col), k)).alias("key")).hint("merge")
+    hay_k = hd.select(*BLOCK, "_hh", _kgrams(F.col(hay_col), k).alias("_g")) \
+        .select(*BLOCK, "_hh", F.explode("_g").alias("key")).hint("merge")
+    hay_s = hd.select(*BLOCK, "_hh", _short_substrings(F.col(hay_col), k).alias("_g")) \
+        .select(*BLOCK, "_hh", F.explode("_g").alias("key")).hint("merge")
     freq = hay_k.groupBy(*BLOCK, "key").agg(F.count(F.lit(1)).alias("f")).hint("merge")
-    ne = needles.where(F.length(needle_col) > 0)
-    short = ne.where(F.length(needle_col) < k).withColumn("key", F.col(needle_col))
-    long_ = ne.where(F.length(needle_col) >= k)
-    ids = list(dict.fromkeys(BLOCK + needle_id))  # natural, unique needle key
-    lk = long_.select(*ids, F.explode(_kgrams(F.col(needle_col), k)).alias("key"))
+    short = nd.where(F.length(needle_col) < k).select(*BLOCK, "_nh", F.col(needle_col).alias("key"))
+    lk = nd.where(F.length(needle_col) >= k).select(*BLOCK, "_nh", _kgrams(F.col(needle_col), k).alias("_g")) \
+        .select(*BLOCK, "_nh", F.explode("_g").alias("key"))
     lk = lk.join(freq, BLOCK + ["key"], "left").withColumn("f", F.coalesce("f", F.lit(0)))
-    best = lk.groupBy(*ids).agg(F.min_by("key", F.struct("f", "key")).alias("key"))
-    long_ = long_.join(best, ids)
-    j = short.join(hay_s, BLOCK + ["key"]).unionByName(long_.join(hay_k, BLOCK + ["key"]))
-    return j.where(F.col(hay_col).contains(F.col(needle_col)))
+    best = lk.groupBy(*BLOCK, "_nh").agg(F.min_by("key", F.struct("f", "key")).alias("key"))
+    # each needle has one key and gram lists are distinct per text: pairs are unique
+    pairs = short.join(hay_s, BLOCK + ["key"]).unionByName(best.join(hay_k, BLOCK + ["key"])) \
+        .select(*BLOCK, "_nh", "_hh")
+    j = pairs.join(nd, BLOCK + ["_nh"]).join(hd, BLOCK + ["_hh"])
+    return j.where(F.col(hay_col).contains(F.col(needle_col))).drop("_nh", "_hh")
 
 
 def _maybe_hot(turns: DataFrame, ann: DataFrame, variant: str, max_pairs: int) -> bool:
@@ -139,8 +148,8 @@ def align(turns: DataFrame, ann: DataFrame, variant: str = "emory", max_pairs: i
     # hot blocks: exact gram candidates in both directions, never all pairs
     thot = th.where(F.col("hot")).drop("hot")
     ahot = ah.where(F.col("hot")).drop("hot")
-    c1 = _gram_candidates(ahot, thot, "u", "t", ["u"], k).select(*out)
-    c2 = _gram_candidates(thot, ahot, "t", "u", ["t"], k).select(*out)
+    c1 = _gram_candidates(ahot, thot, "u", "t", k).select(*out)
+    c2 = _gram_candidates(thot, ahot, "t", "u", k).select(*out)
     # empty texts: an empty annotation is in every turn, an empty turn in every annotation
     hs = stats.where(F.col("hot"))
     e1 = thot.join(hs.where(F.col("first_empty").isNotNull()), BLOCK) \
