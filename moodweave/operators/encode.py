@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodweave.functions.text import first_word_exact, lexicon_tokens, list_literal
-from moodweave.plans.scale import bounded_broadcast, dense_index, global_rank, prefix_sum
+from moodweave.plans.scale import dense_index, global_rank, prefix_sum
 
 PAD, CLS, SEP, UNK = 0, 1, 2, 3
 FIRST_WORD_ID = 4
@@ -27,9 +27,9 @@ def unpivot_triples(wide: DataFrame, keys: list[str], n: int = 3,
 
 def label_encode(df: DataFrame, col: str, out: str = "label_id") -> DataFrame:
     """Sorted distinct names -> 0..k-1; null stays null."""
-    idx = dense_index(df, col, out)
-    # a label set is small; broadcasting it keeps a frequent label out of one task
-    return df.join(bounded_broadcast(idx), col, "left")
+    # a proven-small label set comes back broadcast, which keeps a frequent
+    # label out of a single join task
+    return df.join(dense_index(df, col, out), col, "left")
 
 
 def pad(arr, width: int, fill) -> "F.Column":

@@ -65,11 +65,13 @@ def dense_index(df: DataFrame, col: str, out: str = "index", bound: int = 100_00
     """0-based index of each distinct non-null value of ``col`` in ascending order.
 
     The distinct table is numbered with a single ordered window only when its
-    size is proven <= bound (a label set); otherwise by ``global_rank``.
+    size is proven <= bound (a label set), and then carries a broadcast hint;
+    otherwise it is numbered by ``global_rank`` and joined without one.
     """
     d = df.select(col).where(F.col(col).isNotNull()).distinct()
     if row_count_at_most(d, bound):
-        return d.withColumn(out, (F.row_number().over(Window.orderBy(col)) - 1).cast("int"))
+        # proven small: numbered in one window and marked for broadcast
+        return F.broadcast(d.withColumn(out, (F.row_number().over(Window.orderBy(col)) - 1).cast("int")))
     r = global_rank(d, [col], "_rk")
     return r.select(col, (F.col("_rk") - 1).cast("int").alias(out))
 
