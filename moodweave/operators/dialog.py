@@ -36,10 +36,6 @@ def scene_sizes(turns: DataFrame) -> DataFrame:
     return turns.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_turns"))
 
 
-def flow_lengths(spark, lens=K.FLOW_LENS) -> DataFrame:
-    return spark.createDataFrame([(float(x),) for x in lens], "flow_len double").coalesce(1)
-
-
 def prefix_len(n: Column, flow_len: Column) -> Column:
     """``int(n * flow_len)``: floor, so a short dialogue can keep zero turns."""
     return F.floor(n * flow_len).cast("int")

@@ -76,9 +76,4 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a file: scheme for local-only helpers (tests)."""
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-__all__ = ["get_session", "checkpoint_root", "scratch_path", "local_path", "DEFAULT_CONF"]
+__all__ = ["get_session", "checkpoint_root", "scratch_path", "DEFAULT_CONF"]
