@@ -393,3 +393,13 @@ def test_first_word_variant_of_dialogue_texts(spark):
     c = spark.createDataFrame([("s", "Una Smith")], "scene_id string, character string")
     assert dialog.speaker_text(t, c, match="first_word").first().utterance == " a c d"
     assert dialog.context_text(t, c, match="first_word").first().context == " b"
+
+
+def test_alignment_mixed_hot_and_cold_blocks_equal_residual_join(spark):
+    from conftest import SF_SMALL
+    from moodweave.sources import fixtures as V
+    turns, ann = V.v_turns(spark, SF_SMALL), V.v_annotations(spark, SF_SMALL)
+    for variant in ("emory", "meld"):
+        base = sorted(map(tuple, align.align(turns, ann, variant).collect()))
+        mixed = sorted(map(tuple, align.align(turns, ann, variant, max_pairs=4).collect()))
+        assert mixed == base, variant
