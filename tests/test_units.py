@@ -403,3 +403,13 @@ def test_alignment_mixed_hot_and_cold_blocks_equal_residual_join(spark):
         base = sorted(map(tuple, align.align(turns, ann, variant).collect()))
         mixed = sorted(map(tuple, align.align(turns, ann, variant, max_pairs=4).collect()))
         assert mixed == base, variant
+
+
+def test_centring_mean_on_all_rows_or_train_only(spark):
+    df = spark.createDataFrame([(1, "A", 1.0, "train"), (2, "A", 3.0, "train"), (3, "A", 8.0, "test")],
+                               "id int, trait string, score double, split string")
+    all_rows = {r.id: r.centered for r in lexicon.center(df, "score", ["trait"]).collect()}
+    train = {r.id: r.centered for r in lexicon.center(df, "score", ["trait"],
+                                                         fit_filter=F.col("split") == "train").collect()}
+    assert all_rows == {1: -3.0, 2: -1.0, 3: 4.0}
+    assert train == {1: -1.0, 2: 1.0, 3: 6.0}
