@@ -71,3 +71,21 @@ def test_bounded_broadcast_only_under_the_bound(spark):
     hinted = bounded_broadcast(small, bound=50)
     p = spark.range(1000).join(hinted, "id")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" in p
+
+
+ALPHABET = "aZé漢Ωß9_ [](),.!?'\"-\t\n  　\u0085ñÜ"
+
+
+@settings(max_examples=30, deadline=None, suppress_health_check=list(HealthCheck))
+@given(texts=st.lists(st.text(alphabet=ALPHABET, max_size=30), min_size=1, max_size=20))
+def test_tokeniser_matches_python_unicode_semantics(spark, texts):
+    import re
+
+    from moodweave.functions.text import lexicon_tokens
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.a, r.b) for r in df.select("i", lexicon_tokens("t").alias("a"),
+                                              lexicon_tokens("t", " ").alias("b")).collect()}
+    for i, t in enumerate(texts):
+        want_a = re.sub(r"[^\w\s\[\]]", "", t.lower()).split()
+        want_b = re.sub(r"[^\w\s\[\]]", " ", t.lower()).split()
+        assert got[i] == (want_a, want_b), repr(t)
