@@ -89,3 +89,26 @@ def test_tokeniser_matches_python_unicode_semantics(spark, texts):
         want_a = re.sub(r"[^\w\s\[\]]", "", t.lower()).split()
         want_b = re.sub(r"[^\w\s\[\]]", " ", t.lower()).split()
         assert got[i] == (want_a, want_b), repr(t)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(docs=st.lists(st.tuples(st.integers(0, 1), st.lists(st.sampled_from(["aa", "bb", "cc", "dd", "éé", "x_1"]),
+                                                             max_size=8)), min_size=2, max_size=15))
+def test_class_tfidf_matches_plain_python(spark, docs):
+    import math as m
+    from collections import Counter
+
+    from moodweave.operators.wordstats import class_tfidf_top
+    rows = [(lab, " ".join(ws)) for lab, ws in docs]
+    df = spark.createDataFrame(rows, "labels int, t string")
+    got = {(r.labels, r.word): r.tfidf for r in class_tfidf_top(df, "labels", "t", k=1000).collect()}
+    classes = sorted({lab for lab, _ in docs})
+    tf = {c: Counter(w for lab, ws in docs if lab == c for w in ws) for c in classes}
+    dfreq = Counter(w for c in classes for w in tf[c])
+    want = {}
+    for c in classes:
+        wts = {w: n * (m.log((1 + len(classes)) / (1 + dfreq[w])) + 1) for w, n in tf[c].items()}
+        norm = m.sqrt(sum(v * v for v in wts.values()))
+        want.update({(c, w): v / norm for w, v in wts.items()})
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
