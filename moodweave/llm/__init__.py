@@ -1 +1,8 @@
 """Training-data pipeline operators: quality, secrets, dedup, packing, scoring, extraction, audit."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodweave.llm import blob_ledger as BL
+from moodweave.llm import hyperminhash as HM
 from moodweave.llm import merkle_fixity as MF
 from moodweave.llm import rule_ledger as RL
 from moodweave.llm import simhash_decon as SD
@@ -38,6 +39,11 @@ def op3_blob_ledger(spark, sf_dir):
                         BL.spans_text(x).alias("spans"))
 
 
+@query
+def op4_hyperminhash(spark, sf_dir):
+    return HM.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_simhash_decon(spark, sf_dir):
     return SD.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
