@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodweave.llm import blob_ledger as BL
+from moodweave.llm import dp_packing as DP
 from moodweave.llm import hyperminhash as HM
 from moodweave.llm import merkle_fixity as MF
 from moodweave.llm import rule_ledger as RL
@@ -44,6 +45,15 @@ def op4_hyperminhash(spark, sf_dir):
     return HM.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_dp_packing(spark, sf_dir):
+    import public_tokenizers
+
+    pieces = DP.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
 @query
 def op8_simhash_decon(spark, sf_dir):
     return SD.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
