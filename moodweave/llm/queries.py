@@ -13,6 +13,7 @@ from moodweave.llm import hyperminhash as HM
 from moodweave.llm import merkle_fixity as MF
 from moodweave.llm import rule_ledger as RL
 from moodweave.llm import simhash_decon as SD
+from moodweave.llm import suffix_tree as ST
 from moodweave.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +55,11 @@ def op5_dp_packing(spark, sf_dir):
                          "sequence_id", "offset")
 
 
+@query
+def op6_suffix_tree(spark, sf_dir):
+    return ST.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_simhash_decon(spark, sf_dir):
     return SD.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
