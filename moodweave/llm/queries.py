@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodweave.llm import blob_ledger as BL
+from moodweave.llm import consensus_html as CH
 from moodweave.llm import dp_packing as DP
 from moodweave.llm import hyperminhash as HM
 from moodweave.llm import merkle_fixity as MF
 from moodweave.llm import rule_ledger as RL
 from moodweave.llm import simhash_decon as SD
 from moodweave.llm import suffix_tree as ST
-from moodweave.llm.common import table
+from moodweave.llm import url_gbt as UG
+from moodweave.llm import zstd_quality as ZQ
+from moodweave.llm.common import crc_mod, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -24,6 +27,14 @@ def query(fn):
     return fn
 
 
+@query
+def op1_zstd_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = ZQ.train(docs, labels, usable=crc_mod("doc_id", 3) != 1)
+    return ZQ.score(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score",
+                                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op2_rule_ledger(spark, sf_dir):
     judged = RL.apply_policy(RL.ledger(table(spark, sf_dir, "documents")), "v2")
@@ -60,11 +71,23 @@ def op6_suffix_tree(spark, sf_dir):
     return ST.score_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_consensus_html(spark, sf_dir):
+    return CH.extract_pages(table(spark, sf_dir, "pages")) \
+        .withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op8_simhash_decon(spark, sf_dir):
     return SD.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op9_url_gbt(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return UG.judge(pages, UG.train(UG.weak_labels(pages.select("url"))))
+
+
 @query
 def op10_merkle_fixity(spark, sf_dir):
     """Audit a damaged replica of the whole page archive.
