@@ -1,6 +1,7 @@
 """Near-duplicate detection with HyperMinHash sketches.
 
-A document is the set of its 2-word shingles, hashed to 64 bits.  Its sketch
+A document is the set of its shingles of ``width`` words, hashed to 64 bits; a
+text with fewer words is one shingle.  Its sketch
 has 264 registers; a register keeps the smallest hash of its bucket as a
 leading-zero count (6 bits) and the 10 mantissa bits after the leading one.
 Sets under ``SMALL`` shingles use 264 hash functions of one bucket each; sets
@@ -72,15 +73,16 @@ class WordHashes(dict):
         return h
 
 
-def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the 2-word shingles of a UTF-8 text (bytes.lower touches A-Z only)."""
+def shingle_set(text: bytes | None, hashes: WordHashes, width: int = 2) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a UTF-8 text (bytes.lower touches A-Z only)."""
     words = text.lower().split() if text else ()
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if len(h) == 1:
-        return _mix(h ^ _U(0x5851F42D4C957F2D))
-    g = _mix(_mix(h[:-1]) + h[1:])
+    n = min(width, len(h))
+    g = _mix(h[:len(h) - n + 1] + _U(n))
+    for k in range(1, n):
+        g = _mix(g + h[k:len(h) - n + 1 + k])
     g.sort()
     return g[np.concatenate(([True], g[1:] != g[:-1]))]
 
@@ -119,37 +121,43 @@ def _texts(batch: pa.RecordBatch):
     return zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True)
 
 
-def _sketch(batches):
-    hashes = WordHashes()
-    for batch in batches:
-        out = [[], [], [], [], []]
-        for doc_id, text in _texts(batch):
-            g = shingle_set(text, hashes)
-            n = len(g)
-            row = (doc_id, n, xxhash.xxh3_128_digest(g.tobytes()) if n else None,
-                   small_sketch(g) if 0 < n < SMALL else None, large_sketch(g) if n >= LARGE else None)
-            for col, v in zip(out, row, strict=True):
-                col.append(v)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])],
-            names=["doc_id", "n", "sig", "small", "large"])
-
-
-def _sets(batches):
-    hashes = WordHashes()
-    for batch in batches:
-        ids, members = [], []
-        for doc_id, text in _texts(batch):
-            ids.append(doc_id)
-            members.append(shingle_set(text, hashes).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(members, pa.binary())],
-                                         names=["doc_id", "members"])
-
-
-def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _sketcher(width: int):
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            out = [[], [], [], [], []]
+            for doc_id, text in _texts(batch):
+                g = shingle_set(text, hashes, width)
+                n = len(g)
+                row = (doc_id, n, xxhash.xxh3_128_digest(g.tobytes()) if n else None,
+                       small_sketch(g) if 0 < n < SMALL else None, large_sketch(g) if n >= LARGE else None)
+                for col, v in zip(out, row, strict=True):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])],
+                names=["doc_id", "n", "sig", "small", "large"])
+
+    return run
+
+
+def _set_maker(width: int):
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            ids, members = [], []
+            for doc_id, text in _texts(batch):
+                ids.append(doc_id)
+                members.append(shingle_set(text, hashes, width).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(members, pa.binary())],
+                                             names=["doc_id", "members"])
+
+    return run
+
+
+def sketch(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n, sig, small, large): set size, 128-bit digest of the set, the two kinds of sketch."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_sketch, _SKETCH)
+    return rows.mapInArrow(_sketcher(width), _SKETCH)
 
 
 def estimate(small_a, small_b, large_a, large_b, n_a, n_b) -> np.ndarray:
@@ -197,10 +205,10 @@ def _verify(batches):
 class Linker:
     """Candidate pairs, estimates and exact links over one table of documents."""
 
-    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text"):
-        self.spark = docs.sparkSession
+    def __init__(self, docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text"):
+        self.spark, self.width = docs.sparkSession, width
         self.texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        self.sketches = self._keep(sketch(docs, doc_id, text), "sketch")
+        self.sketches = self._keep(sketch(docs, width, doc_id, text), "sketch")
         known = self.sketches.where("n > 0 and doc_id is not null")
         self.groups = known.groupBy("sig").agg(F.min("doc_id").alias("rep"))
         reps = self.groups.select(F.col("rep").alias("doc_id")).distinct()
@@ -235,7 +243,7 @@ class Linker:
         pairs = pairs.select("a", "b").checkpoint()
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         # ids are 8 bytes a row: broadcast up to a counted bound, else a shuffled semi join
-        sets = self.texts.join(proven_small(ids, SEMI_ROWS), "doc_id", "left_semi").mapInArrow(_sets, _SETS)
+        sets = self.texts.join(proven_small(ids, SEMI_ROWS), "doc_id", "left_semi").mapInArrow(_set_maker(self.width), _SETS)
         sets = self._keep(sets, "sets")
         both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a") \
             .join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
@@ -289,9 +297,9 @@ def find_links(linker: Linker) -> DataFrame | None:
     return links.union(linker.links(linker.likely(pairs)))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row: (doc_id, n_shingles, component_id, kept)."""
-    linker = Linker(docs, doc_id, text)
+    linker = Linker(docs, width, doc_id, text)
     links = find_links(linker)
     sizes = linker.sketches.select("doc_id", "n", "sig").join(linker.groups, "sig", "left")
     # versions of one document: rows that share an id share a component
@@ -305,7 +313,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                            F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component."""
-    gone = near_duplicates(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+def keep_first(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, unchanged."""
+    gone = near_duplicates(docs, width, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(proven_small(gone, SEMI_ROWS), F.col(doc_id) == F.col("gone_id"), "left_anti")

@@ -54,7 +54,7 @@ def op3_blob_ledger(spark, sf_dir):
 
 @query
 def op4_hyperminhash(spark, sf_dir):
-    return HM.near_duplicates(table(spark, sf_dir, "documents"))
+    return HM.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
 @query

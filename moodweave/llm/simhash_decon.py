@@ -149,4 +149,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     bad = _matches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), benchmark)
     bad = bad.select(F.col("doc_key.doc_id").alias("bad_id"), F.col("doc_key.h").alias("bad_h")).distinct()
     same = F.col(doc_id).eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.col(text)) == F.col("bad_h"))
-    return docs.join(bad, same, "left_anti")
+    # ids and hashes, 16 bytes a row: broadcast up to a counted bound, else a shuffled anti join
+    return docs.join(proven_small(bad.checkpoint(), BROADCAST_ROWS), same, "left_anti")
