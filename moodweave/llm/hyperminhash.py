@@ -316,4 +316,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", tex
 def keep_first(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, unchanged."""
     gone = near_duplicates(docs, width, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(proven_small(gone, SEMI_ROWS), F.col(doc_id) == F.col("gone_id"), "left_anti")
+    # joined by attribute, so a column of the same name in ``docs`` is harmless
+    return docs.join(proven_small(gone, SEMI_ROWS), docs[doc_id] == gone["gone_id"], "left_anti")

@@ -147,7 +147,7 @@ def _best(matches: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item."""
     bad = _matches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), benchmark)
-    bad = bad.select(F.col("doc_key.doc_id").alias("bad_id"), F.col("doc_key.h").alias("bad_h")).distinct()
-    same = F.col(doc_id).eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.col(text)) == F.col("bad_h"))
+    bad = bad.select(F.col("doc_key.doc_id").alias("bad_id"), F.col("doc_key.h").alias("bad_h")).distinct().checkpoint()
+    same = docs[doc_id].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs[text]) == bad["bad_h"])
     # ids and hashes, 16 bytes a row: broadcast up to a counted bound, else a shuffled anti join
-    return docs.join(proven_small(bad.checkpoint(), BROADCAST_ROWS), same, "left_anti")
+    return docs.join(proven_small(bad, BROADCAST_ROWS), same, "left_anti")
