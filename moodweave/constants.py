@@ -79,6 +79,7 @@ PROMPT_SELF = " respond with "
 
 # --- fixed values: pair template (text_a, text_b, mask) ---------------------
 PAIR_TEMPLATE = ("", " ; ", "; Is it correct? ", ".")
+QUESTION_TEMPLATE = ("", " Question: ", "? Is it correct? ", ".")
 MASK_TOKEN = "<mask>"
 
 # --- test fixture values (FIXTURES.md) --------------------------------------

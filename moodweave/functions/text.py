@@ -33,9 +33,9 @@ def split_words(col) -> Column:
     return F.filter(F.split(_c(col), WS_RUN), lambda t: t != F.lit(""))
 
 
-def lexicon_tokens(col, repl: str = "") -> Column:
-    """Lower-case, strip punctuation, split on whitespace."""
-    return split_words(strip_punct(F.lower(_c(col)), repl))
+def lexicon_tokens(col, repl: str = "", lower: bool = True) -> Column:
+    """Lower-case (unless told not to), strip punctuation, split on whitespace."""
+    return split_words(strip_punct(F.lower(_c(col)) if lower else _c(col), repl))
 
 
 def tfidf_tokens(col) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from moodweave import constants as K
 from moodweave.operators.lexicon import vad_sums
+from moodweave.plans.scale import settle
 
 EMOTION_NAMES = [n for _, n in K.TAG_EMOTIONS]
 
@@ -40,14 +41,21 @@ def emotion_tag(turns: DataFrame, lexicon: DataFrame, keys: list[str] | None = N
                 text_col: str = "text") -> DataFrame:
     """Tag every row with an emotion: keys + n_matched, sv, emotion_id, emotion.
 
-    ``keys`` defaults to every non-text column, so the tag stays attached to
-    its row by key (never by position).
+    One row out per row in, tagged where it is; ``keys`` (every non-text
+    column by default) are carried along and need not be unique.
     """
     keys = keys or [c for c in turns.columns if c != text_col]
     s = vad_sums(turns, keys, text_col, lexicon)
     best = nearest_anchor(F.col("n_matched"), F.col("sv"), F.col("sa"), F.col("sd"))
+    s = settle(s.withColumn("_b", best), "_b")
     return s.select(*keys, "n_tokens", "n_matched", "sv", "sa", "sd",
-                    best.emotion_id.alias("emotion_id"), best.emotion.alias("emotion"))
+                    F.col("_b.emotion_id").alias("emotion_id"), F.col("_b.emotion").alias("emotion"))
+
+
+def pattern_code(emotion: Column) -> Column:
+    """C4: code of an emotion name in the pattern analysis ('disgust' and 'love' share one); null if unknown."""
+    names = F.create_map(*[F.lit(x) for pair in K.PATTERN_CODES for x in pair])
+    return F.try_element_at(names, emotion)
 
 
 def argmax_label(scores: Column, names: list[str], default: str = "neutral") -> Column:
@@ -78,16 +86,15 @@ def one_hot(emotion: Column) -> list[Column]:
     return [F.when(emotion == F.lit(n), 1.0).otherwise(0.0).alias(f"p_{n}") for n in EMOTION_NAMES]
 
 
-def speaker_pool(turns_tagged: DataFrame, samples: DataFrame, max_turns: int = 20) -> DataFrame:
+def speaker_pool(turns_tagged: DataFrame, samples: DataFrame) -> DataFrame:
     """Speaker-masked mean of the per-turn emotion vectors.
 
     The mask is 1 where the first word of the turn's speaker equals the first
-    word of the character; turns beyond ``max_turns`` are padding and ignored.
-    A sample without own turns gets nulls.
+    word of the character, over all turns.  A sample without own turns gets
+    nulls.
     """
     from moodweave.functions.text import first_word_exact
-    t = turns_tagged.where(F.col("pos") < max_turns) \
-        .select("scene_id", first_word_exact("speaker").alias("first"), *one_hot(F.col("emotion")))
+    t = turns_tagged.select("scene_id", first_word_exact("speaker").alias("first"), *one_hot(F.col("emotion")))
     # pre-aggregate per (scene, first word) before meeting the samples
     sums = t.groupBy("scene_id", "first").agg(
         F.count(F.lit(1)).alias("n_own"), *[F.sum(f"p_{n}").alias(f"s_{n}") for n in EMOTION_NAMES])

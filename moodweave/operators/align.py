@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodweave.functions.text import first_word, scene_episode, scene_season
+from moodweave.sources.files import first_listed
 
 BLOCK = ["season", "episode", "spk"]
 
@@ -32,7 +33,8 @@ def dedup_annotations(ann: DataFrame) -> DataFrame:
 def prepare(turns: DataFrame, ann: DataFrame, variant: str) -> tuple[DataFrame, DataFrame]:
     """Narrow both sides to (block, text, order) -- wide text columns stay behind.
 
-    ``emory``: annotation speaker normalised (first word) and text lower-cased.
+    ``emory``: annotation speakers are list literals, of which the first name's
+    first word counts; text lower-cased.
     ``meld``: annotation speaker and text used as they are.
     """
     t = turns.select(
@@ -40,7 +42,7 @@ def prepare(turns: DataFrame, ann: DataFrame, variant: str) -> tuple[DataFrame,
         scene_season("scene_id").alias("season"), scene_episode("scene_id").alias("episode"),
         first_word("speaker").alias("spk"), F.lower("text").alias("t"))
     a = dedup_annotations(ann)
-    spk = first_word("Speaker") if variant == "emory" else F.col("Speaker")
+    spk = first_listed("Speaker") if variant == "emory" else F.col("Speaker")
     u = F.lower("Utterance") if variant == "emory" else F.col("Utterance")
     a = a.select(F.col("Season").alias("season"), F.col("Episode").alias("episode"), spk.alias("spk"),
                  u.alias("u"), F.col("Emotion").alias("emotion"), "ann_order")
@@ -105,7 +107,7 @@ def _gram_candidates(needles: DataFrame, hay: DataFrame, needle_col: str, hay_co
 def _maybe_hot(turns: DataFrame, ann: DataFrame, variant: str, max_pairs: int) -> bool:
     rt = turns.select(scene_season("scene_id").alias("season"), scene_episode("scene_id").alias("episode"),
                       first_word("speaker").alias("spk")).groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n_t"))
-    spk = first_word("Speaker") if variant == "emory" else F.col("Speaker")
+    spk = first_listed("Speaker") if variant == "emory" else F.col("Speaker")
     ra = ann.select(F.col("Season").alias("season"), F.col("Episode").alias("episode"), spk.alias("spk")) \
         .groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n_a"))
     return rt.join(ra, BLOCK).where(F.col("n_t") * F.col("n_a") > F.lit(max_pairs)).limit(1).count() > 0
@@ -163,19 +165,27 @@ def align(turns: DataFrame, ann: DataFrame, variant: str = "emory", max_pairs: i
     return t.join(best, BLOCK + ["t"], "left").select("scene_id", "pos", "emotion")
 
 
-def coverage(aligned: dict[str, DataFrame]) -> DataFrame:
-    """Labelled turns / all turns per corpus (one row, one column pair per corpus)."""
+def side_by_side(aligned: dict[str, DataFrame]) -> DataFrame:
+    """(scene_id, pos, <corpus>...): the emotion that each corpus gives a turn."""
     out = None
     for name, df in aligned.items():
-        g = df.agg(F.count(F.lit(1)).alias("n_turns"),
-                   F.count("emotion").alias(f"{name}_labelled"))
-        g = g.withColumn(f"{name}_coverage", F.col(f"{name}_labelled") / F.col("n_turns"))
-        out = g if out is None else out.join(g.drop("n_turns"), how="cross")  # 1 x 1 rows
+        one = df.select("scene_id", "pos", F.col("emotion").alias(name))
+        out = one if out is None else out.join(one, ["scene_id", "pos"])
     return out
 
 
-def labelled_dialogs(aligned: DataFrame, name: str) -> DataFrame:
-    """Per dialogue: any turn labelled (empty -> false) and all turns labelled (empty -> true)."""
-    return aligned.groupBy("scene_id").agg(
-        F.coalesce(F.bool_or(F.col("emotion").isNotNull()), F.lit(False)).alias(f"any_{name}"),
-        F.coalesce(F.bool_and(F.col("emotion").isNotNull()), F.lit(True)).alias(f"all_{name}"))
+def coverage(aligned: dict[str, DataFrame]) -> DataFrame:
+    """Labelled turns / all turns per corpus: one aggregate, one row."""
+    g = side_by_side(aligned).agg(F.count(F.lit(1)).alias("n_turns"),
+                                  *[F.count(name).alias(f"{name}_labelled") for name in aligned])
+    return g.withColumns({f"{name}_coverage": F.col(f"{name}_labelled") / F.col("n_turns") for name in aligned})
+
+
+def labelled_dialogs(aligned: dict[str, DataFrame]) -> DataFrame:
+    """Per dialogue and corpus: any turn labelled (empty -> false) and all turns labelled (empty -> true)."""
+    cols = []
+    for name in aligned:
+        there = F.col(name).isNotNull()
+        cols += [F.coalesce(F.bool_or(there), F.lit(False)).alias(f"any_{name}"),
+                 F.coalesce(F.bool_and(there), F.lit(True)).alias(f"all_{name}")]
+    return side_by_side(aligned).groupBy("scene_id").agg(*cols)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from moodweave import constants as K
 from moodweave.functions.text import first_word, first_word_exact, scene_episode, scene_season
-from moodweave.plans.scale import prefix_sum  # noqa: F401  (re-exported)
+from moodweave.plans.scale import prefix_sum
 
 
 def parse_transcript(scenes: DataFrame, raw_col: str = "raw_text", keys=("scene_id",)) -> DataFrame:
@@ -86,44 +86,52 @@ def speaker_mask(turns: DataFrame, characters: DataFrame) -> DataFrame:
 
 
 def _owner_test(match: str):
-    """Which turns belong to the character: exact full name, or equal first words."""
+    """Which turns belong to the character: exact full name, or equal first words; a null speaker owns none."""
     if match == "exact":
-        return lambda spk, ch: spk == ch
+        return lambda spk, ch: F.coalesce(spk == ch, F.lit(False))
     if match == "first_word":
-        return lambda spk, ch: first_word_exact(spk) == first_word_exact(ch)
+        return lambda spk, ch: F.coalesce(first_word_exact(spk) == first_word_exact(ch), F.lit(False))
     raise ValueError(match)
 
 
+def scene_arrays(turns: DataFrame, *cols: str) -> DataFrame:
+    """(scene_id, arr): the dialogue's turns in order, once per dialogue; characters join it afterwards.
+
+    The text of a dialogue is shuffled once, however many characters it has.
+    """
+    return turns.groupBy("scene_id").agg(F.sort_array(F.collect_list(F.struct("pos", *cols))).alias("arr"))
+
+
+def _side_text(turns: DataFrame, characters: DataFrame, match: str, own: bool, out: str) -> DataFrame:
+    owns = _owner_test(match)
+    j = characters.select("scene_id", "character").join(scene_arrays(turns, "speaker", "text"), "scene_id", "left")
+
+    def picked(x):
+        mine = owns(x["speaker"], F.col("character"))
+        return mine if own else ~mine
+
+    text = F.array_join(F.transform(F.filter("arr", picked), lambda x: F.concat(F.lit(" "), x["text"])), "")
+    return j.select("scene_id", "character", F.coalesce(text, F.lit("")).alias(out))
+
+
 def speaker_text(turns: DataFrame, characters: DataFrame, match: str = "exact") -> DataFrame:
     """Own turns, each preceded by a blank; '' when none.
 
     ``exact`` compares full names; ``first_word`` compares the first words
     (a variant used by one of the baseline classifiers).
     """
-    c = characters.select("scene_id", "character")
     if match == "exact":  # own turns are a plain group by (scene, speaker): no fan-out
+        c = characters.select("scene_id", "character")
         own = turns.groupBy("scene_id", F.col("speaker").alias("character")).agg(
             F.expr("listagg(concat(' ', text), '') within group (order by pos)").alias("utterance"))
-    else:
-        owns = _owner_test(match)
-        j = c.join(turns.select("scene_id", "pos", "speaker", "text"), "scene_id") \
-            .where(owns(F.col("speaker"), F.col("character")))
-        own = j.groupBy("scene_id", "character").agg(
-            F.expr("listagg(concat(' ', text), '') within group (order by pos)").alias("utterance"))
-    return c.join(own, ["scene_id", "character"], "left") \
-        .select("scene_id", "character", F.coalesce("utterance", F.lit("")).alias("utterance"))
+        return c.join(own, ["scene_id", "character"], "left") \
+            .select("scene_id", "character", F.coalesce("utterance", F.lit("")).alias("utterance"))
+    return _side_text(turns, characters, match, True, "utterance")
 
 
 def context_text(turns: DataFrame, characters: DataFrame, match: str = "exact") -> DataFrame:
-    """Other speakers' turns, each preceded by a blank; '' when none."""
-    owns = _owner_test(match)
-    c = characters.select("scene_id", "character")
-    j = c.join(turns.select("scene_id", "pos", "speaker", "text"), "scene_id", "left") \
-        .where(F.col("speaker").isNull() | ~owns(F.col("speaker"), F.col("character")))
-    g = j.groupBy("scene_id", "character").agg(
-        F.expr("listagg(concat(' ', text), '') within group (order by pos)").alias("context"))
-    return c.join(g, ["scene_id", "character"], "left") \
-        .select("scene_id", "character", F.coalesce("context", F.lit("")).alias("context"))
+    """Other speakers' turns (also those without a speaker), each preceded by a blank; '' when none."""
+    return _side_text(turns, characters, match, False, "context")
 
 
 def dialog_text(turns: DataFrame, characters: DataFrame) -> DataFrame:
@@ -142,10 +150,13 @@ def scene_keys(characters: DataFrame) -> DataFrame:
                              first_word("character").alias("first_name"))
 
 
-def dialog_offsets(tagged: DataFrame, order_col: str = "conv_id") -> DataFrame:
-    """(scene_id, start, len): dialogues laid end to end in ``order_col`` order."""
-    sizes = tagged.groupBy(order_col, "scene_id").agg(F.count(F.lit(1)).alias("len"))
-    return prefix_sum(sizes, order_col, "len").select("scene_id", "start", "len")
+def dialog_offsets(turns: DataFrame, order_col: str = "conv_id") -> DataFrame:
+    """(scene_id, start, len): dialogues laid end to end in ``order_col`` order.
+
+    Only keys are read: pass the plain turns, so no text is tagged for it.
+    """
+    sizes = turns.groupBy(order_col, "scene_id").agg(F.count(F.lit(1)).alias("len"))
+    return prefix_sum(sizes, [order_col, "scene_id"], "len").select("scene_id", "start", "len")
 
 
 def flatten_labels(tagged: DataFrame, offsets: DataFrame) -> DataFrame:

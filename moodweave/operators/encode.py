@@ -2,8 +2,8 @@
 
 Pretrained subword tokenizers are replaced by a corpus vocabulary: words are
 numbered by descending frequency (ties by word) with a distributed ranking.
-Only the first ``max_len`` positions of any sequence are ever gathered, so
-every collected array is bounded by ``max_len``, however long the dialogue.
+Widths are arguments: an integer cuts and pads to it (fixed-length model
+input), ``None`` keeps every token or turn.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodweave.functions.text import first_word_exact, lexicon_tokens, list_literal
-from moodweave.plans.scale import dense_index, global_rank, prefix_sum
+from moodweave.operators.dialog import scene_arrays
+from moodweave.plans.scale import dense_index, global_rank, is_small
 
 PAD, CLS, SEP, UNK = 0, 1, 2, 3
 FIRST_WORD_ID = 4
+SALTS = 16
 
 
 def unpivot_triples(wide: DataFrame, keys: list[str], n: int = 3,
@@ -27,8 +29,6 @@ def unpivot_triples(wide: DataFrame, keys: list[str], n: int = 3,
 
 def label_encode(df: DataFrame, col: str, out: str = "label_id") -> DataFrame:
     """Sorted distinct names -> 0..k-1; null stays null."""
-    # a proven-small label set comes back broadcast, which keeps a frequent
-    # label out of a single join task
     return df.join(dense_index(df, col, out), col, "left")
 
 
@@ -37,17 +37,17 @@ def pad(arr, width: int, fill) -> "F.Column":
     return F.slice(F.concat(arr, F.array_repeat(F.lit(fill), width)), 1, width)
 
 
-def mask_pad(turns: DataFrame, characters: DataFrame, width: int = 20) -> DataFrame:
-    """Speaker mask (first-word match) of the first ``width`` turns, padded with -1."""
-    t = turns.where(F.col("pos") < width).select("scene_id", "pos", first_word_exact("speaker").alias("tf"))
+def mask_pad(turns: DataFrame, characters: DataFrame, width: int | None) -> DataFrame:
+    """Speaker mask (first-word match) of the first ``width`` turns, padded with -1; of all turns when None."""
+    t = turns.select("scene_id", "pos", first_word_exact("speaker").alias("tf"))
     c = characters.select("scene_id", "character", first_word_exact("character").alias("cf"))
-    j = c.join(t, "scene_id", "left")
-    g = j.groupBy("scene_id", "character").agg(F.array_sort(F.collect_list(
-        F.when(F.col("pos").isNotNull(), F.struct("pos", (F.col("tf") == F.col("cf")).cast("int").alias("m")))
-    )).alias("arr"))
-    m = F.transform(F.col("arr"), lambda x: x["m"])
-    return g.select("scene_id", "character", F.size("arr").alias("n_turns"),
-                    list_literal(pad(m, width, -1)).alias("dialog_state"))
+    j = c.join(scene_arrays(t, "tf"), "scene_id", "left")
+    arr = F.coalesce(F.col("arr"), F.array().cast("array<struct<pos:bigint,tf:string>>"))
+    if width is not None:
+        arr = F.filter(arr, lambda x: x["pos"] < width)
+    m = F.transform(arr, lambda x: F.coalesce(x["tf"] == F.col("cf"), F.lit(False)).cast("int"))
+    return j.select("scene_id", "character", F.size(arr).alias("n_turns"),
+                    list_literal(m if width is None else pad(m, width, -1)).alias("dialog_state"))
 
 
 def vocabulary(turns: DataFrame, text_col: str = "text") -> DataFrame:
@@ -58,56 +58,64 @@ def vocabulary(turns: DataFrame, text_col: str = "text") -> DataFrame:
     return r.select("word", "n", (F.col("rank") + FIRST_WORD_ID - 1).cast("int").alias("id"))
 
 
-def _gather_ids(tok: DataFrame, keys: list[str], vocab: DataFrame) -> DataFrame:
-    """tok(keys..., gpos, word) -> keys + ordered id array (gpos already cut to max)."""
-    j = tok.join(vocab.select("word", "id"), "word", "left") \
-        .withColumn("id", F.coalesce("id", F.lit(UNK)))
-    return j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("gpos", "id"))).alias("_a")) \
-        .select(*keys, F.transform("_a", lambda x: x["id"]).alias("ids"))
+def turn_ids(turns: DataFrame, vocab: DataFrame, text_col: str = "text", first: int | None = None) -> DataFrame:
+    """(scene_id, pos, n_tokens, ids): token ids of every turn, of its ``first`` tokens only if given.
 
-
-def encode_turns(turns: DataFrame, vocab: DataFrame, max_len: int = 128) -> DataFrame:
-    """Per turn: [CLS] word ids [SEP], cut to max_len, padded with [PAD]; mask = id > 0."""
-    keep = max_len - 2
-    t = turns.select("scene_id", "pos", lexicon_tokens("text").alias("toks"))
-    tok = t.select("scene_id", "pos", F.posexplode(F.slice("toks", 1, keep)).alias("gpos", "word"))
-    g = _gather_ids(tok, ["scene_id", "pos"], vocab)
-    j = t.select("scene_id", "pos", F.size("toks").alias("n_tokens")).join(g, ["scene_id", "pos"], "left")
-    ids = F.concat(F.array(F.lit(CLS)), F.coalesce("ids", F.array().cast("array<int>")), F.array(F.lit(SEP)))
-    full = pad(ids, max_len, PAD)
-    return j.select("scene_id", "pos", "n_tokens", list_literal(full).alias("input_ids"),
-                    list_literal(F.transform(full, lambda x: (x > 0).cast("double"))).alias("attention_mask"))
-
-
-def _side_ids(rows: DataFrame, keys: list[str], vocab: DataFrame, cap: int) -> DataFrame:
-    """rows(keys..., pos, toks): ids of the first ``cap`` tokens of the turns in pos order."""
-    r = rows.withColumn("_n", F.size("toks"))
-    r = prefix_sum(r, "pos", "_n", "off", partition_cols=keys)
-    r = r.where(F.col("off") < cap)
-    tok = r.select(*keys, "off", F.posexplode(F.slice("toks", F.lit(1), (F.lit(cap) - F.col("off")).cast("int")))
-                   .alias("p", "word")).select(*keys, (F.col("off") + F.col("p")).alias("gpos"), "word")
-    return _gather_ids(tok, keys, vocab)
-
-
-def segment_ids(turns: DataFrame, characters: DataFrame, vocab: DataFrame, half: int = 64) -> DataFrame:
+    A word meets the vocabulary once per turn, not once per token.  A
+    vocabulary proven small is broadcast; else every word has ``SALTS`` join
+    keys, so that a frequent word spreads over as many tasks.
+    """
+    toks = lexicon_tokens(text_col)
+    t = turns.select("scene_id", "pos", F.size(toks).alias("n_tokens"),
+                     (toks if first is None else F.slice(toks, 1, first)).alias("_k"))
+    word = t.select("scene_id", "pos", F.posexplode("_k").alias("p", "word")) \
+        .groupBy("scene_id", "pos", "word").agg(F.collect_list("p").alias("at"))
+    v = vocab.select("word", "id")
+    if is_small(v):
+        j = word.join(F.broadcast(v), "word", "left")
+    else:
+        salted = v.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+        j = word.withColumn("salt", F.pmod(F.xxhash64("scene_id", "pos"), F.lit(SALTS)).cast("int")) \
+            .join(salted, ["word", "salt"], "left")
+    placed = j.select("scene_id", "pos", F.transform("at", lambda p: F.struct(
+        p.alias("p"), F.coalesce(F.col("id"), F.lit(UNK)).alias("id"))).alias("x"))
+    g = placed.groupBy("scene_id", "pos").agg(F.sort_array(F.flatten(F.collect_list("x"))).alias("x")) \
+        .select("scene_id", "pos", F.transform("x", lambda y: y["id"]).alias("ids"))
+    return t.drop("_k").join(g, ["scene_id", "pos"], "left") \
+        .withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+
+
+def encode_turns(turns: DataFrame, vocab: DataFrame, max_len: int | None) -> DataFrame:
+    """Per turn: [CLS] word ids [SEP]; cut to ``max_len`` and padded with [PAD] if given; mask = id > 0."""
+    j = turn_ids(turns, vocab, first=None if max_len is None else max_len - 2)
+    full = F.concat(F.array(F.lit(CLS)), F.col("ids"), F.array(F.lit(SEP)))
+    if max_len is not None:
+        full = pad(full, max_len, PAD)
+    j = j.withColumn("f", full)
+    return j.select("scene_id", "pos", "n_tokens", list_literal(F.col("f")).alias("input_ids"),
+                    list_literal(F.transform("f", lambda x: (x > 0).cast("double"))).alias("attention_mask"))
+
+
+def segment_ids(turns: DataFrame, characters: DataFrame, vocab: DataFrame, half: int | None) -> DataFrame:
     """Utterance ids + context ids without its [CLS]; segments 1 for the utterance part, 0 after.
 
     Utterance = the character's own turns (exact name), context = the other
-    turns, each cut to ``half`` ids including [CLS] and [SEP].
+    turns (also those without a speaker); each cut to ``half`` ids including
+    [CLS] and [SEP] if given.  Every turn is encoded once and gathered once
+    per dialogue; characters read both sides from that array.
     """
-    cap = half - 2
-    t = turns.select("scene_id", "pos", "speaker", lexicon_tokens("text").alias("toks"))
-    c = characters.select("scene_id", "character")
-    keys = ["scene_id", "character"]
-    own = t.where(F.col("speaker").isNotNull()).select("scene_id", F.col("speaker").alias("character"), "pos", "toks")
-    others = c.join(t, "scene_id").where(F.col("speaker") != F.col("character")) \
-        .select("scene_id", "character", "pos", "toks")
-    u = _side_ids(own, keys, vocab, cap).withColumnRenamed("ids", "u")
-    x = _side_ids(others, keys, vocab, cap).withColumnRenamed("ids", "x")
-    j = c.join(u, keys, "left").join(x, keys, "left")
-    empty = F.array().cast("array<int>")
-    uid = F.concat(F.array(F.lit(CLS)), F.coalesce("u", empty), F.array(F.lit(SEP)))
-    xid = F.concat(F.coalesce("x", empty), F.array(F.lit(SEP)))  # context ids without [CLS]
-    ids = F.concat(uid, xid)
-    seg = F.concat(F.array_repeat(F.lit(1), F.size(uid)), F.array_repeat(F.lit(0), F.size(xid)))
-    return j.select(*keys, list_literal(ids).alias("input_ids"), list_literal(seg).alias("segment_ids"))
+    t = turns.select("scene_id", "pos", "speaker").join(turn_ids(turns, vocab).drop("n_tokens"), ["scene_id", "pos"])
+    j = characters.select("scene_id", "character").join(scene_arrays(t, "speaker", "ids"), "scene_id", "left")
+    own = lambda x: F.coalesce(x["speaker"] == F.col("character"), F.lit(False))
+
+    def side(keep):
+        ids = F.flatten(F.transform(F.filter("arr", keep), lambda x: x["ids"]))
+        ids = F.coalesce(ids, F.array().cast("array<int>"))
+        return ids if half is None else F.slice(ids, 1, half - 2)
+
+    j = j.select("scene_id", "character", side(own).alias("u"), side(lambda x: ~own(x)).alias("x"))
+    uid = F.concat(F.array(F.lit(CLS)), F.col("u"), F.array(F.lit(SEP)))
+    xid = F.concat(F.col("x"), F.array(F.lit(SEP)))  # context ids without [CLS]
+    seg = F.concat(F.array_repeat(F.lit(1), F.size("u") + 2), F.array_repeat(F.lit(0), F.size("x") + 1))
+    return j.select("scene_id", "character", list_literal(F.concat(uid, xid)).alias("input_ids"),
+                    list_literal(seg).alias("segment_ids"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import zlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodweave import constants as K
 from moodweave.functions.text import lexicon_tokens
-from moodweave.plans.scale import bounded_broadcast
+from moodweave.plans.scale import bounded_broadcast, is_small, settle
 
 
 def tokens(df: DataFrame, keys: list[str], text_col: str, repl: str = "",
@@ -25,23 +28,54 @@ def tokens(df: DataFrame, keys: list[str], text_col: str, repl: str = "",
     return tok
 
 
+LOOKUP_MAX_ROWS = 200_000
+
+
+def lexicon_lookup(lexicon: DataFrame):
+    """word -> struct(v, a, d) or null, as a column function; None when the lexicon is not proven small.
+
+    The lexicon becomes one literal: an array of small maps, indexed by a hash
+    of the word, so a lookup reads one short map.
+    """
+    lex = lexicon.select("word", "v", "a", "d").where(F.col("word").isNotNull())
+    if not is_small(lex, LOOKUP_MAX_ROWS):
+        return None
+    rows = lex.collect()
+    n = max(1, len(rows) // 8)
+    buckets: list[dict] = [{} for _ in range(n)]
+    for r in rows:
+        buckets[zlib.crc32(r["word"].encode()) % n][r["word"]] = {"v": r["v"], "a": r["a"], "d": r["d"]}
+    kind = "struct<" + ", ".join(f"{c}: {t}" for c, t in lex.dtypes[1:]) + ">"
+    table = F.from_json(F.lit(json.dumps(buckets)), f"array<map<string, {kind}>>")
+    return lambda w: F.try_element_at(F.get(table, F.pmod(F.crc32(F.encode(w, "utf-8")), F.lit(n)).cast("int")), w)
+
+
 def vad_sums(df: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame,
-             repl: str = "", stopwords: DataFrame | None = None) -> DataFrame:
-    """Per key: n_tokens, n_matched and the summed v/a/d of matched tokens.
+             repl: str = "", lower: bool = True) -> DataFrame:
+    """Per row: keys, n_tokens, n_matched and the summed v / a / d of matched tokens.
 
-    Tokens of one text live in one input partition, so the partial aggregate
-    leaves one row per text before the shuffle.
+    One output row per input row, whatever the keys: with a lexicon proven
+    small every row is scored where it is, without any shuffle (also on a
+    stream).  A larger lexicon is joined, under a row id that is unique by
+    construction.
     """
-    tok = tokens(df, keys, text_col, repl, stopwords)
-    lex = bounded_broadcast(lexicon.select("word", "v", "a", "d"))
-    j = tok.join(lex, "word", "left")
-    return j.groupBy(*keys).agg(
-        F.count("word").alias("n_tokens"),
-        F.count("v").alias("n_matched"),
-        F.coalesce(F.sum("v"), F.lit(0)).cast("bigint").alias("sv"),
-        F.coalesce(F.sum("a"), F.lit(0)).cast("bigint").alias("sa"),
-        F.coalesce(F.sum("d"), F.lit(0)).cast("bigint").alias("sd"),
-    )
+    kind = dict(lexicon.dtypes)
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), *[F.lit(0).cast(kind[c]).alias(c) for c in "vad"])
+    tok = df.select(*keys, F.coalesce(lexicon_tokens(text_col, repl, lower), F.array().cast("array<string>")).alias("_t"))
+    look = lexicon_lookup(lexicon)
+    if look is not None:
+        hit = tok.select(*keys, F.size("_t").cast("bigint").alias("n_tokens"),
+                         F.filter(F.transform("_t", look), lambda x: x.isNotNull()).alias("_h"))
+        add = lambda acc, x: F.struct((acc["n"] + 1).alias("n"), *[(acc[c] + x[c]).alias(c) for c in "vad"])
+        summed = settle(hit.select(*keys, "n_tokens", F.aggregate("_h", zero, add).alias("_s")), "_s")
+    else:
+        ided = tok.withColumn("_id", F.monotonically_increasing_id())
+        words = ided.select(*keys, "_id", F.explode_outer("_t").alias("word")) \
+            .join(lexicon.select("word", "v", "a", "d"), "word", "left")
+        sums = [F.count("v").alias("n"), *[F.coalesce(F.sum(c), F.lit(0).cast(kind[c])).cast(kind[c]).alias(c) for c in "vad"]]
+        summed = words.groupBy(*keys, "_id").agg(F.count("word").alias("n_tokens"), F.struct(*sums).alias("_s"))
+    return summed.select(*keys, "n_tokens", F.col("_s.n").alias("n_matched"),
+                         *[F.col(f"_s.{c}").alias(f"s{c}") for c in "vad"])
 
 
 def vad_matched(sums: DataFrame, scale: float = 1000.0) -> DataFrame:
@@ -90,10 +124,10 @@ def trait_feature(df: DataFrame, trait_scores: list[str] = ("A", "C", "E", "O",
 
 def center(df: DataFrame, value: str, by: list[str], out: str = "centered",
            fit_filter=None) -> DataFrame:
-    """value minus its mean per ``by`` group (a tiny aggregate, broadcast back)."""
+    """value minus its mean per ``by`` group; the planner sees the size of the means at run time."""
     fit = df if fit_filter is None else df.where(fit_filter)
     means = fit.groupBy(*by).agg(F.avg(value).alias("_mean"))
-    return df.join(F.broadcast(means), by, "left") \
+    return df.join(means, by, "left") \
         .withColumn(out, F.col(value) - F.col("_mean")).drop("_mean")
 
 

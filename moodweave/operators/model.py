@@ -1,70 +1,110 @@
-"""Per-trait baseline classifier with Spark ML (I7) and the model-selection step.
+"""Per-trait baseline classifier (I7) over input modes (I9), with model selection.
 
-The neural classifiers are not rebuilt; this is the tabular shell around
-them: train on the train split, pick the setting with the best validation
-F1 (strictly greater wins, grid order breaks ties), score the test split.
-Features (tokens -> counts -> IDF) are fitted once on the train split; only
-the classifier is refitted per grid value, on cached feature vectors.
+The neural classifiers are not rebuilt; this is the tabular shell around them:
+for every input mode, trait and seed, train on the train split, pick the
+setting with the best validation F1 (strictly greater wins, grid order breaks
+ties), score the test split.  The model is multinomial naive Bayes, whose
+scores are closed forms over word counts: counting and scoring are joins and
+grouped sums for all modes, traits and seeds at once, over the whole
+vocabulary.
 """
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
+from moodweave.functions.text import tfidf_tokens
+from moodweave.operators import dialog as D
 from moodweave.operators.evaluate import binary_metrics
 
+ALPHAS = (0.1, 1.0, 10.0)
+CELL = ["mode", "trait", "seed"]
+SAMPLE = ["scene_id", "character"]
+MODES = ("speaker", "speaker_context", "dialog", "features")
+
+
+def input_counts(mode: str, turns: DataFrame, characters: DataFrame, tagged: DataFrame | None = None) -> DataFrame:
+    """(scene_id, character, word, tf) that an input mode feeds to the classifier.
+
+    ``speaker``: words of the own turns; ``speaker_context``: those and the
+    others' words, marked apart; ``dialog``: all words of the dialogue;
+    ``features``: the emotions of the own turns (first-word mask).
+    """
+    def bag(texts, col, mark=""):
+        word = texts.select(*SAMPLE, F.explode(tfidf_tokens(col)).alias("word"))
+        return word.groupBy(*SAMPLE, F.concat(F.lit(mark), F.col("word")).alias("word")).agg(F.count(F.lit(1)).alias("tf"))
+
+    if mode == "speaker":
+        return bag(D.speaker_text(turns, characters), "utterance")
+    if mode == "speaker_context":
+        return bag(D.speaker_text(turns, characters), "utterance", "own:") \
+            .unionByName(bag(D.context_text(turns, characters), "context", "other:"))
+    if mode == "dialog":
+        # counted once per dialogue, before the characters join
+        word = turns.select("scene_id", F.explode(tfidf_tokens("text")).alias("word"))
+        counts = word.groupBy("scene_id", "word").agg(F.count(F.lit(1)).alias("tf"))
+        return characters.select(*SAMPLE).join(counts, "scene_id")
+    if mode == "features":
+        first = D.first_word_exact
+        own = tagged.groupBy("scene_id", first("speaker").alias("f"), F.col("emotion").alias("word")) \
+            .agg(F.count(F.lit(1)).alias("tf"))
+        return characters.select(*SAMPLE, first("character").alias("f")).join(own, ["scene_id", "f"]).drop("f")
+    raise ValueError(mode)
+
+
+def naive_bayes(bags: DataFrame, splits: DataFrame, alphas=ALPHAS) -> DataFrame:
+    """(mode, trait, seed, scene_id, character, label, split, alpha, pred) of the valid and test rows.
+
+    ``bags``: (mode, scene_id, character, word, tf); ``splits``: (scene_id,
+    character, trait, seed, label, split).  Words unseen in training are left
+    out; a class without training rows is never predicted; ties give 0.
+    """
+    modes = bags.select("mode").distinct()
+    train = splits.where("split = 'train'")
+    docs = train.groupBy("trait", "seed").agg(F.sum("label").alias("d1"), F.count(F.lit(1)).alias("d"))
+    pos = F.sum(F.when(F.col("label") == 1, F.col("tf")).otherwise(0))
+    counts = bags.join(train.drop("split"), SAMPLE).groupBy(*CELL, "word") \
+        .agg(pos.alias("n1"), F.sum("tf").alias("n")).checkpoint()
+    totals = counts.groupBy(*CELL).agg(F.sum("n1").alias("t1"), F.sum("n").alias("t"), F.count(F.lit(1)).alias("v"))
+    rest = splits.where("split <> 'train'")
+    gains = [F.sum(F.col("tf") * F.log((F.col("n1") + a) / (F.col("n") - F.col("n1") + a))).alias(f"g{k}")
+             for k, a in enumerate(alphas)]
+    seen = bags.join(rest.select(*SAMPLE, "trait", "seed"), SAMPLE).join(counts, [*CELL, "word"]) \
+        .groupBy(*CELL, *SAMPLE).agg(F.sum("tf").alias("size"), *gains)
+    # every sample has a row in every mode, also without a known word
+    names = [r["mode"] for r in modes.orderBy("mode").collect()]  # a handful of input modes
+    rows = rest.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in names])))
+    rows = rows.join(seen, [*CELL, *SAMPLE], "left").join(docs, ["trait", "seed"], "left").join(totals, CELL, "left")
+    d1, d0 = F.coalesce("d1", F.lit(0)), F.coalesce(F.col("d") - F.col("d1"), F.lit(0))
+
+    def pred(k, a):
+        size = F.coalesce("size", F.lit(0))
+        norm = F.log((F.col("t1") + F.col("v") * a) / (F.col("t") - F.col("t1") + F.col("v") * a))
+        score = F.log(d1 / d0) + F.coalesce(f"g{k}", F.lit(0.0)) - size * F.coalesce(norm, F.lit(0.0))
+        return F.when(d1 == 0, 0).when(d0 == 0, 1).otherwise((F.round(score, 9) > 0).cast("int"))
+
+    each = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), pred(k, a).alias("pred"))
+                               for k, a in enumerate(alphas)]))
+    return rows.select(*CELL, *SAMPLE, "label", "split", each.alias("x")).select(*CELL, *SAMPLE, "label", "split", "x.*")
+
+
+def select_and_score(scored: DataFrame, alphas=ALPHAS) -> DataFrame:
+    """Test rows of the smoothing with the best validation F1 per cell (grid order breaks ties; first without one)."""
+    scored = scored.checkpoint()
+    order = F.array_position(F.array(*[F.lit(float(a)) for a in alphas]), F.col("alpha"))
+    f1 = binary_metrics(scored.where("split = 'valid'"), "label", "pred", [*CELL, "alpha"]).select(*CELL, "alpha", "f1")
+    best = f1.groupBy(*CELL).agg(F.max(F.struct(F.round("f1", 9).alias("f"), (-order).alias("o"), "alpha")).alias("b")) \
+        .select(*CELL, F.col("b.alpha").alias("best"))
+    test = scored.where("split = 'test'").join(best, CELL, "left")
+    return test.where(F.col("alpha") == F.coalesce("best", F.lit(float(alphas[0])))).drop("best", "split")
+
 
-def tokenizer(text_col: str) -> RegexTokenizer:
-    return RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}\p{N}_]+", gaps=True,
-                          toLowercase=True)
-
-
-def feature_pipeline(text_col: str, vocab_size: int = 1 << 16) -> Pipeline:
-    return Pipeline(stages=[
-        tokenizer(text_col),
-        CountVectorizer(inputCol="_tok", outputCol="_tf", vocabSize=vocab_size, minDF=2.0),
-        IDF(inputCol="_tf", outputCol="_features"),
-    ])
-
-
-def train_select_score(df: DataFrame, text_col: str, label: str, id_col: str,
-                       grid=(0.01, 0.1, 1.0), vocab_size: int = 1 << 16, parallelism: int = 3) -> DataFrame:
-    """``df`` has a ``split`` column; returns test rows with prediction and chosen reg_param."""
-    data = df.select(id_col, text_col, label, "split").withColumn(label, F.col(label).cast("double"))
-    # tokenise once; both feature fits and the final transform reuse the tokens
-    tok = tokenizer(text_col).transform(data).drop(text_col).cache()
-    is_train = F.col("split") == "train"
-    cv = CountVectorizer(inputCol="_tok", outputCol="_tf", vocabSize=vocab_size, minDF=2.0).fit(tok.where(is_train))
-    tf = cv.transform(tok)
-    idf = IDF(inputCol="_tf", outputCol="_features").fit(tf.where(is_train))
-    fx = idf.transform(tf).select(id_col, label, "split", "_features").cache()
-    train = fx.where(is_train)
-    valid = fx.where(F.col("split") == "valid")
-    def fit_and_score(rp):
-        lr = LogisticRegression(featuresCol="_features", labelCol=label, regParam=rp, maxIter=25)
-        model = lr.fit(train)
-        pv = model.transform(valid).select(F.col(label).cast("int").alias("y"),
-                                           F.col("prediction").cast("int").alias("p"))
-        row = binary_metrics(pv, "y", "p").select("f1").first()
-        return (row[0] if row is not None else 0.0), rp, model
-
-    # Independent settings are fitted concurrently (as Spark ML tuning does with
-    # ``parallelism``); every fit is itself a distributed job.
-    with ThreadPool(min(len(grid), parallelism)) as pool:
-        results = pool.map(inheritable_thread_target(data.sparkSession)(fit_and_score), grid)
-    best = None
-    for res in results:  # grid order: a later setting must be strictly better
-        if best is None or res[0] > best[0]:
-            best = res
-    tok.unpersist()
-    _, rp, model = best
-    return model.transform(fx.where(F.col("split") == "test")).select(
-        id_col, F.col(label).cast("int").alias(label), F.col("prediction").cast("int").alias("prediction"),
-        F.lit(rp).alias("reg_param"))
+def trait_classifier(turns: DataFrame, characters: DataFrame, splits: DataFrame, tagged: DataFrame | None = None,
+                     modes=("speaker", "dialog", "features"), alphas=ALPHAS) -> DataFrame:
+    """(mode, trait, seed, scene_id, character, label, alpha, pred) of the test rows."""
+    bags = None
+    for m in modes:
+        b = input_counts(m, turns, characters, tagged).withColumn("mode", F.lit(m))
+        bags = b if bags is None else bags.unionByName(b)
+    return select_and_score(naive_bayes(bags.checkpoint(), splits, alphas), alphas)

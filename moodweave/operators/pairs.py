@@ -1,8 +1,8 @@
 """Premise / hypothesis pairs.
 
-Per (scene, character) the turns are gathered once, in order, as small
-phrase structs; every dialogue length is then a slice of that array, so the
-four lengths cost one shuffle, not four.
+The turns of a dialogue are gathered once, in order; the narrow characters
+join that array, and every phrase and dialogue length is a transform or slice
+of it.  Text is shuffled once per dialogue, not per character or length.
 """
 
 from __future__ import annotations
@@ -12,34 +12,9 @@ from pyspark.sql import functions as F
 
 from moodweave import constants as K
 from moodweave.functions.text import first_word, first_word_exact
-from moodweave.operators.dialog import prefix_len
+from moodweave.operators.dialog import prefix_len, scene_arrays
 from moodweave.operators.traits import trait_labels
-
-
-def _phrases(turns: DataFrame, tags: DataFrame, characters: DataFrame, speaker_name=None) -> DataFrame:
-    t = turns.select("scene_id", "pos", "speaker", "text") \
-        .join(tags.select("scene_id", "pos", "emotion"), ["scene_id", "pos"])
-    c = characters.select("scene_id", "character", first_word_exact("character").alias("c_mask"),
-                          (first_word("character") if speaker_name is None else F.lit(speaker_name))
-                          .alias("c_name"))
-    j = c.join(t, "scene_id", "left")
-    own = F.col("speaker") == F.col("character")
-    mask = first_word_exact("speaker") == F.col("c_mask")
-    e = F.col("emotion")
-    first = F.col("pos") == 0
-    pre_self, post_self = K.PROMPT_FIRST_SELF
-    prompt = (F.when(first & ~mask, F.concat(F.lit(K.PROMPT_FIRST_OTHERS), e, F.lit(", ")))
-              .when(first & mask, F.concat(F.lit(pre_self), F.col("c_name"), F.lit(post_self), e, F.lit(", ")))
-              .when(~mask, F.concat(F.lit(K.PROMPT_OTHERS), e, F.lit(", ")))
-              .otherwise(F.concat(F.col("c_name"), F.lit(K.PROMPT_SELF), e, F.lit(", "))))
-    ph = F.struct(
-        F.col("pos").alias("pos"),
-        F.concat(F.when(own, F.lit("Speaker")).otherwise(F.lit("Others")), F.lit(" : "),
-                 F.col("text"), F.lit(", ")).alias("dialog"),
-        F.when(own, F.concat(F.col("text"), F.lit(", "))).alias("own"),
-        prompt.alias("prompt"))
-    return j.groupBy("scene_id", "character", "c_name").agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), ph))).alias("arr"))
+from moodweave.plans.scale import bounded_broadcast
 
 
 def pair_texts(turns: DataFrame, tags: DataFrame, characters: DataFrame,
@@ -51,16 +26,45 @@ def pair_texts(turns: DataFrame, tags: DataFrame, characters: DataFrame,
     ``affective_prompt``: one phrase per turn by (first turn?, speaker?) with
     the first-word mask.  ``cut=False`` keeps whole dialogues at every length
     (second corpus), ``speaker_name`` replaces the character's first name.
+
+    A turn without a speaker is one of the others; a turn without a tag stays
+    in the premises and has no prompt phrase.
     """
-    g = _phrases(turns, tags, characters, speaker_name)
+    t = turns.select("scene_id", "pos", "speaker", "text") \
+        .join(tags.select("scene_id", "pos", "emotion"), ["scene_id", "pos"], "left")
+    c = characters.select("scene_id", "character", first_word_exact("character").alias("c_mask"),
+                          (first_word("character") if speaker_name is None else F.lit(speaker_name))
+                          .alias("c_name"))
+    g = c.join(scene_arrays(t, "speaker", "text", "emotion"), "scene_id", "left")
+    g = g.withColumn("arr", F.coalesce("arr", F.array().cast(g.schema["arr"].dataType)))
     g = g.select("*", F.explode(F.array(*[F.lit(float(x)) for x in lens])).alias("flow_len"))
     k = prefix_len(F.size("arr"), F.col("flow_len")) if cut else F.size("arr")
-    sl = F.slice(F.col("arr"), F.lit(1), k)
+    g = g.withColumn("part", F.slice(F.col("arr"), F.lit(1), k))
+    false = F.lit(False)
+    pre_self, post_self = K.PROMPT_FIRST_SELF
+
+    def own(x):
+        return F.coalesce(x["speaker"] == F.col("character"), false)
+
+    def prompt(x):
+        mask = F.coalesce(first_word_exact(x["speaker"]) == F.col("c_mask"), false)
+        first, e = x["pos"] == 0, x["emotion"]
+        phrase = (F.when(first & ~mask, F.concat(F.lit(K.PROMPT_FIRST_OTHERS), e, F.lit(", ")))
+                  .when(first & mask, F.concat(F.lit(pre_self), F.col("c_name"), F.lit(post_self), e, F.lit(", ")))
+                  .when(~mask, F.concat(F.lit(K.PROMPT_OTHERS), e, F.lit(", ")))
+                  .otherwise(F.concat(F.col("c_name"), F.lit(K.PROMPT_SELF), e, F.lit(", "))))
+        return F.coalesce(phrase, F.lit(""))
+
+    def said(x):
+        return F.concat(F.when(own(x), F.lit("Speaker")).otherwise(F.lit("Others")), F.lit(" : "), x["text"], F.lit(", "))
+
+    join = lambda f: F.array_join(F.transform("part", f), "")
     return g.select(
         "scene_id", "character", "c_name", "flow_len",
-        F.concat(F.array_join(F.transform(sl, lambda x: x["dialog"]), ""), F.lit("; ")).alias("origin_sent"),
-        F.concat(F.array_join(F.transform(sl, lambda x: x["own"]), ""), F.lit("; ")).alias("only_speaker"),
-        F.array_join(F.transform(sl, lambda x: x["prompt"]), "").alias("affective_prompt"))
+        F.concat(join(said), F.lit("; ")).alias("origin_sent"),
+        F.concat(F.array_join(F.transform(F.filter("part", own), lambda x: F.concat(x["text"], F.lit(", "))), ""),
+                 F.lit("; ")).alias("only_speaker"),
+        join(prompt).alias("affective_prompt"))
 
 
 def hypotheses(descriptions: DataFrame) -> DataFrame:
@@ -70,15 +74,17 @@ def hypotheses(descriptions: DataFrame) -> DataFrame:
         F.max(F.when(F.col("polarity") == "neg", F.col("text"))).alias("neg_text"))
 
 
-def pair_template(a, b, mask: str = K.MASK_TOKEN):
-    lead, mid, tail, end = K.PAIR_TEMPLATE
+def pair_template(a, b, template=K.PAIR_TEMPLATE, mask: str = K.MASK_TOKEN):
+    """H9: the pair inside a template (before, between, after, end)."""
+    lead, mid, tail, end = template
     return F.concat(F.lit(lead), a, F.lit(mid), b, F.lit(tail), F.lit(mask), F.lit(end))
 
 
-def nli_pairs(texts: DataFrame, traits: DataFrame, descriptions: DataFrame) -> DataFrame:
+def nli_pairs(texts: DataFrame, traits: DataFrame, descriptions: DataFrame,
+              template=K.PAIR_TEMPLATE) -> DataFrame:
     """Join texts with trait labels and both hypotheses; build the model-input columns."""
     lab = trait_labels(traits).select("scene_id", "character", "trait", "label")
-    hyp = F.broadcast(hypotheses(descriptions))  # one row per trait
+    hyp = bounded_broadcast(hypotheses(descriptions))  # one row per trait of the caller's table
     j = texts.join(lab, ["scene_id", "character"]).join(hyp, "trait")
     sp = F.concat(F.col("origin_sent"), F.col("affective_prompt"))
     pos_d = F.concat(F.col("c_name"), F.lit(" "), F.col("pos_text"))
@@ -86,12 +92,12 @@ def nli_pairs(texts: DataFrame, traits: DataFrame, descriptions: DataFrame) -> D
     return j.select(
         "scene_id", "character", "trait", "flow_len", "label",
         F.col("label").alias("nli_label"),
-        "origin_sent", "only_speaker", "affective_prompt",
+        "origin_sent", F.col("origin_sent").alias("sent"), "only_speaker", "affective_prompt",
         sp.alias("sent_and_prompt"), sp.alias("affective_dialog"),
         pos_d.alias("pos_personality_description"), neg_d.alias("neg_personality_description"),
         pos_d.alias("personality_description"),
         sp.alias("sentence1"), pos_d.alias("sentence2"),
-        pair_template(sp, pos_d).alias("model_input"))
+        pair_template(sp, pos_d, template).alias("model_input"))
 
 
 def sweep_keys(traits: DataFrame, lens=K.FLOW_LENS) -> DataFrame:
@@ -115,20 +121,6 @@ def model_inputs(pairs_df: DataFrame, input_col: str = "affective_dialog") -> Da
                            "pos_personality_description", "neg_personality_description", "label")
 
 
-# Input modes -> the sample columns that feed the classifier
-INPUT_MODES = {
-    "speaker": ["utterance"],                 # speaker's own turns (dialog.speaker_text)
-    "speaker_context": ["utterance", "context"],  # plus the others' turns (dialog.context_text)
-    "dialog": ["sent"],                       # whole dialogue (dialog.dialog_text)
-    "features": [f"p_{n}" for _, n in K.TAG_EMOTIONS],  # pooled emotions (affect.speaker_pool)
-}
-
-
-def input_columns(mode: str) -> list[str]:
-    """The columns an input mode reads."""
-    return INPUT_MODES[mode]
-
-
 def write_sweep(pairs_df: DataFrame, splits: DataFrame, path: str, fmt: str = "parquet") -> None:
     """One partition per (trait, flow_len, seed, split).
 

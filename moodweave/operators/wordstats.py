@@ -35,16 +35,16 @@ def class_tfidf_weights(df: DataFrame, label: str, text_col: str) -> DataFrame:
     """(label, word, tf, df, w): w = tf * (ln((1 + n_classes) / (1 + df)) + 1), one document per class.
 
     Tokens are counted per class, so words at the border of two texts never
-    fuse.  The document frequency is a window per word (at most one row per
-    class in it), not a self-join, so the token counts are computed once.
+    fuse.  The counts are written once to the shared checkpoint folder: the
+    class count, the norms and the ranking all read them, and no text is
+    tokenised again.  The document frequency is a window per word (at most one
+    row per class in it).  A class without any word counts as a class.
     """
-    tok = df.select(label, F.explode(tfidf_tokens(text_col)).alias("word"))
-    tf = tok.groupBy(label, "word").agg(F.count(F.lit(1)).alias("tf"))
-    n_cls = df.select(label).distinct().agg(F.count(F.lit(1)).alias("n_cls"))
-    w = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("word"))) \
-        .crossJoin(F.broadcast(n_cls))  # n_cls: one row
-    return w.withColumn("w", F.col("tf") * (F.log((F.col("n_cls") + 1) / (F.col("df") + 1)) + 1)) \
-        .drop("n_cls")
+    tok = df.select(label, F.explode_outer(tfidf_tokens(text_col)).alias("word"))
+    tf = tok.groupBy(label, "word").agg(F.count("word").alias("tf")).checkpoint()
+    n_cls = tf.agg(F.count_distinct(label)).first()[0]
+    w = tf.where(F.col("word").isNotNull()).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("word")))
+    return w.withColumn("w", F.col("tf") * (F.log(F.lit(n_cls + 1) / (F.col("df") + 1)) + 1))
 
 
 def class_tfidf_top(df: DataFrame, label: str, text_col: str, k: int = 200) -> DataFrame:
@@ -56,7 +56,7 @@ def class_tfidf_top(df: DataFrame, label: str, text_col: str, k: int = 200) -> D
     w = class_tfidf_weights(df, label, text_col)
     norm = w.groupBy(label).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     top = top_k(w, [label], [F.desc("w"), F.asc("word")], k)
-    return top.join(F.broadcast(norm), label).withColumn("tfidf", F.col("w") / F.col("norm"))
+    return top.join(norm, label).withColumn("tfidf", F.col("w") / F.col("norm"))
 
 
 def set_difference(top: DataFrame, label: str, a=1, b=0) -> DataFrame:

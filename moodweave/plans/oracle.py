@@ -262,7 +262,7 @@ j AS (
   JOIN descriptions dp ON dp.trait = tl.trait AND dp.polarity = 'pos'
   JOIN descriptions dn ON dn.trait = tl.trait AND dn.polarity = 'neg')
 SELECT scene_id, "character", trait, flow_len, label, label AS nli_label,
-       origin_sent, only_speaker, affective_prompt, sp AS sent_and_prompt, sp AS affective_dialog,
+       origin_sent, origin_sent AS sent, only_speaker, affective_prompt, sp AS sent_and_prompt, sp AS affective_dialog,
        pos_d AS pos_personality_description, neg_d AS neg_personality_description,
        pos_d AS personality_description, sp AS sentence1, pos_d AS sentence2,
        sp || ' ; ' || pos_d || '; Is it correct? <mask>.' AS model_input
@@ -371,7 +371,7 @@ SELECT doc_id, n_tokens, n_matched,
        {R6("sv / nullif(n_tokens, 0) / 1000.0")} AS v,
        {R6("sa / nullif(n_tokens, 0) / 1000.0")} AS a,
        {R6("sd / nullif(n_tokens, 0) / 1000.0")} AS d
-FROM doc_sums""")
+FROM doc_sums""").replace(_toks('text', ''), _toks('text', '').replace('lower(text)', 'text'))
 
 ORACLE["big_five"] = with_ctes(["doc_b5"], f"""
 SELECT doc_id, {R6("A")} AS A, {R6("C")} AS C, {R6("E")} AS E, {R6("O")} AS O, {R6("N")} AS N
@@ -451,13 +451,14 @@ SELECT threshold, n, {R6(_ACC)} AS accuracy, {R6(_F1)} AS f1 FROM g""")
 
 # --- scoring and evaluation --------------------------------------------------
 CTE["v_logits"] = """v_logits AS (
-  SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS pos0, CAST(embedding[2] AS DOUBLE) AS pos1,
-         CAST(embedding[3] AS DOUBLE) AS neg0, CAST(embedding[4] AS DOUBLE) AS neg1,
+  SELECT vec_id, """ + ", ".join(
+    f"list_sum(list_transform(range({k}, len(embedding), 4), lambda i: CAST(round(CAST(embedding[i + 1] AS DOUBLE) * 1e6) AS BIGINT))) / 1e6 AS {c}"
+    for k, c in enumerate(("pos0", "pos1", "neg0", "neg1"))) + """,
          label % 2 AS label
   FROM embeddings)"""
 CTE["mc"] = """mc AS (
   SELECT vec_id, label,
-         CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS pred
+         CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS pred
   FROM embeddings)"""
 DEPS.update({"v_logits": [], "mc": []})
 
@@ -479,7 +480,7 @@ ORACLE["speaker_pool"] = with_ctes(["tagged", "v_characters"], """,
 own AS (
   SELECT c.scene_id, c."character", g.emotion
   FROM v_characters c JOIN tagged g ON g.scene_id = c.scene_id
-   AND split_part(g.speaker, ' ', 1) = split_part(c."character", ' ', 1) AND g.pos < 20),
+   AND split_part(g.speaker, ' ', 1) = split_part(c."character", ' ', 1)),
 agg AS (
   SELECT c.scene_id, c."character", count(o.emotion) AS n_own,
 """ + ",\n".join(
@@ -502,7 +503,7 @@ m AS (
          sum(p * t) AS pt, sum(p * p) AS pp, sum(t * t) AS tt FROM cc)
 SELECT 'ensemble' AS task, n, {R6(_ACC)} AS accuracy, {R6(_F1)} AS f1, {R6(_MCC)} AS mcc FROM bg
 UNION ALL
-SELECT 'argmax10', n, {R6("CAST(c AS DOUBLE) / n")}, NULL,
+SELECT 'argmax', n, {R6("CAST(c AS DOUBLE) / n")}, NULL,
        {R6("coalesce((CAST(c AS DOUBLE) * n - pt) / nullif(sqrt((CAST(n AS DOUBLE) * n - pp) * (CAST(n AS DOUBLE) * n - tt)), 0), 0.0)")}
 FROM m""")
 
@@ -524,25 +525,96 @@ UNION ALL SELECT 'accuracy', NULL, NULL, {R6("CAST(hits AS DOUBLE) / n")}, n FRO
 UNION ALL SELECT 'macro avg', {R6("mp")}, {R6("mr")}, {R6("mf")}, n FROM tot
 UNION ALL SELECT 'weighted avg', {R6("wp / n")}, {R6("wr / n")}, {R6("wf / n")}, n FROM tot""")
 
+ORACLE["classification_report_swapped"] = with_ctes(["mc"], f""",
+mx AS (SELECT vec_id, pred AS label, label AS pred FROM mc),
+cls AS (SELECT label AS k FROM mx UNION SELECT pred FROM mx),
+cc AS (
+  SELECT k, (SELECT count(*) FROM mx WHERE label = k) AS t, (SELECT count(*) FROM mx WHERE pred = k) AS p,
+         (SELECT count(*) FROM mx WHERE label = k AND pred = k) AS h FROM cls),
+per AS (
+  SELECT CAST(k AS VARCHAR) AS cls,
+         coalesce(CAST(h AS DOUBLE) / nullif(p, 0), 0.0) AS precision,
+         coalesce(CAST(h AS DOUBLE) / nullif(t, 0), 0.0) AS recall,
+         coalesce(CAST(2 * h AS DOUBLE) / nullif(p + t, 0), 0.0) AS f1, t AS support FROM cc),
+tot AS (SELECT CAST(sum(support) AS BIGINT) AS n, sum(support * precision) AS wp, sum(support * recall) AS wr,
+               sum(support * f1) AS wf, avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf,
+               (SELECT count(*) FROM mx WHERE label = pred) AS hits FROM per)
+SELECT cls, {R6("precision")} AS precision, {R6("recall")} AS recall, {R6("f1")} AS f1, support FROM per
+UNION ALL SELECT 'accuracy', NULL, NULL, {R6("CAST(hits AS DOUBLE) / n")}, n FROM tot
+UNION ALL SELECT 'macro avg', {R6("mp")}, {R6("mr")}, {R6("mf")}, n FROM tot
+UNION ALL SELECT 'weighted avg', {R6("wp / n")}, {R6("wr / n")}, {R6("wf / n")}, n FROM tot""")
+
 ORACLE["confusion"] = with_ctes(["mc"], """
 SELECT label, pred, count(*) AS n FROM mc GROUP BY ALL""")
 
-ORACLE["result_grid"] = with_ctes(["trait_long", "lens", "seeds"], f""",
-rows AS (
-  SELECT tl.trait, l.flow_len, s.seed, CASE WHEN tl.flag THEN 1 ELSE 0 END AS label,
-         ('0x' || substr(md5(CAST(s.seed AS VARCHAR) || ':' || tl.scene_id || ':' || tl."character"), 1, 8))::BIGINT % 100 AS b
-  FROM trait_long tl CROSS JOIN lens l CROSS JOIN seeds s),
-model AS (
-  SELECT flow_len, trait, seed, CASE WHEN 2 * sum(label) > count(*) THEN 1 ELSE 0 END AS pred
-  FROM rows WHERE b < 80 GROUP BY ALL),
-test AS (
-  SELECT r.flow_len, r.trait, r.seed, r.label, coalesce(m.pred, 0) AS pred
-  FROM rows r LEFT JOIN model m USING (flow_len, trait, seed) WHERE r.b >= 90),
-g AS (SELECT flow_len, trait, seed, {_bin('label', 'pred')} FROM test GROUP BY ALL),
-cell AS (SELECT flow_len, trait, seed, n, {_ACC} AS accuracy, {_F1} AS f1 FROM g)
-SELECT flow_len, trait, seed, n, {R6("accuracy")} AS accuracy, {R6("f1")} AS f1,
-       {R6("avg(accuracy) OVER (PARTITION BY flow_len, trait)")} AS acc_mean,
-       {R6("avg(f1) OVER (PARTITION BY flow_len, trait)")} AS f1_mean
+# Multinomial naive Bayes per input mode, trait and seed; validation F1 picks the smoothing.
+_SEEDS3 = "(VALUES (0), (42), (3407)) s(seed)"
+
+
+def _word2(x: str) -> str:
+    return f"regexp_extract_all(lower({x}), '{WORD2}', 1)"
+
+
+_ALPHAS = (0.1, 1.0, 10.0)
+CTE["classified"] = f"""sweep AS (
+  SELECT scene_id, "character", trait, seed, label,
+         CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'valid' ELSE 'test' END AS split
+  FROM (SELECT tl.scene_id, tl."character", tl.trait, s.seed, CASE WHEN tl.flag THEN 1 ELSE 0 END AS label,
+               ('0x' || substr(md5(CAST(s.seed AS VARCHAR) || ':' || tl.scene_id || ':' || tl."character"), 1, 8))::BIGINT % 100 AS b
+        FROM trait_long tl, {_SEEDS3})),
+bags AS (
+  SELECT 'speaker' AS mode, scene_id, "character", word, count(*) AS tf FROM (
+    SELECT c.scene_id, c."character", unnest({_word2('t.text')}) AS word
+    FROM v_characters c JOIN v_turns t ON t.scene_id = c.scene_id AND t.speaker = c."character") GROUP BY ALL
+  UNION ALL
+  SELECT 'dialog', scene_id, "character", word, count(*) FROM (
+    SELECT c.scene_id, c."character", unnest({_word2('t.text')}) AS word
+    FROM v_characters c JOIN v_turns t ON t.scene_id = c.scene_id) GROUP BY ALL
+  UNION ALL
+  SELECT 'features', c.scene_id, c."character", g.emotion, count(*)
+  FROM v_characters c JOIN tagged g ON g.scene_id = c.scene_id
+   AND split_part(g.speaker, ' ', 1) = split_part(c."character", ' ', 1) GROUP BY ALL),
+docs AS (SELECT trait, seed, CAST(sum(label) AS BIGINT) AS d1, count(*) AS d FROM sweep WHERE split = 'train' GROUP BY ALL),
+wc AS (
+  SELECT b.mode, s.trait, s.seed, b.word, sum(CASE WHEN s.label = 1 THEN b.tf ELSE 0 END) AS n1, sum(b.tf) AS n
+  FROM bags b JOIN sweep s ON s.scene_id = b.scene_id AND s."character" = b."character" WHERE s.split = 'train' GROUP BY ALL),
+tot AS (SELECT mode, trait, seed, sum(n1) AS t1, sum(n) AS t, count(*) AS v FROM wc GROUP BY ALL),
+alphas AS (SELECT * FROM (VALUES {', '.join(f'({k}, CAST({a} AS DOUBLE))' for k, a in enumerate(_ALPHAS))}) a(k, alpha)),
+gain AS (
+  SELECT b.mode, s.trait, s.seed, s.scene_id, s."character", a.k, sum(b.tf) AS size,
+         sum(b.tf * ln((w.n1 + a.alpha) / (w.n - w.n1 + a.alpha))) AS g
+  FROM bags b JOIN sweep s ON s.scene_id = b.scene_id AND s."character" = b."character"
+  JOIN wc w ON w.mode = b.mode AND w.trait = s.trait AND w.seed = s.seed AND w.word = b.word
+  CROSS JOIN alphas a WHERE s.split <> 'train' GROUP BY ALL),
+pr AS (
+  SELECT m.mode, s.trait, s.seed, s.scene_id, s."character", s.label, s.split, a.k, a.alpha,
+         CASE WHEN coalesce(d.d1, 0) = 0 THEN 0 WHEN d.d - d.d1 = 0 THEN 1
+              WHEN round(ln(CAST(d.d1 AS DOUBLE) / (d.d - d.d1)) + coalesce(g.g, 0)
+                   - coalesce(g.size, 0) * coalesce(ln((t.t1 + t.v * a.alpha) / (t.t - t.t1 + t.v * a.alpha)), 0), 9) > 0
+              THEN 1 ELSE 0 END AS pred
+  FROM sweep s CROSS JOIN (SELECT DISTINCT mode FROM bags) m CROSS JOIN alphas a
+  LEFT JOIN docs d ON d.trait = s.trait AND d.seed = s.seed
+  LEFT JOIN tot t ON t.mode = m.mode AND t.trait = s.trait AND t.seed = s.seed
+  LEFT JOIN gain g ON g.mode = m.mode AND g.trait = s.trait AND g.seed = s.seed
+   AND g.scene_id = s.scene_id AND g."character" = s."character" AND g.k = a.k
+  WHERE s.split <> 'train'),
+val AS (
+  SELECT mode, trait, seed, k, {_bin('label', 'pred')} FROM pr WHERE split = 'valid' GROUP BY mode, trait, seed, k),
+pick AS (SELECT mode, trait, seed, k FROM (
+  SELECT *, row_number() OVER (PARTITION BY mode, trait, seed ORDER BY round({_F1}, 9) DESC, k) AS rk FROM val) WHERE rk = 1),
+classified AS (
+  SELECT p.mode, p.trait, p.seed, p.scene_id, p."character", p.label, p.alpha, p.pred
+  FROM pr p LEFT JOIN pick x ON x.mode = p.mode AND x.trait = p.trait AND x.seed = p.seed
+  WHERE p.split = 'test' AND p.k = coalesce(x.k, 0))"""
+DEPS["classified"] = ["trait_long", "tagged"]
+ORACLE["trait_classifier"] = with_ctes(["classified"], "\nSELECT * FROM classified")
+ORACLE["result_grid"] = with_ctes(["classified"], f""",
+g AS (SELECT mode, trait, seed, {_bin('label', 'pred')} FROM classified GROUP BY mode, trait, seed),
+cell AS (SELECT mode, trait, seed, n, {_ACC} AS accuracy, {_F1} AS f1 FROM g)
+SELECT mode, trait, seed, n, {R6("accuracy")} AS accuracy, {R6("f1")} AS f1,
+       {R6("avg(accuracy) OVER (PARTITION BY mode, trait)")} AS acc_mean,
+       {R6("avg(f1) OVER (PARTITION BY mode, trait)")} AS f1_mean,
+       {R6("stddev_samp(accuracy) OVER (PARTITION BY mode, trait)")} AS acc_std
 FROM cell""")
 
 # --- corpus alignment --------------------------------------------------------
@@ -550,12 +622,12 @@ _NAMES = ", ".join(f"'{n}'" for n, _ in K.ANNOTATION_CODES)
 CTE["v_annotations"] = f"""ann_base AS (
   SELECT CAST(split_part(scene_id, '_', 1) AS INTEGER) AS Season,
          CAST(substr(split_part(scene_id, '_', 2), 2) AS INTEGER) AS Episode,
-         {_FIRST.format(x='speaker')} AS Speaker,
-         CASE WHEN pos % 3 = 0 THEN substr(lower(text), 1, 40) ELSE text || ' extra' END AS Utterance,
+         '[''' || speaker || CASE WHEN pos % 2 = 0 THEN ''', ''Abe Jones'']' ELSE ''']' END AS Speaker,
+         CASE WHEN pos % 3 = 0 THEN lower(text) WHEN pos % 3 = 1 THEN text || ' extra' ELSE 'so, ' || text END AS Utterance,
          [{_NAMES}][length(text) % 7 + 1] AS Emotion,
          CASE WHEN conv_id % 10 < 8 THEN 'train' WHEN conv_id % 10 = 8 THEN 'dev' ELSE 'test' END AS split,
          conv_id * 100 + pos AS ann_order, conv_id
-  FROM v_turns WHERE pos % 3 <> 2),
+  FROM v_turns),
 v_annotations AS (
   SELECT * EXCLUDE (conv_id) FROM ann_base
   UNION ALL SELECT * EXCLUDE (conv_id) FROM ann_base WHERE conv_id % 7 = 0),
@@ -571,7 +643,8 @@ DEPS["v_annotations"] = ["v_turns"]
 
 
 def _align_sql(variant: str) -> str:
-    spk = _FIRST.format(x="Speaker") if variant == "emory" else "Speaker"
+    listed = "regexp_extract(Speaker, '^.''([^'']*)''', 1)"
+    spk = _FIRST.format(x=listed) if variant == "emory" else "Speaker"
     u = "lower(Utterance)" if variant == "emory" else "Utterance"
     return f"""{variant}_m AS (
   SELECT k.scene_id, k.pos, arg_min(a.Emotion, a.ann_order) AS emotion
@@ -586,6 +659,7 @@ def _align_sql(variant: str) -> str:
 
 ORACLE["align_emory"] = with_ctes(["v_annotations"], ",\n" + _align_sql("emory") + """
 SELECT * FROM emory""")
+ORACLE["align_emory_grams"] = ORACLE["align_emory"]
 ORACLE["align_meld"] = with_ctes(["v_annotations"], ",\n" + _align_sql("meld") + """
 SELECT * FROM meld""")
 ORACLE["align_coverage"] = with_ctes(["v_annotations"], ",\n" + _align_sql("emory") + ",\n"
@@ -605,14 +679,14 @@ JOIN (SELECT scene_id, bool_or(emotion IS NOT NULL) AS any_meld, bool_and(emotio
 
 # --- encodings ---------------------------------------------------------------
 _SENT = "CASE WHEN g.sv > 0 THEN 'positive' WHEN g.sv < 0 THEN 'negative' ELSE 'neutral' END"
-CTE["v_triples"] = "v_triples AS (\n  SELECT t.conv_id,\n" + ",\n".join(
-    f"         max(CASE WHEN t.pos = {i} THEN t.text END) AS Utterance_{i + 1},\n"
-    f"         max(CASE WHEN t.pos = {i} THEN g.emotion END) AS Emotion_{i + 1},\n"
-    f"         max(CASE WHEN t.pos = {i} THEN {_SENT} END) AS Sentiment_{i + 1}" for i in range(3)) + """
+CTE["v_triples"] = "v_triples AS (\n  SELECT t.conv_id, t.pos // 3 AS part,\n" + ",\n".join(
+    f"         max(CASE WHEN t.pos % 3 = {i} THEN t.text END) AS Utterance_{i + 1},\n"
+    f"         max(CASE WHEN t.pos % 3 = {i} THEN g.emotion END) AS Emotion_{i + 1},\n"
+    f"         max(CASE WHEN t.pos % 3 = {i} THEN {_SENT} END) AS Sentiment_{i + 1}" for i in range(3)) + """
   FROM v_turns t JOIN tagged g ON g.scene_id = t.scene_id AND g.pos = t.pos
-  WHERE t.pos < 3 GROUP BY t.conv_id),
+  GROUP BY t.conv_id, t.pos // 3),
 unpiv AS (""" + "\n  UNION ALL ".join(
-    f"SELECT conv_id, {i} AS slot, Utterance_{i} AS Utterance, Emotion_{i} AS Emotion, "
+    f"SELECT conv_id, part, {i} AS slot, Utterance_{i} AS Utterance, Emotion_{i} AS Emotion, "
     f"Sentiment_{i} AS Sentiment FROM v_triples" for i in (1, 2, 3)) + ")"
 CTE["vocab"] = f"""tok AS (SELECT scene_id, pos, speaker, {_toks('text', '')} AS toks FROM v_turns),
 vocab AS (
@@ -630,7 +704,7 @@ ORACLE["utterance_unpivot"] = with_ctes(["v_triples"], "\nSELECT * FROM unpiv")
 ORACLE["label_encode"] = with_ctes(["v_triples"], """,
 ids AS (SELECT Emotion, CAST(row_number() OVER (ORDER BY Emotion) - 1 AS INTEGER) AS label_id
         FROM (SELECT DISTINCT Emotion FROM unpiv WHERE Emotion IS NOT NULL))
-SELECT u.conv_id, u.slot, u.Emotion, i.label_id FROM unpiv u LEFT JOIN ids i ON i.Emotion = u.Emotion""")
+SELECT u.conv_id, u.part, u.slot, u.Emotion, i.label_id FROM unpiv u LEFT JOIN ids i ON i.Emotion = u.Emotion""")
 
 ORACLE["mask_pad"] = with_ctes(["v_characters"], f"""
 SELECT c.scene_id, c."character", count(t.pos) AS n_turns,
@@ -639,6 +713,13 @@ SELECT c.scene_id, c."character", count(t.pos) AS n_turns,
 FROM v_characters c LEFT JOIN v_turns t ON t.scene_id = c.scene_id AND t.pos < 20
 GROUP BY c.scene_id, c."character\"""")
 
+ORACLE["mask_full"] = with_ctes(["v_characters"], f"""
+SELECT c.scene_id, c."character", count(t.pos) AS n_turns,
+       {_lst('''(coalesce(list(CAST(split_part(t.speaker, ' ', 1) = split_part(c."character", ' ', 1) AS INTEGER)
+                 ORDER BY t.pos) FILTER (WHERE t.pos IS NOT NULL), []))''')} AS dialog_state
+FROM v_characters c LEFT JOIN v_turns t ON t.scene_id = c.scene_id
+GROUP BY c.scene_id, c."character\"""")
+
 ORACLE["encode_ids"] = with_ctes(["vocab"], f""",
 tp AS (SELECT scene_id, pos, unnest(toks) AS word, unnest(range(len(toks))) AS gpos FROM tok),
 ids AS (SELECT tp.scene_id, tp.pos, list(v.id ORDER BY tp.gpos) AS ids
@@ -651,11 +732,42 @@ SELECT scene_id, pos, n_tokens, {_lst('f')} AS input_ids,
        {_lst("list_transform(f, lambda x: CAST(CAST(x > 0 AS INTEGER) AS DOUBLE))")} AS attention_mask
 FROM full_ids""")
 
+ORACLE["encode_ids_full"] = with_ctes(["vocab"], f""",
+tp AS (SELECT scene_id, pos, unnest(toks) AS word, unnest(range(len(toks))) AS gpos FROM tok),
+ids AS (SELECT tp.scene_id, tp.pos, list(v.id ORDER BY tp.gpos) AS ids
+        FROM tp JOIN vocab v ON v.word = tp.word GROUP BY tp.scene_id, tp.pos),
+full_ids AS (
+  SELECT t.scene_id, t.pos, CAST(len(t.toks) AS INTEGER) AS n_tokens,
+         list_concat([1], coalesce(i.ids, []), [2]) AS f
+  FROM tok t LEFT JOIN ids i ON i.scene_id = t.scene_id AND i.pos = t.pos)
+SELECT scene_id, pos, n_tokens, {_lst('f')} AS input_ids,
+       {_lst("list_transform(f, lambda x: CAST(CAST(x > 0 AS INTEGER) AS DOUBLE))")} AS attention_mask
+FROM full_ids""")
+
 ORACLE["segment_ids"] = with_ctes(["vocab", "v_characters"], f""",
 sides AS (
   SELECT c.scene_id, c."character",
          coalesce(flatten(list(t.toks ORDER BY t.pos) FILTER (WHERE t.speaker = c."character")), [])[1:62] AS u,
-         coalesce(flatten(list(t.toks ORDER BY t.pos) FILTER (WHERE t.speaker <> c."character")), [])[1:62] AS x
+         coalesce(flatten(list(t.toks ORDER BY t.pos) FILTER (WHERE t.speaker IS DISTINCT FROM c."character")), [])[1:62] AS x
+  FROM v_characters c LEFT JOIN tok t ON t.scene_id = c.scene_id
+  GROUP BY c.scene_id, c."character"),
+uu AS (SELECT scene_id, "character", unnest(u) AS word, unnest(range(len(u))) AS i FROM sides),
+xx AS (SELECT scene_id, "character", unnest(x) AS word, unnest(range(len(x))) AS i FROM sides),
+uid AS (SELECT scene_id, "character", list(v.id ORDER BY i) AS ids FROM uu JOIN vocab v USING (word) GROUP BY ALL),
+xid AS (SELECT scene_id, "character", list(v.id ORDER BY i) AS ids FROM xx JOIN vocab v USING (word) GROUP BY ALL),
+j AS (SELECT s.scene_id, s."character", coalesce(uid.ids, []) AS a, coalesce(xid.ids, []) AS b
+      FROM sides s LEFT JOIN uid ON uid.scene_id = s.scene_id AND uid."character" = s."character"
+      LEFT JOIN xid ON xid.scene_id = s.scene_id AND xid."character" = s."character")
+SELECT scene_id, "character",
+       {_lst("list_concat([1], a, [2], b, [2])")} AS input_ids,
+       {_lst("list_concat(list_transform(range(len(a) + 2), lambda q: 1), list_transform(range(len(b) + 1), lambda q: 0))")} AS segment_ids
+FROM j""")
+
+ORACLE["segment_ids_full"] = with_ctes(["vocab", "v_characters"], f""",
+sides AS (
+  SELECT c.scene_id, c."character",
+         coalesce(flatten(list(t.toks ORDER BY t.pos) FILTER (WHERE t.speaker = c."character")), []) AS u,
+         coalesce(flatten(list(t.toks ORDER BY t.pos) FILTER (WHERE t.speaker IS DISTINCT FROM c."character")), []) AS x
   FROM v_characters c LEFT JOIN tok t ON t.scene_id = c.scene_id
   GROUP BY c.scene_id, c."character"),
 uu AS (SELECT scene_id, "character", unnest(u) AS word, unnest(range(len(u))) AS i FROM sides),
@@ -675,14 +787,9 @@ ORACLE["roundtrip_tsv"] = """
 SELECT d.doc_id, d.text AS utterance, l.quality AS labels
 FROM documents d JOIN labels l ON l.doc_id = d.doc_id"""
 
-ORACLE["roundtrip_jsonl"] = """
-WITH h AS (
-  SELECT d.doc_id, d.text AS utterance, l.quality AS labels,
-         ('0x' || substr(md5('0:' || CAST(d.doc_id AS VARCHAR)), 1, 8))::BIGINT % 1000 AS b
-  FROM documents d JOIN labels l ON l.doc_id = d.doc_id)
-SELECT doc_id, utterance, labels,
-       CASE WHEN b < 100 THEN 'test' WHEN b < 190 THEN 'valid' ELSE 'train' END AS split
-FROM h"""
+ORACLE["roundtrip_jsonl"] = ORACLE["stratified_split"].replace(
+    "SELECT doc_id, labels,\n       CASE", "SELECT c.doc_id, d.text AS utterance, c.labels,\n       CASE") \
+    .replace("FROM c", "FROM c JOIN documents d ON d.doc_id = c.doc_id")
 
 # second-corpus construction: k = all turns, fixed name 'Speaker'
 _PROMPT_WHOLE = _PROMPT.replace(_FIRST.format(x='s."character"'), "'Speaker'")
@@ -703,7 +810,7 @@ j AS (
   JOIN descriptions dp ON dp.trait = tl.trait AND dp.polarity = 'pos'
   JOIN descriptions dn ON dn.trait = tl.trait AND dn.polarity = 'neg')
 SELECT scene_id, "character", trait, flow_len, label, label AS nli_label,
-       origin_sent, only_speaker, affective_prompt, sp AS sent_and_prompt, sp AS affective_dialog,
+       origin_sent, origin_sent AS sent, only_speaker, affective_prompt, sp AS sent_and_prompt, sp AS affective_dialog,
        pos_d AS pos_personality_description, neg_d AS neg_personality_description,
        pos_d AS personality_description, sp AS sentence1, pos_d AS sentence2,
        sp || ' ; ' || pos_d || '; Is it correct? <mask>.' AS model_input
@@ -750,3 +857,57 @@ grid AS (
 SELECT g.trait, g.e_from, g.e_to, CAST(coalesce(h.n, 0) AS BIGINT) AS n,
        (round(coalesce(h.n, 0) / nullif(sum(coalesce(h.n, 0)) OVER (PARTITION BY g.trait, g.e_from), 0) * 1e6) / 1e6 + 0.0) AS ratio
 FROM grid g LEFT JOIN hits h USING (trait, e_from, e_to)""")
+
+
+# --- operators of the inventory that the queries above do not reach ----------
+ORACLE["lexicon_scan"] = f"""
+WITH w AS (SELECT unnest({_toks('text', '')}) AS word FROM documents),
+c AS (SELECT word, count(*) AS n, length(word) AS size FROM w GROUP BY word)
+SELECT word, """ + ", ".join(f"{R6(f'((n * {k} + size) % 20011) / 10000.0 * 1000')} AS {c}"
+                             for k, c in ((7, "v"), (11, "a"), (13, "d"))) + " FROM c"
+
+ORACLE["literal_decode"] = with_ctes(["v_characters"], """
+SELECT c.scene_id, c."character", CAST(t.pos AS INTEGER) AS pos,
+       CAST(split_part(t.speaker, ' ', 1) = split_part(c."character", ' ', 1) AS INTEGER) AS is_speaker
+FROM v_characters c JOIN v_turns t ON t.scene_id = c.scene_id""")
+
+ORACLE["label_dump"] = with_ctes(["tagged"], """
+SELECT CAST(pos AS INTEGER) AS idx, CAST(emotion_id AS DOUBLE) AS label, count(*) AS n FROM tagged GROUP BY ALL""")
+
+ORACLE["result_append"] = with_ctes(["v_turns"], """
+SELECT CASE WHEN pos % 2 = 0 THEN 'even' ELSE 'odd' END AS run, speaker, count(*) AS n FROM v_turns GROUP BY ALL""")
+
+ORACLE["main_roles"] = with_ctes(["v_characters"], """
+SELECT * FROM v_characters WHERE "character" IN ('Una Smith', 'Abe Jones')""")
+
+_PAIR_BODY = ORACLE["nli_pairs"]
+ORACLE["model_inputs"] = (_PAIR_BODY[:_PAIR_BODY.rindex("SELECT scene_id")] + """
+SELECT label, sp AS text_a, pos_d AS pos_personality_description, neg_d AS neg_personality_description,
+       CASE WHEN label = 1 THEN 'yes' ELSE 'no' END AS answer
+FROM j""")
+ORACLE["question_pairs"] = (_PAIR_BODY[:_PAIR_BODY.rindex("SELECT scene_id")] + """
+SELECT scene_id, "character", trait, flow_len, origin_sent AS sent,
+       sp || ' Question: ' || pos_d || '? Is it correct? <mask>.' AS model_input
+FROM j""")
+
+_CODES = ", ".join(f"('{n}', {c})" for n, c in K.PATTERN_CODES)
+ORACLE["pattern_codes"] = with_ctes(["tagged"], f"""
+SELECT g.speaker, p.code, count(*) AS n
+FROM tagged g JOIN (VALUES {_CODES}) p(name, code) ON p.name = g.emotion GROUP BY ALL""")
+
+ORACLE["speaker_text_first_word"] = with_ctes(["v_characters"], """
+SELECT c.scene_id, c."character",
+       coalesce((SELECT string_agg(' ' || t.text, '' ORDER BY t.pos) FROM v_turns t
+                 WHERE t.scene_id = c.scene_id
+                   AND split_part(t.speaker, ' ', 1) = split_part(c."character", ' ', 1)), '') AS utterance
+FROM v_characters c""")
+
+ORACLE["trait_value_counts_ordered"] = ORACLE["trait_value_counts"] + " ORDER BY trait, flag"
+
+_SCORES7 = ", ".join(
+    f"list_sum(list_transform(range({k}, len(embedding), 7), "
+    "lambda i: CAST(round(CAST(embedding[i + 1] AS DOUBLE) * 1e6) AS BIGINT)))" for k in range(7))
+_NAMES7 = ", ".join(f"'{n}'" for _, n in K.TAG_EMOTIONS)
+ORACLE["decision_rule"] = f"""
+WITH s AS (SELECT vec_id, [{_SCORES7}] AS s FROM embeddings)
+SELECT vec_id, CASE WHEN list_max(s) > 0 THEN [{_NAMES7}][list_position(s, list_max(s))] ELSE 'neutral' END AS emotion FROM s"""

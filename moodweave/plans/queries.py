@@ -147,17 +147,16 @@ def stratified_split(spark, sf_dir):
 
 @query
 def emotion_regroup(spark, sf_dir):
-    tagged = tagged_turns(spark, sf_dir)
-    offsets = D.dialog_offsets(tagged, "conv_id")
-    return D.regroup_labels(D.flatten_labels(tagged, offsets), offsets)
+    offsets = D.dialog_offsets(V.v_turns(spark, sf_dir), "conv_id")
+    return D.regroup_labels(D.flatten_labels(tagged_turns(spark, sf_dir), offsets), offsets)
 
 
 # --- lexicon and word statistics --------------------------------------------
 
 
-def _doc_sums(spark, sf_dir):
+def _doc_sums(spark, sf_dir, lower=True):
     docs = V.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return LX.vad_sums(docs, ["doc_id"], "text", V.lexicon(spark))
+    return LX.vad_sums(docs, ["doc_id"], "text", V.lexicon(spark), lower=lower)
 
 
 def _r6(*cols):
@@ -172,7 +171,7 @@ def vad_matched(spark, sf_dir):
 
 @query
 def vad_all_words(spark, sf_dir):
-    m = LX.vad_all_words(_doc_sums(spark, sf_dir))
+    m = LX.vad_all_words(_doc_sums(spark, sf_dir, lower=False))
     return m.select("doc_id", "n_tokens", "n_matched", *_r6("v", "a", "d"))
 
 
@@ -256,7 +255,7 @@ def speaker_pool(spark, sf_dir):
 
 def _multiclass(spark, sf_dir):
     e = V.table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", "label", EV.argmax_index(F.slice("embedding", 1, 10)).alias("pred"))
+    return e.select("vec_id", "label", EV.argmax_index(F.col("embedding")).alias("pred"))
 
 
 @query
@@ -264,7 +263,7 @@ def eval_metrics(spark, sf_dir):
     b = EV.binary_metrics(EV.ensemble_pos_neg(V.v_logits(spark, sf_dir)), "label", "pred") \
         .select(F.lit("ensemble").alias("task"), "n", "accuracy", "f1", "mcc")
     m = EV.multiclass_metrics(_multiclass(spark, sf_dir), "label", "pred") \
-        .select(F.lit("argmax10").alias("task"), "n", "accuracy", F.lit(None).cast("double").alias("f1"), "mcc")
+        .select(F.lit("argmax").alias("task"), "n", "accuracy", F.lit(None).cast("double").alias("f1"), "mcc")
     u = b.unionByName(m)
     return u.select("task", "n", *_r6("accuracy", "f1", "mcc"))
 
@@ -280,15 +279,29 @@ def confusion(spark, sf_dir):
     return EV.confusion(_multiclass(spark, sf_dir), "label", "pred")
 
 
+CLASSIFIER_SEEDS = (0, 42, 3407)
+
+
+def _classified(spark, sf_dir):
+    keys = TR.trait_labels(V.v_traits(spark, sf_dir)).select("scene_id", "character", "trait", "label")
+    splits = S.sweep_split(keys, ["scene_id", "character"], CLASSIFIER_SEEDS)
+    return ML.trait_classifier(V.v_turns(spark, sf_dir), V.v_characters(spark, sf_dir), splits,
+                               tagged_turns(spark, sf_dir))
+
+
+@query
+def trait_classifier(spark, sf_dir):
+    """Test predictions of the classifier picked by validation F1, per input mode, trait and seed."""
+    return _classified(spark, sf_dir)
+
+
 @query
 def result_grid(spark, sf_dir):
-    keys = P.sweep_keys(V.v_traits(spark, sf_dir))
-    s = S.sweep_split(keys, ["scene_id", "character"])
-    by = ["flow_len", "trait", "seed"]
-    scored = EV.majority_baseline(s, by)
-    m = EV.binary_metrics(scored, "label", "pred", by).select(*by, "n", "accuracy", "f1")
+    """Accuracy and F1 of the trait classifiers by input mode, trait and seed, with mean and spread over seeds."""
+    by = ["mode", "trait", "seed"]
+    m = EV.binary_metrics(_classified(spark, sf_dir), "label", "pred", by).select(*by, "n", "accuracy", "f1")
     g = EV.result_grid(m, by)
-    return g.select(*by, "n", *_r6("accuracy", "f1", "acc_mean", "f1_mean"))
+    return g.select(*by, "n", *_r6("accuracy", "f1", "acc_mean", "f1_mean", "acc_std"))
 
 
 # --- corpus alignment --------------------------------------------------------
@@ -315,18 +328,22 @@ def align_coverage(spark, sf_dir):
                     *_r6("emory_coverage", "meld_coverage"))
 
 
+@query
+def align_emory_grams(spark, sf_dir):
+    """The gram plan that large blocks get, on every block."""
+    return _aligned(spark, sf_dir, "emory", max_pairs=0)
+
+
 @query
 def labelled_dialogs(spark, sf_dir):
-    e = AL.labelled_dialogs(_aligned(spark, sf_dir, "emory"), "emory")
-    m = AL.labelled_dialogs(_aligned(spark, sf_dir, "meld"), "meld")
-    return e.join(m, "scene_id")
+    return AL.labelled_dialogs({"emory": _aligned(spark, sf_dir, "emory"), "meld": _aligned(spark, sf_dir, "meld")})
 
 
 # --- encodings ---------------------------------------------------------------
 
 
 def _unpivoted(spark, sf_dir):
-    return EN.unpivot_triples(V.v_triples(spark, sf_dir), ["conv_id"])
+    return EN.unpivot_triples(V.v_triples(spark, sf_dir), ["conv_id", "part"])
 
 
 @query
@@ -336,26 +353,57 @@ def utterance_unpivot(spark, sf_dir):
 
 @query
 def label_encode(spark, sf_dir):
-    u = _unpivoted(spark, sf_dir).select("conv_id", "slot", "Emotion")
+    # tagged once: both the label set and the rows read the written table
+    u = _unpivoted(spark, sf_dir).select("conv_id", "part", "slot", "Emotion").checkpoint()
     return EN.label_encode(u, "Emotion")
 
 
+def _mask(spark, sf_dir, width):
+    m = EN.mask_pad(V.v_turns(spark, sf_dir), V.v_characters(spark, sf_dir), width)
+    return m.withColumn("n_turns", F.col("n_turns").cast("bigint"))
+
+
 @query
 def mask_pad(spark, sf_dir):
-    m = EN.mask_pad(V.v_turns(spark, sf_dir), V.v_characters(spark, sf_dir))
-    return m.withColumn("n_turns", F.col("n_turns").cast("bigint"))
+    """Fixed-width model input: 20 turns."""
+    return _mask(spark, sf_dir, 20)
+
+
+@query
+def mask_full(spark, sf_dir):
+    return _mask(spark, sf_dir, None)
+
+
+def _encoded(spark, sf_dir, max_len):
+    turns = V.v_turns(spark, sf_dir)
+    return EN.encode_turns(turns, EN.vocabulary(turns), max_len)
 
 
 @query
 def encode_ids(spark, sf_dir):
+    """Fixed-width model input: 128 ids."""
+    return _encoded(spark, sf_dir, 128)
+
+
+@query
+def encode_ids_full(spark, sf_dir):
+    return _encoded(spark, sf_dir, None)
+
+
+def _segments(spark, sf_dir, half):
     turns = V.v_turns(spark, sf_dir)
-    return EN.encode_turns(turns, EN.vocabulary(turns))
+    return EN.segment_ids(turns, V.v_characters(spark, sf_dir), EN.vocabulary(turns), half)
 
 
 @query
 def segment_ids(spark, sf_dir):
-    turns = V.v_turns(spark, sf_dir)
-    return EN.segment_ids(turns, V.v_characters(spark, sf_dir), EN.vocabulary(turns))
+    """Fixed-width model input: 64 ids a side."""
+    return _segments(spark, sf_dir, 64)
+
+
+@query
+def segment_ids_full(spark, sf_dir):
+    return _segments(spark, sf_dir, None)
 
 
 # --- sources, sinks and the model shell --------------------------------------
@@ -374,19 +422,13 @@ def roundtrip_tsv(spark, sf_dir):
 @query
 def roundtrip_jsonl(spark, sf_dir):
     """JSON lines per split, read back with a schema, label check and file-name routing."""
-    e = S.stratified_split(_essays(spark, sf_dir), "doc_id", "labels", seed=0, exact=False)
+    e = S.stratified_split(_essays(spark, sf_dir), "doc_id", "labels", seed=0)
     path = scratch_path(spark, "essays-jsonl")
     FS.write_jsonl(e, path, ["doc_id", "utterance", "labels"], partition_by=["split"])
     back = FS.read_jsonl(spark, path, ESSAY_SCHEMA, label="labels", recursive=True)
     return FS.route_by_file_name(back)
 
 
-@query
-def trait_classifier(spark, sf_dir):
-    e = S.stratified_split(_essays(spark, sf_dir), "doc_id", "labels", seed=0, exact=False)
-    return ML.train_select_score(e, "utterance", "labels", "doc_id")
-
-
 @query
 def nli_pairs_whole(spark, sf_dir):
     """Second-corpus construction: whole dialogue at every length, the fixed name 'Speaker'."""
@@ -414,3 +456,106 @@ def aligned_distribution(spark, sf_dir):
 def emotion_transition_seven(spark, sf_dir):
     """7 x 7 variant: pairs touching neutral are kept."""
     return patterns.emotion_transition(tagged_turns(spark, sf_dir), V.v_traits(spark, sf_dir), mode="seven")
+
+
+# --- operators of the inventory that the queries above do not reach ----------
+
+
+@query
+def lexicon_scan(spark, sf_dir):
+    """A3: a lexicon derived from the documents, written as TSV and scanned back."""
+    words = V.table(spark, sf_dir, "documents").select(F.explode(LX.lexicon_tokens("text")).alias("Word")) \
+        .groupBy("Word").agg(F.count(F.lit(1)).alias("n"))
+    size = F.length("Word")
+    lex = words.select("Word", *[(F.pmod(F.col("n") * k + size, F.lit(20011)) / F.lit(10000.0)).cast("decimal(20,9)").alias(c)
+                                 for k, c in ((7, "Valence"), (11, "Arousal"), (13, "Dominance"))])
+    path = scratch_path(spark, "lexicon")
+    lex.write.options(**FS.TEXT_WRITE).option("sep", "\t").csv(path)
+    back = FS.read_lexicon(spark, path)
+    return back.select("word", *_r6("v", "a", "d"))
+
+
+@query
+def literal_decode(spark, sf_dir):
+    """A4: the list-literal speaker masks decoded to arrays again."""
+    m = EN.mask_pad(V.v_turns(spark, sf_dir), V.v_characters(spark, sf_dir), None)
+    x = FS.decode_literal("dialog_state", "array<int>")
+    return m.select("scene_id", "character", F.posexplode(x).alias("pos", "is_speaker"))
+
+
+@query
+def label_dump(spark, sf_dir):
+    """A5: label lists, one line per dialogue, written as text and scanned back."""
+    t = tagged_turns(spark, sf_dir)
+    lines = D.scene_arrays(t, "emotion_id").select(F.concat(F.lit("["), F.array_join(
+        F.transform("arr", lambda x: x["emotion_id"].cast("double").cast("string")), ", "), F.lit("]")).alias("value"))
+    path = scratch_path(spark, "labels")
+    lines.write.text(path)
+    return FS.read_label_list(spark, path).groupBy("idx", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def result_append(spark, sf_dir):
+    """A10: results of several runs appended to one table."""
+    path = scratch_path(spark, "results")
+    t = V.v_turns(spark, sf_dir)
+    for run, part in (("even", t.where("pos % 2 = 0")), ("odd", t.where("pos % 2 = 1"))):
+        FS.append_results(part.groupBy("speaker").agg(F.count(F.lit(1)).alias("n")).withColumn("run", F.lit(run)), path)
+    return spark.read.parquet(path).select("run", "speaker", "n")
+
+
+@query
+def main_roles(spark, sf_dir):
+    """The main characters only."""
+    return TR.keep_roles(V.v_characters(spark, sf_dir), ["Una Smith", "Abe Jones"])
+
+
+@query
+def model_inputs(spark, sf_dir):
+    """B14 with I6: input text, hypotheses and the verbaliser word of the label."""
+    pairs = P.nli_pairs(_pair_texts(spark, sf_dir), V.v_traits(spark, sf_dir), V.descriptions(spark))
+    rows = P.model_inputs(pairs)
+    return rows.join(F.broadcast(P.class_names(spark)), "label").withColumnRenamed("name", "answer")  # two local rows
+
+
+@query
+def question_pairs(spark, sf_dir):
+    """H9: the second pair template."""
+    pairs = P.nli_pairs(_pair_texts(spark, sf_dir), V.v_traits(spark, sf_dir), V.descriptions(spark),
+                        K.QUESTION_TEMPLATE)
+    return pairs.select("scene_id", "character", "trait", "flow_len", "sent", "model_input")
+
+
+@query
+def pattern_codes(spark, sf_dir):
+    """C4: emotion codes of the pattern analysis per speaker."""
+    t = tagged_turns(spark, sf_dir).withColumn("code", affect.pattern_code(F.col("emotion")))
+    return t.groupBy("speaker", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def speaker_text_first_word(spark, sf_dir):
+    """Own turns by first word."""
+    return D.speaker_text(V.v_turns(spark, sf_dir), V.v_characters(spark, sf_dir), match="first_word")
+
+
+@query
+def classification_report_swapped(spark, sf_dir):
+    """D14 as called with arguments in (prediction, label) order."""
+    r = EV.classification_report(_multiclass(spark, sf_dir), "label", "pred", swap=True)
+    return r.select("cls", *_r6("precision", "recall", "f1"), "support")
+
+
+@query
+def trait_value_counts_ordered(spark, sf_dir):
+    """value counts, sorted at the end."""
+    return TR.trait_value_counts(V.v_traits(spark, sf_dir), ordered=True)
+
+
+@query
+def decision_rule(spark, sf_dir):
+    """Highest score strictly above 0 wins, first on ties, else neutral -- over the whole embedding."""
+    e = V.table(spark, sf_dir, "embeddings")
+    names = affect.EMOTION_NAMES
+    scores = [V.every_nth(F.col("embedding"), len(names), k) for k in range(len(names))]
+    return e.select("vec_id", affect.argmax_label(F.array(*scores), names).alias("emotion"))

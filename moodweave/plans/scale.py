@@ -1,8 +1,8 @@
 """Helpers that keep plans safe at cluster scale.
 
-* ``bounded_broadcast`` broadcasts a side only after proving its row count is
-  under a bound; otherwise the side stays a normal (shuffled) join input.
-* ``global_rank`` numbers rows in a total order without a single-partition
+* ``bounded_broadcast`` broadcasts a side only after proving its rows and bytes
+  are under a bound; otherwise the side stays a normal (shuffled) join input.
+* ``global_rank`` and ``prefix_sum`` number and sum rows in a total order without a single-partition
   window: range partitioning, per-partition counts, offsets.
 """
 
@@ -11,24 +11,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows a dimension table may have to be broadcast (a VAD lexicon has ~20k).
-BROADCAST_MAX_ROWS = 2_000_000
+# A dimension table that may be broadcast (a VAD lexicon has ~20k rows, ~1 MB).
+BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
-def row_count_at_most(df: DataFrame, bound: int) -> bool:
-    """True when df has at most ``bound`` rows (reads at most bound+1 rows)."""
-    return df.limit(bound + 1).count() <= bound
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """The same frame with column ``name`` computed once per row.
+
+    A filter on a computed column is otherwise rewritten to the column's
+    expression and pushed below it, which computes it again for every mention.
+    Filters on the output of a generator stay above it.
+    """
+    return df.withColumn(name, F.explode_outer(F.array(F.col(name))))
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """True when ``df`` is counted to have at most so many rows and bytes (reads at most max_rows + 1 rows)."""
+    size = F.octet_length(F.to_json(F.struct("*")))
+    n, total = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= max_rows and total <= max_bytes
 
 
-def bounded_broadcast(df: DataFrame, bound: int = BROADCAST_MAX_ROWS, known_small: bool = False) -> DataFrame:
-    """Broadcast hint only when the row count is proven to be <= bound.
+def bounded_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast hint only when rows and bytes are proven small.
 
     Driver-local literal tables (``isLocal``) already live on the driver and
-    are bounded by construction; anything else is counted up to bound + 1.
+    are bounded by construction; anything else is measured.
     """
-    if known_small or df.isLocal() or row_count_at_most(df, bound):
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if df.isLocal() or is_small(df) else df
 
 
 def global_rank(df: DataFrame, order_cols: list, rank_col: str = "rank",
@@ -61,66 +72,28 @@ def global_rank(df: DataFrame, order_cols: list, rank_col: str = "rank",
         .drop("_pid", "_local", "_off")
 
 
-def dense_index(df: DataFrame, col: str, out: str = "index", bound: int = 100_000) -> DataFrame:
-    """0-based index of each distinct non-null value of ``col`` in ascending order.
-
-    The distinct table is numbered with a single ordered window only when its
-    size is proven <= bound (a label set), and then carries a broadcast hint;
-    otherwise it is numbered by ``global_rank`` and joined without one.
-    """
+def dense_index(df: DataFrame, col: str, out: str = "index") -> DataFrame:
+    """0-based index of each distinct non-null value of ``col`` in ascending order."""
     d = df.select(col).where(F.col(col).isNotNull()).distinct()
-    if row_count_at_most(d, bound):
-        # proven small: numbered in one window and marked for broadcast
-        return F.broadcast(d.withColumn(out, (F.row_number().over(Window.orderBy(col)) - 1).cast("int")))
     r = global_rank(d, [col], "_rk")
     return r.select(col, (F.col("_rk") - 1).cast("int").alias(out))
 
 
-def prefix_sum(df: DataFrame, order_col: str, value_col: str, out: str = "start",
-               partition_cols: list[str] = (), bucket_size: int = 1024, levels: int = 2) -> DataFrame:
-    """Exclusive running sum of ``value_col`` by ``order_col`` (numeric) within ``partition_cols``.
+def prefix_sum(df: DataFrame, order_cols: list, value_col: str, out: str = "start") -> DataFrame:
+    """Exclusive running sum of ``value_col`` in the total order ``order_cols``.
 
-    No window sees more than ``bucket_size`` distinct order values per
-    partition except the top level, which sees n / bucket_size**levels rows:
-    rows are bucketed by ``order_col div bucket_size``; bucket totals get their
-    own running sum (recursively, ``levels`` deep); rows add the running sum
-    inside their bucket.
+    Rows are range partitioned on the order (by rank, so sparse and dense keys
+    spread alike), summed per partition, and shifted by the totals of all
+    earlier partitions -- a table with one row per partition.  The range
+    partitioning is checkpointed, so a recomputation after an executor loss
+    sees the same boundaries.
     """
-    pc = list(partition_cols)
-    b_col, t_col, o_col, i_col = (f"_{x}{levels}" for x in ("b", "t", "o", "i"))
-    b = df.withColumn(b_col, F.floor(F.col(order_col) / bucket_size))
-    tot = b.groupBy(*pc, b_col).agg(F.sum(value_col).alias(t_col))
-    if levels > 1:
-        tot = prefix_sum(tot, b_col, t_col, o_col, pc, bucket_size, levels - 1).drop(t_col)
-    else:
-        wb = Window.partitionBy(*pc).orderBy(b_col).rowsBetween(Window.unboundedPreceding, -1)
-        tot = tot.select(*pc, b_col, F.coalesce(F.sum(t_col).over(wb), F.lit(0)).alias(o_col))
-    wi = Window.partitionBy(*pc, b_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    inner = F.coalesce(F.sum(value_col).over(wi), F.lit(0))
-    return b.withColumn(i_col, inner).join(tot, pc + [b_col]) \
-        .withColumn(out, (F.col(o_col) + F.col(i_col)).cast("bigint")).drop(b_col, i_col, o_col)
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Split an under-partitioned scan evenly across the cluster's slots.
-
-    Call it on a scan (projections and filters only): asking a scan for its
-    partition count lists files and runs no job, while a frame holding an
-    exchange would have to execute its stages to answer.
-
-    A big scan already yields one partition per row group / file split and is
-    left alone (no shuffle).  A small or unsplittable input -- one row group
-    holding heavy text -- would otherwise run its tokenising in one task.  The
-    split is round-robin, never by a grouping key: a coarse key (a class
-    label) or a duplicated text would put a third of the rows in one task.
-    Round-robin is made retry-safe by Spark's sort before repartitioning.
-    """
-    spark = df.sparkSession
-    try:
-        want = min_partitions or spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (Spark Connect): leave as is
-        return df
-    if have >= want:
-        return df
-    return df.repartition(want)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order_cols).checkpoint().withColumn("_pid", F.spark_partition_id())
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = ranged.groupBy("_pid").agg(F.sum(value_col).alias("_t")) \
+        .select("_pid", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("_in", F.coalesce(F.sum(value_col).over(inside), F.lit(0)))
+    return local.join(F.broadcast(offsets), "_pid") \
+        .withColumn(out, (F.col("_off") + F.col("_in")).cast("bigint")).drop("_pid", "_in", "_off")

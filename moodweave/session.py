@@ -54,8 +54,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
     Read from the session (``spark.checkpoint.dir`` or the context's checkpoint
-    dir).  Only when nothing is configured -- local runs and tests -- a fresh
-    folder is created and registered.
+    dir).  A cluster must name one that all executors share; only a local
+    master, whose driver is its executor, gets a fresh folder when none is set.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -65,6 +65,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = sc.getCheckpointDir()
     if root:
         return root
+    if not configured and sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     root = configured or tempfile.mkdtemp(prefix="moodweave-ckpt-")
     sc.setCheckpointDir(root)
     return sc.getCheckpointDir() or root

@@ -12,32 +12,54 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from moodweave.plans.scale import spread
+from moodweave.functions.text import split_words
 
-# Quoting that keeps '' and null apart and lets newlines live inside fields.
+# Quoting that keeps '' and null apart.
 TEXT_WRITE = {"header": "true", "quote": '"', "escape": '"', "nullValue": "\\N",
               "emptyValue": '""', "quoteAll": "false"}
 TEXT_READ = {"header": "true", "quote": '"', "escape": '"', "nullValue": "\\N",
-             "emptyValue": "", "multiLine": "true", "mode": "FAILFAST"}
+             "emptyValue": "", "mode": "FAILFAST"}
 
 
-def read_text_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet table of heavy text rows, spread when it has fewer splits than slots."""
-    return spread(spark.read.parquet(path))
+def _strings(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",") -> DataFrame:
-    """A1 / A2: delimited text with a header and a declared schema."""
-    return spark.read.schema(schema).options(**TEXT_READ).option("sep", sep).csv(path)
+def _escape(df: DataFrame) -> DataFrame:
+    """Line breaks inside fields as two characters, so that a file splits at any line end."""
+    def one(c):
+        out = F.replace(F.col(c), F.lit("\\"), F.lit("\\b"))
+        return F.replace(F.replace(out, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    return df.withColumns({c: one(c) for c in _strings(df)})
 
 
-def read_tsv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    return read_csv(spark, path, schema, sep="\t")
+def _unescape(df: DataFrame) -> DataFrame:
+    def one(c):
+        out = F.replace(F.replace(F.col(c), F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+        return F.replace(out, F.lit("\\b"), F.lit("\\"))
+    return df.withColumns({c: one(c) for c in _strings(df)})
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",",
+             multi_line: bool = False) -> DataFrame:
+    """A1 / A2: delimited text with a header and a declared schema.
+
+    ``multi_line`` is for files of other writers that hold raw line breaks in
+    quoted fields: such a file cannot be split and is one task.
+    """
+    r = spark.read.schema(schema).options(**TEXT_READ).option("sep", sep)
+    return r.option("multiLine", "true").csv(path) if multi_line else r.csv(path)
+
+
+def read_tsv(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = False) -> DataFrame:
+    """TSV of ``write_tsv`` (escaped line breaks, splittable); ``multi_line`` for raw ones."""
+    df = read_csv(spark, path, schema, "\t", multi_line)
+    return df if multi_line else _unescape(df)
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "overwrite", partition_by=()) -> None:
     """TSV sink; ``partition_by`` replaces one-file-per-(trait, length, seed, split)."""
-    w = df.write.mode(mode).options(**TEXT_WRITE).option("sep", "\t")
+    w = _escape(df).write.mode(mode).options(**TEXT_WRITE).option("sep", "\t")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
@@ -47,13 +69,14 @@ def read_lexicon(spark: SparkSession, path: str, scale: int = 1000) -> DataFrame
     """A3: VAD lexicon TSV (Word, Valence, Arousal, Dominance) -> (word, v, a, d) in 1/scale.
 
     A word listed twice keeps its later row (file order of a single file).
+    Values keep all their digits: they are scaled as decimals, never rounded.
     """
-    raw = read_tsv(spark, path, "Word string, Valence double, Arousal double, Dominance double") \
+    raw = read_csv(spark, path, "Word string, Valence decimal(20,9), Arousal decimal(20,9), Dominance decimal(20,9)", "\t") \
         .withColumn("_ord", F.monotonically_increasing_id())
     last = raw.groupBy("Word").agg(F.max_by(F.struct("Valence", "Arousal", "Dominance"), "_ord").alias("x"))
 
     def milli(c):
-        return F.round(F.col(f"x.{c}") * scale).cast("bigint")
+        return (F.col(f"x.{c}") * scale).cast("double")
 
     return last.select(F.col("Word").alias("word"), milli("Valence").alias("v"),
                        milli("Arousal").alias("a"), milli("Dominance").alias("d"))
@@ -65,11 +88,19 @@ def decode_literal(col, ddl: str) -> Column:
     return F.from_json(c, ddl, {"allowSingleQuotes": "true"})
 
 
+def first_listed(col) -> Column:
+    """First word of the first name of a list literal; a plain name is taken as it is."""
+    c = F.col(col) if isinstance(col, str) else col
+    listed = F.get(decode_literal(c, "array<string>"), F.lit(0))
+    return F.get(split_words(F.when(F.trim(c).startswith("["), listed).otherwise(c)), 0)
+
+
 def read_label_list(spark: SparkSession, path: str) -> DataFrame:
-    """A5: a file whose one line is a list of class ids -> (idx, label).
+    """A5: files whose lines are lists of class ids -> (idx, label), idx within the line.
 
-    Legacy format: the single line is a single record.  New pipelines keep
-    labels keyed by (scene_id, pos) instead (see ``emotion_tag``).
+    In the legacy format one line lists all turns; writing a line per dialogue
+    keeps records small.  New pipelines keep labels keyed by (scene_id, pos)
+    instead (see ``emotion_tag``).
     """
     t = spark.read.text(path)
     return t.select(F.posexplode(decode_literal("value", "array<double>")).alias("idx", "label"))

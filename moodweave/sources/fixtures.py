@@ -12,17 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodweave import constants as K
-from moodweave.functions.text import first_word, scene_episode, scene_season
-from moodweave.plans.scale import spread
-
-# Tables whose rows carry heavy text: their scans are spread over the cluster's
-# slots when the files have fewer splits (row groups) than there are slots.
-TEXT_TABLES = {"documents", "conversations"}
-
+from moodweave.functions.text import scene_episode, scene_season
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def v_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,17 +89,24 @@ def descriptions(spark: SparkSession) -> DataFrame:
 
 
 def v_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An emotion-annotated corpus aligned to the turns, with splits and duplicates."""
-    t = v_turns(spark, sf_dir).where(F.col("pos") % 3 != 2)
+    """An emotion-annotated corpus aligned to the turns, with splits and duplicates.
+
+    Whole turns: equal (lower-cased), containing the turn (text added), or
+    from another dialogue position.  Speakers are list literals, some of two names.
+    """
+    t = v_turns(spark, sf_dir)
     names = F.array(*[F.lit(n) for n, _ in K.ANNOTATION_CODES])
-    utter = F.when(F.col("pos") % 3 == 0, F.substring(F.lower("text"), 1, 40)) \
-        .otherwise(F.concat(F.col("text"), F.lit(" extra")))
+    utter = F.when(F.col("pos") % 3 == 0, F.lower("text")) \
+        .when(F.col("pos") % 3 == 1, F.concat(F.col("text"), F.lit(" extra"))) \
+        .otherwise(F.concat(F.lit("so, "), F.col("text")))
+    speaker = F.concat(F.lit("['"), F.col("speaker"), F.when(F.col("pos") % 2 == 0, F.lit("', 'Abe Jones']"))
+                       .otherwise(F.lit("']")))
     split = F.when(F.col("conv_id") % 10 < 8, "train").when(F.col("conv_id") % 10 == 8, "dev") \
         .otherwise("test")
     base = t.select(
         scene_season("scene_id").alias("Season"),
         scene_episode("scene_id").alias("Episode"),
-        first_word("speaker").alias("Speaker"),
+        speaker.alias("Speaker"),
         utter.alias("Utterance"),
         F.get(names, F.length("text") % 7).alias("Emotion"),
         split.alias("split"),
@@ -124,29 +124,33 @@ def v_essays(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         F.col("quality").alias("labels"))
 
 
+def every_nth(arr, n: int, k: int):
+    """Sum of the values at 0-based places k, k + n, ... in millionths (integers, so any order adds up alike)."""
+    picked = F.filter(F.transform(arr, lambda x, i: F.when(i % n == k, F.round(x.cast("double") * 1e6).cast("bigint"))),
+                      lambda x: x.isNotNull())
+    return F.aggregate(picked, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
 def v_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     emb = F.col("embedding")
     return e.select(
         "vec_id",
-        F.get(emb, 0).cast("double").alias("pos0"), F.get(emb, 1).cast("double").alias("pos1"),
-        F.get(emb, 2).cast("double").alias("neg0"), F.get(emb, 3).cast("double").alias("neg1"),
+        *[(every_nth(emb, 4, k) / F.lit(1e6)).alias(c) for k, c in enumerate(("pos0", "pos1", "neg0", "neg1"))],
         (F.col("label") % 2).alias("label"),
     )
 
 
 def v_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns 0-2 of each conversation as Utterance/Emotion/Sentiment_1..3 (null when absent)."""
+    """Every run of three turns as a row (conv_id, part): Utterance/Emotion/Sentiment_1..3, null when absent."""
     from moodweave.operators.affect import emotion_tag
-    t = v_turns(spark, sf_dir)
-    tags = emotion_tag(t.where(F.col("pos") < 3), lexicon(spark))
-    j = t.where(F.col("pos") < 3).select("conv_id", "scene_id", "pos", "text") \
-        .join(tags.select("scene_id", "pos", "emotion", "sv"), ["scene_id", "pos"])
+    t = v_turns(spark, sf_dir).withColumn("copy", F.col("text"))
+    j = emotion_tag(t, lexicon(spark)).withColumnRenamed("copy", "text").withColumn("part", F.expr("pos div 3"))
     sent = F.when(F.col("sv") > 0, "positive").when(F.col("sv") < 0, "negative").otherwise("neutral")
     aggs = []
     for i in range(3):
-        on = F.col("pos") == i
+        on = F.col("pos") % 3 == i
         aggs += [F.max(F.when(on, F.col("text"))).alias(f"Utterance_{i + 1}"),
                  F.max(F.when(on, F.col("emotion"))).alias(f"Emotion_{i + 1}"),
                  F.max(F.when(on, sent)).alias(f"Sentiment_{i + 1}")]
-    return j.groupBy("conv_id").agg(*aggs)
+    return j.groupBy("conv_id", "part").agg(*aggs)

@@ -34,10 +34,10 @@ def test_ensemble_flips_when_hypotheses_swap(spark):
 
 
 def test_mask_length_equals_turn_count(spark):
-    m = Q["mask_pad"](spark, SF_MID).select("scene_id", "n_turns")
+    m = Q["mask_full"](spark, SF_MID)
     t = Q["speaker_mask"](spark, SF_MID).groupBy("scene_id", "character").agg(F.count("*").alias("n"))
-    j = Q["mask_pad"](spark, SF_MID).join(t, ["scene_id", "character"])
-    assert j.where(F.least(F.col("n"), F.lit(20)) != F.col("n_turns")).count() == 0
+    j = m.join(t, ["scene_id", "character"])
+    assert j.where(F.col("n") != F.col("n_turns")).count() == 0
     assert m.count() == t.count()
 
 

@@ -212,9 +212,11 @@ def test_alignment_first_match_empty_text_and_meld_case(spark):
         (1, 2, "Bob", "whatever", "Sad", 30),
         (1, 2, "Ann", "Hello There", "Scared", 5),
     ], "Season int, Episode int, Speaker string, Utterance string, Emotion string, ann_order bigint")
+    listed = ann.withColumn("Speaker", F.concat(F.lit("['"), F.col("Speaker"), F.lit(" Geller', 'Zed Q']")))
     for mp in (10 ** 9, 0):  # residual path and gram path
-        e = {r.pos: r.emotion for r in align.align(turns, ann, "emory", max_pairs=mp).collect()}
-        assert e == {0: "Scared", 1: "Sad", 2: None}, mp
+        for a in (ann, listed):  # plain names, and list literals of which the first name counts
+            e = {r.pos: r.emotion for r in align.align(turns, a, "emory", max_pairs=mp).collect()}
+            assert e == {0: "Scared", 1: "Sad", 2: None}, mp
         m = {r.pos: r.emotion for r in align.align(turns, ann, "meld", max_pairs=mp).collect()}
         assert m == {0: "Mad", 1: "Sad", 2: None}, mp
 
@@ -222,7 +224,7 @@ def test_alignment_first_match_empty_text_and_meld_case(spark):
 def test_labelled_dialog_flags(spark):
     a = spark.createDataFrame([("s", 0, "Joyful"), ("s", 1, None), ("t", 0, "Mad")],
                               "scene_id string, pos bigint, emotion string")
-    got = {r.scene_id: (r.any_x, r.all_x) for r in align.labelled_dialogs(a, "x").collect()}
+    got = {r.scene_id: (r.any_x, r.all_x) for r in align.labelled_dialogs({"x": a}).collect()}
     assert got == {"s": (True, False), "t": (True, True)}
 
 
@@ -255,7 +257,7 @@ def test_regroup_range_join_and_label_list_file(spark, tmp_dir):
 
 def test_prefix_sum_matches_running_total(spark):
     df = spark.range(0, 3000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
-    r = {x.k: x.start for x in dialog.prefix_sum(df, "k", "v", bucket_size=100).collect()}
+    r = {x.k: x.start for x in dialog.prefix_sum(df, ["k"], "v").collect()}
     run, ok = 0, True
     for k in range(3000):
         ok &= r[k] == run
@@ -270,7 +272,8 @@ def test_pad_and_list_literal(spark):
 
 
 def test_tsv_round_trip_keeps_specials(spark, tmp_dir):
-    rows = [(1, "line1\nline2", 1), (2, "tab\there", 0), (3, 'say "hi"', 1), (4, "", 0), (5, None, 1)]
+    rows = [(1, "line1\nline2", 1), (2, "tab\there", 0), (3, 'say "hi"', 1), (4, "", 0), (5, None, 1),
+            (6, "back\\slash \\n \\b \r\n end\\", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, utterance string, labels int")
     FS.write_tsv(df, f"{tmp_dir}/t")
     back = FS.read_tsv(spark, f"{tmp_dir}/t", "doc_id bigint, utterance string, labels int")
@@ -413,3 +416,130 @@ def test_centring_mean_on_all_rows_or_train_only(spark):
                                                          fit_filter=F.col("split") == "train").collect()}
     assert all_rows == {1: -3.0, 2: -1.0, 3: 4.0}
     assert train == {1: -1.0, 2: 1.0, 3: 6.0}
+
+
+def test_lexicon_reader_keeps_all_digits(spark, tmp_dir):
+    p = f"{tmp_dir}/lex.tsv"
+    with open(p, "w") as f:
+        f.write("Word\tValence\tArousal\tDominance\nfine\t0.123456\t0.57\t0.29\n")
+    r = FS.read_lexicon(spark, p).first()
+    assert (r.v, r.a, r.d) == (123.456, 570.0, 290.0)
+
+
+def test_first_listed_speaker(spark):
+    df = spark.createDataFrame([("['Monica Geller']",), ("['Joey', 'Ross B']",), ("Plain Name",), ("[]",), (None,)], "s string")
+    assert [r[0] for r in df.select(FS.first_listed("s")).collect()] == ["Monica", "Joey", "Plain", None, None]
+
+
+def test_tagging_gives_one_row_per_row_without_a_shuffle(spark):
+    turns = spark.createDataFrame([("s", 0, None, "joyword"), ("s", 0, None, "joyword"), ("s", 1, "A", None)], TURNS)
+    lx = lex(spark, [("joyword", 760, 480, 350)])
+    tagged = affect.emotion_tag(turns, lx)
+    assert sorted(r.emotion for r in tagged.collect()) == ["joy", "joy", "neutral"]
+    assert "Exchange" not in tagged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_lexicon_is_joined_with_the_same_result(spark, monkeypatch):
+    from conftest import SF_SMALL
+    from moodweave.sources import fixtures as V
+    docs = V.table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(3))
+    small = sorted(map(tuple, lexicon.vad_sums(docs, ["doc_id"], "text", V.lexicon(spark)).collect()))
+    monkeypatch.setattr(lexicon, "LOOKUP_MAX_ROWS", 0)
+    assert sorted(map(tuple, lexicon.vad_sums(docs, ["doc_id"], "text", V.lexicon(spark)).collect())) == small
+
+
+def test_all_words_mean_keeps_case_when_told(spark):
+    docs = spark.createDataFrame([(1, "Good good")], "id int, text string")
+    lx = lex(spark, [("good", 800, 200, 400)])
+    assert lexicon.vad_sums(docs, ["id"], "text", lx).first().n_matched == 2
+    assert lexicon.vad_sums(docs, ["id"], "text", lx, lower=False).first().n_matched == 1
+
+
+def test_speaker_pool_reads_every_turn(spark):
+    tg = _tagged(spark, [("s", p, "Ann X", "joy" if p < 15 else "fear") for p in range(30)])
+    c = spark.createDataFrame([("s", "Ann Y"), ("s", "Bob")], "scene_id string, character string")
+    got = {r.character: r for r in affect.speaker_pool(tg, c).collect()}
+    assert got["Ann Y"].n_own == 30 and got["Ann Y"].p_joy == 0.5 and got["Bob"].n_own == 0
+
+
+def test_turn_without_speaker_is_one_of_the_others(spark):
+    t = spark.createDataFrame([("s", 0, "Ann", "hi"), ("s", 1, None, "psst"), ("s", 2, "Bob", "yo")], TURNS)
+    c = spark.createDataFrame([("s", "Ann")], "scene_id string, character string")
+    tags = spark.createDataFrame([("s", 0, "joy"), ("s", 1, "fear")], "scene_id string, pos bigint, emotion string")
+    r = pairs.pair_texts(t, tags, c, lens=[1.0]).first()
+    assert r.affective_prompt == "The emotion of Ann is initially joy, the emotion of others is fear, "
+    assert r.origin_sent == "Speaker : hi, Others : psst, Others : yo, ; "      # an untagged turn stays
+    assert dialog.context_text(t, c).first().context == " psst yo"
+    vocab = spark.createDataFrame([("hi", 4), ("psst", 5), ("yo", 6)], "word string, id int")
+    assert encode.segment_ids(t, c, vocab, None).first().input_ids == "[1, 4, 2, 5, 6, 2]"
+
+
+def test_uncut_encodings(spark):
+    t = spark.createDataFrame([("s", p, "Ann", " ".join(["aa", "bb"] * 100)) for p in range(25)], TURNS)
+    c = spark.createDataFrame([("s", "Ann")], "scene_id string, character string")
+    vocab = spark.createDataFrame([("aa", 4), ("bb", 5)], "word string, id int")
+    full = encode.encode_turns(t, vocab, None).first()
+    assert full.input_ids == "[1, " + ", ".join(["4, 5"] * 100) + ", 2]"
+    cut = encode.encode_turns(t, vocab, 8).first()
+    assert cut.input_ids == "[1, 4, 5, 4, 5, 4, 5, 2]"
+    assert encode.mask_pad(t, c, None).first().n_turns == 25
+    assert encode.mask_pad(t, c, 20).first().dialog_state.count("1") == 20
+
+
+def test_salted_vocabulary_join_equals_the_broadcast_one(spark, monkeypatch):
+    from conftest import SF_SMALL
+    from moodweave.sources import fixtures as V
+    turns = V.v_turns(spark, SF_SMALL)
+    vocab = encode.vocabulary(turns).select("word", "id").checkpoint()
+    want = sorted(map(str, encode.turn_ids(turns, vocab).collect()))
+    monkeypatch.setattr(encode, "is_small", lambda df: False)
+    assert sorted(map(str, encode.turn_ids(turns, vocab).collect())) == want
+
+
+def test_naive_bayes_against_plain_python(spark):
+    import random
+    from collections import Counter
+
+    from moodweave.operators import model as ML
+    rnd = random.Random(5)
+    bags, splits = [], []
+    for i in range(60):
+        y = i % 2
+        words = [rnd.choice(["aa", "bb", "cc"] if y else ["bb", "cc", "dd"]) for _ in range(rnd.randrange(0, 9))]
+        bags += [("m", f"s{i}", "c", w, n) for w, n in Counter(words).items()]
+        splits.append((f"s{i}", "c", "A", 0, y, ("train", "train", "train", "valid", "test")[i % 5]))
+    b = spark.createDataFrame(bags, "mode string, scene_id string, character string, word string, tf bigint")
+    s = spark.createDataFrame(splits, "scene_id string, character string, trait string, seed int, label int, split string")
+    got = {(r.scene_id, r.alpha): r.pred for r in ML.naive_bayes(b, s).collect()}
+    train = {x[0]: x[4] for x in splits if x[5] == "train"}
+    count = [Counter(), Counter()]
+    for _, sid, _, w, n in bags:
+        if sid in train:
+            count[train[sid]][w] += n
+    vocab = set(count[0]) | set(count[1])
+    d1 = sum(train.values())
+    for sid, _, _, _, _, split in splits:
+        if split == "train":
+            continue
+        for a in ML.ALPHAS:
+            score = math.log(d1 / (len(train) - d1))
+            for _, x, _, w, n in bags:
+                if x == sid and w in vocab:
+                    score += n * sum(sign * math.log((count[k][w] + a) / (sum(count[k].values()) + a * len(vocab)))
+                                     for k, sign in ((1, 1), (0, -1)))
+            assert got[sid, a] == int(round(score, 9) > 0), (sid, a)
+    chosen = ML.select_and_score(ML.naive_bayes(b, s)).collect()
+    assert len(chosen) == 12 and len({r.alpha for r in chosen}) == 1
+
+
+def test_cluster_without_a_checkpoint_folder_is_refused():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from moodweave.session import checkpoint_root
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=sc)
+    with pytest.raises(RuntimeError):
+        checkpoint_root(fake)
