@@ -85,7 +85,11 @@ def failure_bits() -> Column:
 
 
 def _ledger(df: DataFrame) -> DataFrame:
-    return _measure(df).drop("text").withColumn("fail_bits", failure_bits())
+    """Other columns, measurements and bits; settled, so filters on them never run the rules again."""
+    kept = [c for c in df.columns if c != "text"]
+    judged = _measure(df).withColumn("fail_bits", failure_bits())
+    all_in_one = judged.select(*kept, F.struct(*MEASURES, "fail_bits").alias("m"))
+    return settle(all_in_one, "m").select(*kept, "m.*")
 
 
 def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,4 +128,4 @@ def ablate(led: DataFrame, policies: dict = POLICIES) -> DataFrame:
 def keep_documents(docs: DataFrame, version: str = "v2", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with their columns unchanged."""
     judged = _ledger(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")))
-    return apply_policy(settle(judged, "fail_bits"), version).where("kept").select("row.*")
+    return apply_policy(judged, version).where("kept").select("row.*")
