@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodweave.session import scratch_path
+
 # The six ASCII white-space characters; a word is a run of anything else.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -55,3 +57,10 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     a generator stay above it.
     """
     return df.withColumn(name, F.explode_outer(F.array(F.col(name))))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table written to the shared folder and read again: computed once, with no lineage behind it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

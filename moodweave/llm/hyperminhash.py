@@ -15,11 +15,15 @@ collision-corrected estimate (five standard errors below the threshold) before
 their full sets are compared exactly, so every reported link is exact.
 
 Sets that are equal are one node from the start.  Within a band bucket members
-are compared with the bucket's smallest member, each with the hub it meets in most
-buckets, and components are formed; a second round links what remains to hubs
-of other components; last, every pair of a bucket whose members still are in
-different components is compared.  So a group of thousands of copies costs
-work in proportion to its size, yet no link between components is skipped.
+are compared with the bucket's smallest member, each with the hub it meets in
+most buckets, and components are formed; then every pair of a bucket whose
+members still are in different components is compared, unless it cannot be linked: shingles that
+no other document of such buckets has lie outside every intersection, so with
+own counts u a link needs (100 + p) min(n - u) >= p (n + n').  That bound is
+exact and costs one count per shingle.  The same join compares four bits of
+256 registers and drops pairs whose sketches differ in more registers than
+five standard errors allow, so the pairs between a large group and the
+documents just outside it are not written out.
 
 Defined results: null, empty and blank texts have an empty set, are linked
 with nothing and are kept; rows with equal ids are versions of one document;
@@ -35,9 +39,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodweave.llm.common import proven_small
-from moodweave.llm.graph import components
-from moodweave.session import scratch_path
+from moodweave.llm.common import proven_small, written
+from moodweave.llm.graph import components, merge_components
 
 PERCENT = 80
 BANDS, ROWS = 44, 6
@@ -48,6 +51,9 @@ MANTISSA = 10
 # Fixed value: accidental register collisions of a bucket are about this, times 2 ** -MANTISSA.
 COLLISION = 0.169919487159739093975315012348630288992889
 LEAST_ESTIMATE = PERCENT / 100 - 5 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
+WORDS64, PLANES = 4, 4           # the low bits of 64 * WORDS64 registers, one plane of words per bit
+_ALIKE = PERCENT / 100 + (1 - PERCENT / 100) / 2 ** PLANES
+MOST_DIFFERENT = int(64 * WORDS64 * (1 - _ALIKE) + 5 * (64 * WORDS64 * _ALIKE * (1 - _ALIKE)) ** 0.5)
 CACHED_WORDS = 300_000
 SEMI_ROWS = 1_000_000           # ids (8 bytes each) that may be broadcast
 
@@ -113,6 +119,42 @@ def large_sketch(g: np.ndarray) -> bytes:
     return registers(low)
 
 
+def bit_planes(sketch: bytes) -> np.ndarray:
+    """The low PLANES bits of the first registers as 64-bit words, plane by plane."""
+    r = np.frombuffer(sketch, "<u2")[:64 * WORDS64]
+    return np.concatenate([np.packbits((r >> b) & 1).view(np.int64) for b in range(PLANES)])
+
+
+_PLANE_COLUMNS = [f"p{k}" for k in range(PLANES * WORDS64)]
+
+
+def _planes(batches):
+    for batch in batches:
+        ids, kinds, words = [], [], []
+        for doc_id, *sketches in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for kind, x in enumerate(sketches):
+                if x is not None:
+                    ids.append(doc_id)
+                    kinds.append(kind)
+                    words.append(bit_planes(x))
+        words = np.array(words, np.int64).reshape(-1, len(_PLANE_COLUMNS))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.int32()),
+                                          *(pa.array(words[:, k]) for k in range(words.shape[1]))],
+                                         names=["doc_id", "kind", *_PLANE_COLUMNS])
+
+
+def _different(x: str, y: str):
+    """How many of the compared registers of two rows differ in a kept bit."""
+    total = F.lit(0)
+    for w in range(WORDS64):
+        mask = None
+        for b in range(PLANES):
+            diff = F.col(f"{x}.p{b * WORDS64 + w}").bitwiseXOR(F.col(f"{y}.p{b * WORDS64 + w}"))
+            mask = diff if mask is None else mask.bitwiseOR(diff)
+        total = total + F.bit_count(mask)
+    return total
+
+
 _SKETCH = "doc_id long, n long, sig binary, small binary, large binary"
 _SETS = "doc_id long, members binary"
 
@@ -171,6 +213,20 @@ def estimate(small_a, small_b, large_a, large_b, n_a, n_b) -> np.ndarray:
     return (same - by_chance) / (1 - by_chance)
 
 
+def _shingle_rows(width: int):
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                rows = batch.slice(at, 1024)
+                found = [(d, shingle_set(t, hashes, width)) for d, t in _texts(rows)]
+                ids = np.repeat(np.array([d for d, _ in found], np.int64), [len(g) for _, g in found])
+                grams = np.concatenate([g for _, g in found]) if found else np.empty(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(grams.view(np.int64))], names=["doc_id", "gram"])
+
+    return run
+
+
 def _estimates(batches):
     for batch in batches:
         t = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
@@ -206,107 +262,109 @@ class Linker:
     """Candidate pairs, estimates and exact links over one table of documents."""
 
     def __init__(self, docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text"):
-        self.spark, self.width = docs.sparkSession, width
+        self.width = width
         self.texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        self.sketches = self._keep(sketch(docs, width, doc_id, text), "sketch")
+        self.sketches = written(sketch(docs, width, doc_id, text), "minhash-sketches")
         known = self.sketches.where("n > 0 and doc_id is not null")
         self.groups = known.groupBy("sig").agg(F.min("doc_id").alias("rep"))
         reps = self.groups.select(F.col("rep").alias("doc_id")).distinct()
-        self.reps = self._keep(known.join(reps, "doc_id", "left_semi").select("doc_id", "n", "small", "large"), "reps")
-
-    def _keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(self.spark, f"minhash-{name}")
-        df.write.parquet(path)
-        return self.spark.read.parquet(path)
+        self.reps = written(known.join(reps, "doc_id", "left_semi").select("doc_id", "n", "small", "large"),
+                            "minhash-reps")
 
     def members(self) -> DataFrame:
-        """(key, doc_id) of the band buckets that hold two documents or more."""
+        """(key, doc_id, kind) of the band buckets that hold two documents or more; kind 0 is small, 1 large."""
         def keys(c: str, kind: int):
             width = 2 * ROWS
             return F.when(F.col(c).isNotNull(), F.transform(
                 F.sequence(F.lit(0), F.lit(BANDS - 1)),
-                lambda b: F.xxhash64(b, F.lit(kind), F.substring(F.col(c), b * width + 1, F.lit(width)))))
+                lambda b: F.struct(F.xxhash64(b, F.lit(kind), F.substring(F.col(c), b * width + 1, F.lit(width)))
+                                   .alias("key"), F.lit(kind).alias("kind"))))
 
-        none = F.array().cast("array<bigint>")
+        none = F.array().cast("array<struct<key:bigint,kind:int>>")
         every = F.concat(F.coalesce(keys("small", 0), none), F.coalesce(keys("large", 1), none))
-        bands = self.reps.select("doc_id", F.explode_outer(every).alias("key"))
+        bands = self.reps.select("doc_id", F.explode_outer(every).alias("b")).select("doc_id", "b.key", "b.kind")
         shared = bands.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-        return self._keep(bands.join(shared.select("key"), "key"), "members")
+        return written(bands.join(shared.select("key"), "key"), "minhash-members")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """(a, b, est) of the pairs whose estimate is not far below the threshold."""
         side = lambda s: self.reps.select(F.col("doc_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "small", "large")))
         return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimates, "a long, b long, est double")
 
+    def texts_of(self, ids: DataFrame) -> DataFrame:
+        """(doc_id, text) of some ids.  Ids are 8 bytes a row: broadcast up to a counted bound, else a shuffled semi join."""
+        return self.texts.join(proven_small(ids, SEMI_ROWS), "doc_id", "left_semi")
+
+    def sizes(self, ids: DataFrame) -> DataFrame:
+        """(doc_id, n, own): set size, and how many of the shingles no other document of ``ids`` has."""
+        grams = self.texts_of(ids).mapInArrow(_shingle_rows(self.width), "doc_id long, gram long")
+        own = grams.groupBy("gram").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")) \
+            .where("doc_id = last").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+        return ids.join(self.reps.select("doc_id", "n"), "doc_id").join(own, "doc_id", "left") \
+            .select("doc_id", "n", F.coalesce("own", F.lit(0)).alias("own"))
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
-        pairs = pairs.select("a", "b").checkpoint()
+        pairs = written(pairs.select("a", "b"), "minhash-pairs")
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        # ids are 8 bytes a row: broadcast up to a counted bound, else a shuffled semi join
-        sets = self.texts.join(proven_small(ids, SEMI_ROWS), "doc_id", "left_semi").mapInArrow(_set_maker(self.width), _SETS)
-        sets = self._keep(sets, "sets")
+        sets = self.texts_of(ids).mapInArrow(_set_maker(self.width), _SETS)
+        sets = written(sets, "minhash-sets")
         both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a") \
             .join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long").distinct()
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("c", F.col("doc_id"))
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.select(F.col("id").alias("doc_id"), F.col("component")), "doc_id", "left") \
-        .select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+        .select("key", "doc_id", "kind", F.coalesce("component", "doc_id").alias("c"))
 
 
-def _hub_pairs(at: DataFrame, order) -> DataFrame:
+def _hub_pairs(members: DataFrame) -> DataFrame:
     """Each member with one hub: distinct (a, b).
 
-    The hub of a member in a bucket is the bucket's first member, in ``order``,
-    of another component; of its hubs the one met in most buckets is taken.
+    The hub of a bucket is its smallest member; of its hubs a member takes the
+    one that it meets in most buckets, which has the best estimate among them.
     """
-    first = at.groupBy("key", "c").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("hub"))).alias("f"))
-    best = first.groupBy("key").agg(F.min(F.struct("f", "c")).alias("m1"))
-    second = first.join(best, "key").where(F.col("c") != F.col("m1.c")) \
-        .groupBy("key", "m1").agg(F.min("f").alias("m2"))
-    hub = F.when(F.col("c") != F.col("m1.c"), F.col("m1.f.hub")).otherwise(F.col("m2.hub"))
-    pair = at.join(second, "key").select("doc_id", hub.alias("hub"))
-    # the hub that shares most buckets has the best estimate among them
-    votes = pair.groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("n"))
+    hubs = members.groupBy("key").agg(F.min("doc_id").alias("hub"))
+    votes = members.join(hubs, "key").where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("hub")).alias("h"))).alias("m"))
-    hub = -F.col("m.h")
-    return best.select(F.greatest("doc_id", hub).alias("a"), F.least("doc_id", hub).alias("b")).distinct()
+    return best.select(F.col("doc_id").alias("a"), (-F.col("m.h")).alias("b"))
 
 
 def find_links(linker: Linker) -> DataFrame | None:
-    """Exact links (a, b) between representatives that are enough for the components."""
+    """(id, component) of the representatives that are linked with another, or None if there are none."""
     members = linker.members()
     if members.isEmpty():
         return None
-    links, labels = None, None
-    for order in (F.col("doc_id"), F.xxhash64("doc_id")):
-        at = _labelled(members, labels)
-        new = linker.links(linker.likely(_hub_pairs(at, order))).checkpoint()
-        links = new if links is None else links.union(new).checkpoint()
-        labels = components(links)
-    at = _labelled(members, labels).checkpoint()
+    labels = components(linker.links(linker.likely(_hub_pairs(members))))
+    at = written(_labelled(members, labels), "minhash-labelled")
     mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = at.join(mixed, "key").checkpoint()
+    rest = written(at.join(mixed, "key"), "minhash-rest")
+    ids = written(rest.select("doc_id").distinct(), "minhash-ids")
+    kinds = "doc_id long, kind int, " + ", ".join(f"{c} long" for c in _PLANE_COLUMNS)
+    planes = linker.reps.join(ids, "doc_id", "left_semi").select("doc_id", "small", "large").mapInArrow(_planes, kinds)
+    # a row per document and kind: size, own shingles, bit planes
+    facts = written(planes.join(linker.sizes(ids), "doc_id"), "minhash-facts")
+    rest = rest.join(facts, ["doc_id", "kind"])
     x, y = rest.alias("x"), rest.alias("y")
+    most = F.least(F.col("x.n") - F.col("x.own"), F.col("y.n") - F.col("y.own"))
+    possible = (100 + PERCENT) * most >= PERCENT * (F.col("x.n") + F.col("y.n"))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") > F.col("y.doc_id"))
-                   & (F.col("x.c") != F.col("y.c"))) \
+                   & (F.col("x.c") != F.col("y.c")) & possible & (_different("x", "y") <= MOST_DIFFERENT)) \
         .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    return links.union(linker.links(linker.likely(pairs)))
+    return merge_components(labels, linker.links(linker.likely(pairs)))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row: (doc_id, n_shingles, component_id, kept)."""
     linker = Linker(docs, width, doc_id, text)
-    links = find_links(linker)
+    labels = find_links(linker)
     sizes = linker.sketches.select("doc_id", "n", "sig").join(linker.groups, "sig", "left")
     # versions of one document: rows that share an id share a component
-    if links is None:
+    if labels is None:
         labelled = sizes.withColumn("component_id", F.coalesce("rep", "doc_id"))
     else:
-        labels = components(links).select(F.col("id").alias("rep"), "component")
+        labels = labels.select(F.col("id").alias("rep"), "component")
         labelled = sizes.join(labels, "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
     own = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return labelled.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"),
