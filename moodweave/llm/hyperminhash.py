@@ -16,8 +16,9 @@ their full sets are compared exactly, so every reported link is exact.
 
 Sets that are equal are one node from the start.  Within a band bucket members
 are compared with the bucket's smallest member, each with the hub it meets in
-most buckets, and components are formed; then every pair of a bucket whose
-members still are in different components is compared, unless it cannot be linked: shingles that
+most buckets, and components are formed; members of mixed buckets then meet a
+member of another component; last, every pair of a bucket whose members still
+are in different components is compared, unless it cannot be linked: shingles that
 no other document of such buckets has lie outside every intersection, so with
 own counts u a link needs (100 + p) min(n - u) >= p (n + n').  That bound is
 exact and costs one count per shingle.  The same join compares four bits of
@@ -326,9 +327,35 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
     one that it meets in most buckets, which has the best estimate among them.
     """
     hubs = members.groupBy("key").agg(F.min("doc_id").alias("hub"))
-    votes = members.join(hubs, "key").where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("n"))
+    return _best_hub(members.join(hubs, "key").where("doc_id <> hub").select("doc_id", "hub"))
+
+
+def _best_hub(pairs: DataFrame) -> DataFrame:
+    """(a, b): of the (doc_id, hub) rows the hub that a member meets in most buckets, its likely most similar one."""
+    votes = pairs.groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("hub")).alias("h"))).alias("m"))
-    return best.select(F.col("doc_id").alias("a"), (-F.col("m.h")).alias("b"))
+    return best.select(F.greatest("doc_id", -F.col("m.h")).alias("a"), F.least("doc_id", -F.col("m.h")).alias("b")).distinct()
+
+
+def _other_hubs(rest: DataFrame) -> DataFrame:
+    """Each member of a mixed bucket with one member of another component: distinct (a, b).
+
+    A bucket offers the first member, in an order of its own, of another
+    component, so members of one component try many members of the others.
+    """
+    order = F.xxhash64("key", "doc_id")
+    first = rest.groupBy("key", "c").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("hub"))).alias("f"))
+    one = first.groupBy("key").agg(F.min(F.struct("f", "c")).alias("m1"))
+    two = first.join(one, "key").where(F.col("c") != F.col("m1.c")).groupBy("key", "m1").agg(F.min("f").alias("m2"))
+    hub = F.when(F.col("c") != F.col("m1.c"), F.col("m1.f.hub")).otherwise(F.col("m2.hub"))
+    return _best_hub(rest.join(two, "key").select("doc_id", hub.alias("hub")))
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, doc_id, kind, c) of the buckets whose members are in more than one component."""
+    at = written(_labelled(members, labels), "minhash-labelled")
+    mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    return written(at.join(mixed, "key"), "minhash-rest")
 
 
 def find_links(linker: Linker) -> DataFrame | None:
@@ -337,9 +364,9 @@ def find_links(linker: Linker) -> DataFrame | None:
     if members.isEmpty():
         return None
     labels = components(linker.links(linker.likely(_hub_pairs(members))))
-    at = written(_labelled(members, labels), "minhash-labelled")
-    mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = written(at.join(mixed, "key"), "minhash-rest")
+    labels = merge_components(labels, linker.links(linker.likely(_other_hubs(_mixed(members, labels)))))
+    labels = written(labels, "minhash-components")
+    rest = _mixed(members, labels)
     ids = written(rest.select("doc_id").distinct(), "minhash-ids")
     kinds = "doc_id long, kind int, " + ", ".join(f"{c} long" for c in _PLANE_COLUMNS)
     planes = linker.reps.join(ids, "doc_id", "left_semi").select("doc_id", "small", "large").mapInArrow(_planes, kinds)
