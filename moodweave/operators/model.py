@@ -101,7 +101,7 @@ def select_and_score(scored: DataFrame, alphas=ALPHAS) -> DataFrame:
 
 
 def trait_classifier(turns: DataFrame, characters: DataFrame, splits: DataFrame, tagged: DataFrame | None = None,
-                     modes=("speaker", "dialog", "features"), alphas=ALPHAS) -> DataFrame:
+                     modes=MODES, alphas=ALPHAS) -> DataFrame:
     """(mode, trait, seed, scene_id, character, label, alpha, pred) of the test rows."""
     bags = None
     for m in modes:

@@ -280,13 +280,15 @@ def confusion(spark, sf_dir):
 
 
 CLASSIFIER_SEEDS = (0, 42, 3407)
+# The modes of the queries' SQL; the operator's default also has speaker_context.
+CLASSIFIER_MODES = ("speaker", "dialog", "features")
 
 
 def _classified(spark, sf_dir):
     keys = TR.trait_labels(V.v_traits(spark, sf_dir)).select("scene_id", "character", "trait", "label")
     splits = S.sweep_split(keys, ["scene_id", "character"], CLASSIFIER_SEEDS)
     return ML.trait_classifier(V.v_turns(spark, sf_dir), V.v_characters(spark, sf_dir), splits,
-                               tagged_turns(spark, sf_dir))
+                               tagged_turns(spark, sf_dir), CLASSIFIER_MODES)
 
 
 @query

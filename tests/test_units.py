@@ -533,6 +533,30 @@ def test_naive_bayes_against_plain_python(spark):
     assert len(chosen) == 12 and len({r.alpha for r in chosen}) == 1
 
 
+def test_classifier_has_every_input_mode(spark):
+    from collections import Counter
+
+    from moodweave.operators import model as ML
+    turns, chars, splits, bags = [], [], [], Counter()
+    for i in range(20):
+        said = {"Ann": f"sunny day word{i % 3} sunny", "Bob": f"rainy night word{i % 4}"}
+        for pos, (who, text) in enumerate(said.items()):
+            turns.append((f"s{i}", pos, who, text))
+            chars.append((f"s{i}", who))
+            splits.append((f"s{i}", who, "A", 0, int(who == "Ann"), ("train", "train", "train", "valid", "test")[i % 5]))
+            for other in said:
+                mark = "own:" if other == who else "other:"
+                bags.update((f"s{i}", who, mark + w) for w in said[other].split())
+    t = spark.createDataFrame(turns, "scene_id string, pos int, speaker string, text string")
+    c = spark.createDataFrame(chars, "scene_id string, character string")
+    s = spark.createDataFrame(splits, "scene_id string, character string, trait string, seed int, label int, split string")
+    got = {(r.scene_id, r.character, r.word): r.tf for r in ML.input_counts("speaker_context", t, c).collect()}
+    assert got == dict(bags)
+    out = ML.trait_classifier(t, c, s, t.withColumn("emotion", F.lit("joy"))).collect()
+    assert Counter(r["mode"] for r in out) == {m: 8 for m in ML.MODES}
+    assert all(r.pred == r.label for r in out if r["mode"] == "speaker_context")
+
+
 def test_cluster_without_a_checkpoint_folder_is_refused():
     from types import SimpleNamespace
 
