@@ -1,12 +1,15 @@
-"""Main-text extraction from HTML with consensus container paths per host.
+"""Main-text extraction from HTML with consensus container paths per host and template.
 
 Every page is read into a light tree.  Its containers are scored by the text of
 the blocks below them (link text counts against them, text in menus, forms,
 notices and the like not at all; a block counts fully for its container, half
-for the next one and so on).  Each page votes for its best containers' paths,
-in which tags carry their classes with digits generalised.  Spark adds the
-votes per host, and the winning path re-extracts every page of the host; a page
-without that path falls back to its own best container.
+for the next one and so on).  Each page votes for the paths of all containers
+with a positive score; tags in paths carry their classes with digits
+generalised.  A page's template is the set of its container paths without those
+in menus and the like.  Spark adds the votes per host and template, and the
+winning path re-extracts every page of that template; a page without that path
+falls back to its own best container.  A page whose template is unique on its
+host therefore votes alone.
 
 Defined results: null and empty pages give an empty text; broken markup is read
 as far as it goes; urls that are null or have no host vote together as the
@@ -27,8 +30,7 @@ from pyspark.sql import functions as F
 from moodweave.llm.common import proven_small
 from moodweave.llm.url_gbt import host_of
 
-VOTES_PER_PAGE = 3
-HOST_ROWS = 1_000_000            # (host hash, path hash) rows of 16 bytes that may be broadcast
+HOST_ROWS = 1_000_000            # (host hash, template hash, path hash) rows of 24 bytes that may be broadcast
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -225,17 +227,30 @@ def path_key(path: str) -> int:
     return xxhash.xxh64_intdigest(path) - (1 << 63)
 
 
+def template_key(containers) -> int:
+    return path_key("\n".join(sorted({c.path for c in containers if _visible_below(c, None)})))
+
+
 def _votes(batches):
     for batch in batches:
-        hosts, keys, votes = [], [], []
+        hosts, templates, keys, votes = [], [], [], []
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ranked = [x for x in score_containers(*read_blocks(html or "")).items() if x[1] > 0][:VOTES_PER_PAGE]
+            blocks, containers = read_blocks(html or "")
+            ranked = [x for x in score_containers(blocks, containers).items() if x[1] > 0]
+            template = template_key(containers)
             for path, s in ranked:
                 hosts.append(host)
+                templates.append(template)
                 keys.append(path_key(path))
                 votes.append(round(1000 * s / ranked[0][1]))   # integers add up alike in any order
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(keys, pa.int64()),
-                                          pa.array(votes, pa.int64())], names=["host", "path", "vote"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(templates, pa.int64()), pa.array(keys, pa.int64()),
+                                          pa.array(votes, pa.int64())], names=["host", "template", "path", "vote"])
+
+
+def _templates(batches):
+    for batch in batches:
+        keys = [template_key(read_blocks(html or "")[1]) for html in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "template"])
 
 
 def _extracts(batches):
@@ -256,22 +271,24 @@ def _extracts(batches):
 
 
 def host_votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path, votes, pages): hashes of host and generalised path."""
+    """(host, template, path, votes, pages): hashes of host, template and generalised path."""
     rows = pages.select(F.xxhash64(host_of(F.col(url))).alias("host"), F.col(html).alias("html"))
-    return rows.mapInArrow(_votes, "host long, path long, vote long").groupBy("host", "path") \
+    return rows.mapInArrow(_votes, "host long, template long, path long, vote long").groupBy("host", "template", "path") \
         .agg(F.sum("vote").alias("votes"), F.count(F.lit(1)).alias("pages"))
 
 
 def winners(votes: DataFrame) -> DataFrame:
-    """(host, path) with most votes."""
-    return votes.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("w")).select("host", F.col("w.path").alias("path"))
+    """(host, template, path) with most votes."""
+    return votes.groupBy("host", "template").agg(F.max(F.struct("votes", "path")).alias("w")) \
+        .select("host", "template", F.col("w.path").alias("path"))
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text) of every row."""
     best = winners(host_votes(pages, url, html)).checkpoint()
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"),
-                        F.xxhash64(host_of(F.col(url))).alias("host"))
-    joined = rows.join(proven_small(best, HOST_ROWS), "host", "left")
+                        F.xxhash64(host_of(F.col(url))).alias("host")) \
+        .mapInArrow(_templates, "page_id long, url string, html string, host long, template long")
+    joined = rows.join(proven_small(best, HOST_ROWS), ["host", "template"], "left")
     return joined.select("page_id", "url", F.coalesce("path", F.lit(0)).alias("path"), "html") \
         .mapInArrow(_extracts, "page_id long, url string, text string")

@@ -68,3 +68,16 @@ def test_nulls_long_pages_and_empty_tables(spark):
     got = extract(spark, [(1, None, None), (2, "nohost", ""), (3, None, long), (3, None, long), (None, "http://a.b/", page(STORY))])
     assert got[1] == got[2] == "" and got[3].count("\n") == 19999 and got[None] == TEXT
     assert rows(CH.extract_pages(spark.createDataFrame([], SCHEMA))) == []
+
+
+def test_a_host_with_two_templates(spark):
+    plain = [page(f"<div>{STORY}</div>") for _ in range(8)]
+    post = [page(f"<div><p>A teaser of something else.</p></div><div class='post p{k}'>{STORY}</div>") for k in range(3)]
+    for name in ("https://two.org/a", None):
+        got = extract(spark, [(k, name, html) for k, html in enumerate(plain + post)])
+        assert got == {k: TEXT for k in range(11)}
+
+
+def test_every_container_with_a_positive_score_votes(spark):
+    html = page("".join(f"<div class='{c}'>{STORY}</div>" for c in "vwxyz"))
+    assert CH.host_votes(spark.createDataFrame([(1, "http://x.org/", html)], SCHEMA)).count() == 6
