@@ -2,7 +2,9 @@
 
 Records (header and payload) are laid out in archive files at byte offsets.
 Every record is hashed; ``fanout`` consecutive records make a leaf range,
-``fanout`` consecutive ranges the next level, up to one root per file.  Two
+``fanout`` consecutive ranges the next level, up to one root per file.  A
+record's node also hashes its start and end offset, a range's node the bounds of
+its children, so an intact record at another offset is a difference.  Two
 replicas are compared by their roots; only the children of mismatching nodes
 are compared on the next level, down to the records.
 
@@ -63,16 +65,18 @@ def levels_for(records_per_file: int, fanout: int = FANOUT) -> int:
 
 
 def node_level(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """Parents of (warc_file, node, sha): hash of the child hashes in offset order."""
+    """Parents of (warc_file, node, start_offset, end_offset, sha): hash of the children's bounds and hashes in order."""
     parent = nodes.groupBy("warc_file", F.expr(f"node div {fanout}").alias("parent"))
-    kids = F.sort_array(F.collect_list(F.struct("node", "sha")))  # at most ``fanout`` children
-    joined = F.concat_ws(",", F.transform(kids, lambda x: F.concat_ws(":", x["node"], x["sha"])))
-    return parent.agg(F.sha2(joined, 256).alias("sha")).withColumnRenamed("parent", "node")
+    kids = F.sort_array(F.collect_list(F.struct("node", "start_offset", "end_offset", "sha")))  # at most ``fanout`` children
+    joined = F.concat_ws(",", F.transform(kids, lambda x: F.concat_ws(":", x["node"], x["start_offset"], x["end_offset"], x["sha"])))
+    return parent.agg(F.min("start_offset").alias("start_offset"), F.max("end_offset").alias("end_offset"),
+                      F.sha2(joined, 256).alias("sha")).withColumnRenamed("parent", "node")
 
 
 def tree(placed: DataFrame, levels: int, fanout: int = FANOUT) -> list[DataFrame]:
     """Node tables from the records (level 0) up to the file roots."""
-    out = [placed.select("warc_file", F.col("record_no").alias("node"), "sha")]
+    leaf = F.sha2(F.concat_ws(":", "start_offset", "end_offset", "sha"), 256)
+    out = [placed.select("warc_file", F.col("record_no").alias("node"), "start_offset", "end_offset", leaf.alias("sha"))]
     for _ in range(levels):
         out.append(node_level(out[-1], fanout))
     return out
@@ -80,14 +84,15 @@ def tree(placed: DataFrame, levels: int, fanout: int = FANOUT) -> list[DataFrame
 
 def mismatches(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """Nodes whose hashes differ, or that one replica lacks."""
-    both = ours.withColumnRenamed("sha", "a").join(theirs.withColumnRenamed("sha", "b"), ["warc_file", "node"], "full")
+    side = lambda nodes, name: nodes.select("warc_file", "node", F.col("sha").alias(name))
+    both = side(ours, "a").join(side(theirs, "b"), ["warc_file", "node"], "full")
     return both.where(~F.col("a").eqNullSafe(F.col("b")))
 
 
 def audit(primary: DataFrame, replica: DataFrame, levels: int | None = None, fanout: int = FANOUT) -> DataFrame:
     """Records that differ between two replicas: (warc_file, record_no, status).
 
-    ``status`` is changed, missing (not in the replica) or extra (only there).
+    ``status`` is changed (content or offsets), missing (not in the replica) or extra (only there).
     ``levels`` must reach the file roots; by default it suits files of about
     ``RECORDS_PER_FILE`` records.  Larger files are still compared in full: a
     level that stops short of the root only widens the first comparison.

@@ -102,11 +102,13 @@ def op10_merkle_fixity(spark, sf_dir):
     hurt = MF.read_back(pages.select("page_id", "url", "html", fate.alias("fate"), F.col("html").alias("whole")),
                         F.col("fate") == "00", F.col("fate") == "01", F.col("fate") == "02")
     u, p = F.coalesce(F.col("url"), F.lit("")), F.coalesce(F.col("whole"), F.lit(""))
-    # a replica's records keep their place in the archive: the spot of the record as first written
+    # a replica's records start where the record was first written (its spot) and have their own lengths
     name = F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), u,
                        F.sha2(MF.warc_record(u, p), 256))
-    theirs = hurt.select(F.sha2(name, 256).alias("spot"), F.sha2(MF.warc_record(u, F.col("html")), 256).alias("sha")).distinct()
-    replica = placed.drop("sha").join(theirs, "spot").checkpoint()
+    theirs = hurt.select(F.sha2(name, 256).alias("spot"), F.sha2(MF.warc_record(u, F.col("html")), 256).alias("sha"),
+                         F.octet_length(MF.warc_record(u, F.col("html"))).cast("bigint").alias("length")).distinct()
+    replica = placed.drop("sha", "end_offset").join(theirs, "spot") \
+        .withColumn("end_offset", F.col("start_offset") + F.col("length")).checkpoint()
     bad = MF.audit(placed, replica)
     return placed.join(bad, ["warc_file", "record_no"], "left").select(
         "page_id", "warc_file", "record_no", "start_offset", "end_offset", F.col("sha").alias("record_sha256"),

@@ -57,3 +57,13 @@ def test_nulls_repeated_rows_and_empty_tables(spark):
     empty = MF.layout(MF.record_hashes(pages.limit(0)))
     assert rows(empty) == [] and rows(MF.audit(empty, empty)) == []
     assert {r["status"] for r in MF.audit(p, empty.select(p.columns)).collect()} == {"missing"}
+
+
+def test_intact_records_at_other_offsets_are_changed(spark):
+    p = placed(spark)
+    late = (F.col("warc_file") == 2) & (F.col("record_no") >= 20)
+    shift = lambda c: (F.col(c) + F.when(late, 7).otherwise(0)).cast("long")
+    moved = p.withColumns({"start_offset": shift("start_offset"), "end_offset": shift("end_offset")})
+    got = {(r["warc_file"], r["record_no"], r["status"]) for r in MF.audit(p, moved, levels=2).collect()}
+    want = {(r["warc_file"], r["record_no"], "changed") for r in p.where(late).collect()}
+    assert want and got == want
