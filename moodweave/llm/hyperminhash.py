@@ -19,7 +19,7 @@ are compared with the bucket's smallest member, each with the hub it meets in
 most buckets, and components are formed; members of mixed buckets then meet a
 member of another component; last, every pair of a bucket whose members still
 are in different components is compared, unless it cannot be linked: shingles that
-no other document of such buckets has lie outside every intersection, so with
+no other document (or version of it) of such buckets has lie outside every intersection, so with
 own counts u a link needs (100 + p) min(n - u) >= p (n + n').  That bound is
 exact and costs one count per shingle.  The same join compares four bits of
 256 registers and drops pairs whose sketches differ in more registers than
@@ -131,17 +131,18 @@ _PLANE_COLUMNS = [f"p{k}" for k in range(PLANES * WORDS64)]
 
 def _planes(batches):
     for batch in batches:
-        ids, kinds, words = [], [], []
-        for doc_id, *sketches in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        ids, versions, kinds, words = [], [], [], []
+        for doc_id, version, *sketches in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for kind, x in enumerate(sketches):
                 if x is not None:
                     ids.append(doc_id)
+                    versions.append(version)
                     kinds.append(kind)
                     words.append(bit_planes(x))
         words = np.array(words, np.int64).reshape(-1, len(_PLANE_COLUMNS))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.int32()),
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(kinds, pa.int32()),
                                           *(pa.array(words[:, k]) for k in range(words.shape[1]))],
-                                         names=["doc_id", "kind", *_PLANE_COLUMNS])
+                                         names=["doc_id", "version", "kind", *_PLANE_COLUMNS])
 
 
 def _different(x: str, y: str):
@@ -214,6 +215,15 @@ def estimate(small_a, small_b, large_a, large_b, n_a, n_b) -> np.ndarray:
     return (same - by_chance) / (1 - by_chance)
 
 
+def _version(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def _version_of(sig: str):
+    """``_version`` of a digest column: one text of a document that may have several."""
+    return F.conv(F.hex(F.substring(sig, 1, 8)), 16, -10).cast("long").alias("version")
+
+
 def _shingle_rows(width: int):
     def run(batches):
         hashes = WordHashes()
@@ -222,8 +232,11 @@ def _shingle_rows(width: int):
                 rows = batch.slice(at, 1024)
                 found = [(d, shingle_set(t, hashes, width)) for d, t in _texts(rows)]
                 ids = np.repeat(np.array([d for d, _ in found], np.int64), [len(g) for _, g in found])
+                versions = np.repeat(np.array([_version(xxhash.xxh3_128_digest(g.tobytes())) for _, g in found], np.int64),
+                                     [len(g) for _, g in found])
                 grams = np.concatenate([g for _, g in found]) if found else np.empty(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(grams.view(np.int64))], names=["doc_id", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(versions), pa.array(grams.view(np.int64))],
+                                                 names=["doc_id", "version", "gram"])
 
     return run
 
@@ -269,7 +282,7 @@ class Linker:
         known = self.sketches.where("n > 0 and doc_id is not null")
         self.groups = known.groupBy("sig").agg(F.min("doc_id").alias("rep"))
         reps = self.groups.select(F.col("rep").alias("doc_id")).distinct()
-        self.reps = written(known.join(reps, "doc_id", "left_semi").select("doc_id", "n", "small", "large"),
+        self.reps = written(known.join(reps, "doc_id", "left_semi").select("doc_id", _version_of("sig"), "n", "small", "large"),
                             "minhash-reps")
 
     def members(self) -> DataFrame:
@@ -297,12 +310,14 @@ class Linker:
         return self.texts.join(proven_small(ids, SEMI_ROWS), "doc_id", "left_semi")
 
     def sizes(self, ids: DataFrame) -> DataFrame:
-        """(doc_id, n, own): set size, and how many of the shingles no other document of ``ids`` has."""
-        grams = self.texts_of(ids).mapInArrow(_shingle_rows(self.width), "doc_id long, gram long")
-        own = grams.groupBy("gram").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")) \
-            .where("doc_id = last").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
-        return ids.join(self.reps.select("doc_id", "n"), "doc_id").join(own, "doc_id", "left") \
-            .select("doc_id", "n", F.coalesce("own", F.lit(0)).alias("own"))
+        """(doc_id, version, n, own): set size of each version of a document, and how many of its shingles no
+        other document or version of ``ids`` has."""
+        grams = self.texts_of(ids).mapInArrow(_shingle_rows(self.width), "doc_id long, version long, gram long")
+        own = grams.groupBy("gram").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"),
+                                        F.min("version").alias("version"), F.max("version").alias("last_version")) \
+            .where("doc_id = last and version = last_version").groupBy("doc_id", "version").agg(F.count(F.lit(1)).alias("own"))
+        return ids.join(self.reps.select("doc_id", "version", "n").distinct(), "doc_id") \
+            .join(own, ["doc_id", "version"], "left").select("doc_id", "version", "n", F.coalesce("own", F.lit(0)).alias("own"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
@@ -368,10 +383,10 @@ def find_links(linker: Linker) -> DataFrame | None:
     labels = written(labels, "minhash-components")
     rest = _mixed(members, labels)
     ids = written(rest.select("doc_id").distinct(), "minhash-ids")
-    kinds = "doc_id long, kind int, " + ", ".join(f"{c} long" for c in _PLANE_COLUMNS)
-    planes = linker.reps.join(ids, "doc_id", "left_semi").select("doc_id", "small", "large").mapInArrow(_planes, kinds)
-    # a row per document and kind: size, own shingles, bit planes
-    facts = written(planes.join(linker.sizes(ids), "doc_id"), "minhash-facts")
+    kinds = "doc_id long, version long, kind int, " + ", ".join(f"{c} long" for c in _PLANE_COLUMNS)
+    planes = linker.reps.join(ids, "doc_id", "left_semi").select("doc_id", "version", "small", "large").mapInArrow(_planes, kinds)
+    # a row per version of a document and kind: size, own shingles, bit planes
+    facts = written(planes.join(linker.sizes(ids), ["doc_id", "version"]), "minhash-facts")
     rest = rest.join(facts, ["doc_id", "kind"])
     x, y = rest.alias("x"), rest.alias("y")
     most = F.least(F.col("x.n") - F.col("x.own"), F.col("y.n") - F.col("y.own"))

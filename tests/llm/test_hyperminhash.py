@@ -113,3 +113,25 @@ def test_long_chain_components(spark):
     edges = [(i + 1, i) for i in range(200)] + [(1000, 999), (5000, 1000)]
     got = dict(rows(components(spark.createDataFrame(edges, "a long, b long"))))
     assert all(got[i] == 0 for i in range(201)) and got[5000] == got[1000] == got[999] == 999
+
+
+def test_own_shingles_are_counted_for_each_version_of_an_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    short, near, long = " ".join(words), " ".join([*words[:-1], "z"]), " ".join(f"v{k}" for k in range(400))
+    docs = [(1, short), (1, long), (2, near), (1, short)]
+    linker = HM.Linker(spark.createDataFrame(docs, "doc_id long, text string"), 2)
+    ids = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    got = sorted(rows(linker.sizes(ids), "doc_id", "n", "own"))
+    assert got == [(1, 59, 1), (1, 399, 399), (2, 59, 1)]
+
+
+def test_a_short_version_of_an_id_links_in_a_mixed_bucket(spark, monkeypatch):
+    """With no hub round, the bound alone decides on the pair of the short version."""
+    words = [f"w{k}" for k in range(60)]
+    near = [" ".join([*words[:k], "z", *words[k + 1:]]) for k in (5, 30)]
+    docs = [(1, " ".join(words)), (1, " ".join(f"v{k}" for k in range(400))), (2, near[0]), (3, near[1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    none = lambda members: members.select(members.doc_id.alias("a"), members.doc_id.alias("b")).limit(0)
+    monkeypatch.setattr(HM, "_hub_pairs", none)
+    monkeypatch.setattr(HM, "_other_hubs", none)
+    assert {r["component_id"] for r in HM.near_duplicates(df, width=2).collect()} == {1}
