@@ -113,9 +113,10 @@ def train(docs: DataFrame, labels: DataFrame, usable=None, doc_id: str = "doc_id
     parts = [rows.where(F.col("label") == k).orderBy(order, "doc_id").limit(sample) for k in (0, 1)]
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")) \
         .where(F.octet_length("text") <= SAMPLE_BYTES)
-    # at most 2 * sample ids
-    chosen = texts.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
-    got = chosen.select(order.alias("o"), "doc_id", "label", F.encode("text", "utf-8").alias("raw")).collect()
+    # at most 2 * sample ids, and of each the text with the smallest hash, however many rows repeat it
+    chosen = texts.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").groupBy("doc_id", "label") \
+        .agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    got = chosen.select(order.alias("o"), "doc_id", "label", F.encode("t.text", "utf-8").alias("raw")).collect()
     got.sort(key=lambda r: (r["o"], r["doc_id"], bytes(r["raw"])))
     by = {k: [bytes(r["raw"]) for r in got if r["label"] == k] for k in (0, 1)}
     return fit(by[1], by[0], size.get(1, 0), size.get(0, 0))

@@ -36,3 +36,15 @@ def test_edge_rows(spark):
 def test_training_is_repeatable(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     assert ZQ.train(docs, labels) == ZQ.train(docs.repartition(7), labels.repartition(5))
+
+
+def test_a_repeated_id_gives_one_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"version {k % 50}") for k in range(400)] + [(2, "two"), (3, "three"), (4, "four")],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(ZQ, "fit", lambda good, bad, n, m: seen.append((good, bad, n, m)))
+    ZQ.train(docs, labels)
+    ZQ.train(docs.repartition(7), labels)
+    good, bad, n, m = seen[0]
+    assert len(good) == 2 and len(bad) == 2 and (n, m) == (2, 2) and seen[0] == seen[1]
