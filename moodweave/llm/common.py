@@ -64,3 +64,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+class Scratch:
+    """Tables under the shared folder that are deleted once nothing reads them any more.
+
+    ``write`` materialises a frame and reads it back; ``drop`` removes tables whose readers
+    have been written themselves.  Used as a context, it removes on leaving whatever was
+    written and not released with ``keep``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` stays: it is part of the result."""
+        self.paths.pop(id(df), None)
+        return df
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path = self.paths.pop(id(t), (None,))[0]
+            if path:
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.drop(*[t for _, t in list(self.paths.values())])

@@ -162,3 +162,32 @@ o AS (SELECT *, row_number() OVER (PARTITION BY warc_file ORDER BY spot) - 1 AS
              CAST(sum(length) OVER (PARTITION BY warc_file ORDER BY spot) AS BIGINT) AS end_offset FROM f)
 SELECT page_id, warc_file, record_no, end_offset - length AS start_offset, end_offset, sha AS record_sha256, status
 FROM o"""
+
+
+LLM_ORACLE["op11_phrase_graph"] = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                                                                     '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ws AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+  FROM ws, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 10),
+parts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+cuts AS (
+  SELECT p.lang, p.phrase, a, k, l.f AS l, r.f AS r,
+         CAST((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM parts p JOIN f l ON l.lang = p.lang AND l.phrase = p.first JOIN f r ON r.lang = p.lang AND r.phrase = p.rest),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+held AS (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, f FROM c WHERE m = 3
+         UNION ALL SELECT lang, array_to_string(w[2:3], ' '), f FROM c WHERE m = 3),
+longer AS (SELECT lang, phrase, max(f) AS f FROM held GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase,
+       a, l, r, n.n, score
+FROM best b JOIN n ON n.lang = b.lang LEFT JOIN longer h ON h.lang = b.lang AND h.phrase = b.phrase
+WHERE h.f IS NULL OR 100 * h.f < 50 * a
+QUALIFY rank <= 2000"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodweave.llm import blob_ledger as BL
+from moodweave.llm import collocations as CO
 from moodweave.llm import consensus_html as CH
 from moodweave.llm import dp_packing as DP
 from moodweave.llm import hyperminhash as HM
@@ -113,3 +114,8 @@ def op10_merkle_fixity(spark, sf_dir):
     return placed.join(bad, ["warc_file", "record_no"], "left").select(
         "page_id", "warc_file", "record_no", "start_offset", "end_offset", F.col("sha").alias("record_sha256"),
         F.coalesce("status", F.lit("ok")).alias("status"))
+
+
+@query
+def op11_phrase_graph(spark, sf_dir):
+    return CO.mine(table(spark, sf_dir, "documents"))
