@@ -191,3 +191,87 @@ SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DES
 FROM best b JOIN n ON n.lang = b.lang LEFT JOIN longer h ON h.lang = b.lang AND h.phrase = b.phrase
 WHERE h.f IS NULL OR 100 * h.f < 50 * a
 QUALIFY rank <= 2000"""
+
+
+# The control strings, and the characters that each turn's markers take.
+_CONTROL = r"<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<<END>>|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>"
+_ESCAPED = f"(length({{t}}) + len(regexp_extract_all({{t}}, '\\\\')) + len(regexp_extract_all({{t}}, '{_CONTROL}')))"
+LLM_ORACLE["op12_template_compiler"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (
+  SELECT *, CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 22 + {_ESCAPED.replace('{t}', 'role')} END
+            + {_ESCAPED.replace('{t}', 'text')} AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
+# crc32 bit by bit (a byte, then eight shifts), and the edits of one row: state before, state after,
+# initial of a kept role (or * for any), cost, label, role of the inserted turn, role given to the row.
+_CRC = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split({k}, ''),
+    lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)"""
+_EDITS = """(VALUES
+  (0, 1, 's', 0, 'K', NULL, NULL), (0, 2, 'u', 0, 'K', NULL, NULL), (1, 2, 'u', 0, 'K', NULL, NULL),
+  (2, 3, 'a', 0, 'K', NULL, NULL), (3, 2, 'u', 0, 'K', NULL, NULL),
+  (0, 3, 'a', 2, 'IK', 'user', NULL), (1, 3, 'a', 2, 'IK', 'user', NULL), (3, 3, 'a', 2, 'IK', 'user', NULL),
+  (2, 2, 'u', 2, 'IK', 'assistant', NULL),
+  (0, 2, '*', 2, 'R', NULL, 'user'), (1, 2, '*', 2, 'R', NULL, 'user'), (3, 2, '*', 2, 'R', NULL, 'user'),
+  (2, 3, '*', 2, 'R', NULL, 'assistant'),
+  (0, 3, '*', 4, 'IR', 'user', 'assistant'), (1, 3, '*', 4, 'IR', 'user', 'assistant'),
+  (3, 3, '*', 4, 'IR', 'user', 'assistant'), (2, 2, '*', 4, 'IR', 'assistant', 'user'),
+  (0, 0, '-', 3, 'D', NULL, NULL), (1, 1, '-', 3, 'D', NULL, NULL), (2, 2, '-', 3, 'D', NULL, NULL),
+  (3, 3, '-', 3, 'D', NULL, NULL)) AS e(a, b, initial, cost, label, put, given)"""
+LLM_ORACLE["op13_audit_repair"] = rf"""
+WITH RECURSIVE told AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_CRC.replace('{k}', "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fate
+  FROM conversations),
+hurt AS (
+  SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE fate WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM told),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt)),
+faults AS (
+  SELECT conv_id, turn, role, text, i, before, left(role, 1) AS initial,
+         CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM ordered),
+dp AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS s, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines
+  FROM conversations
+  UNION ALL
+  SELECT d.conv_id, f.i, e.b, d.cost + e.cost + (CASE WHEN f.fault = 'truncated' AND e.label <> 'D' THEN 1 ELSE 0 END),
+         d.audit || e.label,
+         CASE WHEN e.label = 'D' THEN d.lines
+              WHEN e.put IS NULL THEN list_append(d.lines, coalesce(e.given, f.role) || ':' || f.text)
+              ELSE list_append(list_append(d.lines, e.put || ':'), coalesce(e.given, f.role) || ':' || f.text) END
+  FROM dp d JOIN faults f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.i = d.i + 1
+       JOIN {_EDITS} ON e.a = d.s AND (e.label = 'D' OR (f.fault NOT IN ('blank', 'duplicate') AND e.initial IN ('*', f.initial)))
+  QUALIFY row_number() OVER (PARTITION BY d.conv_id, e.b ORDER BY d.cost + e.cost + (CASE WHEN f.fault = 'truncated' AND e.label <> 'D' THEN 1 ELSE 0 END), d.audit || e.label) = 1),
+size AS (SELECT conv_id, max(i) AS n FROM dp GROUP BY conv_id),
+best AS (
+  SELECT d.conv_id, d.cost + 2 * len(p.puts) AS cost, d.audit || repeat('I', len(p.puts)) AS audit, list_concat(d.lines, p.puts) AS lines
+  FROM dp d JOIN size z ON z.conv_id IS NOT DISTINCT FROM d.conv_id AND z.n = d.i
+       JOIN (VALUES (0, CAST([] AS VARCHAR[])), (1, ['user:', 'assistant:']), (2, ['assistant:']), (3, CAST([] AS VARCHAR[]))) AS p(s, puts) ON p.s = d.s
+  QUALIFY row_number() OVER (PARTITION BY d.conv_id ORDER BY d.cost + 2 * len(p.puts), d.audit || repeat('I', len(p.puts))) = 1),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND left(before, 1) || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id)
+SELECT b.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit,
+       sha256(array_to_string(lines, chr(10))) AS repaired_sha256
+FROM best b LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id"""
