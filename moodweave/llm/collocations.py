@@ -29,67 +29,90 @@ empty table has no phrases.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodweave.llm.common import Scratch
 
 LONGEST, MIN_COUNT, SHARE, TOP = 3, 10, 50, 2000
-#: Combined edges that a task holds before it passes them on.
-RUN = 1 << 19
+#: Tokens that a task holds before it passes on their edges.
+RUN = 1 << 20
 SUCCESSOR_SALTS = 8
 WORD_SALTS = 8
 
-_PIECE_END = re.compile(rb"[.,;:!?\n-\r]+")
+# Every piece end becomes a line feed and every blank a space; bytes.lower() changes A-Z alone.
+_PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 
 
-def piece_edges(text: bytes, longest: int) -> Iterator[list[bytes]]:
-    """The edges of each piece: one per word, cut short at the piece's end."""
-    for piece in _PIECE_END.split(text):
-        words = piece.split()
-        if words:
-            runs = words
-            for k in range(1, longest):
-                # a run that has reached the end stays as it is
-                runs = [a + b" " + b for a, b in zip(runs, words[k:])] + runs[max(len(words) - k, 0):]
-            yield runs
+def _tokens(text: str | None) -> list[bytes]:
+    """Words, with a line feed behind each piece and empty strings where blanks adjoin."""
+    return ((text or "").encode().lower().translate(_PLAIN) + b"\n").replace(b"\n", b" \n ").split(b" ")[:-1]
+
+
+def combine_edges(tokens: list[bytes], longest: int) -> tuple[pa.Array, np.ndarray]:
+    """The distinct edges of a run of tokens, in ascending order, and how often each occurs.
+
+    An edge is the run of up to ``longest`` words from a word on, cut short where its piece ends.
+    """
+    coded = pa.array(tokens, pa.binary()).dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    words = coded.dictionary.take(pa.array(order))
+    codes = rank[coded.indices.to_numpy()]
+    size = len(words)
+    end, blank = (words.index(x).as_py() for x in (pa.scalar(b"\n", pa.binary()), pa.scalar(b"", pa.binary())))
+    codes = codes[codes != blank]
+    starts = codes != end
+    keys, after, inside, base, levels = codes, codes, starts, size + 1, []
+    narrow = base ** longest >= 1 << 62            # keys of whole edges would not fit: number the beginnings
+    for k in range(1, longest):
+        after = np.append(after[1:], end)
+        inside = inside & (after != end)
+        keys = keys * base + np.where(inside, after + 1, 0)
+        if narrow and k < longest - 1:
+            distinct, keys = np.unique(keys, return_inverse=True)
+            levels.append(distinct)
+    found, counts = np.unique(keys[starts], return_counts=True)
+    parts = []
+    for k in range(longest - 1, 0, -1):
+        word, found = found % base - 1, found // base
+        parts.append(words.take(pa.array(word, pa.int64(), mask=word < 0)))
+        if narrow and k > 1:
+            found = levels[k - 2][found]
+    parts.append(words.take(pa.array(found, pa.int64())))
+    return pc.binary_join_element_wise(*reversed(parts), pa.scalar(b" ", pa.binary()), null_handling="skip"), counts
 
 
 def count_edges(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
     """(edge, n): edges as ``lang TAB words``, combined within runs of a task."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("edge", pa.string()), ("n", pa.int64())])
-        seen: dict[bytes, Counter] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang in sorted(seen):
-                edges = sorted(seen[lang].items())
-                for i in range(0, len(edges), 1 << 15):
-                    part = edges[i:i + (1 << 15)]
-                    yield pa.record_batch([pa.array([lang + b"\t" + e for e, _ in part], pa.binary()).cast(pa.string()),
-                                           pa.array([c for _, c in part], pa.int64())], schema=schema)
-            seen.clear()
+        held: dict[bytes, list[bytes]] = {}
+
+        def flush(lang: bytes) -> Iterator[pa.RecordBatch]:
+            tokens, stop = held.pop(lang), 0
+            while stop < len(tokens):                  # a long text fills several runs, each to a piece's end
+                start, stop = stop, tokens.index(b"\n", min(stop + RUN, len(tokens)) - 1) + 1
+                edges, counts = combine_edges(tokens[start:stop], longest)
+                for j in range(0, len(edges), 1 << 16):
+                    edge = pc.binary_join_element_wise(pa.scalar(lang, pa.binary()), edges[j:j + (1 << 16)], pa.scalar(b"\t", pa.binary()))
+                    yield pa.record_batch([edge.cast(pa.string()), pa.array(counts[j:j + (1 << 16)], pa.int64())], names=["edge", "n"])
 
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1)):
-                # lower() of bytes changes A-Z alone
-                body, lang = (text.as_py() or "").encode().lower(), lang.as_py()
-                counter = seen.setdefault(b"und" if lang is None else lang.encode(), Counter())
-                for edges in piece_edges(body, longest):
-                    before = len(counter)
-                    counter.update(edges)
-                    size += len(counter) - before
-                    if size >= RUN:
-                        yield from flush()
-                        counter = seen.setdefault(b"und" if lang is None else lang.encode(), Counter())
-                        size = 0
-        yield from flush()
+                lang = lang.as_py()
+                lang = b"und" if lang is None else lang.encode()
+                tokens = held.setdefault(lang, [])
+                tokens += _tokens(text.as_py())
+                if sum(map(len, held.values())) >= RUN:
+                    yield from flush(max(held, key=lambda k: len(held[k])))
+        for lang in sorted(held):
+            yield from flush(lang)
 
     return docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, "edge string, n long")
 
@@ -113,7 +136,7 @@ def count_phrases(docs: DataFrame, scratch: Scratch, longest: int = LONGEST,
     dealt = count_edges(docs, longest).select(bucket.alias("bucket"), "edge", "n").repartition("bucket")
     # an edge adds to the count of each of its beginnings; the bucket has all edges of a pair of words
     flow = dealt.select("bucket", F.explode(_beginnings(longest)).alias("key"), "n") \
-        .where(F.col("key").isNotNull()).groupBy("bucket", "key").agg(F.sum("n").alias("f"))
+        .groupBy("bucket", "key").agg(F.sum("n").alias("f"))
     single = F.instr("key", " ") == 0
     flows = scratch.write(flow.where(single | (F.col("f") >= min_count)).select("key", "f"), "phrase-flows")
     words = scratch.write(flows.where(single).groupBy("key").agg(F.sum("f").alias("f")).select(*_split_key(), "f"),
@@ -126,9 +149,9 @@ def count_phrases(docs: DataFrame, scratch: Scratch, longest: int = LONGEST,
 
 
 def _beginnings(longest: int) -> Column:
-    """The beginnings of an edge, one for each number of words; null where it is shorter."""
+    """The beginnings of an edge, one for each number of its words."""
     edge, gaps = F.col("edge"), F.length("edge") - F.length(F.replace(F.col("edge"), F.lit(" "), F.lit("")))
-    return F.array(*[F.when(gaps >= k - 1, F.substring_index(edge, " ", k)) for k in range(1, longest + 1)])
+    return F.slice(F.array(*[F.substring_index(edge, " ", k) for k in range(1, longest)], edge), 1, gaps + 1)
 
 
 def _node(phrase: str, nodes: int, end: int) -> Column:

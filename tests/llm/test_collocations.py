@@ -74,19 +74,28 @@ def test_equals_brute_force(spark, longest, least):
     assert mined(spark, docs, longest=longest, min_count=least) == brute(docs, longest, least)
 
 
-@given(st.lists(st.text("ab. \t", max_size=12), max_size=4), st.integers(1, 4))
+@given(st.lists(st.text("ab. \t", max_size=12), max_size=4), st.integers(1, 4), st.booleans())
 @settings(max_examples=200, deadline=None)
-def test_edges_start_at_every_word(texts, longest):
+def test_edges_start_at_every_word(texts, longest, many_words):
+    # an edge of 40 different words does not fit one number
+    texts = texts + [" ".join(f"v{i}" for i in range(40))] * many_words
+    longest = longest + 11 * many_words
     got = Counter()
-    for t in texts:
-        for edges in CO.piece_edges(t.encode(), longest):
-            for e in edges:
-                w = e.split(b" ")
-                for k in range(1, len(w) + 1):
-                    got["und", b" ".join(w[:k]).decode()] += 1
+    edges, counts = CO.combine_edges([t for x in [*texts, " "] for t in CO._tokens(x)], longest)
+    assert len(set(edges.to_pylist())) == len(edges)
+    for e, n in zip(edges.to_pylist(), counts.tolist()):
+        w = e.split(b" ")
+        for k in range(1, len(w) + 1):
+            got["und", b" ".join(w[:k]).decode()] += n
     assert got == +brute_counts([(t, None) for t in texts], longest)[0]
 
 
+def test_runs_end_at_a_piece(spark, monkeypatch):
+    monkeypatch.setattr(CO, "RUN", 7)
+    docs = [("a b c d e f g h i j. k l m " * 3, "en"), ("x " * 30, "fr"), ("a b c", "en")] * 4
+    assert mined(spark, docs, min_count=2) == brute(docs, least=2)
+
+
 def test_paths_are_maximal_and_keep_every_edge(spark):
     chorus = " ".join(f"w{i}" for i in range(300))
     docs = [(chorus, "en")] * 10 + [("start " + chorus.replace("w250", "other"), "en")] * 10
