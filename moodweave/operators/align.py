@@ -4,13 +4,16 @@ For every turn: the first annotation (lowest ``ann_order``) of the same season,
 episode and speaker whose text equals the turn text, contains it, or is
 contained in it.
 
-Plan.  Turns and annotations meet on the block key (season, episode,
-speaker).  Ordinary blocks use an equi-join with the containment test as a
-residual.  A block whose turns x annotations product exceeds ``max_pairs``
-never enumerates its pairs: candidates come from an exact gram join instead
-(a contained needle's rarest k-gram -- or, if shorter than k, the needle
-itself -- must appear among the haystack's substrings), and empty texts are
-handled by a per-block minimum.  All candidates end in one ``min_by``.
+Plan.  Turns and annotations of a block (season, episode, speaker) are reduced
+to distinct texts, and pairs of texts meet on *winnowed fingerprints* only:
+of every ``WINDOW`` consecutive ``GRAM``-grams of a text the least hash is
+kept.  A contained text of at least ``WINDOW + GRAM - 1`` characters fills at
+least one whole window of its container, so every fingerprint of it is one of
+the container's; it is looked up by the one that is rarest on the other side.
+A shorter text is looked up by itself among the container's substrings of the
+lengths that short texts of the block have.  Empty texts are met by per-block
+minima.  No pairs of a block are formed, whatever its size; texts join back
+once per candidate, the containment test decides, and one ``min_by`` ends it.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodweave.functions.text import first_word, scene_episode, scene_season
+from moodweave.plans.scale import settle
 from moodweave.sources.files import first_listed
 
 BLOCK = ["season", "episode", "spk"]
@@ -49,72 +53,61 @@ def prepare(turns: DataFrame, ann: DataFrame, variant: str) -> tuple[DataFrame,
     return t, a
 
 
-def _match(t: Column, u: Column) -> Column:
-    return (t == u) | u.contains(t) | t.contains(u)
+#: Characters of a gram, and consecutive grams of which the least hash is kept.
+GRAM, WINDOW = 4, 5
 
 
-def _short_substrings(text: Column, k: int) -> Column:
-    """Distinct substrings of length 1..k-1 at every start (keys for needles shorter than k)."""
-    n = F.length(text)
-    subs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(k - 1), n - i + 1)), lambda m: F.substring(text, i, m))))
-    return F.array_distinct(F.when(n > 0, subs).otherwise(F.array().cast("array<string>")))
+def _gram_hashes(chars: Column, gram: int, window: int) -> Column:
+    """Hashes of all grams of a text that fills a window; null for a shorter one."""
+    hashes = F.transform(F.sequence(F.lit(1), F.size(chars) - (gram - 1)), lambda i: F.xxhash64(F.slice(chars, i, gram)))
+    return F.when(F.size(chars) > gram + window - 2, hashes)
 
 
-def _kgrams(text: Column, k: int) -> Column:
-    """Distinct substrings of length exactly k (empty when the text is shorter)."""
-    n = F.length(text)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(text, i, k))
-    return F.array_distinct(F.when(n >= k, grams).otherwise(F.array().cast("array<string>")))
+def _winnow(hashes: Column, window: int) -> Column:
+    """Distinct least hashes of all windows."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(hashes) - (window - 1)),
+                                        lambda i: F.array_min(F.slice(hashes, i, window))))
 
 
-def _gram_candidates(needles: DataFrame, hay: DataFrame, needle_col: str, hay_col: str,
-                     k: int) -> DataFrame:
-    """Pairs (needle row, hay row) in the same block where hay contains needle (needle non-empty).
+def _texts(td: DataFrame, ad: DataFrame, gram: int, window: int) -> DataFrame:
+    """(bk, side, id, n, chars, fps) of both sides' non-empty texts; side 0 are the turns, 1 the annotations."""
+    both = td.select("bk", F.lit(0).alias("side"), F.col("t").alias("text")) \
+        .unionByName(ad.select("bk", F.lit(1).alias("side"), F.col("u").alias("text"))).where(F.length("text") > 0)
+    both = settle(both.select("bk", "side", F.xxhash64("text").alias("id"), F.split("text", "").alias("chars")), "chars")
+    both = settle(both.withColumn("hashes", _gram_hashes(F.col("chars"), gram, window)), "hashes")
+    return both.select("bk", "side", "id", F.size("chars").alias("n"), "chars",
+                       F.when(F.col("hashes").isNotNull(), _winnow(F.col("hashes"), window)).alias("fps"))
 
-    A needle of length >= k is keyed by its k-gram that is rarest among the
-    block's haystack k-grams; a shorter needle by itself, against the
-    haystack's substrings shorter than k.  Either key is a substring of every
-    haystack containing the needle, so no match is lost.
 
-    Exploded gram rows carry a 64-bit hash of their text, never the text (a
-    text of length L yields ~L rows: carrying it would cost L^2 bytes).  The
-    texts join back once per candidate and ``contains`` decides; a hash
-    collision can only add a candidate, never lose one.
-    """
-    assert k >= 2
-    nd = needles.where(F.length(needle_col) > 0).withColumn("_nh", F.xxhash64(needle_col))
-    hd = hay.withColumn("_hh", F.xxhash64(hay_col))
-    # Exploded tables are far larger than the planner's estimate (a Generate is
-    # sized like its child): pin their joins to sort-merge so none is broadcast.
-    hay_k = hd.select(*BLOCK, "_hh", _kgrams(F.col(hay_col), k).alias("_g")) \
-        .select(*BLOCK, "_hh", F.explode("_g").alias("key")).hint("merge")
-    hay_s = hd.select(*BLOCK, "_hh", _short_substrings(F.col(hay_col), k).alias("_g")) \
-        .select(*BLOCK, "_hh", F.explode("_g").alias("key")).hint("merge")
-    freq = hay_k.groupBy(*BLOCK, "key").agg(F.count(F.lit(1)).alias("f")).hint("merge")
-    short = nd.where(F.length(needle_col) < k).select(*BLOCK, "_nh", F.col(needle_col).alias("key"))
-    lk = nd.where(F.length(needle_col) >= k).select(*BLOCK, "_nh", _kgrams(F.col(needle_col), k).alias("_g")) \
-        .select(*BLOCK, "_nh", F.explode("_g").alias("key"))
-    lk = lk.join(freq, BLOCK + ["key"], "left").withColumn("f", F.coalesce("f", F.lit(0)))
-    best = lk.groupBy(*BLOCK, "_nh").agg(F.min_by("key", F.struct("f", "key")).alias("key"))
-    # each needle has one key and gram lists are distinct per text: pairs are unique
-    pairs = short.join(hay_s, BLOCK + ["key"]).unionByName(best.join(hay_k, BLOCK + ["key"])) \
-        .select(*BLOCK, "_nh", "_hh")
-    j = pairs.join(nd, BLOCK + ["_nh"]).join(hd, BLOCK + ["_hh"])
-    return j.where(F.col(hay_col).contains(F.col(needle_col))).drop("_nh", "_hh")
-
-
-def _maybe_hot(turns: DataFrame, ann: DataFrame, variant: str, max_pairs: int) -> bool:
-    rt = turns.select(scene_season("scene_id").alias("season"), scene_episode("scene_id").alias("episode"),
-                      first_word("speaker").alias("spk")).groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n_t"))
-    spk = first_listed("Speaker") if variant == "emory" else F.col("Speaker")
-    ra = ann.select(F.col("Season").alias("season"), F.col("Episode").alias("episode"), spk.alias("spk")) \
-        .groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n_a"))
-    return rt.join(ra, BLOCK).where(F.col("n_t") * F.col("n_a") > F.lit(max_pairs)).limit(1).count() > 0
+def _candidates(texts: DataFrame, shorter_than: int) -> DataFrame:
+    """(bk, tid, aid): pairs of a turn and an annotation of which one may contain the other.
 
-
-def align(turns: DataFrame, ann: DataFrame, variant: str = "emory", max_pairs: int = 4_000_000,
-          k: int = 4) -> DataFrame:
+    Exploded rows carry hashes, never texts.  The planner sizes them like their source, far too
+    small, so their joins are pinned to sort-merge.
+    """
+    other = 1 - F.col("side")
+    prints = texts.select("bk", "side", "id", "n", F.explode("fps").alias("key")).hint("merge")
+    shared = prints.groupBy("bk", "key").agg(*[F.sum((F.col("side") == s).cast("long")).alias(f"f{s}") for s in (0, 1)]) \
+        .where((F.col("f0") > 0) & (F.col("f1") > 0)).hint("merge")
+    f_other = F.coalesce(F.when(F.col("side") == 0, F.col("f1")).otherwise(F.col("f0")), F.lit(0))
+    rarest = prints.join(shared, ["bk", "key"], "left").groupBy("bk", "side", "id") \
+        .agg(F.min(F.struct(f_other.alias("f"), "key")).alias("k")).where("k.f > 0")
+    long = rarest.select("bk", other.alias("side"), F.col("id").alias("needle"), "k.key") \
+        .join(prints.select("bk", "side", "key", "id"), ["bk", "side", "key"])
+    few = texts.where(F.col("n") < shorter_than)
+    needles = few.select("bk", other.alias("side"), F.col("id").alias("needle"), F.xxhash64("n", "chars").alias("key"))
+    lengths = few.groupBy("bk", other.alias("side")).agg(F.collect_set("n").alias("lengths"))
+    inside = F.flatten(F.transform(F.filter("lengths", lambda m: m <= F.col("n")), lambda m: F.transform(
+        F.sequence(F.lit(1), F.col("n") - m + 1), lambda i: F.xxhash64(m, F.slice("chars", i, m)))))
+    hay = texts.join(lengths, ["bk", "side"]).select("bk", "side", "id", F.explode(F.array_distinct(inside)).alias("key")).hint("merge")
+    short = needles.join(hay, ["bk", "side", "key"])
+    pairs = long.select("bk", "side", "needle", "id").unionByName(short.select("bk", "side", "needle", "id"))
+    turn = F.col("side") == 0            # the container's side
+    return pairs.select("bk", F.when(turn, F.col("id")).otherwise(F.col("needle")).alias("tid"),
+                        F.when(turn, F.col("needle")).otherwise(F.col("id")).alias("aid"))
+
+
+def align(turns: DataFrame, ann: DataFrame, variant: str = "emory", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """(scene_id, pos, emotion): emotion of the first matching annotation, null if none.
 
     Matching runs on distinct texts per block: an annotation text keeps only
@@ -123,45 +116,26 @@ def align(turns: DataFrame, ann: DataFrame, variant: str = "emory", max_pairs: i
     therefore cost nothing extra, however often they repeat.
     """
     t, a = prepare(turns, ann, variant)
-    td = t.select(*BLOCK, "t").distinct()
-    ad = a.groupBy(*BLOCK, "u").agg(F.min(F.struct("ann_order", "emotion")).alias("first"))
-    ad = ad.select(*BLOCK, "u", "first.ann_order", "first.emotion")
-    nt = td.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n_t"))
-    na = ad.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n_a"),
-                                F.min(F.struct("ann_order", "emotion")).alias("first_any"),
-                                F.min(F.when(F.length("u") == 0, F.struct("ann_order", "emotion")))
-                                .alias("first_empty"))
-    stats = nt.join(na, BLOCK).withColumn("hot", F.col("n_t") * F.col("n_a") > F.lit(max_pairs))
+    there = F.col("season").isNotNull() & F.col("episode").isNotNull() & F.col("spk").isNotNull()
+    bk = F.xxhash64(*BLOCK)              # narrow join key; the block itself is compared at the end
+    td = t.where(there & F.col("t").isNotNull()).select(*BLOCK, "t").distinct().withColumn("bk", bk)
+    ad = a.where(there & F.col("u").isNotNull()).groupBy(*BLOCK, "u").agg(F.min(F.struct("ann_order", "emotion")).alias("first"))
+    ad = ad.select(*BLOCK, "u", "first.ann_order", "first.emotion").withColumn("bk", bk)
+    ours = [F.col(c).alias(f"t_{c}") for c in BLOCK]
+    pairs = _candidates(_texts(td, ad, gram, window), gram + window - 1)
+    met = pairs.join(td.select("bk", F.xxhash64("t").alias("tid"), *ours, "t"), ["bk", "tid"]) \
+        .join(ad.select("bk", F.xxhash64("u").alias("aid"), *BLOCK, "u", "ann_order", "emotion"), ["bk", "aid"])
+    same_block = [F.col(c) == F.col(f"t_{c}") for c in BLOCK]
+    holds = F.col("u").contains(F.col("t")) | F.col("t").contains(F.col("u"))
     out = [*BLOCK, "t", "ann_order", "emotion"]
-    # Runtime re-plan: raw row counts per block bound the distinct-text counts
-    # from above and need no text column (a cheap columnar scan with map-side
-    # counting).  If no block can be hot, the gram branch is left out.
-    any_hot = _maybe_hot(turns, ann, variant, max_pairs)
-    if not any_hot:
-        cold = td.join(ad, BLOCK).where(_match(F.col("t"), F.col("u"))).select(*out)
-        best = cold.groupBy(*BLOCK, "t").agg(F.min_by("emotion", "ann_order").alias("emotion"))
-        return t.join(best, BLOCK + ["t"], "left").select("scene_id", "pos", "emotion")
-    hot_keys = stats.select(*BLOCK, "hot")
-    th = td.join(hot_keys, BLOCK)
-    ah = ad.join(hot_keys, BLOCK)
-    # ordinary blocks: equi-join on the block, containment as residual
-    cold = th.where(~F.col("hot")).join(ah.where(~F.col("hot")), BLOCK) \
-        .where(_match(F.col("t"), F.col("u"))).select(*out)
-    # hot blocks: exact gram candidates in both directions, never all pairs
-    thot = th.where(F.col("hot")).drop("hot")
-    ahot = ah.where(F.col("hot")).drop("hot")
-    c1 = _gram_candidates(ahot, thot, "u", "t", k).select(*out)
-    c2 = _gram_candidates(thot, ahot, "t", "u", k).select(*out)
-    # empty texts: an empty annotation is in every turn, an empty turn in every annotation
-    hs = stats.where(F.col("hot"))
-    e1 = thot.join(hs.where(F.col("first_empty").isNotNull()), BLOCK) \
-        .select(*BLOCK, "t", F.col("first_empty.ann_order").alias("ann_order"),
-                F.col("first_empty.emotion").alias("emotion"))
-    e2 = thot.where(F.length("t") == 0).join(hs, BLOCK) \
-        .select(*BLOCK, "t", F.col("first_any.ann_order").alias("ann_order"),
-                F.col("first_any.emotion").alias("emotion"))
-    cand = cold.unionByName(c1).unionByName(c2).unionByName(e1).unionByName(e2)
-    best = cand.groupBy(*BLOCK, "t").agg(F.min_by("emotion", "ann_order").alias("emotion"))
+    met = met.where(same_block[0] & same_block[1] & same_block[2] & holds).select(*out)
+    # an empty annotation is in every turn, an empty turn in every annotation: the block's first one wins
+    first = F.struct("ann_order", "emotion")
+    firsts = ad.groupBy(*BLOCK).agg(F.min(first).alias("any"), F.min(F.when(F.length("u") == 0, first)).alias("empty"))
+    best = F.when(F.length("t") == 0, F.col("any")).otherwise(F.col("empty"))
+    empty = td.join(firsts, BLOCK).withColumn("b", best).where(F.col("b").isNotNull()) \
+        .select(*BLOCK, "t", "b.ann_order", "b.emotion")
+    best = met.unionByName(empty).groupBy(*BLOCK, "t").agg(F.min_by("emotion", "ann_order").alias("emotion"))
     return t.join(best, BLOCK + ["t"], "left").select("scene_id", "pos", "emotion")
 
 

@@ -911,3 +911,27 @@ _NAMES7 = ", ".join(f"'{n}'" for _, n in K.TAG_EMOTIONS)
 ORACLE["decision_rule"] = f"""
 WITH s AS (SELECT vec_id, [{_SCORES7}] AS s FROM embeddings)
 SELECT vec_id, CASE WHEN list_max(s) > 0 THEN [{_NAMES7}][list_position(s, list_max(s))] ELSE 'neutral' END AS emotion FROM s"""
+
+# --- rows known by their place in files --------------------------------------
+ORACLE["attach_by_position"] = with_ctes(["v_traits"], """
+SELECT scene_id, "character", cAGR, cEXT, cNEU FROM v_traits""")
+ORACLE["label_file_regroup"] = ORACLE["emotion_regroup"]
+ORACLE["roundtrip_csv"] = ORACLE["roundtrip_tsv"]
+ORACLE["lexicon_files"] = f"""
+WITH w AS (SELECT unnest({_toks('text', '')}) AS word FROM documents),
+c AS (SELECT word, count(*) AS n, CASE WHEN length(word) % 3 = 0 THEN 3 WHEN length(word) % 2 = 0 THEN 2 ELSE 1 END AS k
+      FROM w GROUP BY word)
+SELECT word, """ + ", ".join(f"{R6(f'((n * {m}) % 2003 + 10000 * k) / 10000.0 * 1000')} AS {c}"
+                             for m, c in ((7, "v"), (11, "a"), (13, "d"))) + " FROM c"
+ORACLE["batch_metrics"] = with_ctes(["mc"], f""",
+r AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1) // 32 AS b, label, pred FROM mc),
+t AS (SELECT b, label AS k, count(*) AS t FROM r GROUP BY ALL),
+p AS (SELECT b, pred AS k, count(*) AS p FROM r GROUP BY ALL),
+tt AS (SELECT b, sum(t * t) AS tt FROM t GROUP BY b),
+pp AS (SELECT b, sum(p * p) AS pp FROM p GROUP BY b),
+pt AS (SELECT t.b, sum(t.t * p.p) AS pt FROM t JOIN p ON p.b = t.b AND p.k = t.k GROUP BY t.b),
+s AS (SELECT b, count(*) AS n, count(*) FILTER (label = pred) AS c FROM r GROUP BY b),
+m AS (SELECT s.n, CAST(s.c AS DOUBLE) / s.n AS acc, coalesce((CAST(s.c AS DOUBLE) * s.n - coalesce(pt, 0)) / nullif(sqrt(
+        (CAST(s.n AS DOUBLE) * s.n - pp) * (CAST(s.n AS DOUBLE) * s.n - tt)), 0), 0.0) AS mcc
+      FROM s JOIN tt ON tt.b = s.b JOIN pp ON pp.b = s.b LEFT JOIN pt ON pt.b = s.b)
+SELECT count(*) AS batches, CAST(sum(n) AS BIGINT) AS n, {R6("sum(acc)")} AS accuracy_sum, {R6("sum(mcc)")} AS mcc_sum FROM m""")

@@ -27,6 +27,7 @@ from moodweave.operators import wordstats as WS
 from moodweave.session import scratch_path
 from moodweave.sources import files as FS
 from moodweave.sources import fixtures as V
+from moodweave.sources import order as FO
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -332,8 +333,8 @@ def align_coverage(spark, sf_dir):
 
 @query
 def align_emory_grams(spark, sf_dir):
-    """The gram plan that large blocks get, on every block."""
-    return _aligned(spark, sf_dir, "emory", max_pairs=0)
+    """The same alignment from other fingerprints: three-grams, and windows of two."""
+    return _aligned(spark, sf_dir, "emory", gram=3, window=2)
 
 
 @query
@@ -561,3 +562,62 @@ def decision_rule(spark, sf_dir):
     names = affect.EMOTION_NAMES
     scores = [V.every_nth(F.col("embedding"), len(names), k) for k in range(len(names))]
     return e.select("vec_id", affect.argmax_label(F.array(*scores), names).alias("emotion"))
+
+
+# --- rows known by their place in files --------------------------------------
+
+
+@query
+def attach_by_position(spark, sf_dir):
+    """Trait flags in a file without keys, attached row for row to the characters of another."""
+    traits = V.v_traits(spark, sf_dir)
+    keys, flags = scratch_path(spark, "characters"), scratch_path(spark, "flags")
+    by = ["scene_id", "character"]
+    FS.write_tsv(traits.select(*by).orderBy(*by), keys)
+    FS.write_tsv(traits.repartitionByRange(5, *by).sortWithinPartitions(*by).select("cAGR", "cEXT", "cNEU"), flags)
+    left = FS.read_csv(spark, keys, "scene_id string, character string", "\t")
+    right = FS.read_csv(spark, flags, "cAGR boolean, cEXT boolean, cNEU boolean", "\t")
+    return FO.attach_by_position(left, right)
+
+
+@query
+def label_file_regroup(spark, sf_dir):
+    """A5 with C9: labels dumped as one list over files, read back by many tasks and regrouped to turns."""
+    offsets = D.dialog_offsets(V.v_turns(spark, sf_dir), "conv_id")
+    path = scratch_path(spark, "label-list")
+    FS.write_label_file(D.flatten_labels(tagged_turns(spark, sf_dir), offsets), path)
+    return D.regroup_labels(FS.read_label_file(spark, path), offsets)
+
+
+@query
+def lexicon_files(spark, sf_dir):
+    """A3 over several files: the file with the greatest path that lists a word decides."""
+    words = V.table(spark, sf_dir, "documents").select(F.explode(LX.lexicon_tokens("text")).alias("Word")) \
+        .groupBy("Word").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    path = scratch_path(spark, "lexicons")
+    for k in (1, 2, 3):
+        part = words.where(F.length("Word") % k == 0)
+        lex = part.select("Word", *[((F.pmod(F.col("n") * m, F.lit(2003)) + 10000 * k) / F.lit(10000.0)).cast("decimal(20,9)").alias(c)
+                                    for m, c in ((7, "Valence"), (11, "Arousal"), (13, "Dominance"))])
+        lex.write.options(**FS.TEXT_WRITE).option("sep", "\t").csv(f"{path}/{k}")
+    return FS.read_lexicon(spark, [f"{path}/{k}" for k in (2, 3, 1)]).select("word", *_r6("v", "a", "d"))
+
+
+@query
+def batch_metrics(spark, sf_dir):
+    """Metrics per batch of 32 predictions in the order of a written prediction file, summed."""
+    path = scratch_path(spark, "predictions")
+    m = _multiclass(spark, sf_dir).orderBy("vec_id").select(F.col("label").cast("int"), F.col("pred").cast("int"))
+    FS.write_tsv(m, path)
+    scan = FS.read_csv(spark, path, "label int, pred int", "\t")
+    rows = FO.number_rows(FO.place_rows(FO.with_split(scan)))
+    b = EV.batch_metrics(rows, "label", "pred", "row_no", 32)
+    return b.select("batches", "n", *_r6("accuracy_sum", "mcc_sum"))
+
+
+@query
+def roundtrip_csv(spark, sf_dir):
+    """A1: comma-separated text with quotes and raw line breaks inside fields."""
+    path = scratch_path(spark, "essays-csv")
+    _essays(spark, sf_dir).select("doc_id", "utterance", "labels").write.options(**FS.TEXT_WRITE).csv(path)
+    return FS.read_csv(spark, path, ESSAY_SCHEMA, multi_line=True)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from moodweave.functions.text import split_words
+from moodweave.sources.order import ORDER, number_rows, place_rows, with_split
 
 # Quoting that keeps '' and null apart.
 TEXT_WRITE = {"header": "true", "quote": '"', "escape": '"', "nullValue": "\\N",
@@ -65,15 +66,16 @@ def write_tsv(df: DataFrame, path: str, mode: str = "overwrite", partition_by=()
     w.csv(path)
 
 
-def read_lexicon(spark: SparkSession, path: str, scale: int = 1000) -> DataFrame:
+def read_lexicon(spark: SparkSession, path: str | list[str], scale: int = 1000) -> DataFrame:
     """A3: VAD lexicon TSV (Word, Valence, Arousal, Dominance) -> (word, v, a, d) in 1/scale.
 
-    A word listed twice keeps its later row (file order of a single file).
-    Values keep all their digits: they are scaled as decimals, never rounded.
+    A word listed twice keeps its later row; of several files, those with the
+    greater path are later.  Values keep all their digits: they are scaled as
+    decimals, never rounded.
     """
-    raw = read_csv(spark, path, "Word string, Valence decimal(20,9), Arousal decimal(20,9), Dominance decimal(20,9)", "\t") \
-        .withColumn("_ord", F.monotonically_increasing_id())
-    last = raw.groupBy("Word").agg(F.max_by(F.struct("Valence", "Arousal", "Dominance"), "_ord").alias("x"))
+    raw = read_csv(spark, path, "Word string, Valence decimal(20,9), Arousal decimal(20,9), Dominance decimal(20,9)", "\t")
+    raw = place_rows(with_split(raw))
+    last = raw.groupBy("Word").agg(F.max_by(F.struct("Valence", "Arousal", "Dominance"), F.struct(*ORDER)).alias("x"))
 
     def milli(c):
         return (F.col(f"x.{c}") * scale).cast("double")
@@ -98,14 +100,35 @@ def first_listed(col) -> Column:
 def read_label_list(spark: SparkSession, path: str) -> DataFrame:
     """A5: files whose lines are lists of class ids -> (idx, label), idx within the line.
 
-    In the legacy format one line lists all turns; writing a line per dialogue
-    keeps records small.  New pipelines keep labels keyed by (scene_id, pos)
+    For a line per dialogue.  Where one line lists all turns, ``read_label_file``
+    reads it in many tasks.  New pipelines keep labels keyed by (scene_id, pos)
     instead (see ``emotion_tag``).
     """
     t = spark.read.text(path)
     return t.select(F.posexplode(decode_literal("value", "array<double>")).alias("idx", "label"))
 
 
+_NUMBER = r"-?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?"
+
+
+def read_label_file(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A5: the list of class ids that whole files spell out, however long its lines -> (idx, label).
+
+    Records end at commas, so one line of any length is split over many tasks; a record at a line's
+    end holds the last label of one list and the first of the next.  Files follow each other by path.
+    """
+    records = with_split(spark.read.option("lineSep", ",").text(path))
+    labels = records.select(F.explode(F.regexp_extract_all("value", F.lit(f"({_NUMBER})"), 1)).alias("label"), "_path", "_start")
+    return number_rows(place_rows(labels), "idx").select("idx", F.col("label").cast("double").alias("label"))
+
+
+def write_label_file(flat: DataFrame, path: str) -> None:
+    """A5: (idx, label) as one list over the files of a folder, in path order, each a stretch of it without line ends."""
+    n = int(flat.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flat.repartitionByRange(n, "idx").sortWithinPartitions("idx").select(F.col("label").cast("string")) \
+        .write.option("lineSep", ",").text(path)
+
+
 def write_jsonl(df: DataFrame, path: str, cols: list[str], mode: str = "overwrite", partition_by=()) -> None:
     """JSON lines of a narrow projection."""
     w = df.select(*cols, *partition_by).write.mode(mode)

@@ -213,12 +213,11 @@ def test_alignment_first_match_empty_text_and_meld_case(spark):
         (1, 2, "Ann", "Hello There", "Scared", 5),
     ], "Season int, Episode int, Speaker string, Utterance string, Emotion string, ann_order bigint")
     listed = ann.withColumn("Speaker", F.concat(F.lit("['"), F.col("Speaker"), F.lit(" Geller', 'Zed Q']")))
-    for mp in (10 ** 9, 0):  # residual path and gram path
-        for a in (ann, listed):  # plain names, and list literals of which the first name counts
-            e = {r.pos: r.emotion for r in align.align(turns, a, "emory", max_pairs=mp).collect()}
-            assert e == {0: "Scared", 1: "Sad", 2: None}, mp
-        m = {r.pos: r.emotion for r in align.align(turns, ann, "meld", max_pairs=mp).collect()}
-        assert m == {0: "Mad", 1: "Sad", 2: None}, mp
+    for a in (ann, listed):  # plain names, and list literals of which the first name counts
+        e = {r.pos: r.emotion for r in align.align(turns, a, "emory").collect()}
+        assert e == {0: "Scared", 1: "Sad", 2: None}
+    m = {r.pos: r.emotion for r in align.align(turns, ann, "meld").collect()}
+    assert m == {0: "Mad", 1: "Sad", 2: None}
 
 
 def test_labelled_dialog_flags(spark):
@@ -386,9 +385,9 @@ def test_alignment_short_needles_both_directions(spark):
         (1, 2, "Ann", "cdef", "Sad", 11),          # exactly k long, inside turn 2
         (1, 2, "Ann", "xbcdefghx", "Scared", 3),   # contains turn 2 ("bcdefgh" is not the whole turn)
     ], "Season int, Episode int, Speaker string, Utterance string, Emotion string, ann_order bigint")
-    for mp in (10 ** 9, 0):
-        got = {r.pos: r.emotion for r in align.align(turns, ann, "emory", max_pairs=mp).collect()}
-        assert got == {0: "Joyful", 1: "Mad", 2: "Sad", 3: None}, mp
+    for gram, window in ((4, 5), (2, 2), (4, 1)):
+        got = {r.pos: r.emotion for r in align.align(turns, ann, "emory", gram, window).collect()}
+        assert got == {0: "Joyful", 1: "Mad", 2: "Sad", 3: None}, (gram, window)
 
 
 def test_first_word_variant_of_dialogue_texts(spark):
@@ -398,14 +397,43 @@ def test_first_word_variant_of_dialogue_texts(spark):
     assert dialog.context_text(t, c, match="first_word").first().context == " b"
 
 
-def test_alignment_mixed_hot_and_cold_blocks_equal_residual_join(spark):
-    from conftest import SF_SMALL
-    from moodweave.sources import fixtures as V
-    turns, ann = V.v_turns(spark, SF_SMALL), V.v_annotations(spark, SF_SMALL)
-    for variant in ("emory", "meld"):
-        base = sorted(map(tuple, align.align(turns, ann, variant).collect()))
-        mixed = sorted(map(tuple, align.align(turns, ann, variant, max_pairs=4).collect()))
-        assert mixed == base, variant
+def _aligned_brute(turns, ann):
+    out = {}
+    for scene, pos, speaker, text in turns:
+        season, episode = int(scene[:2]), int(scene[4:6])
+        hits = [] if text is None else [
+            (o, e) for s, ep, sp, u, e, o in ann if (s, ep, sp) == (season, episode, speaker) and u is not None
+            and (u.lower() in text.lower() or text.lower() in u.lower())]
+        out[scene, pos] = min(hits)[1] if hits else None
+    return out
+
+
+def test_alignment_equals_brute_force(spark):
+    import random
+    rnd = random.Random(8)
+    pool = ["a", "b", "ab ", " ", "\u00e9", "\U0001F600", "the cat ", "aaaa", "So, "]
+    text = lambda: rnd.choice([None, "", "".join(rnd.choices(pool, k=rnd.randrange(1, 9)))])
+    turns = [(f"0{rnd.choice('12')}_e0{rnd.choice('12')}_c1", i, rnd.choice(["Ann", "Bob"]), text()) for i in range(300)]
+    turns += [("01_e01_c1", 1000 + i, "Ann", "x" * i + "the long middle part" + "y" * i) for i in range(12)]
+    ann = [(rnd.choice([1, 2]), rnd.choice([1, 2]), rnd.choice(["Ann", "Bob"]), text(), f"e{i % 7}", rnd.randrange(10**6)) for i in range(300)]
+    ann += [(1, 1, "Ann", "long middle", "deep", -1), (None, 1, "Ann", "a", "never", -5)]
+    t = spark.createDataFrame(turns, TURNS)
+    a = spark.createDataFrame(ann, "Season int, Episode int, Speaker string, Utterance string, Emotion string, ann_order bigint")
+    want = _aligned_brute(turns, ann)
+    for gram, window in ((4, 5), (3, 2)):
+        assert {(r.scene_id, r.pos): r.emotion for r in align.align(t, a, "emory", gram, window).collect()} == want
+
+
+def test_alignment_of_a_hot_block_forms_few_pairs(spark):
+    """One block with all rows: 600 x 600 texts that share one phrase meet about once each."""
+    phrase = "said the man in the room"
+    td = spark.createDataFrame([(7, f"turn number {i * 7919} {phrase} {i * 104729}") for i in range(600)], "bk long, t string")
+    ad = spark.createDataFrame([(7, f"number {i * 7919} {phrase}") for i in range(600)], "bk long, u string")
+    texts = align._texts(td, ad, align.GRAM, align.WINDOW)
+    pairs = align._candidates(texts, align.GRAM + align.WINDOW - 1)
+    assert pairs.count() < 3 * 600
+    held = pairs.join(td.select(F.xxhash64("t").alias("tid"), "t"), "tid").join(ad.select(F.xxhash64("u").alias("aid"), "u"), "aid")
+    assert held.where(F.col("t").contains(F.col("u"))).select("tid").distinct().count() == 600
 
 
 def test_centring_mean_on_all_rows_or_train_only(spark):
