@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -38,7 +38,8 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 24),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    # a run that is no token is consumed whole, with an empty group, so that it is read once
+    Rule("jwt", r"(eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)|eyJ[A-Za-z0-9_-]++", 1, 30),
 )
 BASE_KINDS = 3
 # A rule whose matches must be long is first looked for by its long form, which most texts lack.
@@ -63,8 +64,7 @@ def pending(content: DataFrame, scanned: DataFrame | None, rules=RULES) -> DataF
     every = F.array(*[F.lit(k) for k in range(len(rules))])
     if scanned is None:
         return content.withColumn("todo", every)
-    index = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (f"{r.kind}/{r.version}", k)])
-    done = scanned.select("blob", F.get(F.array(index), F.lit(0))[F.concat_ws("/", "kind", "version")].alias("k")) \
+    done = scanned.select("blob", _rule_index(rules).alias("k")).where(F.col("k").isNotNull()) \
         .groupBy("blob").agg(F.collect_set("k").alias("done"))  # at most one value per rule
     none = F.array().cast("array<int>")
     return content.join(done, "blob", "left") \
@@ -72,6 +72,21 @@ def pending(content: DataFrame, scanned: DataFrame | None, rules=RULES) -> DataF
         .where(F.size("todo") > 0)
 
 
+def _rule_index(rules):
+    """The place in ``rules`` of the columns (kind, version); null for any other pair."""
+    index = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (f"{r.kind}/{r.version}", k)])
+    return F.get(F.array(index), F.lit(0))[F.concat_ws("/", "kind", "version")]
+
+
+def current(known: DataFrame, rules=RULES) -> DataFrame:
+    """Findings of earlier runs that the present rules stand by, with the rules' present places.
+
+    What another version of a rule found, or a rule that is gone, is left out: the present version
+    scans the blob anew.
+    """
+    return known.withColumn("k", _rule_index(rules)).where(F.col("k").isNotNull())
+
+
 def scan(todo: DataFrame, rules=RULES) -> DataFrame:
     """Findings (blob, kind, version, k, start, stop) of the pending pairs; stop is exclusive, in code points."""
     text = F.col("text")
@@ -121,12 +136,32 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sc
     """
     new = scan(pending(blobs(docs, text), scanned, rules), rules)
     if known is not None:
-        new = new.unionByName(known.select(new.columns))
+        new = new.unionByName(current(known, rules).select(new.columns)).distinct()
     none = F.array().cast("array<struct<start:bigint,k:int,stop:bigint,kind:string>>")
     paths = docs.select(F.col(doc_id).alias("doc_id"), content_address(docs, text).alias("blob"))
     return paths.join(by_blob(new), "blob", "left").select("doc_id", "blob", F.coalesce("found", none).alias("found"))
 
 
+def scan_into(docs: DataFrame, ledger: str, text: str = "text", rules=RULES) -> None:
+    """Scan what the ledger in the shared folder ``ledger`` has not seen, and add it there.
+
+    Findings are written before the pairs that they belong to: after a crash in between, the pairs are
+    scanned again, and readers take equal findings as one.
+    """
+    scanned, known = read_ledger(docs.sparkSession, ledger)
+    todo = pending(blobs(docs, text), scanned, rules).checkpoint()
+    scan(todo, rules).drop("k").write.mode("append").parquet(f"{ledger}/findings")
+    scanned_pairs(todo, rules).write.mode("append").parquet(f"{ledger}/pairs")
+
+
+def read_ledger(spark: SparkSession, ledger: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """(scanned pairs, findings) of a ledger; nothing of one that has no pairs yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/pairs/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None, None
+    return spark.read.parquet(f"{ledger}/pairs"), spark.read.parquet(f"{ledger}/findings")
+
+
 def redact(docs: DataFrame, text: str = "text", rules=RULES, mark: str = "[SECRET]") -> DataFrame:
     """Replace every found span (overlapping ones as one) by ``mark``.
 
