@@ -57,50 +57,54 @@ def prepare(turns: DataFrame, ann: DataFrame, variant: str) -> tuple[DataFrame,
 GRAM, WINDOW = 4, 5
 
 
-def _gram_hashes(chars: Column, gram: int, window: int) -> Column:
+def _gram_hashes(text: Column, gram: int, window: int) -> Column:
     """Hashes of all grams of a text that fills a window; null for a shorter one."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size(chars) - (gram - 1)), lambda i: F.xxhash64(F.slice(chars, i, gram)))
-    return F.when(F.size(chars) > gram + window - 2, hashes)
+    grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{gram}}}))"), 1)
+    return F.when(F.length(text) > gram + window - 2, F.transform(grams, lambda g: F.xxhash64(g)))
 
 
 def _winnow(hashes: Column, window: int) -> Column:
     """Distinct least hashes of all windows."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(hashes) - (window - 1)),
-                                        lambda i: F.array_min(F.slice(hashes, i, window))))
+    least = F.transform(F.slice(hashes, 1, F.size(hashes) - (window - 1)),
+                        lambda h, i: F.least(h, *[F.get(hashes, i + k) for k in range(1, window)]) if window > 1 else h)
+    return F.array_distinct(least)
 
 
-def _texts(td: DataFrame, ad: DataFrame, gram: int, window: int) -> DataFrame:
-    """(bk, side, id, n, chars, fps) of both sides' non-empty texts; side 0 are the turns, 1 the annotations."""
+def _texts(td: DataFrame, ad: DataFrame) -> DataFrame:
+    """(bk, side, id, text) of both sides' non-empty texts; side 0 are the turns, 1 the annotations."""
     both = td.select("bk", F.lit(0).alias("side"), F.col("t").alias("text")) \
-        .unionByName(ad.select("bk", F.lit(1).alias("side"), F.col("u").alias("text"))).where(F.length("text") > 0)
-    both = settle(both.select("bk", "side", F.xxhash64("text").alias("id"), F.split("text", "").alias("chars")), "chars")
-    both = settle(both.withColumn("hashes", _gram_hashes(F.col("chars"), gram, window)), "hashes")
-    return both.select("bk", "side", "id", F.size("chars").alias("n"), "chars",
-                       F.when(F.col("hashes").isNotNull(), _winnow(F.col("hashes"), window)).alias("fps"))
+        .unionByName(ad.select("bk", F.lit(1).alias("side"), F.col("u").alias("text")))
+    return both.where(F.length("text") > 0).select("bk", "side", F.xxhash64("text").alias("id"), "text")
 
 
-def _candidates(texts: DataFrame, shorter_than: int) -> DataFrame:
+def _candidates(texts: DataFrame, gram: int, window: int) -> DataFrame:
     """(bk, tid, aid): pairs of a turn and an annotation of which one may contain the other.
 
     Exploded rows carry hashes, never texts.  The planner sizes them like their source, far too
     small, so their joins are pinned to sort-merge.
     """
     other = 1 - F.col("side")
-    prints = texts.select("bk", "side", "id", "n", F.explode("fps").alias("key")).hint("merge")
+    winnowed = settle(texts.select("bk", "side", "id", _gram_hashes(F.col("text"), gram, window).alias("h")), "h")
+    # three joins read the fingerprints: they are computed once
+    winnowed = winnowed.select("bk", "side", "id", _winnow(F.col("h"), window).alias("fps")).checkpoint()
+    prints = winnowed.select("bk", "side", "id", F.explode("fps").alias("key")).hint("merge")
     shared = prints.groupBy("bk", "key").agg(*[F.sum((F.col("side") == s).cast("long")).alias(f"f{s}") for s in (0, 1)]) \
         .where((F.col("f0") > 0) & (F.col("f1") > 0)).hint("merge")
     f_other = F.coalesce(F.when(F.col("side") == 0, F.col("f1")).otherwise(F.col("f0")), F.lit(0))
     rarest = prints.join(shared, ["bk", "key"], "left").groupBy("bk", "side", "id") \
         .agg(F.min(F.struct(f_other.alias("f"), "key")).alias("k")).where("k.f > 0")
     long = rarest.select("bk", other.alias("side"), F.col("id").alias("needle"), "k.key") \
-        .join(prints.select("bk", "side", "key", "id"), ["bk", "side", "key"])
-    few = texts.where(F.col("n") < shorter_than)
-    needles = few.select("bk", other.alias("side"), F.col("id").alias("needle"), F.xxhash64("n", "chars").alias("key"))
-    lengths = few.groupBy("bk", other.alias("side")).agg(F.collect_set("n").alias("lengths"))
-    inside = F.flatten(F.transform(F.filter("lengths", lambda m: m <= F.col("n")), lambda m: F.transform(
-        F.sequence(F.lit(1), F.col("n") - m + 1), lambda i: F.xxhash64(m, F.slice("chars", i, m)))))
-    hay = texts.join(lengths, ["bk", "side"]).select("bk", "side", "id", F.explode(F.array_distinct(inside)).alias("key")).hint("merge")
-    short = needles.join(hay, ["bk", "side", "key"])
+        .join(prints, ["bk", "side", "key"])
+    few = texts.where(F.length("text") < gram + window - 1)
+    chars = F.split("text", "")
+    needles = few.select("bk", other.alias("side"), F.col("id").alias("needle"), F.xxhash64(F.size(chars), chars).alias("key"))
+    lengths = few.groupBy("bk", other.alias("side")).agg(F.collect_set(F.size(chars)).alias("lengths"))
+    hay = settle(texts.join(lengths, ["bk", "side"]).select("bk", "side", "id", "lengths", chars.alias("chars")), "chars")
+    n = F.size("chars")
+    inside = F.flatten(F.transform(F.filter("lengths", lambda m: m <= n), lambda m: F.transform(
+        F.sequence(F.lit(1), n - m + 1), lambda i: F.xxhash64(m, F.slice("chars", i, m)))))
+    hay = settle(hay.select("bk", "side", "id", F.array_distinct(inside).alias("keys")), "keys")
+    short = needles.join(hay.select("bk", "side", "id", F.explode("keys").alias("key")).hint("merge"), ["bk", "side", "key"])
     pairs = long.select("bk", "side", "needle", "id").unionByName(short.select("bk", "side", "needle", "id"))
     turn = F.col("side") == 0            # the container's side
     return pairs.select("bk", F.when(turn, F.col("id")).otherwise(F.col("needle")).alias("tid"),
@@ -122,7 +126,7 @@ def align(turns: DataFrame, ann: DataFrame, variant: str = "emory", gram: int =
     ad = a.where(there & F.col("u").isNotNull()).groupBy(*BLOCK, "u").agg(F.min(F.struct("ann_order", "emotion")).alias("first"))
     ad = ad.select(*BLOCK, "u", "first.ann_order", "first.emotion").withColumn("bk", bk)
     ours = [F.col(c).alias(f"t_{c}") for c in BLOCK]
-    pairs = _candidates(_texts(td, ad, gram, window), gram + window - 1)
+    pairs = _candidates(_texts(td, ad), gram, window)
     met = pairs.join(td.select("bk", F.xxhash64("t").alias("tid"), *ours, "t"), ["bk", "tid"]) \
         .join(ad.select("bk", F.xxhash64("u").alias("aid"), *BLOCK, "u", "ann_order", "emotion"), ["bk", "aid"])
     same_block = [F.col(c) == F.col(f"t_{c}") for c in BLOCK]

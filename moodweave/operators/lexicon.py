@@ -124,7 +124,11 @@ def trait_feature(df: DataFrame, trait_scores: list[str] = ("A", "C", "E", "O",
 
 def center(df: DataFrame, value: str, by: list[str], out: str = "centered",
            fit_filter=None) -> DataFrame:
-    """value minus its mean per ``by`` group; the planner sees the size of the means at run time."""
+    """value minus its mean per ``by`` group.
+
+    ``df`` is computed once: the means and the rows both read the checkpointed values.
+    """
+    df = df.checkpoint()
     fit = df if fit_filter is None else df.where(fit_filter)
     means = fit.groupBy(*by).agg(F.avg(value).alias("_mean"))
     return df.join(means, by, "left") \

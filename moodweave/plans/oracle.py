@@ -567,6 +567,10 @@ bags AS (
     SELECT c.scene_id, c."character", unnest({_word2('t.text')}) AS word
     FROM v_characters c JOIN v_turns t ON t.scene_id = c.scene_id AND t.speaker = c."character") GROUP BY ALL
   UNION ALL
+  SELECT 'speaker_context', scene_id, "character", word, count(*) FROM (
+    SELECT c.scene_id, c."character", CASE WHEN t.speaker = c."character" THEN 'own:' ELSE 'other:' END || unnest({_word2('t.text')}) AS word
+    FROM v_characters c JOIN v_turns t ON t.scene_id = c.scene_id) GROUP BY ALL
+  UNION ALL
   SELECT 'dialog', scene_id, "character", word, count(*) FROM (
     SELECT c.scene_id, c."character", unnest({_word2('t.text')}) AS word
     FROM v_characters c JOIN v_turns t ON t.scene_id = c.scene_id) GROUP BY ALL
@@ -617,6 +621,97 @@ SELECT mode, trait, seed, n, {R6("accuracy")} AS accuracy, {R6("f1")} AS f1,
        {R6("stddev_samp(accuracy) OVER (PARTITION BY mode, trait)")} AS acc_std
 FROM cell""")
 
+# Exact sweep splits: rows ranked by (hash, keys); the first ceil of half of ceil(0.2 n) are test, the others of it valid.
+_HASH = "('0x' || substr(md5(CAST(s.seed AS VARCHAR) || ':' || tl.scene_id || ':' || tl.\"character\"), 1, 8))::BIGINT"
+_EXACT = """CASE WHEN rk <= ceil(ceil(n * CAST(0.2 AS DOUBLE)) / 2.0) THEN 'test'
+            WHEN rk <= ceil(n * CAST(0.2 AS DOUBLE)) THEN 'valid' ELSE 'train' END"""
+ORACLE["exact_sweep_split"] = with_ctes(["trait_long", "lens", "seeds"], f""",
+hashed AS (
+  SELECT tl.trait, l.flow_len, s.seed, CASE WHEN tl.flag THEN 1 ELSE 0 END AS label, {_HASH} AS h, tl.scene_id, tl."character"
+  FROM trait_long tl CROSS JOIN lens l CROSS JOIN seeds s),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY trait, flow_len, seed ORDER BY h, scene_id, "character") AS rk,
+                  count(*) OVER (PARTITION BY trait, flow_len, seed) AS n FROM hashed)
+SELECT trait, flow_len, seed, split, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_pos, CAST(sum(h) AS BIGINT) AS members
+FROM (SELECT trait, flow_len, seed, label, h, {_EXACT} AS split FROM ranked) GROUP BY ALL""")
+
+# Logistic regression by full-batch gradient steps from zero weights, a CTE a step.
+_T, _RATE = 6, "4.0::DOUBLE"
+_ON = 'ON f.flow_len = {0}.flow_len AND f.mode = {0}.mode AND '
+_SAME = 'f.scene_id = {0}.scene_id AND f."character" = {0}."character"'
+
+
+def _step(k: int) -> str:
+    z, t = _SAME.format("z"), _SAME.format("t")
+    grad = (f"""
+g{k} AS (
+  SELECT f.flow_len, f.mode, f.word, t.trait, t.seed, sum(f.x * ((1 / (1 + exp(-z.z)) - t.label) * t.share)) AS g
+  FROM fx f JOIN z{k - 1} z {_ON.format('z')} {z} JOIN tr t ON {t} AND t.trait = z.trait AND t.seed = z.seed
+  WHERE t.split = 'train' GROUP BY ALL),
+w{k} AS MATERIALIZED (
+  SELECT w.flow_len, w.mode, w.word, w.trait, w.seed, w.w - {_RATE} * coalesce(g.g, 0) AS w
+  FROM w{k - 1} w LEFT JOIN g{k} g ON g.flow_len = w.flow_len AND g.mode = w.mode AND g.word = w.word
+   AND g.trait = w.trait AND g.seed = w.seed),""" if k > 1 else f"""
+w1 AS MATERIALIZED (
+  SELECT f.flow_len, f.mode, f.word, t.trait, t.seed,
+         -{_RATE} * sum(f.x * ((0.5::DOUBLE - t.label) * CASE WHEN t.split = 'train' THEN t.share ELSE 0 END)) AS w
+  FROM fx f JOIN tr t ON {t} GROUP BY ALL),""")
+    return grad + f"""
+z{k} AS MATERIALIZED (
+  SELECT f.flow_len, f.mode, f.scene_id, f."character", w.trait, w.seed, sum(f.x * w.w) AS z
+  FROM fx f JOIN w{k} w {_ON.format('w')} f.word = w.word GROUP BY ALL),"""
+
+
+def _words_at(mode: str, word: str, own: str) -> str:
+    return f"""
+  SELECT '{mode}' AS mode, l.flow_len, c.scene_id, c."character", {word} AS word
+  FROM v_characters c JOIN v_turns t ON t.scene_id = c.scene_id{own} JOIN sizes z ON z.scene_id = t.scene_id CROSS JOIN lens l
+  WHERE t.pos < floor(z.n_turns * l.flow_len)"""
+
+
+ORACLE["trained_grid"] = with_ctes(["trait_long", "tagged", "sizes", "lens"], f""",
+rk AS (
+  SELECT *, row_number() OVER (PARTITION BY trait, seed ORDER BY h, scene_id, "character") AS rk,
+         count(*) OVER (PARTITION BY trait, seed) AS n
+  FROM (SELECT tl.scene_id, tl."character", tl.trait, s.seed, CASE WHEN tl.flag THEN 1 ELSE 0 END AS label, {_HASH} AS h
+        FROM trait_long tl, {_SEEDS3})),
+sp AS (SELECT scene_id, "character", trait, seed, label, {_EXACT} AS split FROM rk),
+tr AS MATERIALIZED (
+  SELECT *, 1.0::DOUBLE / nullif(count(*) FILTER (split = 'train') OVER (PARTITION BY trait, seed), 0) AS share FROM sp),
+fb AS MATERIALIZED (SELECT flow_len, mode, scene_id, "character", word, count(*) AS tf FROM (
+  {_words_at('speaker', f"unnest({_word2('t.text')})", ' AND t.speaker = c."character"')}
+  UNION ALL {_words_at('speaker_context', "CASE WHEN t.speaker = c." + '"character"' + f" THEN 'own:' ELSE 'other:' END || unnest({_word2('t.text')})", '')}
+  UNION ALL {_words_at('dialog', f"unnest({_word2('t.text')})", '')}
+  UNION ALL {_words_at('features', 't.emotion', " AND split_part(t.speaker, ' ', 1) = split_part(c." + '"character"' + ", ' ', 1)").replace('v_turns t', 'tagged t')}
+  ) GROUP BY ALL),
+ns AS (SELECT flow_len, mode, count(*) AS n FROM (SELECT DISTINCT flow_len, mode, scene_id, "character" FROM fb) GROUP BY ALL),
+dfs AS (SELECT flow_len, mode, word, count(*) AS df FROM fb GROUP BY ALL),
+raw AS (
+  SELECT f.*, f.tf * (ln((1 + n.n)::DOUBLE / (1 + d.df)) + 1) AS v
+  FROM fb f JOIN dfs d {_ON.format('d')} f.word = d.word JOIN ns n {_ON.format('n')} true),
+fx AS MATERIALIZED (
+  SELECT flow_len, mode, scene_id, "character", word,
+         v / sqrt(sum(v * v) OVER (PARTITION BY flow_len, mode, scene_id, "character")) AS x FROM raw
+  UNION ALL SELECT l.flow_len, m.mode, c.scene_id, c."character", '', 1.0
+  FROM v_characters c CROSS JOIN lens l CROSS JOIN (VALUES ('speaker'), ('speaker_context'), ('dialog'), ('features')) m(mode)),
+{''.join(_step(k) for k in range(1, _T + 1))}
+sc AS ({' UNION ALL '.join(f'SELECT {k} AS step, * FROM z{k}' for k in range(1, _T + 1))}),
+pr AS (
+  SELECT f.*, t.label, t.split, CASE WHEN round(f.z, 9) > 0 THEN 1 ELSE 0 END AS pred
+  FROM sc f JOIN tr t ON {_SAME.format('t')} AND t.trait = f.trait AND t.seed = f.seed),
+val AS (SELECT flow_len, mode, trait, seed, step, {_bin('label', 'pred')} FROM pr WHERE split = 'valid' GROUP BY flow_len, mode, trait, seed, step),
+pick AS (SELECT * FROM val QUALIFY row_number() OVER (PARTITION BY flow_len, mode, trait, seed ORDER BY round({_F1}, 9) DESC, step) = 1),
+best AS (
+  SELECT p.*, coalesce(k.step, 1) AS best_step FROM pr p LEFT JOIN pick k
+   ON k.flow_len = p.flow_len AND k.mode = p.mode AND k.trait = p.trait AND k.seed = p.seed WHERE p.split = 'test'),
+g AS (SELECT flow_len, mode, trait, seed, best_step, {_bin('label', 'pred')} FROM best WHERE step = best_step
+      GROUP BY flow_len, mode, trait, seed, best_step),
+cell AS (SELECT flow_len, mode, trait, seed, best_step, n, {_ACC} AS accuracy, {_F1} AS f1 FROM g)
+SELECT flow_len, mode, trait, seed, best_step, n, {R6("accuracy")} AS accuracy, {R6("f1")} AS f1,
+       {R6("avg(accuracy) OVER (PARTITION BY flow_len, mode, trait)")} AS acc_mean,
+       {R6("avg(f1) OVER (PARTITION BY flow_len, mode, trait)")} AS f1_mean,
+       {R6("stddev_samp(accuracy) OVER (PARTITION BY flow_len, mode, trait)")} AS acc_std
+FROM cell""")
+
 # --- corpus alignment --------------------------------------------------------
 _NAMES = ", ".join(f"'{n}'" for n, _ in K.ANNOTATION_CODES)
 CTE["v_annotations"] = f"""ann_base AS (
@@ -877,6 +972,8 @@ SELECT CAST(pos AS INTEGER) AS idx, CAST(emotion_id AS DOUBLE) AS label, count(*
 ORACLE["result_append"] = with_ctes(["v_turns"], """
 SELECT CASE WHEN pos % 2 = 0 THEN 'even' ELSE 'odd' END AS run, speaker, count(*) AS n FROM v_turns GROUP BY ALL""")
 
+ORACLE["result_commit"] = ORACLE["result_append"]
+
 ORACLE["main_roles"] = with_ctes(["v_characters"], """
 SELECT * FROM v_characters WHERE "character" IN ('Una Smith', 'Abe Jones')""")
 

@@ -23,6 +23,7 @@ from moodweave.operators import lexicon as LX
 from moodweave.operators import model as ML
 from moodweave.operators import pairs as P
 from moodweave.operators import split as S
+from moodweave.operators import train as TN
 from moodweave.operators import wordstats as WS
 from moodweave.session import scratch_path
 from moodweave.sources import files as FS
@@ -281,15 +282,13 @@ def confusion(spark, sf_dir):
 
 
 CLASSIFIER_SEEDS = (0, 42, 3407)
-# The modes of the queries' SQL; the operator's default also has speaker_context.
-CLASSIFIER_MODES = ("speaker", "dialog", "features")
 
 
 def _classified(spark, sf_dir):
     keys = TR.trait_labels(V.v_traits(spark, sf_dir)).select("scene_id", "character", "trait", "label")
     splits = S.sweep_split(keys, ["scene_id", "character"], CLASSIFIER_SEEDS)
     return ML.trait_classifier(V.v_turns(spark, sf_dir), V.v_characters(spark, sf_dir), splits,
-                               tagged_turns(spark, sf_dir), CLASSIFIER_MODES)
+                               tagged_turns(spark, sf_dir))
 
 
 @query
@@ -307,6 +306,29 @@ def result_grid(spark, sf_dir):
     return g.select(*by, "n", *_r6("accuracy", "f1", "acc_mean", "f1_mean", "acc_std"))
 
 
+@query
+def exact_sweep_split(spark, sf_dir):
+    """J1 with J4: exact split sizes in every cell of the sweep, and the sum of hashes as a fingerprint of who is where."""
+    keys = P.sweep_keys(V.v_traits(spark, sf_dir))
+    by = ["scene_id", "character"]
+    s = S.exact_sweep_split(keys, ["trait", "flow_len"], by).withColumn("h", S.key_hash(F.col("seed"), *by))
+    return s.groupBy("trait", "flow_len", "seed", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("n_pos"), F.sum("h").alias("members"))
+
+
+@query
+def trained_grid(spark, sf_dir):
+    """Classifiers trained in joins; test accuracy and F1 by flow_len, mode, trait and seed."""
+    keys = TR.trait_labels(V.v_traits(spark, sf_dir)).select("scene_id", "character", "trait", "label")
+    splits = S.exact_sweep_split(keys, ["trait"], ["scene_id", "character"], CLASSIFIER_SEEDS)
+    rows = TN.trained_classifier(V.v_turns(spark, sf_dir), V.v_characters(spark, sf_dir), splits, tagged_turns(spark, sf_dir),
+                                 seeds=CLASSIFIER_SEEDS)
+    by = ["flow_len", "mode", "trait", "seed"]
+    m = EV.binary_metrics(rows, "label", "pred", [*by, "best_step"]).select(*by, "best_step", "n", "accuracy", "f1")
+    g = EV.result_grid(m, by)
+    return g.select(*by, "best_step", "n", *_r6("accuracy", "f1", "acc_mean", "f1_mean", "acc_std"))
+
+
 # --- corpus alignment --------------------------------------------------------
 
 
@@ -507,6 +529,16 @@ def result_append(spark, sf_dir):
     return spark.read.parquet(path).select("run", "speaker", "n")
 
 
+@query
+def result_commit(spark, sf_dir):
+    """A10: runs committed to one table, the first of them three times; each is there once."""
+    path = scratch_path(spark, "runs")
+    t = V.v_turns(spark, sf_dir)
+    for run, part in (("even", t.where("pos % 2 = 0")), ("even", t.where("pos % 2 = 0")), ("odd", t.where("pos % 2 = 1")), ("even", t)):
+        FS.commit_results(part.groupBy("speaker").agg(F.count(F.lit(1)).alias("n")).withColumn("run", F.lit(run)), path)
+    return FS.read_results(spark, path, "speaker string, n bigint, run string").select("run", "speaker", "n")
+
+
 @query
 def main_roles(spark, sf_dir):
     """The main characters only."""

@@ -165,6 +165,31 @@ def append_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def commit_results(df: DataFrame, path: str, run: str = "run") -> None:
+    """A10: results of runs, each of which is in the table once however often it is committed.
+
+    Rows of runs that the table already has are left out, by an anti-join with its run names; the rest
+    replaces the partition of its run.  The files of a job that failed half-way are never visible, and a
+    repeat of it writes the same partitions again.  Null run names are kept under Spark's default partition.
+    """
+    spark = df.sparkSession
+    new = df
+    if _exists(spark, path):
+        done = read_results(spark, path, df.schema).select(F.col(run).alias("_run")).distinct()
+        new = df.join(done, F.col(run).eqNullSafe(F.col("_run")), "left_anti")
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).parquet(path)
+
+
+def read_results(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The result table with its declared types (run names that look like numbers stay strings)."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def register(df: DataFrame, name: str) -> DataFrame:
     """An intermediate table is a temp view, not a file written and deleted."""
     df.createOrReplaceTempView(name)

@@ -429,8 +429,7 @@ def test_alignment_of_a_hot_block_forms_few_pairs(spark):
     phrase = "said the man in the room"
     td = spark.createDataFrame([(7, f"turn number {i * 7919} {phrase} {i * 104729}") for i in range(600)], "bk long, t string")
     ad = spark.createDataFrame([(7, f"number {i * 7919} {phrase}") for i in range(600)], "bk long, u string")
-    texts = align._texts(td, ad, align.GRAM, align.WINDOW)
-    pairs = align._candidates(texts, align.GRAM + align.WINDOW - 1)
+    pairs = align._candidates(align._texts(td, ad), align.GRAM, align.WINDOW)
     assert pairs.count() < 3 * 600
     held = pairs.join(td.select(F.xxhash64("t").alias("tid"), "t"), "tid").join(ad.select(F.xxhash64("u").alias("aid"), "u"), "aid")
     assert held.where(F.col("t").contains(F.col("u"))).select("tid").distinct().count() == 600
