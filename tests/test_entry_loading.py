@@ -31,4 +31,4 @@ def test_entry_loads_without_the_optional_subpackage():
     code = ("import sys; sys.modules['corpus_pipeline'] = None\n"
             "import __spark_entry__ as E; print(len(E.queries()), len(E.oracle_sql()), any(q.startswith('op') for q in E.queries()))")
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
-    assert out.stdout.split() == ["67", "67", "False"], out.stderr[-2000:]
+    assert out.stdout.split() == ["75", "75", "False"], out.stderr[-2000:]
