@@ -102,16 +102,45 @@ def scene_arrays(turns: DataFrame, *cols: str) -> DataFrame:
     return turns.groupBy("scene_id").agg(F.sort_array(F.collect_list(F.struct("pos", *cols))).alias("arr"))
 
 
+#: Turn positions whose texts one task joins; a long dialogue's strings are put together from such ranges.
+RANGE = 4096
+
+
+def _range(pos="pos"):
+    return F.floor(F.col(pos) / RANGE).alias("_range")
+
+
+def range_arrays(turns: DataFrame, *cols: str) -> DataFrame:
+    """(scene_id, _range, arr): the turns of every position range in order, so a long dialogue is spread over many tasks."""
+    return turns.groupBy("scene_id", _range()).agg(F.sort_array(F.collect_list(F.struct("pos", *cols))).alias("arr"))
+
+
+def _joined_ranges(parts: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """One string per key from the strings ``_part`` of its ranges: only this step sees a dialogue, at a row per range."""
+    ordered = F.array_sort(F.collect_list(F.struct("_range", "_part")))
+    return parts.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["_part"]), "").alias(out))
+
+
+def ordered_concat(turns: DataFrame, keys: list[str], piece: str, out: str) -> DataFrame:
+    """(keys, out): the pieces of a key's turns by position, joined range by range."""
+    parts = turns.groupBy(*keys, _range()).agg(F.expr(f"listagg({piece}, '') within group (order by pos)").alias("_part"))
+    return _joined_ranges(parts, keys, out)
+
+
 def _side_text(turns: DataFrame, characters: DataFrame, match: str, own: bool, out: str) -> DataFrame:
     owns = _owner_test(match)
-    j = characters.select("scene_id", "character").join(scene_arrays(turns, "speaker", "text"), "scene_id", "left")
+    c = characters.select("scene_id", "character")
 
     def picked(x):
         mine = owns(x["speaker"], F.col("character"))
         return mine if own else ~mine
 
     text = F.array_join(F.transform(F.filter("arr", picked), lambda x: F.concat(F.lit(" "), x["text"])), "")
-    return j.select("scene_id", "character", F.coalesce(text, F.lit("")).alias(out))
+    parts = c.distinct().join(range_arrays(turns, "speaker", "text"), "scene_id") \
+        .select("scene_id", F.col("character").alias("_who"), "_range", text.alias("_part"))
+    texts = _joined_ranges(parts, ["scene_id", "_who"], out).withColumnRenamed("scene_id", "_scene")
+    return c.join(texts, (F.col("scene_id") == F.col("_scene")) & F.col("character").eqNullSafe(F.col("_who")), "left") \
+        .select("scene_id", "character", F.coalesce(out, F.lit("")).alias(out))
 
 
 def speaker_text(turns: DataFrame, characters: DataFrame, match: str = "exact") -> DataFrame:
@@ -122,8 +151,7 @@ def speaker_text(turns: DataFrame, characters: DataFrame, match: str = "exact")
     """
     if match == "exact":  # own turns are a plain group by (scene, speaker): no fan-out
         c = characters.select("scene_id", "character")
-        own = turns.groupBy("scene_id", F.col("speaker").alias("character")).agg(
-            F.expr("listagg(concat(' ', text), '') within group (order by pos)").alias("utterance"))
+        own = ordered_concat(turns, ["scene_id", "speaker"], "concat(' ', text)", "utterance").withColumnRenamed("speaker", "character")
         return c.join(own, ["scene_id", "character"], "left") \
             .select("scene_id", "character", F.coalesce("utterance", F.lit("")).alias("utterance"))
     return _side_text(turns, characters, match, True, "utterance")
@@ -136,8 +164,7 @@ def context_text(turns: DataFrame, characters: DataFrame, match: str = "exact")
 
 def dialog_text(turns: DataFrame, characters: DataFrame) -> DataFrame:
     """All turns concatenated without separator, roles ignored."""
-    s = turns.groupBy("scene_id").agg(
-        F.expr("listagg(text, '') within group (order by pos)").alias("sent"))
+    s = ordered_concat(turns, ["scene_id"], "text", "sent")
     return characters.select("scene_id", "character").join(s, "scene_id", "left") \
         .select("scene_id", "character", F.coalesce("sent", F.lit("")).alias("sent"))
 

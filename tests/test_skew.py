@@ -74,3 +74,31 @@ def test_regroup_with_one_giant_dialogue(spark):
     got = {(r.scene_id, r.pos): r.emotion for r in back.collect()}
     names = {0: "neutral", 1: "joy", 2: "surprise", 3: "anger", 4: "sadness", 5: "disgust", 6: "fear"}
     assert got == {(sc, p): names[i] for sc, p, _, _, i in rows}
+
+
+def test_a_long_dialogue_is_joined_from_ranges(spark, monkeypatch):
+    """Strings of a dialogue with most of all turns are built range by range; only the last step sees one row a range."""
+    from moodweave.operators import dialog as D
+    monkeypatch.setattr(D, "RANGE", 16)
+    turns = [("hot", i, ("Ann X", "Bob", "Ann Y", None)[i % 4], f"t{i}" if i % 7 else None) for i in range(1000)]
+    turns += [(f"s{i}", p, "Bob", f"u{p}") for i in range(20) for p in range(3)]
+    cast = [("hot", "Ann X"), ("hot", "Bob"), ("hot", "Nobody"), ("hot", None), ("s3", "Bob"), ("s3", "Bob"), ("gone", "Bob")]
+    t = spark.createDataFrame(turns, "scene_id string, pos long, speaker string, text string").repartition(7)
+    c = spark.createDataFrame(cast, "scene_id string, character string")
+    assert D.range_arrays(t, "text").where("scene_id = 'hot'").selectExpr("max(size(arr)) as m", "count(1) as n").first() == (16, 63)
+
+    def brute(owns, sep):
+        return sorted(((s, who, "".join(sep + x for sc, _, k, x in turns if sc == s and x is not None and owns(k, who)))
+                       for s, who in cast), key=str)
+
+    def got(df):
+        return sorted(map(tuple, df.collect()), key=str)
+    def exact(k, who):
+        return k is not None and k == who
+
+    def first(k, who):
+        return k is not None and who is not None and k.split(" ")[0] == who.split(" ")[0]
+    assert got(D.speaker_text(t, c)) == brute(exact, " ")
+    assert got(D.speaker_text(t, c, "first_word")) == brute(first, " ")
+    assert got(D.context_text(t, c)) == brute(lambda k, who: not exact(k, who), " ")
+    assert got(D.dialog_text(t, c)) == brute(lambda k, who: True, "")
