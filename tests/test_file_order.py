@@ -111,3 +111,21 @@ def test_csv_with_quotes_and_line_breaks(spark, tmp_dir):
     df.write.options(**FS.TEXT_WRITE).csv(f"{tmp_dir}/csv")
     back = FS.read_csv(spark, f"{tmp_dir}/csv", "doc_id long, utterance string, labels int", multi_line=True)
     assert sorted(map(tuple, back.collect())) == rows
+
+
+def test_a_run_is_committed_once(spark, tmp_dir):
+    """Committed twice, and again after a job that failed half-way: one copy of every run, types as declared."""
+    schema = "cell string, value long, run string"
+    path = f"{tmp_dir}/results"
+    one = spark.createDataFrame([("a", 1, "007"), ("b", 2, "007"), ("a", 3, "8")], schema)
+    FS.commit_results(one, path)
+    FS.commit_results(one.repartition(3), path)
+    two = spark.range(0, 100, 1, 8).select(F.col("id").cast("string").alias("cell"), F.col("id").alias("value"), F.lit("9").alias("run"))
+    broken = two.withColumn("value", F.when(F.col("value") == 99, F.raise_error(F.lit("lost"))).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="lost"):
+        FS.commit_results(broken, path)
+    assert FS.read_results(spark, path, schema).where("run = '9'").count() == 0
+    for _ in range(2):
+        FS.commit_results(two.unionByName(one.withColumn("value", F.col("value") + 100)), path)
+    got = sorted(map(tuple, FS.read_results(spark, path, schema).collect()))
+    assert got == sorted([("a", 1, "007"), ("b", 2, "007"), ("a", 3, "8")] + [(str(i), i, "9") for i in range(100)])

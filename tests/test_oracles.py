@@ -18,7 +18,7 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES) == set(REGISTRY)
-    assert len(QUERIES) == 67
+    assert len(QUERIES) == 75
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
