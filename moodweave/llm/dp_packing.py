@@ -20,6 +20,7 @@ ignored; an empty table has no pieces.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -33,7 +34,7 @@ SENTENCE, HARD = 8, 96
 GAP, STRIDE = 256, 64
 BLOCK = 1 << 19
 CLOSING = 1                       # id that closes a document
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
 SENTENCE_ENDS = (".", "!", "?")
 _TAIL = ".,;:!?|#$%&*"
 
@@ -47,7 +48,7 @@ class WordIds:
     The vocabulary never joins words across white space, so a text's ids are
     those of its words in turn.  A word of letters followed by marks is two
     pre-tokens; its letters are looked up without the marks.  Two generations
-    of remembered words bound the memory.
+    of remembered words bound the memory; a worker keeps them for its tasks.
     """
 
     def __init__(self, tokenizer):
@@ -117,6 +118,21 @@ class WordIds:
         return lookup
 
 
+def _process_words(tokenizer_json: str) -> WordIds:
+    """The words that this Python worker has learnt; its later tasks find them again.
+
+    They hang on the tokenizer library, because functions that travel by value have no lasting module of their own.
+    """
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_learnt_words", {})
+    key = hashlib.sha256(tokenizer_json.encode()).digest()
+    if key not in kept:
+        kept.clear()
+        kept[key] = WordIds(tokenizers.Tokenizer.from_str(tokenizer_json))
+    return kept[key]
+
+
 def candidates(ids: np.ndarray, sentence: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cut positions (0 and the end included) and their penalties."""
     cost = np.full(len(ids) + 1, -1, np.int64)
@@ -183,9 +199,7 @@ def pieces(ids: np.ndarray, doc_ends: np.ndarray, seq_ends: np.ndarray) -> dict[
 
 def _packer(tokenizer_json: str):
     def run(batches):
-        from tokenizers import Tokenizer
-
-        words_ids = WordIds(Tokenizer.from_str(tokenizer_json))
+        words_ids = _process_words(tokenizer_json)
         closing = np.array([CLOSING], "<u4").tobytes()
         base, n_seq = TaskContext.get().partitionId() << 40, 0
         doc_ids, parts, tokens = [], [], 0
