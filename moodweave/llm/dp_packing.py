@@ -34,7 +34,7 @@ SENTENCE, HARD = 8, 96
 GAP, STRIDE = 256, 64
 BLOCK = 1 << 19
 CLOSING = 1                       # id that closes a document
-CACHED_WORDS = 500_000
+CACHED_WORDS = 800_000
 SENTENCE_ENDS = (".", "!", "?")
 _TAIL = ".,;:!?|#$%&*"
 
