@@ -10,7 +10,10 @@ of every ``WINDOW`` consecutive ``GRAM``-grams of a text the least hash is
 kept.  A contained text of at least ``WINDOW + GRAM - 1`` characters fills at
 least one whole window of its container, so every fingerprint of it is one of
 the container's; it is looked up by the one that is rarest on the other side.
-A shorter text is looked up by itself among the container's substrings of the
+Single grams grow common as a block grows.  So the minima are winnowed once
+more, as hashes of ``RUN`` minima in a row: a text that fills a window of these
+is looked up by its rarest run, and its candidates hold some fifteen of its
+characters or more in one piece.  A shorter text is looked up by itself among the container's substrings of the
 lengths that short texts of the block have.  Empty texts are met by per-block
 minima.  No pairs of a block are formed, whatever its size; texts join back
 once per candidate, the containment test decides, and one ``min_by`` ends it.
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodweave.functions.text import first_word, scene_episode, scene_season
-from moodweave.plans.scale import settle
+from moodweave.plans.scale import settle, stored
 from moodweave.sources.files import first_listed
 
 BLOCK = ["season", "episode", "spk"]
@@ -55,6 +58,8 @@ def prepare(turns: DataFrame, ann: DataFrame, variant: str) -> tuple[DataFrame,
 
 #: Characters of a gram, and consecutive grams of which the least hash is kept.
 GRAM, WINDOW = 4, 5
+#: Window minima of a run, and consecutive runs of which the least hash is kept.
+RUN, RUN_WINDOW = 8, 8
 
 
 def _gram_hashes(text: Column, gram: int, window: int) -> Column:
@@ -63,11 +68,22 @@ def _gram_hashes(text: Column, gram: int, window: int) -> Column:
     return F.when(F.length(text) > gram + window - 2, F.transform(grams, lambda g: F.xxhash64(g)))
 
 
-def _winnow(hashes: Column, window: int) -> Column:
-    """Distinct least hashes of all windows."""
-    least = F.transform(F.slice(hashes, 1, F.size(hashes) - (window - 1)),
-                        lambda h, i: F.least(h, *[F.get(hashes, i + k) for k in range(1, window)]) if window > 1 else h)
-    return F.array_distinct(least)
+def _least(hashes: Column, window: int) -> Column:
+    """The least hash of every window, in order."""
+    return F.transform(F.slice(hashes, 1, F.size(hashes) - (window - 1)),
+                       lambda h, i: F.least(h, *[F.get(hashes, i + k) for k in range(1, window)]) if window > 1 else h)
+
+
+def _changes(minima: Column) -> Column:
+    """Without repeats of the item before: a contained text's list is a contiguous part of its container's."""
+    return F.filter(minima, lambda h, i: (i == 0) | (h != F.get(minima, i - 1)))
+
+
+def _runs(minima: Column) -> Column:
+    """Hashes of all runs of ``RUN`` minima of a text that fills a window of them; null for a shorter one."""
+    runs = F.transform(F.slice(minima, 1, F.size(minima) - (RUN - 1)),
+                       lambda h, i: F.xxhash64(h, *[F.get(minima, i + k) for k in range(1, RUN)]))
+    return F.when(F.size(minima) > RUN + RUN_WINDOW - 2, runs)
 
 
 def _texts(td: DataFrame, ad: DataFrame) -> DataFrame:
@@ -85,16 +101,24 @@ def _candidates(texts: DataFrame, gram: int, window: int) -> DataFrame:
     """
     other = 1 - F.col("side")
     winnowed = settle(texts.select("bk", "side", "id", _gram_hashes(F.col("text"), gram, window).alias("h")), "h")
+    winnowed = settle(winnowed.select("bk", "side", "id", _least(F.col("h"), window).alias("minima")), "minima")
+    winnowed = settle(winnowed.withColumn("minima", _changes(F.col("minima"))), "minima")
+    winnowed = settle(winnowed.withColumn("runs", _runs(F.col("minima"))), "runs")
+    far = F.col("runs").isNotNull()
+    keys = F.concat(
+        F.transform(F.array_distinct("minima"), lambda h: F.struct(h.alias("key"), (~far).alias("asks"))),
+        F.coalesce(F.transform(F.array_distinct(_least(F.col("runs"), RUN_WINDOW)), lambda h: F.struct(h.alias("key"), F.lit(True).alias("asks"))),
+                   F.array().cast("array<struct<key:bigint,asks:boolean>>")))
     # three joins read the fingerprints: they are computed once
-    winnowed = winnowed.select("bk", "side", "id", _winnow(F.col("h"), window).alias("fps")).checkpoint()
-    prints = winnowed.select("bk", "side", "id", F.explode("fps").alias("key")).hint("merge")
+    winnowed = stored(winnowed.select("bk", "side", "id", keys.alias("fps")), "align-prints")
+    prints = winnowed.select("bk", "side", "id", F.explode("fps").alias("p")).select("bk", "side", "id", "p.key", "p.asks").hint("merge")
     shared = prints.groupBy("bk", "key").agg(*[F.sum((F.col("side") == s).cast("long")).alias(f"f{s}") for s in (0, 1)]) \
         .where((F.col("f0") > 0) & (F.col("f1") > 0)).hint("merge")
     f_other = F.coalesce(F.when(F.col("side") == 0, F.col("f1")).otherwise(F.col("f0")), F.lit(0))
-    rarest = prints.join(shared, ["bk", "key"], "left").groupBy("bk", "side", "id") \
+    rarest = prints.where("asks").join(shared, ["bk", "key"], "left").groupBy("bk", "side", "id") \
         .agg(F.min(F.struct(f_other.alias("f"), "key")).alias("k")).where("k.f > 0")
     long = rarest.select("bk", other.alias("side"), F.col("id").alias("needle"), "k.key") \
-        .join(prints, ["bk", "side", "key"])
+        .join(prints.drop("asks"), ["bk", "side", "key"])
     few = texts.where(F.length("text") < gram + window - 1)
     chars = F.split("text", "")
     needles = few.select("bk", other.alias("side"), F.col("id").alias("needle"), F.xxhash64(F.size(chars), chars).alias("key"))
