@@ -14,6 +14,9 @@ from moodweave.llm import blob_ledger, dp_packing, hyperminhash, rule_ledger, si
 from moodweave.llm.common import table
 from moodweave.session import scratch_path
 
+# Words that a worker of the packing stage remembers: its executor's heap has grown in the stages before.
+REMEMBERED_WORDS = 100_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current rule policy keeps."""
@@ -40,7 +43,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences with their token ids."""
     import public_tokenizers
 
-    return dp_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return dp_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED_WORDS)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontamination", decontamination),

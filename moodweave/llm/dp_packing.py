@@ -48,11 +48,11 @@ class WordIds:
     The vocabulary never joins words across white space, so a text's ids are
     those of its words in turn.  A word of letters followed by marks is two
     pre-tokens; its letters are looked up without the marks.  Two generations
-    of remembered words bound the memory; a worker keeps them for its tasks.
+    of ``remembered`` words bound the memory; a worker keeps them for its tasks.
     """
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, tokenizer, remembered: int = CACHED_WORDS):
+        self.tokenizer, self.remembered = tokenizer, remembered
         vocab = tokenizer.get_vocab()
         size = max(vocab.values()) + 1
         self.ends = np.zeros(size, bool)          # tokens that close a pre-token
@@ -113,12 +113,12 @@ class WordIds:
         for (w, _), ids in zip(whole, self._encode([s for _, s in whole]), strict=True):
             now[w] = ids
         lookup = now
-        if len(now) > CACHED_WORDS:
+        if len(now) > self.remembered:
             self.old, self.now = now, {}
         return lookup
 
 
-def _process_words(tokenizer_json: str) -> WordIds:
+def _process_words(tokenizer_json: str, remembered: int) -> WordIds:
     """The words that this Python worker has learnt; its later tasks find them again.
 
     They hang on the tokenizer library, because functions that travel by value have no lasting module of their own.
@@ -126,10 +126,10 @@ def _process_words(tokenizer_json: str) -> WordIds:
     import tokenizers
 
     kept = vars(tokenizers).setdefault("_learnt_words", {})
-    key = hashlib.sha256(tokenizer_json.encode()).digest()
+    key = hashlib.sha256(tokenizer_json.encode()).digest(), remembered
     if key not in kept:
         kept.clear()
-        kept[key] = WordIds(tokenizers.Tokenizer.from_str(tokenizer_json))
+        kept[key] = WordIds(tokenizers.Tokenizer.from_str(tokenizer_json), remembered)
     return kept[key]
 
 
@@ -197,9 +197,9 @@ def pieces(ids: np.ndarray, doc_ends: np.ndarray, seq_ends: np.ndarray) -> dict[
             "sequence_tokens": seq_ends[seq] - seq_start}
 
 
-def _packer(tokenizer_json: str):
+def _packer(tokenizer_json: str, remembered: int):
     def run(batches):
-        words_ids = _process_words(tokenizer_json)
+        words_ids = _process_words(tokenizer_json, remembered)
         closing = np.array([CLOSING], "<u4").tobytes()
         base, n_seq = TaskContext.get().partitionId() << 40, 0
         doc_ids, parts, tokens = [], [], 0
@@ -241,13 +241,15 @@ def _packer(tokenizer_json: str):
 
 
 def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text",
-         order_by: str | None = None) -> DataFrame:
+         order_by: str | None = None, remembered: int = CACHED_WORDS) -> DataFrame:
     """Pieces: (doc_id, start, length, ids, doc_tokens, sequence_id, offset, sequence_tokens).
 
     ``ids`` are little-endian unsigned 32-bit.  Documents keep the order of the
     input partitions; ``order_by`` first range-partitions and sorts by a
     column.  ``sequence_id`` is unique: partition, then sequence within it.
     The vocabulary file is read on the driver and travels with the job.
+    ``remembered`` words are a generation of a worker's memory: fewer take less
+    memory and more time.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
@@ -256,7 +258,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     if order_by:
         n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = rows.repartitionByRange(n, "place").sortWithinPartitions("place").drop("place")
-    return rows.mapInArrow(_packer(tokenizer_json), _PIECES)
+    return rows.mapInArrow(_packer(tokenizer_json, remembered), _PIECES)
 
 
 def padded(sequence_tokens: int, window: int = WINDOW) -> int:

@@ -95,3 +95,13 @@ def test_padding_is_small(spark):
     sizes = [r[0] for r in DP.pack(docs, PATH).select("sequence_tokens", "sequence_id").distinct().collect()]
     waste = sum(DP.padded(n) - n for n in sizes)
     assert waste < 0.02 * sum(sizes)
+
+
+def test_remembered_words_are_bounded_and_ids_stay(spark, tokenizer):
+    few, many = DP.WordIds(tokenizer, remembered=50), DP.WordIds(tokenizer)
+    for lot in range(40):
+        words = {f"w{lot * 7 + k}x,".encode() for k in range(30)} | {b"again"}
+        assert {w: few.learn(words)[w] for w in words} == {w: many.learn(words)[w] for w in words}
+        assert len(few.now) + len(few.old) <= 2 * (50 + len(words))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").coalesce(1)
+    assert rows(DP.pack(docs, PATH, remembered=1000)) == rows(DP.pack(docs, PATH))
