@@ -17,6 +17,10 @@ characters or more in one piece.  A shorter text is looked up by itself among th
 lengths that short texts of the block have.  Empty texts are met by per-block
 minima.  No pairs of a block are formed, whatever its size; texts join back
 once per candidate, the containment test decides, and one ``min_by`` ends it.
+
+Distinct texts, fingerprints, rarest ones and pairs are written one after the
+other, so that the shuffle files of one step are gone before the next begins.
+Only blocks that both sides have are looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodweave.functions.text import first_word, scene_episode, scene_season
-from moodweave.plans.scale import settle, stored
+from moodweave.plans.scale import bounded_broadcast, drop_stored, settle, stored
 from moodweave.sources.files import first_listed
 
 BLOCK = ["season", "episode", "spk"]
@@ -94,7 +98,7 @@ def _texts(td: DataFrame, ad: DataFrame) -> DataFrame:
 
 
 def _candidates(texts: DataFrame, gram: int, window: int) -> DataFrame:
-    """(bk, tid, aid): pairs of a turn and an annotation of which one may contain the other.
+    """(bk, tid, aid): pairs of a turn and an annotation of which one may contain the other, written.
 
     Exploded rows carry hashes, never texts.  The planner sizes them like their source, far too
     small, so their joins are pinned to sort-merge.
@@ -117,8 +121,9 @@ def _candidates(texts: DataFrame, gram: int, window: int) -> DataFrame:
     f_other = F.coalesce(F.when(F.col("side") == 0, F.col("f1")).otherwise(F.col("f0")), F.lit(0))
     rarest = prints.where("asks").join(shared, ["bk", "key"], "left").groupBy("bk", "side", "id") \
         .agg(F.min(F.struct(f_other.alias("f"), "key")).alias("k")).where("k.f > 0")
-    long = rarest.select("bk", other.alias("side"), F.col("id").alias("needle"), "k.key") \
-        .join(prints.drop("asks"), ["bk", "side", "key"])
+    rarest = stored(rarest.select("bk", other.alias("side"), F.col("id").alias("needle"), "k.key"), "align-rarest")
+    long = stored(rarest.join(prints.drop("asks"), ["bk", "side", "key"]).select("bk", "side", "needle", "id"), "align-long")
+    drop_stored(winnowed, rarest)
     few = texts.where(F.length("text") < gram + window - 1)
     chars = F.split("text", "")
     needles = few.select("bk", other.alias("side"), F.col("id").alias("needle"), F.xxhash64(F.size(chars), chars).alias("key"))
@@ -129,10 +134,12 @@ def _candidates(texts: DataFrame, gram: int, window: int) -> DataFrame:
         F.sequence(F.lit(1), n - m + 1), lambda i: F.xxhash64(m, F.slice("chars", i, m)))))
     hay = settle(hay.select("bk", "side", "id", F.array_distinct(inside).alias("keys")), "keys")
     short = needles.join(hay.select("bk", "side", "id", F.explode("keys").alias("key")).hint("merge"), ["bk", "side", "key"])
-    pairs = long.select("bk", "side", "needle", "id").unionByName(short.select("bk", "side", "needle", "id"))
+    pairs = long.unionByName(short.select("bk", "side", "needle", "id"))
     turn = F.col("side") == 0            # the container's side
-    return pairs.select("bk", F.when(turn, F.col("id")).otherwise(F.col("needle")).alias("tid"),
-                        F.when(turn, F.col("needle")).otherwise(F.col("id")).alias("aid"))
+    pairs = stored(pairs.select("bk", F.when(turn, F.col("id")).otherwise(F.col("needle")).alias("tid"),
+                                F.when(turn, F.col("needle")).otherwise(F.col("id")).alias("aid")), "align-pairs")
+    drop_stored(long)
+    return pairs
 
 
 def align(turns: DataFrame, ann: DataFrame, variant: str = "emory", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -149,6 +156,9 @@ def align(turns: DataFrame, ann: DataFrame, variant: str = "emory", gram: int =
     td = t.where(there & F.col("t").isNotNull()).select(*BLOCK, "t").distinct().withColumn("bk", bk)
     ad = a.where(there & F.col("u").isNotNull()).groupBy(*BLOCK, "u").agg(F.min(F.struct("ann_order", "emotion")).alias("first"))
     ad = ad.select(*BLOCK, "u", "first.ann_order", "first.emotion").withColumn("bk", bk)
+    td, ad = stored(td, "align-turns"), stored(ad, "align-annotations")
+    blocks = bounded_broadcast(stored(td.select(*BLOCK).distinct().join(ad.select(*BLOCK).distinct(), BLOCK), "align-blocks"))
+    td, ad = [x.join(blocks, BLOCK, "left_semi") for x in (td, ad)]
     ours = [F.col(c).alias(f"t_{c}") for c in BLOCK]
     pairs = _candidates(_texts(td, ad), gram, window)
     met = pairs.join(td.select("bk", F.xxhash64("t").alias("tid"), *ours, "t"), ["bk", "tid"]) \
@@ -168,10 +178,10 @@ def align(turns: DataFrame, ann: DataFrame, variant: str = "emory", gram: int =
 
 
 def side_by_side(aligned: dict[str, DataFrame]) -> DataFrame:
-    """(scene_id, pos, <corpus>...): the emotion that each corpus gives a turn."""
+    """(scene_id, pos, <corpus>...): the emotion that each corpus gives a turn; corpora are aligned one after the other."""
     out = None
     for name, df in aligned.items():
-        one = df.select("scene_id", "pos", F.col("emotion").alias(name))
+        one = stored(df.select("scene_id", "pos", F.col("emotion").alias(name)), f"aligned-{name}")
         out = one if out is None else out.join(one, ["scene_id", "pos"])
     return out
 

@@ -44,3 +44,26 @@ def test_long_texts_of_common_grams_form_few_pairs(spark):
     df = spark.createDataFrame(rows, "bk long, side int, id long, text string")
     pairs = {(r.tid, r.aid) for r in AL._candidates(df, AL.GRAM, AL.WINDOW).collect()}
     assert pairs >= {(i, i) for i in range(n)} and len(pairs) < 2 * n
+
+
+def _corpus(spark):
+    turns = [(f"0{k % 2 + 1}_e01_c{k}", p, "Ann X", f"turn {p} of dialogue {k} says that all is well") for k in range(6) for p in range(3)]
+    ann = [("s", int(s[:2]), 1, "['Ann X']" if s[:2] == "01" else "['Bob']", t, "joy", 10 * k) for k, (s, _, _, t) in enumerate(turns)]
+    return spark.createDataFrame(turns, "scene_id string, pos long, speaker string, text string"), spark.createDataFrame(
+        ann, "split string, Season int, Episode int, Speaker string, Utterance string, Emotion string, ann_order long")
+
+
+def test_coverage_keeps_neither_fingerprints_nor_shuffled_texts(spark, monkeypatch):
+    """Corpora are aligned one after the other, each from blocks that both sides have; the last step reads numbers only."""
+    root = checkpoint_root(spark).removeprefix("file:")
+    before, rows, keep = set(os.listdir(root)), {}, AL.stored
+    monkeypatch.setattr(AL, "stored", lambda df, name: (t := keep(df, name), rows.setdefault(name, []).append(t.count()))[0])
+    turns, ann = _corpus(spark)
+    out = AL.coverage({"emory": AL.align(turns, ann, "emory"), "meld": AL.align(turns, ann, "meld")})
+    r = out.first()
+    assert (r.n_turns, r.emory_labelled, r.meld_labelled) == (18, 9, 0)
+    assert rows["align-prints"] == [18, 0]          # nine turns and nine annotations of season 1; no block of the other corpus
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before if x.startswith("align")}
+    assert left == {"align-turns", "align-annotations", "align-blocks", "align-pairs", "aligned-emory", "aligned-meld"}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert all("text" not in x.split("\n")[0] and "Utterance" not in x.split("\n")[0] for x in plan.split("ReadSchema")[1:])
