@@ -67,3 +67,13 @@ def test_coverage_keeps_neither_fingerprints_nor_shuffled_texts(spark, monkeypat
     assert left == {"align-turns", "align-annotations", "align-blocks", "align-pairs", "aligned-emory", "aligned-meld"}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert all("text" not in x.split("\n")[0] and "Utterance" not in x.split("\n")[0] for x in plan.split("ReadSchema")[1:])
+
+
+def test_labelled_dialogs_reads_numbers_only(spark):
+    turns, ann = _corpus(spark)
+    out = AL.labelled_dialogs({"emory": AL.align(turns, ann, "emory"), "meld": AL.align(turns, ann, "meld")})
+    assert {r.scene_id: (r.any_emory, r.all_emory, r.any_meld) for r in out.collect()} == \
+        {f"0{k % 2 + 1}_e01_c{k}": (k % 2 == 0, k % 2 == 0, False) for k in range(6)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan
+    assert all("text" not in x.split("\n")[0] and "Utterance" not in x.split("\n")[0] for x in plan.split("ReadSchema")[1:])
